@@ -6,13 +6,13 @@ in front of a query.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from palimpsest.functions.text import WHITESPACE_CLASS
 from palimpsest.functions.vectors import encode_text
+from palimpsest.session import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -116,13 +116,8 @@ class Tables:
         return tokens.withColumn("logprob", -(1 + F.pmod(value, F.lit(1000))) / 250.0)
 
     def scratch(self) -> str:
-        """New folder below the shared checkpoint folder, for what a query writes and reads back."""
-        base = self.spark.conf.get("spark.checkpoint.dir", None)
-        if base is None:
-            if not self.spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            base = "/tmp/palimpsest-scratch"
-        return f"{base}/palimpsest-{uuid.uuid4().hex}"
+        """New folder below the shared folder, for what a query writes and reads back."""
+        return new_folder(self.spark)
 
 
 def rounded(column: Column | str, digits: int = 6) -> Column:
@@ -190,7 +185,7 @@ LOGPROBS_SQL = f"""token_logprobs AS (
         FROM (SELECT rewrite_id, len({sql_words('rewritten_text')}) AS n FROM rewrites), range(4) deals(deal)))"""
 
 
-def with_views(query: str, *views: str) -> str:
+def with_views(query: str, *views: str, recursive: bool = False) -> str:
     """Put views in front of a query: names from ``VIEWS`` or literal ``name AS (…)`` text."""
     parts = [VIEWS.get(v, v) for v in views]
-    return "WITH " + ",\n".join(parts) + "\n" + query if parts else query
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" + query

@@ -1 +1,290 @@
+"""Encoding, similarity scores, centroids, neighbours and clusters."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from palimpsest.checks.registry import Tables, check, rounded, sql_vectors, with_views
+from palimpsest.functions import vectors as vx
+from palimpsest.operators import clusters, generate, scoring
+
+_PROMPTS = ("prompts", sql_vectors("pv", "SELECT prompt_id AS id, rewrite_prompt AS text FROM prompts"))
+_BENCH = sql_vectors("bv", "SELECT item_id AS id, text FROM benchmark")
+_UNITS = """units AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
+_CENTRES = """cells AS (SELECT label, i, avg(v[i]) AS x FROM units, range(1, 65) r(i) GROUP BY label, i),
+centres AS (SELECT label, list(x ORDER BY i) AS c FROM cells GROUP BY label)"""
+
+
+def _label_centres(t: Tables):
+    return scoring.centroid(t.embeddings, "embedding", ("label",))
+
+
+@check("encode_text", with_views("SELECT id, i - 1 AS i, round(v[i], 9) AS x FROM bv, range(1, 17) r(i)", _BENCH))
+def _(t: Tables):
+    cells = t.benchmark_vectors.select("id", F.posexplode("vector").alias("i", "x"))
+    return cells.select("id", F.col("i").cast("long").alias("i"), rounded("x", 9).alias("x"))
+
+
+@check(
+    "encode_with_model",
+    """SELECT item_id, len(text)::DOUBLE AS chars, (len(text) - len(replace(text, 'e', '')))::DOUBLE AS es FROM benchmark""",
+)
+def _(t: Tables):
+    def load():
+        return lambda batch: [(len(x), x.count("e")) for x in batch]
+
+    encoded = generate.encode_with(t.benchmark, "text", load)
+    return encoded.select("item_id", F.col("vector")[0].alias("chars"), F.col("vector")[1].alias("es"))
+
+
+@check(
+    "join_known_vectors",
+    "SELECT doc_id, embedding[1]::DOUBLE AS x0 FROM documents LEFT JOIN embeddings ON vec_id = doc_id",
+)
+def _(t: Tables):
+    known = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
+    joined = generate.known_vectors(t.documents.select("doc_id"), known, "doc_id")
+    return joined.select("doc_id", F.col("embedding")[0].cast("double").alias("x0"))
+
+
+@check(
+    "unit_vectors",
+    """SELECT vec_id, i - 1 AS i, round(x / nullif(n, 0), 6) AS x FROM (
+        SELECT vec_id, i, (CASE WHEN vec_id % 50 = 0 THEN 0 ELSE 3 * embedding[i]::DOUBLE END) AS x,
+          sqrt(sum(CASE WHEN vec_id % 50 = 0 THEN 0 ELSE 9 * embedding[i]::DOUBLE ** 2 END) OVER (PARTITION BY vec_id)) AS n
+        FROM embeddings, range(1, 65) r(i))""",
+)
+def _(t: Tables):
+    factor = F.when(F.col("vec_id") % 50 == 0, 0.0).otherwise(3.0)
+    scaled = F.transform(vx.to_double(F.col("embedding")), lambda x: x * factor)
+    cells = t.embeddings.select("vec_id", F.posexplode(vx.unit(scaled)).alias("i", "x"))
+    return cells.select("vec_id", F.col("i").cast("long").alias("i"), rounded("x").alias("x"))
+
+
+@check(
+    "pair_scores",
+    with_views(
+        "SELECT rewrite_id, round(abs(list_dot_product(a.v, b.v) ** 3), 6) AS score FROM rewrites JOIN a ON a.id = rewrite_id JOIN b ON b.id = rewrite_id",
+        "rewrites",
+        sql_vectors("a", "SELECT rewrite_id AS id, rewrite_prompt AS text FROM rewrites"),
+        sql_vectors("b", "SELECT rewrite_id AS id, rewritten_text AS text FROM rewrites"),
+    ),
+)
+def _(t: Tables):
+    pairs = t.rewrites.select(
+        "rewrite_id", vx.encode_text(F.col("rewrite_prompt")).alias("a"), vx.encode_text(F.col("rewritten_text")).alias("b")
+    )
+    return scoring.pair_scores(pairs, "a", "b").select("rewrite_id", rounded("score").alias("score"))
+
+
+@check(
+    "aligned_metric",
+    with_views(
+        "SELECT round(avg(list_dot_product(a.v, b.v) ** 3), 6) AS metric, round(avg(abs(list_dot_product(a.v, b.v) ** 3)), 6) AS mean_score FROM a JOIN b USING (id)",
+        "rewrites",
+        sql_vectors("a", "SELECT rewrite_id AS id, rewrite_prompt AS text FROM rewrites"),
+        sql_vectors("b", "SELECT rewrite_id AS id, rewritten_text AS text FROM rewrites"),
+    ),
+)
+def _(t: Tables):
+    from palimpsest.operators.evaluate import aligned_metric, mean_score
+
+    pairs = t.rewrites.select(
+        "rewrite_id", vx.encode_text(F.col("rewrite_prompt")).alias("a"), vx.encode_text(F.col("rewritten_text")).alias("b")
+    )
+    plain = mean_score(scoring.pair_scores(pairs, "a", "b")).select("mean_score").scalar()
+    return aligned_metric(pairs, "a", "b").select(rounded("metric").alias("metric"), rounded(plain).alias("mean_score"))
+
+
+@check(
+    "prompt_score",
+    with_views(
+        "SELECT round(avg(list_dot_product(pv.v, c.v) ** 3), 9) AS score FROM pv, c",
+        *_PROMPTS,
+        sql_vectors("c", "SELECT 0 AS id, 'rewrite this text in the style of' AS text"),
+    ),
+)
+def _(t: Tables):
+    constant = vx.encode_text(F.lit("rewrite this text in the style of"))
+    return scoring.prompt_score(constant, t.prompt_vectors).select(rounded("score", 9).alias("score"))
+
+
+_SCORES = "scores AS (SELECT bv.id, avg(list_dot_product(pv.v, bv.v) ** 3) AS score FROM bv, pv GROUP BY bv.id)"
+
+
+@check("candidate_scores", with_views("SELECT id, round(score, 9) AS score FROM scores", *_PROMPTS, _BENCH, _SCORES))
+def _(t: Tables):
+    scores = scoring.mean_cubed_similarity(t.benchmark_vectors, t.prompt_vectors, "id")
+    return scores.select("id", rounded("score", 9).alias("score"))
+
+
+@check("candidate_scores_in_passes", with_views("SELECT id, round(score, 9) AS score FROM scores", *_PROMPTS, _BENCH, _SCORES))
+def _(t: Tables):
+    scores = scoring.mean_cubed_similarity(t.benchmark_vectors, t.prompt_vectors, "id", way="passes")
+    return scores.select("id", rounded("score", 9).alias("score"))
+
+
+@check(
+    "top_fraction_of_candidates",
+    with_views(
+        "SELECT id FROM scores ORDER BY round(score, 9) DESC, id LIMIT (SELECT CAST(floor(0.2 * count(*)) AS BIGINT) FROM scores)",
+        *_PROMPTS,
+        _BENCH,
+        _SCORES,
+    ),
+)
+def _(t: Tables):
+    scores = scoring.mean_cubed_similarity(t.benchmark_vectors, t.prompt_vectors, "id")
+    return scoring.top_fraction(scores, 0.2, [F.desc(F.round("score", 9)), F.col("id")]).select("id")
+
+
+@check("centroids", with_views("SELECT label, i - 1 AS i, round(x, 6) AS x FROM cells", _UNITS, _CENTRES))
+def _(t: Tables):
+    cells = _label_centres(t).select("label", F.posexplode("centroid").alias("i", "x"))
+    return cells.select("label", F.col("i").cast("long").alias("i"), rounded("x").alias("x"))
+
+
+@check(
+    "rank_by_centroid_distance",
+    with_views(
+        """SELECT id, round(sqrt(d), 6) AS distance, row_number() OVER (ORDER BY round(sqrt(d), 6), id) - 1 AS place
+        FROM (SELECT id, sum((v[i] - x) ** 2) AS d FROM units, (SELECT i, avg(v[i]) AS x FROM units, range(1, 65) r(i) GROUP BY i) m GROUP BY id)""",
+        _UNITS,
+    ),
+)
+def _(t: Tables):
+    from palimpsest.operators.ordering import with_position
+
+    rows = t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
+    ranked = scoring.distance_to_centroid(rows, "embedding").select("id", rounded("distance").alias("distance"))
+    return with_position(ranked, "distance", "place", ["id"])
+
+
+@check(
+    "mean_similarity_to_all",
+    with_views(
+        """SELECT a.id, round(avg(list_dot_product(a.v, b.v)), 6) AS plain, round(avg(list_dot_product(a.v, b.v) ** 3), 6) AS cubed
+        FROM units a, units b GROUP BY a.id""",
+        _UNITS,
+    ),
+)
+def _(t: Tables):
+    rows = t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
+    plain = scoring.mean_similarity_to_all(rows, "embedding", cubed=False).withColumnRenamed("score", "plain")
+    cubed = scoring.mean_similarity_to_all(rows, "embedding").withColumnRenamed("score", "cubed")
+    return plain.join(cubed, "id").select("id", rounded("plain").alias("plain"), rounded("cubed").alias("cubed"))
+
+
+@check(
+    "similarity_matrix",
+    with_views(
+        "SELECT pv.id, bv.id AS item_id, round(list_dot_product(pv.v, bv.v), 6) AS similarity FROM pv, bv", *_PROMPTS, _BENCH
+    ),
+)
+def _(t: Tables):
+    items = t.benchmark_vectors.withColumnRenamed("id", "item_id")
+    rows = scoring.similarity_rows(t.prompt_vectors, "id", "vector", items, "item_id", "vector")
+    return rows.withColumn("similarity", rounded("similarity"))
+
+
+@check(
+    "nearest_rows",
+    with_views(
+        """SELECT query, neighbour, round(s, 6) AS similarity, rank FROM (
+          SELECT bv.id AS query, pv.id AS neighbour, list_dot_product(pv.v, bv.v) AS s,
+            row_number() OVER (PARTITION BY bv.id ORDER BY round(list_dot_product(pv.v, bv.v), 12) DESC, pv.id) AS rank FROM pv, bv)
+        WHERE rank <= 5""",
+        *_PROMPTS,
+        _BENCH,
+    ),
+)
+def _(t: Tables):
+    found = scoring.nearest_rows(t.benchmark_vectors, t.prompt_vectors, "id", "id", "vector", 5)
+    return found.select("query", "neighbour", rounded("similarity").alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
+@check(
+    "nearest_centre",
+    with_views(
+        """SELECT id, nearest, round(distance, 6) AS distance FROM (SELECT id, c.label AS nearest,
+            sqrt(list_sum(list_transform(range(1, 65), lambda i: (v[i] - c.c[i]) ** 2))) AS distance,
+            row_number() OVER (PARTITION BY id ORDER BY sqrt(list_sum(list_transform(range(1, 65), lambda i: (v[i] - c.c[i]) ** 2))), c.label) AS r
+          FROM units, centres c) WHERE r = 1""",
+        _UNITS,
+        _CENTRES,
+    ),
+)
+def _(t: Tables):
+    centres = _label_centres(t).select(F.col("label").alias("cluster"), F.col("centroid").alias("centre"))
+    placed = clusters.nearest_centre(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), "embedding", centres)
+    return placed.select("id", "nearest", rounded("distance").alias("distance"))
+
+
+@check(
+    "most_typical_20",
+    with_views(
+        """SELECT id FROM (SELECT id, min(sqrt(list_sum(list_transform(range(1, 65), lambda i: (v[i] - c.c[i]) ** 2)))) AS distance
+          FROM units, centres c GROUP BY id) ORDER BY round(distance, 9), id LIMIT 20""",
+        _UNITS,
+        _CENTRES,
+    ),
+)
+def _(t: Tables):
+    centres = _label_centres(t).select(F.col("label").alias("cluster"), F.col("centroid").alias("centre"))
+    placed = clusters.nearest_centre(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), "embedding", centres)
+    return clusters.most_typical(placed.withColumn("distance", F.round("distance", 9)), ("distance", "id")).select("id")
+
+
+@check("pca_projection")
+def _(t: Tables):
+    return clusters.project(t.embeddings.select("vec_id", "embedding"), "embedding", 16).select("vec_id", "projected")
+
+
+@check("kmeans_on_projection")
+def _(t: Tables):
+    projected = clusters.project(t.embeddings.select("vec_id", "embedding"), "embedding", 32)
+    labelled, _ = clusters.kmeans(projected, "projected", 10)
+    return labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@check("kmeans_per_hundred_rows")
+def _(t: Tables):
+    rows = t.embeddings.select("vec_id", "embedding")
+    labelled, centres = clusters.kmeans(rows, "embedding", clusters.clusters_for(rows.count()))
+    sizes = labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.join(centres, "cluster").select("cluster", "n", F.size("centre").alias("dim"))
+
+
+_EPS = 0.3
+
+
+@check(
+    "density_clusters",
+    with_views(
+        f"""SELECT dv.id, coalesce(core.label, (SELECT min(k.label) FROM pairs p JOIN labels_ k ON k.id = p.b WHERE p.a = dv.id), -1) AS cluster
+        FROM dv LEFT JOIN labels_ core USING (id)""",
+        sql_vectors("dv", "SELECT doc_id AS id, text FROM documents"),
+        f"""pairs AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM dv a, dv b
+            WHERE 2 - 2 * list_dot_product(a.v, b.v) <= {_EPS} * {_EPS} + 1e-12)""",
+        "core AS MATERIALIZED (SELECT a AS id FROM pairs GROUP BY a HAVING count(*) >= 5)",
+        "core_pairs AS MATERIALIZED (SELECT a, b FROM pairs WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core))",
+        """reach(id, root) AS (SELECT a, b FROM core_pairs UNION SELECT r.id, p.b FROM reach r JOIN core_pairs p ON p.a = r.root)""",
+        "labels_ AS MATERIALIZED (SELECT id, min(root) AS label FROM reach GROUP BY id)",
+        recursive=True,
+    ),
+)
+def _(t: Tables):
+    return clusters.density_clusters(t.document_vectors, "id", "vector", _EPS, 5)
+
+
+@check("best_direction")
+def _(t: Tables):
+    start = [1.0] * 64
+    return clusters.best_direction(t.embeddings, "embedding", start).select("grp", "score", "start_score", "iterations")
+
+
+@check("best_direction_per_cluster")
+def _(t: Tables):
+    start = [1.0] * 64
+    found = clusters.best_direction(t.embeddings, "embedding", start, group="label")
+    return found.select("grp", "score", "start_score", "iterations")

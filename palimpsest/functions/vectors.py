@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Iterator, Sequence
+from hashlib import md5
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 from palimpsest.functions.text import split_words
 
@@ -13,6 +18,16 @@ def to_double(vector: Column) -> Column:
     return vector.cast("array<double>")
 
 
+def vector_literal(values: Sequence[float]) -> Column:
+    """Array literal of doubles, folded from one string instead of one expression node per value."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
+def usable(vector: Column) -> Column:
+    """Whether the vector is there and is not the all-null result of normalising a zero vector."""
+    return F.get(vector, F.lit(0)).isNotNull()
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(
         F.zip_with(to_double(a), to_double(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x
@@ -53,43 +68,72 @@ def fold_columns(prefix: str, dim: int) -> Column:
     return F.array(*[F.col(f"{prefix}_{i}").cast("float") for i in range(dim)])
 
 
-def hashed_word_vector(word: Column) -> Column:
+def word_vector(word: str) -> np.ndarray:
     """Deterministic 16-component vector of a word: two digests, four hex digits per component.
 
     Components are multiples of 2⁻¹⁵ in [−1, 1), so sums of word vectors are exact in any order.
     """
-    halves = [
-        F.transform(
-            F.array(F.md5(F.concat(word, F.lit(f"#{half}")))),
-            lambda digest: F.transform(
-                F.sequence(F.lit(0), F.lit(7)),
-                lambda i: F.conv(F.substring(digest, 4 * i + 1, 4), 16, 10).cast("double") / 32768.0 - 1.0,
-            ),
-        )[0]
-        for half in range(ENCODER_DIM // 8)
-    ]
-    return F.concat(*halves)
+    digits = b"".join(md5(f"{word}#{half}".encode()).digest() for half in range(ENCODER_DIM // 8))
+    return np.frombuffer(digits, dtype=">u2").astype(np.float64) / 32768.0 - 1.0
 
 
-def word_sum(words: Column) -> Column:
-    zero = F.array_repeat(F.lit(0.0), ENCODER_DIM)
-    return F.aggregate(
-        F.transform(words, hashed_word_vector),
-        zero,
-        lambda total, v: F.zip_with(total, v, lambda x, y: x + y),
-    )
+# Most distinct words a task remembers at a time.
+WORD_CACHE = 200_000
+WORDS_AT_ONCE = 100_000
 
 
 def encode_words(words: Column, position_weight: float = 0.0) -> Column:
-    """Unit vector of a word list. A positive ``position_weight`` makes it depend on word order."""
-    if position_weight == 0.0:
-        return unit(word_sum(words))
-    zero = F.array_repeat(F.lit(0.0), ENCODER_DIM)
-    weighted = F.transform(
-        words,
-        lambda w, i: F.transform(hashed_word_vector(w), lambda x: x * (1.0 + position_weight * i)),
-    )
-    return unit(F.aggregate(weighted, zero, lambda t, v: F.zip_with(t, v, lambda x, y: x + y)))
+    """Unit vector of a word list: the built-in encoder for trying things out without a model.
+
+    The text's vector is the sum of its word vectors; a positive ``position_weight`` makes it depend
+    on word order. Text without words gives null.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        numbers: dict[str, int] = {}
+        known: list[np.ndarray] = []
+
+        def encode_some(lists: list) -> list:
+            """Word numbers of all lists in one index, vectors by lookup, sums by differences."""
+            index: list[int] = []
+            ends = [0]
+            for entry in lists:
+                for word in entry:
+                    number = numbers.get(word)
+                    if number is None:
+                        number = numbers[word] = len(known)
+                        known.append(word_vector(word))
+                    index.append(number)
+                ends.append(len(index))
+            if not index:
+                return [None] * len(lists)
+            vectors, ends = np.asarray(known)[index], np.asarray(ends)
+            if position_weight:
+                place = np.arange(len(index)) - np.repeat(ends[:-1], np.diff(ends))
+                vectors = vectors * (1.0 + position_weight * place)[:, None]
+            total = np.vstack([np.zeros(ENCODER_DIM), np.cumsum(vectors, axis=0)])
+            sums = total[ends[1:]] - total[ends[:-1]]
+            lengths = np.sqrt((sums * sums).sum(axis=1))
+            return [s / n if n > 0 else None for s, n in zip(sums, lengths)]
+
+        for batch in batches:
+            out: list = []
+            waiting: list = []
+            words_waiting = 0
+            for entry in batch:
+                waiting.append(() if entry is None else entry)
+                words_waiting += len(waiting[-1])
+                if words_waiting >= WORDS_AT_ONCE:
+                    out += encode_some(waiting)
+                    waiting, words_waiting = [], 0
+                    if len(known) > WORD_CACHE:
+                        numbers.clear()
+                        known.clear()
+            out += encode_some(waiting)
+            yield pd.Series(out, dtype=object)
+
+    return encode(words)
 
 
 def encode_text(text: Column, position_weight: float = 0.0) -> Column:

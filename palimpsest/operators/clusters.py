@@ -5,19 +5,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.functions.vectors import squared_distance, to_double
+from palimpsest.functions.vectors import squared_distance, to_double, vector_literal
 from palimpsest.operators.scoring import (
     MOMENT_DIM_LIMIT,
+    Batches,
     as_matrix,
+    batch_matrix,
     blocks,
     group_moments,
     vector_dim,
+    vectors_of,
 )
 from palimpsest.operators.ordering import union_all
 from palimpsest.session import cut_lineage
@@ -60,7 +63,7 @@ def nearest_centre(df: DataFrame, vector: str, centres: DataFrame, max_centres:
         raise ValueError(f"more than {max_centres} centres")
     known = F.array(
         *[
-            F.struct(F.lit(r["cluster"]).alias("cluster"), F.array(*[F.lit(float(x)) for x in r["centre"]]).alias("centre"))
+            F.struct(F.lit(r["cluster"]).alias("cluster"), vector_literal(r["centre"]).alias("centre"))
             for r in sorted(table, key=lambda r: r["cluster"])
         ]
     )
@@ -82,12 +85,19 @@ def most_typical(df: DataFrame, order: tuple[str, ...] = ("distance",), k: int =
 # density clustering
 
 
-def _pieces(batches: Iterator[pd.DataFrame], width: int, cells: int = 4_000_000) -> Iterator[pd.DataFrame]:
-    """Row ranges small enough that a rows × ``width`` comparison stays within ``cells``."""
+def _pieces(batches: Batches, width: int, cells: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors in row ranges small enough that a rows × ``width`` comparison fits ``cells``."""
     step = max(1, cells // max(1, width))
-    for pdf in batches:
-        for at in range(0, len(pdf), step):
-            yield pdf.iloc[at : at + step]
+    for batch in batches:
+        if batch.num_rows:
+            ids, x = batch.column("id").to_numpy(), batch_matrix(batch, "v")
+            for at in range(0, len(ids), step):
+                yield ids[at : at + step], x[at : at + step]
+
+
+def _close(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
+    squared = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
+    return squared <= eps * eps + 1e-12
 
 
 def _neighbour_kernel(shared, eps: float, want_edges: bool):
@@ -98,23 +108,18 @@ def _neighbour_kernel(shared, eps: float, want_edges: bool):
     one per pair.
     """
 
-    def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        squared = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
-        return squared <= eps * eps + 1e-12
-
-    def weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, y, weight, _ = shared.value
-        for pdf in _pieces(batches, len(ids)):
-            near = close(as_matrix(pdf["v"]), y)
-            yield pd.DataFrame({"id": pdf["id"], "neighbours": near.astype(np.float64) @ weight})
-
-    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, y, _, _ = shared.value
-        for pdf in _pieces(batches, len(ids)):
-            near = close(as_matrix(pdf["v"]), y)
-            own = pdf["id"].to_numpy()
-            left, right = own.copy(), np.asarray(ids).copy()
-            top = np.iinfo(np.int64).max
+    def weights(batches: Batches) -> Batches:
+        ids, y, weight = shared.value
+        for own, x in _pieces(batches, len(ids)):
+            near = _close(x, y, eps)
+            yield pa.RecordBatch.from_pydict({"id": own, "neighbours": near.astype(np.float64) @ weight})
+
+    def edges(batches: Batches) -> Batches:
+        ids, y, _ = shared.value
+        top = np.iinfo(np.int64).max
+        for own, x in _pieces(batches, len(ids)):
+            near = _close(x, y, eps)
+            left, right = own.copy(), ids.copy()
             while True:
                 new_left = np.minimum(left, np.where(near, right[None, :], top).min(axis=1))
                 new_right = np.minimum(right, np.where(near, new_left[:, None], top).min(axis=0))
@@ -122,9 +127,9 @@ def _neighbour_kernel(shared, eps: float, want_edges: bool):
                     break
                 left, right = new_left, new_right
             touched = near.any(axis=0)
-            source = np.concatenate([own, np.asarray(ids)[touched]])
-            target = np.concatenate([left, right[touched]])
-            yield pd.DataFrame({"a": source, "b": target}).drop_duplicates()
+            pairs = np.stack([np.concatenate([own, ids[touched]]), np.concatenate([left, right[touched]])], axis=1)
+            pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+            yield pa.RecordBatch.from_pydict({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
 
     return edges if want_edges else weights
 
@@ -134,10 +139,10 @@ def _compare(points: DataFrame, others: DataFrame, eps: float, want_edges: bool,
     parts = []
     for block in blocks(others, "id", "v", keep=("weight",), block_bytes=4 * 1024 * 1024):
         shared = context.broadcast(
-            (block["id"].to_numpy(), as_matrix(block["v"]), block["weight"].to_numpy(dtype=np.float64), eps)
+            (block["id"].to_numpy(), as_matrix(block["v"]), block["weight"].to_numpy(dtype=np.float64))
         )
         kernel = _neighbour_kernel(shared, eps, want_edges)
-        parts.append(points.select("id", "v").mapInPandas(kernel, schema))
+        parts.append(points.select("id", "v").mapInArrow(kernel, schema))
     return union_all(parts)
 
 
@@ -175,7 +180,7 @@ def density_clusters(df: DataFrame, id_column: str, vector: str, eps: float = 0.
     A cluster is named after its smallest core id; a border point joins the smallest-named cluster
     it touches; the rest is noise (−1). Copies of one vector are compared once with their weight.
     """
-    rows = df.select(F.col(id_column).alias("id"), to_double(F.col(vector)).alias("v"))
+    rows = vectors_of(df, vector, F.col(id_column).cast("long").alias("id"))
     points = cut_lineage(rows.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")))
     counted = (
         _compare(points, points, eps, False, "id long, neighbours double")
@@ -203,17 +208,15 @@ def _border_labels(border: DataFrame, core: DataFrame, eps: float) -> DataFrame:
     for block in blocks(core, "id", "v", keep=("label",), block_bytes=4 * 1024 * 1024):
         shared = context.broadcast((as_matrix(block["v"]), block["label"].to_numpy()))
 
-        def smallest(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def smallest(batches: Batches, shared=shared) -> Batches:
             y, names = shared.value
             top = np.iinfo(np.int64).max
-            for pdf in _pieces(batches, len(names)):
-                x = as_matrix(pdf["v"])
-                squared = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
-                best = np.where(squared <= eps * eps + 1e-12, names[None, :], top).min(axis=1)
+            for own, x in _pieces(batches, len(names)):
+                best = np.where(_close(x, y, eps), names[None, :], top).min(axis=1)
                 hit = best < top
-                yield pd.DataFrame({"id": pdf["id"].to_numpy()[hit], "label": best[hit]})
+                yield pa.RecordBatch.from_pydict({"id": own[hit], "label": best[hit]})
 
-        parts.append(border.select("id", "v").mapInPandas(smallest, "id long, label long"))
+        parts.append(border.select("id", "v").mapInArrow(smallest, "id long, label long"))
     return union_all(parts).groupBy("id").agg(F.min("label").alias("label"))
 
 
@@ -238,20 +241,21 @@ def _climb(step, start: np.ndarray, alpha: float, max_iter: int, tolerance: floa
 def _pass_step(df: DataFrame, vector: str):
     """mean((d·e)² d) as one distributed aggregate, for vectors too wide for moments."""
     dim = vector_dim(df, vector)
-    vectors = df.filter(F.col(vector).isNotNull()).select(to_double(F.col(vector)).alias("v"))
+    vectors = vectors_of(df, vector)
 
     def step(e: np.ndarray) -> np.ndarray:
-        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def add(batches: Batches) -> Batches:
             total, rows = np.zeros(dim), 0
-            for pdf in batches:
-                if len(pdf):
-                    x = as_matrix(pdf["v"])
+            for batch in batches:
+                if batch.num_rows:
+                    x = batch_matrix(batch, "v")
                     total += ((x @ e) ** 2) @ x
                     rows += len(x)
             if rows:
-                yield pd.DataFrame({"i": np.arange(dim), "x": total, "n": np.full(dim, rows)})
+                counts = np.full(dim, rows, dtype=np.int64)
+                yield pa.RecordBatch.from_pydict({"i": np.arange(dim, dtype=np.int32), "x": total, "n": counts})
 
-        sums = vectors.mapInPandas(add, "i int, x double, n long").groupBy("i").agg(
+        sums = vectors.mapInArrow(add, "i int, x double, n long").groupBy("i").agg(
             F.sum("x").alias("x"), F.sum("n").alias("n")
         )
         out = np.zeros(dim)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from palimpsest.functions.vectors import cubed_cosine, squared_distance, to_double
+from palimpsest.functions.vectors import cubed_cosine, squared_distance, to_double, vector_literal
 from palimpsest.operators.scoring import blocks
 
 
@@ -80,7 +80,7 @@ def constant_prompt_scores(df: DataFrame, truth: str, prompts: DataFrame, prompt
     for block in blocks(prompts, prompt_id, vector, block_bytes=256 * 1024):
         known = F.array(
             *[
-                F.struct(F.lit(_plain(i)).alias(prompt_id), F.array(*[F.lit(float(x)) for x in v]).alias("_p"))
+                F.struct(F.lit(_plain(i)).alias(prompt_id), vector_literal(v).alias("_p"))
                 for i, v in zip(block[prompt_id], block[vector])
             ]
         )

@@ -11,8 +11,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palimpsest.functions.text import seeded_key
+from palimpsest.functions.vectors import vector_literal
 
 HASH_BUCKET_DIGITS = 4
+BUCKETS = 1024
 # Above this many rows a plain orderBy().limit() would gather too much in one task.
 SMALL_LIMIT = 100_000
 
@@ -22,22 +24,24 @@ def hash_bucket(key: Column) -> Column:
     return F.conv(F.substring(key, 1, HASH_BUCKET_DIGITS), 16, 10).cast("int")
 
 
-def range_bucket(df: DataFrame, column: str, buckets: int = 256) -> Column:
-    """Bucket of a numeric column between approximate quantiles, as a balanced tree of comparisons.
+def range_bucket(df: DataFrame, column: str, buckets: int = BUCKETS) -> Column:
+    """Bucket of a numeric column between approximate quantiles.
 
-    The quantiles are read once and become literals, so every use of the bucket agrees.
+    The quantiles are read once and become literals, so every use of the bucket agrees. The search
+    goes over about √buckets group bounds and then inside one group.
     """
-    probabilities = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(df.approxQuantile(column, probabilities, 0.5 / buckets)))
     value = F.col(column).cast("double")
-
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(value < bounds[middle], tree(low, middle)).otherwise(tree(middle + 1, high))
-
-    return tree(0, len(bounds))
+    probabilities = vector_literal([i / buckets for i in range(1, buckets)])
+    found = df.agg(F.percentile_approx(value, probabilities, 10 * buckets).alias("q")).first()["q"]
+    bounds = sorted(set(found or []))
+    if not bounds:
+        return F.lit(0)
+    width = max(1, int(len(bounds) ** 0.5))
+    heads = vector_literal(bounds[::width])
+    group = F.size(F.filter(heads, lambda b: b <= value))
+    members = F.slice(vector_literal(bounds), F.greatest((group - 1) * width + 1, F.lit(1)), width)
+    inside = F.size(F.filter(members, lambda b: b <= value))
+    return F.when(group == 0, 0).otherwise((group - 1) * width + inside)
 
 
 def with_running_totals(
@@ -66,7 +70,7 @@ def with_running_totals(
 
 
 def with_position(
-    df: DataFrame, order_by: str, position: str = "position", ties: list[str] = (), buckets: int = 256
+    df: DataFrame, order_by: str, position: str = "position", ties: list[str] = (), buckets: int = BUCKETS
 ) -> DataFrame:
     """Dense 0-based position of every row by a numeric column (``ties`` break equal values)."""
     order = [F.col(c) for c in (order_by, *ties)]
@@ -80,7 +84,7 @@ def with_shuffled_position(df: DataFrame, seed: int | str, id_columns: list[str]
     return with_running_totals(keyed, hash_bucket(F.col("_key")), order, {}, position).drop("_key")
 
 
-def with_running_mean(df: DataFrame, value: str, order_by: str, name: str = "running_mean", buckets: int = 256) -> DataFrame:
+def with_running_mean(df: DataFrame, value: str, order_by: str, name: str = "running_mean", buckets: int = BUCKETS) -> DataFrame:
     """Mean of ``value`` over all rows up to and including each row in ``order_by`` order."""
     totals = {"_sum": F.col(value).cast("double")}
     placed = with_running_totals(

@@ -18,23 +18,39 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from palimpsest.functions.vectors import cubed_cosine, squared_distance, to_double
+from palimpsest.functions.vectors import cubed_cosine, dot, squared_distance, to_double, usable, vector_literal
 from palimpsest.operators.ordering import union_all
 
 MOMENT_DIM_LIMIT = 64
 BLOCK_BYTES = 64 * 1024 * 1024
 # Tensor partial sums are emitted once per task; fewer, larger tasks keep that shuffle small.
 MOMENT_TASKS = 2048
+# Cells of one similarity product held at a time inside a task.
+CELLS = 2_000_000
 # Most tensor cells ever brought to the driver.
 MOMENT_CELLS = 8_000_000
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
 def as_matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.empty((0, 0))
 
 
+def batch_matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """The vectors of a batch without a copy per row."""
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def vectors_of(df: DataFrame, vector: str, *columns: Column) -> DataFrame:
+    """Rows with a usable vector, as ``v``, and the given further columns."""
+    return df.filter(usable(F.col(vector))).select(*columns, to_double(F.col(vector)).alias("v"))
+
+
 def vector_dim(df: DataFrame, vector: str) -> int:
     row = df.select(F.size(vector).alias("d")).filter("d > 0").first()
     if row is None:
@@ -53,12 +69,12 @@ def blocks(df: DataFrame, id_column: str, vector: str, keep: tuple[str, ...] = (
         return
     per_block = max(1, block_bytes // (8 * vector_dim(df, vector)))
     pieces = 1 if rows <= per_block else ceil(1.25 * rows / per_block)
-    wanted = df.select(id_column, *keep, to_double(F.col(vector)).alias(vector))
+    wanted = df.filter(usable(F.col(vector))).select(id_column, *keep, to_double(F.col(vector)).alias(vector))
     for piece in range(pieces):
         part = wanted
         if pieces > 1:
             part = wanted.filter(F.pmod(F.xxhash64(id_column), F.lit(pieces)) == piece)
-        pdf = part.limit(2 * per_block + 1).toPandas()
+        pdf = part.limit(2 * per_block + 1).toArrow().to_pandas()
         if len(pdf) > 2 * per_block:
             raise ValueError("uneven blocks: lower block_bytes")
         if len(pdf):
@@ -86,28 +102,38 @@ class Moments:
         return (self.tensor @ unit_vector) @ unit_vector / self.count
 
 
-def _tensor_slices(dim: int, vector: str, group: str | None):
+def _upper(dim: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs j ≤ k from ``first`` on."""
+    j, k = np.triu_indices(dim - first)
+    return j + first, k + first
+
+
+def _tensor_slices(dim: int):
     """Per task and group: one row per first index holding the dim×dim slice, plus the count."""
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict = {}
-        counts: dict = {}
-        for pdf in batches:
-            groups = [(0, pdf)] if group is None else pdf.groupby(group)
-            for key, part in groups:
-                x = as_matrix(part[vector])
-                tensor = sums.setdefault(key, np.zeros((dim, dim * dim)))
+    def add(batches: Batches) -> Batches:
+        sums: dict[int, np.ndarray] = {}
+        counts: dict[int, int] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vectors, keys = batch_matrix(batch, "v"), batch.column("grp").to_numpy()
+            for key in np.unique(keys):
+                x = vectors[keys == key]
+                tensor = sums.setdefault(int(key), np.zeros((dim, dim * dim)))
                 for at in range(0, len(x), 1024):
                     piece = x[at : at + 1024]
                     outer = (piece[:, :, None] * piece[:, None, :]).reshape(len(piece), dim * dim)
                     tensor += piece.T @ outer
-                counts[key] = counts.get(key, 0) + len(x)
+                counts[int(key)] = counts.get(int(key), 0) + len(x)
         for key, tensor in sums.items():
-            yield pd.DataFrame(
+            # symmetric: the cells with i ≤ j ≤ k say it all
+            cells = [tensor[i].reshape(dim, dim)[_upper(dim, i)] for i in range(dim)]
+            yield pa.RecordBatch.from_pydict(
                 {
                     "grp": np.full(dim, key, dtype=np.int64),
                     "i": np.arange(dim, dtype=np.int32),
-                    "cells": list(tensor),
+                    "cells": pa.array(cells, pa.list_(pa.float64())),
                     "n": np.full(dim, counts[key], dtype=np.int64),
                 }
             )
@@ -123,27 +149,31 @@ def group_moments(df: DataFrame, vector: str, group: str | None = None) -> dict[
     dim = vector_dim(df, vector)
     if dim > MOMENT_DIM_LIMIT:
         raise ValueError(f"moments are for at most {MOMENT_DIM_LIMIT} components, got {dim}")
-    columns = [to_double(F.col(vector)).alias(vector)]
+    grp = F.lit(0).cast("long")
     if group is not None:
-        columns.append(F.col(group).cast("long").alias(group))
+        grp = F.col(group).cast("long")
         max_groups = max(1, MOMENT_CELLS // dim**3)
         if df.select(group).distinct().limit(max_groups + 1).count() > max_groups:
             raise ValueError(f"more than {max_groups} groups of {dim} components")
     slices = (
-        df.filter(F.col(vector).isNotNull())
-        .select(*columns)
+        vectors_of(df, vector, grp.alias("grp"))
         .coalesce(MOMENT_TASKS)
-        .mapInPandas(_tensor_slices(dim, vector, group), "grp long, i int, cells array<double>, n long")
+        .mapInArrow(_tensor_slices(dim), "grp long, i int, cells array<double>, n long")
     )
     # summed cell by cell, so no array grows with the number of tasks
     cells = slices.select("grp", "i", F.posexplode("cells").alias("cell", "value"), "n")
     summed = cells.groupBy("grp", "i", "cell").agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
-    packed = summed.toPandas()
+    packed = summed.toArrow().to_pandas()
     result = {}
     for key, part in packed.groupby("grp"):
-        tensor = np.zeros((dim, dim * dim))
-        tensor[part["i"].to_numpy(), part["cell"].to_numpy()] = part["value"].to_numpy()
-        result[int(key)] = Moments(tensor.reshape(dim, dim, dim), int(part["n"].iloc[0]))
+        tensor = np.zeros((dim, dim, dim))
+        for i, cells_of_i in part.groupby("i"):
+            j, k = _upper(dim, i)
+            values = np.zeros(len(j))
+            values[cells_of_i["cell"].to_numpy()] = cells_of_i["value"].to_numpy()
+            for a, b, c in ((i, j, k), (i, k, j), (j, i, k), (k, i, j), (j, k, i), (k, j, i)):
+                tensor[a, b, c] = values
+        result[int(key)] = Moments(tensor, int(part["n"].iloc[0]))
     return result
 
 
@@ -151,19 +181,23 @@ def corpus_moments(df: DataFrame, vector: str) -> Moments:
     return group_moments(df, vector)[0]
 
 
-def moment_score(moments: Moments, vector: Column) -> Column:
-    """Mean cubed similarity of a vector column to the corpus behind ``moments``."""
-    shared = moments
+def with_moment_score(df: DataFrame, vector: str, moments: Moments, name: str = "score") -> DataFrame:
+    """Replace the vector column by the mean cubed similarity to the corpus behind ``moments``."""
+    kept = [c for c in df.columns if c != vector]
 
-    @F.pandas_udf(T.DoubleType())
-    def score(vectors: pd.Series) -> pd.Series:
-        known = vectors.notna().to_numpy()
-        out = np.full(len(vectors), np.nan)
-        if known.any():
-            out[known] = shared.mean_cube(as_matrix(vectors[known]))
-        return pd.Series(out)
+    def score(batches: Batches) -> Batches:
+        for batch in batches:
+            scores = np.empty(0)
+            if batch.num_rows:
+                scores = moments.mean_cube(batch_matrix(batch, "_v"))
+            columns = [batch.column(c) for c in kept] + [pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, name])
 
-    return score(to_double(vector))
+    # one width for all rows: an unusable vector goes through as NaN and comes back as null
+    blank = F.array_repeat(F.lit(float("nan")), moments.dim)
+    ready = df.withColumn("_v", F.coalesce(F.when(usable(F.col(vector)), to_double(F.col(vector))), blank)).drop(vector)
+    schema = T.StructType([*[df.schema[c] for c in kept], T.StructField(name, T.DoubleType())])
+    return ready.mapInArrow(score, schema).withColumn(name, F.nanvl(name, F.lit(None)))
 
 
 def mean_cubed_similarity(
@@ -174,7 +208,7 @@ def mean_cubed_similarity(
         way = "moments" if vector_dim(corpus, corpus_vector) <= MOMENT_DIM_LIMIT else "passes"
     if way == "moments":
         moments = corpus_moments(corpus, corpus_vector)
-        return candidates.select(candidate_id, moment_score(moments, F.col(vector)).alias("score"))
+        return with_moment_score(candidates.select(candidate_id, vector), vector, moments)
     return _score_in_passes(candidates, corpus, candidate_id, vector, corpus_vector)
 
 
@@ -185,18 +219,21 @@ def _score_in_passes(candidates: DataFrame, corpus: DataFrame, candidate_id: str
     for block in blocks(candidates, candidate_id, vector):
         shared = context.broadcast((block[candidate_id].to_numpy(), as_matrix(block[vector])))
 
-        def add(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def add(batches: Batches, shared=shared) -> Batches:
             ids, wanted = shared.value
             cubes, rows = np.zeros(len(ids)), 0
-            for pdf in batches:
-                if len(pdf):
-                    cubes += ((as_matrix(pdf["v"]) @ wanted.T) ** 3).sum(axis=0)
-                    rows += len(pdf)
+            step = max(1, CELLS // len(ids))
+            for batch in batches:
+                x = batch_matrix(batch, "v") if batch.num_rows else np.empty((0, 1))
+                for at in range(0, len(x), step):
+                    cubes += ((x[at : at + step] @ wanted.T) ** 3).sum(axis=0)
+                rows += len(x)
             if rows:
-                yield pd.DataFrame({candidate_id: ids, "cubes": cubes, "rows": rows})
+                counts = np.full(len(ids), rows, dtype=np.int64)
+                yield pa.RecordBatch.from_pydict({candidate_id: ids, "cubes": cubes, "rows": counts})
 
-        vectors = corpus.filter(F.col(corpus_vector).isNotNull()).select(to_double(F.col(corpus_vector)).alias("v"))
-        parts.append(vectors.mapInPandas(add, f"{candidate_id} {id_type}, cubes double, rows long"))
+        schema = f"{candidate_id} {id_type}, cubes double, rows long"
+        parts.append(vectors_of(corpus, corpus_vector).mapInArrow(add, schema))
     sums = union_all(parts).groupBy(candidate_id).agg(F.sum("cubes").alias("cubes"), F.sum("rows").alias("rows"))
     return sums.select(candidate_id, (F.col("cubes") / F.col("rows")).alias("score"))
 
@@ -223,10 +260,15 @@ def centroid(df: DataFrame, vector: str, groups: tuple[str, ...] = ()) -> DataFr
     return means.groupBy(*groups).agg(F.transform(ordered, lambda s: s["_x"]).alias("centroid"))
 
 
+def _table_centroid(df: DataFrame, vector: str) -> Column:
+    """The table's centroid as an array literal (one number per component)."""
+    values = centroid(df, vector).first()["centroid"]
+    return vector_literal(values)
+
+
 def distance_to_centroid(df: DataFrame, vector: str) -> DataFrame:
     """Add ``distance`` to the table's centroid (small = typical)."""
-    centre = centroid(df, vector).scalar()
-    return df.withColumn("distance", F.sqrt(squared_distance(F.col(vector), centre)))
+    return df.withColumn("distance", F.sqrt(squared_distance(F.col(vector), _table_centroid(df, vector))))
 
 
 def mean_similarity_to_all(df: DataFrame, vector: str, cubed: bool = True, way: str = "auto", id_column: str = "id") -> DataFrame:
@@ -234,11 +276,7 @@ def mean_similarity_to_all(df: DataFrame, vector: str, cubed: bool = True, way:
     if cubed:
         return mean_cubed_similarity(df, df, id_column, vector, vector, way)
     # the plain mean is linear, so the centroid carries all that is needed
-    centre = centroid(df, vector).scalar()
-    product = F.aggregate(
-        F.zip_with(to_double(F.col(vector)), centre, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x
-    )
-    return df.select(id_column, product.alias("score"))
+    return df.select(id_column, dot(F.col(vector), _table_centroid(df, vector)).alias("score"))
 
 
 def top_fraction(scores: DataFrame, fraction: float, order: list[Column]) -> DataFrame:
@@ -257,23 +295,22 @@ def similarity_rows(df: DataFrame, id_column: str, vector: str, candidates: Data
     for block in blocks(candidates, candidate_id, candidate_vector, block_bytes=BLOCK_BYTES // 64):
         shared = context.broadcast((block[candidate_id].to_numpy(), as_matrix(block[candidate_vector])))
 
-        def multiply(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def multiply(batches: Batches, shared=shared) -> Batches:
             ids, wanted = shared.value
-            step = max(1, 1_000_000 // len(ids))
-            for pdf in batches:
-                for at in range(0, len(pdf), step):
-                    part = pdf.iloc[at : at + step]
-                    product = as_matrix(part["v"]) @ wanted.T
-                    yield pd.DataFrame(
-                        {
-                            id_column: np.repeat(part[id_column].to_numpy(), len(ids)),
-                            candidate_id: np.tile(ids, len(part)),
-                            "similarity": product.ravel(),
-                        }
-                    )
-
-        vectors = df.filter(F.col(vector).isNotNull()).select(id_column, to_double(F.col(vector)).alias("v"))
-        parts.append(vectors.mapInPandas(multiply, schema))
+            step = max(1, CELLS // len(ids))
+            for batch in batches:
+                x = batch_matrix(batch, "v") if batch.num_rows else np.empty((0, 1))
+                names = batch.column(id_column).to_numpy(zero_copy_only=False)
+                for at in range(0, len(x), step):
+                    part = x[at : at + step]
+                    columns = [
+                        pa.array(np.repeat(names[at : at + step], len(ids))),
+                        pa.array(np.tile(ids, len(part))),
+                        pa.array((part @ wanted.T).ravel()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=[id_column, candidate_id, "similarity"])
+
+        parts.append(vectors_of(df, vector, F.col(id_column)).mapInArrow(multiply, schema))
     return union_all(parts)
 
 
@@ -288,36 +325,33 @@ def nearest_rows(
     context = corpus.sparkSession.sparkContext
     corpus_vector = corpus_vector or vector
     q_type = queries.schema[query_id].dataType.simpleString()
-    c_type = corpus.schema[corpus_id].dataType.simpleString()
     parts = []
     for block in blocks(queries, query_id, vector, block_bytes=BLOCK_BYTES // 8):
         shared = context.broadcast((block[query_id].to_numpy(), as_matrix(block[vector])))
 
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def best(batches: Batches, shared=shared) -> Batches:
             ids, wanted = shared.value
-            kept_id = np.empty((len(ids), 0), dtype=object)
+            kept_id = np.empty((len(ids), 0), dtype=np.int64)
             kept_sim = np.empty((len(ids), 0))
-            step = max(k, 4_000_000 // max(1, len(ids)))
-            for pdf in batches:
-                for at in range(0, len(pdf), step):
-                    part = pdf.iloc[at : at + step]
-                    sims = np.round(wanted @ as_matrix(part["v"]).T, digits)
-                    names = np.broadcast_to(part["c"].to_numpy(), sims.shape)
+            step = max(k, CELLS // len(ids))
+            for batch in batches:
+                x = batch_matrix(batch, "v") if batch.num_rows else np.empty((0, 1))
+                names = batch.column("c").to_numpy()
+                for at in range(0, len(x), step):
+                    sims = np.round(wanted @ x[at : at + step].T, digits)
+                    here = np.broadcast_to(names[at : at + step], sims.shape)
                     kept_sim = np.concatenate([kept_sim, sims], axis=1)
-                    kept_id = np.concatenate([kept_id, names], axis=1)
+                    kept_id = np.concatenate([kept_id, here], axis=1)
                     order = np.lexsort((kept_id, -kept_sim), axis=1)[:, :k]
                     kept_sim = np.take_along_axis(kept_sim, order, axis=1)
                     kept_id = np.take_along_axis(kept_id, order, axis=1)
             width = kept_sim.shape[1]
             if width:
-                yield pd.DataFrame(
-                    {"query": np.repeat(ids, width), "neighbour": kept_id.ravel(), "similarity": kept_sim.ravel()}
-                )
-
-        vectors = corpus.filter(F.col(corpus_vector).isNotNull()).select(
-            F.col(corpus_id).alias("c"), to_double(F.col(corpus_vector)).alias("v")
-        )
-        parts.append(vectors.mapInPandas(best, f"query {q_type}, neighbour {c_type}, similarity double"))
+                columns = {"query": np.repeat(ids, width), "neighbour": kept_id.ravel(), "similarity": kept_sim.ravel()}
+                yield pa.RecordBatch.from_pydict(columns)
+
+        vectors = vectors_of(corpus, corpus_vector, F.col(corpus_id).cast("long").alias("c"))
+        parts.append(vectors.mapInArrow(best, f"query {q_type}, neighbour long, similarity double"))
     return _rank_neighbours(union_all(parts), k)
 
 

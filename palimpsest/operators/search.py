@@ -8,18 +8,18 @@ once per search.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from palimpsest.functions.text import capitalise_sentence, letters_only, seeded_int, seeded_key
 from palimpsest.functions.vectors import cubed_cosine, encode_text
 from palimpsest.operators.evaluate import pick_row
 from palimpsest.operators.ordering import union_all, with_position
-from palimpsest.operators.scoring import Moments, as_matrix, blocks, moment_score
+from palimpsest.operators.scoring import Batches, Moments, as_matrix, batch_matrix, blocks, vectors_of, with_moment_score
 
 Encoder = Callable[[Column], Column]
 SCORE_DIGITS = 9
@@ -213,9 +213,14 @@ class SearchState:
     trace: list[tuple[int, float, str]]
 
 
+def _score_texts(candidates: DataFrame, moments: Moments, encoder: Encoder) -> DataFrame:
+    scored = with_moment_score(candidates.withColumn("_vector", encoder(F.col("text"))), "_vector", moments)
+    return scored.withColumn("score", F.round("score", SCORE_DIGITS))
+
+
 def _scored(candidates: DataFrame, moments: Moments, encoder: Encoder, render, alpha: float | None) -> DataFrame:
     text = candidates.withColumn("text", render(F.col("words")))
-    scored = text.withColumn("score", F.round(moment_score(moments, encoder(F.col("text"))), SCORE_DIGITS))
+    scored = _score_texts(text, moments, encoder)
     return scored.withColumn("beam_score", length_penalty(F.col("score"), F.col("words"), alpha))
 
 
@@ -310,8 +315,7 @@ def random_word_search(spark: SparkSession, words: list[str], moments: Moments,
     known = _literal_words(words)
     drawn = random_trials(spark, trials, genes, len(words), seed)
     text = capitalise_sentence(F.array_join(F.transform("params", lambda i: F.get(known, i)), " "))
-    scored = drawn.select("trial_id", text.alias("text"))
-    return scored.withColumn("score", F.round(moment_score(moments, encoder(F.col("text"))), SCORE_DIGITS))
+    return _score_texts(drawn.select("trial_id", text.alias("text")), moments, encoder)
 
 
 def population_search(
@@ -368,21 +372,23 @@ def cluster_anchor_sums(rows: DataFrame, cluster: str, vector: str, anchors: Dat
             raise ValueError(f"more than {MAX_ANCHORS} anchors")
         shared = context.broadcast((block[anchor_id].to_numpy(dtype=np.int64), as_matrix(block[anchor_vector])))
 
-        def add(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def add(batches: Batches, shared=shared) -> Batches:
             ids, wanted = shared.value
             sums: dict = {}
-            for pdf in batches:
-                for key, part in pdf.groupby("c"):
-                    product = as_matrix(part["v"]) @ wanted.T
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                product, keys = batch_matrix(batch, "v") @ wanted.T, batch.column("c").to_numpy()
+                for key in np.unique(keys):
+                    part = product[keys == key]
                     dots, cubes, n = sums.get(key, (0.0, 0.0, 0))
-                    sums[key] = (dots + product.sum(0), cubes + (product**3).sum(0), n + len(part))
+                    sums[key] = (dots + part.sum(0), cubes + (part**3).sum(0), n + len(part))
             for key, (dots, cubes, n) in sums.items():
-                yield pd.DataFrame({"cluster": np.full(len(ids), key), "anchor": ids, "dots": dots, "cubes": cubes, "n": n})
+                columns = {"cluster": np.full(len(ids), key), "anchor": ids, "dots": dots, "cubes": cubes}
+                yield pa.RecordBatch.from_pydict({**columns, "n": np.full(len(ids), n, dtype=np.int64)})
 
-        source = rows.filter(F.col(vector).isNotNull()).select(
-            F.col(cluster).cast("long").alias("c"), F.col(vector).cast("array<double>").alias("v")
-        )
-        parts.append(source.mapInPandas(add, "cluster long, anchor long, dots double, cubes double, n long"))
+        source = vectors_of(rows, vector, F.col(cluster).cast("long").alias("c"))
+        parts.append(source.mapInArrow(add, "cluster long, anchor long, dots double, cubes double, n long"))
     return union_all(parts).groupBy("cluster", "anchor").agg(
         F.sum("dots").alias("dots"), F.sum("cubes").alias("cubes"), F.sum("n").alias("n")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,19 +23,37 @@ def local_session(cpus: int | str = "*", app: str = "palimpsest", shuffle_partit
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where that is unset a temporary folder serves, which only a local session can share between its
+    executors.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        global _local_folder
+        if _local_folder is None:
+            _local_folder = tempfile.mkdtemp(prefix="palimpsest-")
+        folder = _local_folder
+    return folder
+
+
+_local_folder: str | None = None
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A name for a new folder below the shared one."""
+    return f"{shared_folder(spark)}/palimpsest-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there.
+    """Write ``df`` as a table in the shared folder and continue from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset a
-    temporary folder is used, which only a local session can share between its executors.
+    The rows are computed once, survive the loss of executors, and come back with known sizes.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="palimpsest-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = new_folder(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
