@@ -1 +1,196 @@
+"""Scores over records, likelihood choices and running means."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from palimpsest import prompt_texts as texts
+from palimpsest.checks.registry import LOGPROBS_SQL, Tables, check, rounded, sql_string, sql_strip, sql_vectors, with_views
+from palimpsest.functions import vectors as vx
+from palimpsest.operators import evaluate, ordering, scoring
+from palimpsest.plans import evaluation as plan
+
+_PAIRS = (
+    "rewrites",
+    sql_vectors("a", "SELECT rewrite_id AS id, rewrite_prompt AS text FROM rewrites"),
+    sql_vectors("b", "SELECT rewrite_id AS id, rewritten_text AS text FROM rewrites"),
+    "scored AS (SELECT id, abs(list_dot_product(a.v, b.v) ** 3) AS score FROM a JOIN b USING (id))",
+)
+
+
+def _scored(t: Tables):
+    pairs = t.rewrites.select(
+        F.col("rewrite_id").alias("id"),
+        vx.encode_text(F.col("rewrite_prompt")).alias("a"),
+        vx.encode_text(F.col("rewritten_text")).alias("b"),
+    )
+    return scoring.pair_scores(pairs, "a", "b").select("id", "score")
+
+
+@check("mean_score", with_views("SELECT round(avg(score), 6) AS mean_score, count(*) AS n FROM scored", *_PAIRS))
+def _(t: Tables):
+    return evaluate.mean_score(_scored(t)).withColumn("mean_score", rounded("mean_score"))
+
+
+@check(
+    "running_mean_score",
+    with_views("SELECT id, round(avg(score) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING), 6) AS running_mean FROM scored", *_PAIRS),
+)
+def _(t: Tables):
+    running = ordering.with_running_mean(_scored(t), "score", "id")
+    return running.select("id", rounded("running_mean").alias("running_mean"))
+
+
+@check(
+    "running_mean_length",
+    "SELECT doc_id, round(avg(n_chars) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING), 6) AS running_mean FROM documents",
+)
+def _(t: Tables):
+    running = ordering.with_running_mean(t.documents.select("doc_id", "n_chars"), "n_chars", "doc_id")
+    return running.select("doc_id", rounded("running_mean").alias("running_mean"))
+
+
+_NLL = "nll AS (SELECT example_id, candidate_id, -avg(logprob) AS nll FROM token_logprobs GROUP BY example_id, candidate_id)"
+
+
+@check(
+    "mean_token_nll",
+    with_views("SELECT example_id, candidate_id, round(nll, 6) AS nll FROM nll", "rewrites", LOGPROBS_SQL, _NLL),
+)
+def _(t: Tables):
+    return evaluate.mean_token_nll(t.token_logprobs).withColumn("nll", rounded("nll"))
+
+
+@check(
+    "lowest_nll_candidate",
+    with_views(
+        """SELECT example_id, candidate_id, round(nll, 6) AS nll FROM (SELECT *,
+          row_number() OVER (PARTITION BY example_id ORDER BY round(nll, 9), candidate_id) AS r FROM nll) WHERE r = 1""",
+        "rewrites",
+        LOGPROBS_SQL,
+        _NLL,
+    ),
+)
+def _(t: Tables):
+    return evaluate.lowest_nll(evaluate.mean_token_nll(t.token_logprobs)).withColumn("nll", rounded("nll"))
+
+
+@check(
+    "highest_scoring_row_per_source",
+    """SELECT source, doc_id, n_chars FROM (SELECT source, doc_id, n_chars,
+      row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r = 1""",
+)
+def _(t: Tables):
+    return evaluate.pick_row(t.documents, ["source"], [-F.col("n_chars"), F.col("doc_id")], ["doc_id", "n_chars"])
+
+
+@check(
+    "rerank_likeliest_by_centre",
+    with_views(
+        """SELECT example_id, candidate_id, round(d, 6) AS distance FROM (
+          SELECT example_id, candidate_id, d, row_number() OVER (PARTITION BY example_id ORDER BY round(d, 9), candidate_id) AS r FROM (
+            SELECT k.example_id, k.candidate_id, sqrt(sum((bv.v[r.i] - m.x) ** 2)) AS d
+            FROM kept k JOIN bv ON bv.id = k.candidate_id, range(1, 17) r(i) JOIN mid m ON m.i = r.i
+            WHERE m.example_id = k.example_id GROUP BY k.example_id, k.candidate_id)) WHERE r = 1""",
+        "rewrites",
+        LOGPROBS_SQL,
+        _NLL,
+        sql_vectors("bv", "SELECT item_id AS id, text FROM benchmark"),
+        """kept AS (SELECT example_id, candidate_id FROM (SELECT *,
+          row_number() OVER (PARTITION BY example_id ORDER BY round(nll, 9), candidate_id) AS r FROM nll) WHERE r <= 3)""",
+        "mid AS (SELECT example_id, r.i, avg(bv.v[r.i]) AS x FROM kept JOIN bv ON bv.id = candidate_id, range(1, 17) r(i) GROUP BY example_id, r.i)",
+    ),
+)
+def _(t: Tables):
+    nll = evaluate.mean_token_nll(t.token_logprobs)
+    candidates = t.benchmark_vectors.withColumnRenamed("id", "candidate_id")
+    return evaluate.rerank_by_centre(nll, candidates, 3).withColumn("distance", rounded("distance"))
+
+
+@check(
+    "constant_prompt_scores",
+    with_views(
+        "SELECT c.id AS prompt_no, round(avg(abs(list_dot_product(pv.v, c.v) ** 3)), 6) AS mean_score, count(*) AS n FROM pv, c GROUP BY c.id",
+        "prompts",
+        sql_vectors("pv", "SELECT prompt_id AS id, rewrite_prompt AS text FROM prompts"),
+        sql_vectors(
+            "c", " UNION ALL ".join(f"SELECT {i} AS id, {sql_string(p)} AS text" for i, p in enumerate(texts.CONSTANT_PROMPTS))
+        ),
+    ),
+)
+def _(t: Tables):
+    known = t.spark.createDataFrame(list(enumerate(texts.CONSTANT_PROMPTS)), "prompt_no int, text string")
+    prompts = known.select("prompt_no", vx.encode_text(F.col("text")).alias("vector"))
+    scores = evaluate.constant_prompt_scores(t.prompt_vectors, "vector", prompts, "prompt_no", "vector")
+    return scores.withColumn("mean_score", rounded("mean_score"))
+
+
+_HALVES = texts.PREDICTION.split("{generated}")
+
+
+def _sql_prediction(answer: str) -> str:
+    return f"{sql_string(_HALVES[0])} || {answer} || {sql_string(_HALVES[1])}"
+
+
+@check(
+    "evaluation_run",
+    with_views(
+        "SELECT id AS rewrite_id, round(abs(list_dot_product(a.v, p.v) ** 3), 6) AS score FROM a JOIN p USING (id)",
+        "rewrites",
+        sql_vectors("a", "SELECT rewrite_id AS id, rewrite_prompt AS text FROM rewrites"),
+        sql_vectors(
+            "p",
+            f"""SELECT rewrite_id AS id, {_sql_prediction(sql_strip("string_split(rewritten_text, chr(10))[1]"))} AS text FROM rewrites""",
+        ),
+    ),
+)
+def _(t: Tables):
+    scored = plan.score_generated(t.rewrites, "rewritten_text")
+    return scored.select("rewrite_id", rounded("score").alias("score"))
+
+
+def _load_echo():
+    """A stand-in model: answers with the first line of the prompt's rewritten text."""
+
+    def answer(prompts):
+        return [p.split('Rewritten text:\n""""""\n')[1].split("\n")[0] for p in prompts]
+
+    return answer
+
+
+@check(
+    "evaluation_run_with_model",
+    with_views(
+        "SELECT id AS rewrite_id, round(abs(list_dot_product(a.v, p.v) ** 3), 6) AS score FROM a JOIN p USING (id)",
+        "rewrites",
+        sql_vectors("a", "SELECT rewrite_id AS id, rewrite_prompt AS text FROM rewrites"),
+        sql_vectors(
+            "p",
+            f"""SELECT rewrite_id AS id, {_sql_prediction(sql_strip("string_split(rewritten_text, chr(10))[1]"))} AS text FROM rewrites""",
+        ),
+    ),
+)
+def _(t: Tables):
+    return plan.evaluate_model(t.rewrites, _load_echo).select("rewrite_id", rounded("score").alias("score"))
+
+
+@check(
+    "likeliest_prompt_scores",
+    with_views(
+        """SELECT example_id, candidate_id, round(abs(list_dot_product(a.v, bv.v) ** 3), 6) AS score FROM (SELECT *,
+          row_number() OVER (PARTITION BY example_id ORDER BY round(nll, 9), candidate_id) AS r FROM nll) k
+        JOIN a ON a.id = k.example_id JOIN bv ON bv.id = k.candidate_id WHERE r = 1""",
+        "rewrites",
+        LOGPROBS_SQL,
+        _NLL,
+        sql_vectors("a", "SELECT rewrite_id AS id, rewrite_prompt AS text FROM rewrites"),
+        sql_vectors("bv", "SELECT item_id AS id, text FROM benchmark"),
+    ),
+)
+def _(t: Tables):
+    logprobs = t.token_logprobs
+    dealt = logprobs.select("example_id", "candidate_id").distinct()
+    prompts = t.benchmark.select(F.col("item_id").alias("candidate_id"), F.col("text").alias("prompt"))
+    truths = t.rewrites.select(F.col("rewrite_id").alias("example_id"), "rewrite_prompt")
+    scored = plan.likeliest_prompt_scores(logprobs, dealt.join(prompts, "candidate_id"), truths)
+    return scored.select("example_id", "candidate_id", rounded("score").alias("score"))

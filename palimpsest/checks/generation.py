@@ -1 +1,206 @@
+"""Batch inference with stand-in models, and few-shot assembly."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from palimpsest import prompt_texts as texts
+from palimpsest.checks.registry import Tables, check, sql_key, sql_vectors, with_views
+from palimpsest.functions.templates import render
+from palimpsest.operators import curate, generate, scoring
+from palimpsest.plans import synthetic
+
+
+
+def _load_counting():
+    return lambda prompts: [f"{len(p)} {p[:20]}" for p in prompts]
+
+
+def _load_failing():
+    """Fails on prompts with a "z"."""
+
+    def answer(prompts):
+        if any("z" in p for p in prompts):
+            raise ValueError("cannot answer")
+        return [str(len(p)) for p in prompts]
+
+    return answer
+
+
+@check("batch_generate", with_views("SELECT prompt_id, len(rewrite_prompt) || ' ' || substr(rewrite_prompt, 1, 20) AS generated FROM prompts", "prompts"))
+def _(t: Tables):
+    return generate.batch_generate(t.prompts, "rewrite_prompt", _load_counting).select("prompt_id", "generated")
+
+
+@check(
+    "batch_generate_with_failures",
+    with_views(
+        """SELECT prompt_id, CASE WHEN NOT contains(rewrite_prompt, 'z') THEN CAST(len(rewrite_prompt) AS VARCHAR) END AS generated,
+          CASE WHEN contains(rewrite_prompt, 'z') THEN 'ValueError: cannot answer' END AS error FROM prompts""",
+        "prompts",
+    ),
+)
+def _(t: Tables):
+    answered = generate.batch_generate(t.prompts, "rewrite_prompt", _load_failing, wait=0.0)
+    return answered.select("prompt_id", "generated", "error")
+
+
+@check("token_counts_with_tokenizer", "SELECT doc_id, CAST(len(string_split(text, ' ')) AS INTEGER) AS tokens FROM documents")
+def _(t: Tables):
+    def load():
+        return lambda text: len(text.split(" "))
+
+    return generate.token_counts(t.documents.select("doc_id", "text"), "text", load).select("doc_id", "tokens")
+
+
+def _seeds(t: Tables):
+    """The benchmark prompts serve as few-shot seeds."""
+    return t.benchmark.select("item_id", F.col("text").alias("prompt"), F.substring_index("text", " ", 2).alias("subject"))
+
+
+_SEEDS = r"seeds AS (SELECT item_id, 'Prompt: ' || text || chr(10) || 'Subject: ' || array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ') || chr(10) AS shot FROM benchmark)"
+
+
+@check(
+    "random_examples",
+    with_views(
+        f"""SELECT prompt_id, string_agg(shot, chr(10) ORDER BY k, item_id) AS examples FROM (
+          SELECT prompt_id, shot, item_id, {sql_key(27007, 'prompt_id', 'item_id')} AS k,
+            row_number() OVER (PARTITION BY prompt_id ORDER BY {sql_key(27007, 'prompt_id', 'item_id')}, item_id) AS r
+          FROM prompts, seeds) WHERE r <= 5 GROUP BY prompt_id""",
+        "prompts",
+        _SEEDS,
+    ),
+)
+def _(t: Tables):
+    rows = t.prompts.select("prompt_id")
+    return generate.random_examples(rows, _seeds(t), "prompt_id", "item_id", render(texts.SUBJECT_EXAMPLE), 5, 27007)
+
+
+@check(
+    "fixed_examples",
+    with_views("SELECT prompt_id, (SELECT string_agg(shot, chr(10) ORDER BY item_id) FROM seeds) AS examples FROM prompts", "prompts", _SEEDS),
+)
+def _(t: Tables):
+    return generate.fixed_examples(t.prompts.select("prompt_id"), _seeds(t), "item_id", render(texts.SUBJECT_EXAMPLE))
+
+
+@check(
+    "first_examples",
+    with_views(
+        """SELECT prompt_id, (SELECT string_agg(shot, '' ORDER BY item_id) FROM (SELECT * FROM seeds ORDER BY item_id LIMIT 10)) AS examples
+        FROM prompts""",
+        "prompts",
+        _SEEDS,
+    ),
+)
+def _(t: Tables):
+    rows = t.prompts.select("prompt_id")
+    return generate.fixed_examples(rows, _seeds(t), "item_id", render(texts.SUBJECT_EXAMPLE), 10, "")
+
+
+@check(
+    "nearest_examples",
+    with_views(
+        """SELECT query, string_agg(rewrite_prompt, chr(10) ORDER BY rank) AS examples FROM (
+          SELECT bv.id AS query, pv.id AS neighbour,
+            row_number() OVER (PARTITION BY bv.id ORDER BY round(list_dot_product(pv.v, bv.v), 12) DESC, pv.id) AS rank FROM pv, bv)
+        JOIN prompts ON prompt_id = neighbour WHERE rank <= 5 GROUP BY query""",
+        "prompts",
+        sql_vectors("pv", "SELECT prompt_id AS id, rewrite_prompt AS text FROM prompts"),
+        sql_vectors("bv", "SELECT item_id AS id, text FROM benchmark"),
+    ),
+)
+def _(t: Tables):
+    found = scoring.nearest_rows(t.benchmark_vectors, t.prompt_vectors, "id", "id", "vector", 5)
+    return generate.nearest_examples(found, t.prompts, "prompt_id", F.col("rewrite_prompt"))
+
+
+@check("bootstrap_prompts")
+def _(t: Tables):
+    def load():
+        def answer(prompts):
+            # every prompt lists its examples last; the answer names how many there were
+            return [f'```json [{{"prompt": "about {p.count("subject")}", "subject": "n"}}]```' for p in prompts]
+
+        return answer
+
+    seeds = _seeds(t).select("prompt", "subject")
+    return generate.bootstrap_prompts(
+        seeds, load, lambda listing: render(texts.FREE_PROMPTS_TASK, examples=listing), rounds=2, runs=2
+    )
+
+
+def _load_conditioned():
+    """Answers in three labelled lines taken from the last input text."""
+
+    def answer(prompts):
+        return [f"Type: note\nPrompt: shorten {p.split('Input Text:')[-1][8:28].strip()}\nSubject: brevity" for p in prompts]
+
+    return answer
+
+
+@check(
+    "conditioned_prompts",
+    """SELECT doc_id, 'note' AS type, CASE WHEN contains(head, ': ') THEN 'shorten ' || string_split(head, ': ')[1] ELSE 'shorten ' || head END AS prompt,
+      'brevity' AS subject FROM (SELECT doc_id, regexp_replace(string_split(regexp_replace(substr(text, 1, 20), '\\s+$', ''), chr(10))[1], '\\s+$', '') AS head
+        FROM documents WHERE len(text) >= 300 AND len(text) <= 2500)""",
+)
+def _(t: Tables):
+    sources = t.documents.filter(F.length("text").between(300, 2500)).select(
+        "doc_id", F.col("text").alias("original_text"), F.col("source").alias("dataset_id")
+    )
+    seeds = t.benchmark.select("item_id", F.col("text").alias("original_text"), F.lit("note").alias("type"), F.lit("p").alias("prompt"), F.lit("s").alias("subject"))
+    made = synthetic.conditioned_prompts(sources, "doc_id", seeds, "item_id", _load_conditioned)
+    return made.select("doc_id", "type", "prompt", "subject")
+
+
+def _load_rewriter():
+    return lambda prompts: ["Sure:\n" + p.split("<start_of_turn>user\n")[1].split("\n\n")[0].upper() for p in prompts]
+
+
+@check(
+    "rewritten_texts",
+    with_views(
+        """SELECT rewrite_id, rewrite_prompt, len(rewrite_prompt) > 0 AS answered FROM (
+          SELECT rewrite_id, 'Improve: ' || dataset_id AS rewrite_prompt FROM rewrites WHERE len(original_text) BETWEEN 300 AND 2000
+          UNION ALL SELECT rewrite_id, 'Please improve ' || dataset_id FROM rewrites WHERE len(original_text) BETWEEN 300 AND 2000)""",
+        "rewrites",
+    ),
+)
+def _(t: Tables):
+    rows = t.rewrites.select("rewrite_id", "original_text", F.concat(F.lit("Improve: "), "dataset_id").alias("prompt"))
+    entries = t.documents.select(F.concat(F.lit("Improve: "), "source").alias("prompt"), F.array(F.concat(F.lit("Please improve "), "source")).alias("variants"), "doc_id")
+    table = curate.variant_table(entries, "prompt", "variants", "doc_id")
+    made = synthetic.rewritten_texts(rows, table, _load_rewriter)
+    answered = F.col("rewritten_text") == F.upper("rewrite_prompt")
+    return made.select("rewrite_id", "rewrite_prompt", answered.alias("answered"))
+
+
+@check(
+    "judged_records",
+    with_views("SELECT rewrite_id, len(rewritten_text) % 2 = 0 AS is_well_written FROM rewrites", "rewrites"),
+)
+def _(t: Tables):
+    def load():
+        def answer(prompts):
+            texts_ = [p.split('Rewritten text:\n""""""\n')[1].rsplit('\n""""""\n\nPrompt:', 1)[0] for p in prompts]
+            return ['{"is_well_written": %s}' % ("true" if len(x) % 2 == 0 else "false") for x in texts_]
+
+        return answer
+
+    return synthetic.judged(t.rewrites, load).select("rewrite_id", "is_well_written")
+
+
+@check(
+    "extracted_subjects",
+    with_views("SELECT rewrite_id, CAST(len(rewrite_prompt) AS VARCHAR) AS subject FROM rewrites", "rewrites"),
+)
+def _(t: Tables):
+    def load():
+        return lambda prompts: [f"Subject: {len(p.rsplit('Prompt: ', 1)[1]) - len(chr(10) + 'Subject: ')}" for p in prompts]
+
+    records = t.rewrites.drop("subject")
+    return synthetic.subjects(records, _seeds(t), "item_id", load).select("rewrite_id", "subject")
+
 

@@ -166,13 +166,14 @@ def sql_int(seed: int | str, *parts: str) -> str:
     return f"('0x' || substr({sql_key(seed, *parts)}, 1, 8))::BIGINT"
 
 
-def sql_vectors(name: str, source: str) -> str:
+def sql_vectors(name: str, source: str, position_weight: float = 0.0) -> str:
     """Views that end in ``name(id, v)``: hashed word-vector encoding of a ``(id, text)`` query."""
-    return f"""{name}_w AS (SELECT id, unnest({sql_words('text')}) AS word FROM ({source})),
+    return f"""{name}_l AS (SELECT id, {sql_words('text')} AS words FROM ({source})),
+{name}_w AS (SELECT id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM {name}_l),
 {name}_d AS (SELECT word, i,
     ('0x' || substr(md5(word || '#' || (i // 8)), 4 * (i % 8) + 1, 4))::BIGINT / 32768::DOUBLE - 1 AS x
   FROM (SELECT DISTINCT word FROM {name}_w), range(16) r(i)),
-{name}_s AS (SELECT id, i, sum(x) AS x FROM {name}_w JOIN {name}_d USING (word) GROUP BY id, i),
+{name}_s AS (SELECT id, i, sum(x * (1 + {position_weight}::DOUBLE * pos)) AS x FROM {name}_w JOIN {name}_d USING (word) GROUP BY id, i),
 {name} AS (SELECT id, list(x / nrm ORDER BY i) AS v
   FROM (SELECT id, i, x, sqrt(sum(x * x) OVER (PARTITION BY id)) AS nrm FROM {name}_s) GROUP BY id)"""
 

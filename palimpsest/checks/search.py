@@ -1 +1,408 @@
+"""Candidate generators and search loops."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from palimpsest.checks.registry import Tables, check, rounded, sql_int, sql_key, sql_letters, sql_vectors, sql_words, with_views
+from palimpsest.functions import text as tx, vectors as vx
+from palimpsest.operators import lexical, scoring, search
+
+_PROMPT_WORDS = f"""prompt_counts AS (SELECT {sql_letters('w')} AS word, count(*) AS n
+  FROM (SELECT unnest({sql_words('rewrite_prompt')}) AS w FROM prompts) WHERE {sql_letters('w')} <> '' GROUP BY 1)"""
+_VOCABULARY = "vocabulary AS MATERIALIZED (SELECT word, n FROM prompt_counts ORDER BY n DESC, word LIMIT 30)"
+_PV = sql_vectors("pv", "SELECT prompt_id AS id, rewrite_prompt AS text FROM prompts")
+# raw (not normalised) word vectors
+_RAW = """raw AS MATERIALIZED (SELECT word, list(('0x' || substr(md5(word || '#' || (i // 8)), 4 * (i % 8) + 1, 4))::BIGINT / 32768::DOUBLE - 1 ORDER BY i) AS v
+  FROM vocabulary, range(16) r(i) GROUP BY word)"""
+
+
+def _vocabulary(t: Tables, k: int = 30):
+    return lexical.top_words(lexical.word_counts(t.prompts, "rewrite_prompt"), k)
+
+
+def _moments(t: Tables):
+    return scoring.corpus_moments(t.prompt_vectors, "vector")
+
+
+def _sql_plus(a: str, b: str) -> str:
+    return f"list_transform(range(1, 17), lambda i: {a}[i] + {b}[i])"
+
+
+_SCORE = "round(avg((list_dot_product(pv.v, c.s) / sqrt(list_dot_product(c.s, c.s))) ** 3), 9)"
+
+
+def _sql_beam_steps(steps: int, width: int) -> list[str]:
+    views = []
+    for step in range(steps):
+        if step == 0:
+            grown = "SELECT word AS text, v AS s FROM raw"
+        else:
+            grown = f"SELECT b.text || ' ' || raw.word AS text, {_sql_plus('b.s', 'raw.v')} AS s FROM beam{step - 1} b, raw"
+        views.append(
+            f"""beam{step} AS MATERIALIZED (SELECT text, s, score FROM (
+              SELECT c.text, any_value(c.s) AS s, {_SCORE} AS score FROM ({grown}) c, pv GROUP BY c.text)
+            ORDER BY score DESC, text LIMIT {width})"""
+        )
+    return views
+
+
+def _sql_trace(steps: int) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {s} AS step, text, score FROM (SELECT * FROM beam{s} ORDER BY score DESC, text LIMIT 1)" for s in range(steps)
+    )
+
+
+@check("beam_search", with_views(_sql_trace(4), "prompts", _PROMPT_WORDS, _VOCABULARY, _PV, _RAW, *_sql_beam_steps(4, 5)))
+def _(t: Tables):
+    state = search.beam_search(_vocabulary(t), _moments(t), beam_width=5, num_steps=4)
+    return search.trace_table(t.spark, state).select("step", "text", rounded("score", 9).alias("score"))
+
+
+@check(
+    "beam_search_last_beams",
+    with_views(
+        "SELECT text, round(score / (1 + 0.1 * log2(1 + 3)), 9) AS penalised FROM beam2",
+        "prompts", _PROMPT_WORDS, _VOCABULARY, _PV, _RAW, *_sql_beam_steps(3, 5),
+    ),
+)
+def _(t: Tables):
+    # beams of one step have equal length, so the penalty leaves their order as it is
+    state = search.beam_search(_vocabulary(t), _moments(t), beam_width=5, num_steps=3, alpha=0.1)
+    beams = search.beams_table(t.spark, state)
+    return beams.select(F.array_join("words", " ").alias("text"), rounded("beam_score", 9).alias("penalised"))
+
+
+def _sql_case_words(words: str) -> str:
+    return f"upper(substr({words}, 1, 1)) || substr({words}, 2)"
+
+
+@check(
+    "beam_search_sentences",
+    with_views(
+        """SELECT text, round(avg(list_dot_product(pv.v, c.v) ** 3), 9) AS score FROM texts JOIN c USING (id), pv
+        GROUP BY text ORDER BY score DESC, text LIMIT 5""",
+        "prompts", _PROMPT_WORDS, _VOCABULARY, _PV,
+        f"texts AS (SELECT row_number() OVER (ORDER BY word) AS id, {_sql_case_words('word')} AS text FROM vocabulary)",
+        sql_vectors("c", "SELECT id, text FROM texts"),
+    ),
+)
+def _(t: Tables):
+    seen = []
+    search.beam_search(
+        _vocabulary(t), _moments(t), beam_width=5, num_steps=1, render=search.sentence_text, all_beams=lambda step, df: seen.append(df)
+    )
+    return seen[0].orderBy(F.desc("score"), "text").limit(5).select("text", "score")
+
+
+def _sql_substitution(number: int, previous: str) -> list[str]:
+    """One round of single-word substitution from ``previous(words)``."""
+    return [
+        f"""spot{number} AS (SELECT i AS position, word, list_transform(range(1, len(words) + 1), lambda k: CASE WHEN k = i THEN word ELSE words[k] END) AS words
+          FROM {previous}, range(1, 5) r(i), vocabulary)""",
+        f"cand{number} AS (SELECT DISTINCT array_to_string(words, ' ') AS text FROM spot{number})",
+        sql_vectors(f"cv{number}", f"SELECT text AS id, text FROM cand{number}"),
+        f"""round{number} AS MATERIALIZED (SELECT string_split(id, ' ') AS words, id AS text, score FROM (
+          SELECT c.id, round(avg(list_dot_product(pv.v, c.v) ** 3), 9) AS score FROM cv{number} c, pv GROUP BY c.id)
+          ORDER BY score DESC, id LIMIT 1)""",
+    ]
+
+
+@check(
+    "substitution_search",
+    with_views(
+        "SELECT 0 AS round, text, score FROM round0 UNION ALL SELECT 1, text, score FROM round1",
+        "prompts", _PROMPT_WORDS, _VOCABULARY, _PV,
+        "start AS (SELECT list(word ORDER BY n DESC, word) AS words FROM (SELECT * FROM vocabulary ORDER BY n DESC, word LIMIT 4))",
+        *_sql_substitution(0, "start"),
+        *_sql_substitution(1, "round0"),
+    ),
+)
+def _(t: Tables):
+    vocabulary = _vocabulary(t)
+    start = [r["word"] for r in lexical.top_words(vocabulary, 4).collect()]
+    trace = search.substitution_search(vocabulary, _moments(t), start, rounds=2)
+    return t.spark.createDataFrame([(n, text, score) for n, score, text in trace], "round int, text string, score double")
+
+
+_SUBSETS = f"""pw AS (SELECT prompt_id, string_split({sql_letters('rewrite_prompt')}, ' ') AS w FROM prompts),
+triples AS (SELECT prompt_id, 3 AS r, i, j, k, [w[i], w[j], w[k]] AS s FROM pw, range(1, 200) a(i), range(1, 200) b(j), range(1, 200) c(k)
+  WHERE i <= len(w) AND j <= len(w) AND k <= len(w) AND i <> j AND i <> k AND j <> k
+    AND (i - 1) * greatest((len(w) - 1) * (len(w) - 2), 1) < 1000),
+pairs_ AS (SELECT prompt_id, 2 AS r, i, j, 0 AS k, [w[i], w[j]] AS s FROM pw, range(1, 200) a(i), range(1, 200) b(j)
+  WHERE i <= len(w) AND j <= len(w) AND i <> j),
+singles AS (SELECT prompt_id, 1 AS r, i, 0 AS j, 0 AS k, [w[i]] AS s FROM pw, range(1, 200) a(i) WHERE i <= len(w)),
+subsets AS MATERIALIZED (SELECT prompt_id, n AS subset_no, array_to_string(s, ' ') AS subset FROM (
+  SELECT prompt_id, s, row_number() OVER (PARTITION BY prompt_id ORDER BY r DESC, i, j, k) - 1 AS n
+  FROM (SELECT * FROM triples UNION ALL SELECT * FROM pairs_ UNION ALL SELECT * FROM singles)) WHERE n < 1000)"""
+
+
+@check("ordered_subsets", with_views("SELECT prompt_id, subset_no, subset FROM subsets", "prompts", _SUBSETS))
+def _(t: Tables):
+    words = F.split(tx.letters_only(F.col("rewrite_prompt")), " ")
+    made = search.ordered_subsets(t.prompts.select("prompt_id", "rewrite_prompt"), words)
+    return made.select("prompt_id", "subset_no", F.array_join("subset", " ").alias("subset"))
+
+
+_MEAN_PROMPT = "rewrite this text as {{subject}}"
+
+
+@check(
+    "best_subject",
+    with_views(
+        """SELECT prompt_id, subset AS best_subject, score FROM (
+          SELECT prompt_id, subset, round(list_dot_product(t.v, c.v) ** 3, 9) AS score,
+            row_number() OVER (PARTITION BY prompt_id ORDER BY round(list_dot_product(t.v, c.v) ** 3, 9) DESC, subset_no) AS r
+          FROM subsets JOIN t ON t.id = prompt_id JOIN c ON c.id = subset) WHERE r = 1""",
+        "prompts",
+        _SUBSETS,
+        sql_vectors("t", f"SELECT prompt_id AS id, {sql_letters('rewrite_prompt')} AS text FROM prompts"),
+        sql_vectors("c", "SELECT DISTINCT subset AS id, 'rewrite this text as ' || subset AS text FROM subsets"),
+    ),
+)
+def _(t: Tables):
+    return search.best_subject(t.prompts, "prompt_id", "rewrite_prompt", F.lit(_MEAN_PROMPT))
+
+
+_SWEEP_WORDS = ["rewrite", "this", "text", "in", "the", "style", "of"]
+
+
+@check(
+    "subject_position_sweep",
+    with_views(
+        """SELECT position, round(avg(abs(list_dot_product(t.v, c.v) ** 3)), 6) AS mean_score FROM places JOIN t ON t.id = rewrite_id JOIN c ON c.id = place
+        GROUP BY position""",
+        "rewrites",
+        f"""places AS (SELECT rewrite_id, p AS position, rewrite_id * 100 + p AS place, {sql_letters(
+            "array_to_string(list_concat(list_concat(list_slice(w, 1, p), [subject]), list_slice(w, p + 1, 7)), ' ')")} AS text
+          FROM (SELECT rewrite_id, subject, {_SWEEP_WORDS} AS w FROM rewrites), range(8) r(p))""",
+        sql_vectors("t", f"SELECT rewrite_id AS id, {sql_letters('rewrite_prompt')} AS text FROM rewrites", 0.5),
+        sql_vectors("c", "SELECT place AS id, text FROM places", 0.5),
+    ),
+)
+def _(t: Tables):
+    words = F.array(*[F.lit(w) for w in _SWEEP_WORDS])
+    swept = search.subject_position_sweep(
+        t.rewrites, "rewrite_prompt", "subject", words, encoder=lambda c: vx.encode_text(c, position_weight=0.5)
+    )
+    return swept.select(F.col("position").cast("long").alias("position"), rounded("mean_score").alias("mean_score"))
+
+
+@check(
+    "insert_everywhere",
+    with_views(
+        f"""SELECT prompt_id, p AS position, array_to_string(list_concat(list_concat(list_slice(w, 1, p), ['X']), list_slice(w, p + 1, len(w))), ' ') AS text
+        FROM (SELECT prompt_id, {sql_words('rewrite_prompt')} AS w FROM prompts), range(200) r(p) WHERE p <= len(w)""",
+        "prompts",
+    ),
+)
+def _(t: Tables):
+    places = F.explode(search.inserted_everywhere(F.col("w"), "X")).alias("at")
+    rows = t.prompts.select("prompt_id", tx.split_words(F.col("rewrite_prompt")).alias("w")).select("prompt_id", places)
+    return rows.select("prompt_id", F.col("at.position").cast("long").alias("position"), F.array_join("at.words", " ").alias("text"))
+
+
+@check(
+    "expand_beams",
+    with_views("SELECT b || ' ' || word AS text FROM prompt_counts, (SELECT unnest(['make it', 'rewrite']) AS b)", "prompts", _PROMPT_WORDS),
+)
+def _(t: Tables):
+    words = lexical.word_counts(t.prompts, "rewrite_prompt")
+    return search.expand_beams(words, [["make", "it"], ["rewrite"]]).select(F.array_join("words", " ").alias("text"))
+
+
+@check(
+    "substitutions",
+    with_views(
+        """SELECT 0 AS position, word || ' b c' AS text FROM prompt_counts UNION ALL SELECT 1, 'a ' || word || ' c' FROM prompt_counts
+        UNION ALL SELECT 2, 'a b ' || word FROM prompt_counts""",
+        "prompts",
+        _PROMPT_WORDS,
+    ),
+)
+def _(t: Tables):
+    words = lexical.word_counts(t.prompts, "rewrite_prompt")
+    return search.substitutions(words, ["a", "b", "c"]).select("position", F.array_join("words", " ").alias("text"))
+
+
+_COPIES = f"""copies AS (SELECT prompt_id, copy, list(w ORDER BY CASE WHEN copy = 0 THEN lpad(CAST(i AS VARCHAR), 9, '0') ELSE {sql_key(11, 'prompt_id', 'copy', 'i')} END, w) AS words
+  FROM (SELECT prompt_id, copy, unnest(ws) AS w, unnest(range(len(ws))) AS i
+    FROM (SELECT prompt_id, {sql_words('rewrite_prompt')} AS ws FROM prompts), range(3) r(copy)) GROUP BY prompt_id, copy)"""
+
+
+@check(
+    "shuffled_copies",
+    with_views("SELECT prompt_id, copy, array_to_string(words, ' ') AS text FROM copies", "prompts", _COPIES),
+)
+def _(t: Tables):
+    rows = t.prompts.select("prompt_id", tx.split_words(F.col("rewrite_prompt")).alias("words"))
+    made = search.shuffled_copies(rows, "prompt_id", "words", 2, 11)
+    return made.select("prompt_id", F.col("copy").cast("long").alias("copy"), F.array_join("words", " ").alias("text"))
+
+
+@check(
+    "augmented_copies",
+    with_views(
+        """SELECT prompt_id, copy, string_agg(CASE WHEN place <= k THEN s.word ELSE c.w END, ' ' ORDER BY i) AS text
+        FROM cells c JOIN slots s ON s.slot = c.slot GROUP BY prompt_id, copy""",
+        "prompts",
+        _PROMPT_WORDS,
+        _COPIES,
+        f"slots AS (SELECT word, row_number() OVER (ORDER BY {sql_int('slot', 'word')}, word) - 1 AS slot FROM prompt_counts)",
+        f"""cells AS (SELECT prompt_id, copy, w, i, k, row_number() OVER (PARTITION BY prompt_id, copy ORDER BY {sql_key('11p', 'prompt_id', 'copy', 'i')}, i) AS place,
+            {sql_int('11w', 'prompt_id', 'copy', 'i')} % (SELECT count(*) FROM prompt_counts) AS slot
+          FROM (SELECT prompt_id, copy, unnest(words) AS w, unnest(range(len(words))) AS i,
+              CASE WHEN copy > 0 AND len(words) > 1 THEN 1 + {sql_int('11k', 'prompt_id', 'copy')} % (greatest(len(words) // 2, 2) - 1) ELSE 0 END AS k FROM copies))""",
+    ),
+)
+def _(t: Tables):
+    rows = t.prompts.select("prompt_id", tx.split_words(F.col("rewrite_prompt")).alias("words"))
+    words = lexical.word_counts(t.prompts, "rewrite_prompt").select("word")
+    made = search.augmented_copies(rows, "prompt_id", "words", words, 2, 11)
+    return made.select("prompt_id", F.col("copy").cast("long").alias("copy"), F.array_join("words", " ").alias("text"))
+
+
+_TOP20 = f"""top20 AS MATERIALIZED (SELECT list(word ORDER BY n DESC, word) AS words FROM (SELECT word, n FROM prompt_counts ORDER BY n DESC, word LIMIT 20))"""
+_TRIALS = f"""trials AS MATERIALIZED (SELECT min(trial_id) AS trial_id, params FROM (
+  SELECT trial_id, list_transform(range(7), lambda g: ({sql_int(3, 'trial_id', 'g')} % 20)) AS params FROM range(1000) r(trial_id)) GROUP BY params)"""
+
+
+@check(
+    "random_word_search",
+    with_views(
+        "SELECT texts.id AS trial_id, text, round(avg(list_dot_product(pv.v, c.v) ** 3), 9) AS score FROM texts JOIN c USING (id), pv GROUP BY texts.id, text",
+        "prompts", _PROMPT_WORDS, _PV, _TOP20, _TRIALS,
+        f"""plain AS (SELECT trial_id, array_to_string(list_transform(params, lambda p: words[p + 1]), ' ') AS s FROM trials, top20)""",
+        "texts AS (SELECT trial_id AS id, upper(substr(s, 1, 1)) || substr(s, 2) || '.' AS text FROM plain)",
+        sql_vectors("c", "SELECT id, text FROM texts"),
+    ),
+)
+def _(t: Tables):
+    words = [r["word"] for r in _vocabulary(t, 20).collect()]
+    return search.random_word_search(t.spark, words, _moments(t), 1000, 7, 3)
+
+
+@check("population_search")
+def _(t: Tables):
+    vocabulary = [r["word"] for r in _vocabulary(t, 100).collect()]
+    rows = t.prompts.select("prompt_id", F.split(tx.letters_only(F.col("rewrite_prompt")), " ").alias("words"))
+    start = search.shuffled_copies(search.longest(rows, "words"), "prompt_id", "words", 5, 0)
+    return search.population_search(vocabulary, start, _moments(t), generations=3, offspring=20)
+
+
+# --- cluster subsets ------------------------------------------------------------------------
+
+_ROWS = "units AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+_ANCHORS = """mids AS (SELECT label AS anchor, i, avg(v[i]) AS x FROM units, range(1, 65) r(i) GROUP BY label, i),
+anchors AS (SELECT anchor, list(x / n ORDER BY i) AS a FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY anchor)) AS n FROM mids) GROUP BY anchor),
+targets AS (SELECT anchor, avg(list_dot_product(v, a) ** 3) AS target FROM units, anchors WHERE label < 5 GROUP BY anchor)"""
+_BITS = f"""bits AS MATERIALIZED (SELECT trial_id, cluster, ((drawn // (2 ** (9 - cluster % 10))::BIGINT) % 2) = 1 AS selected FROM (
+  SELECT trial_id, cluster, {sql_int(9, 'trial_id', 'cluster // 10')} % 1024 AS drawn FROM range(200) t(trial_id), range(10) c(cluster)))"""
+
+
+def _anchors(t: Tables):
+    mids = scoring.centroid(t.embeddings, "embedding", ("label",))
+    return mids.select(F.col("label").cast("long").alias("anchor"), vx.unit(F.col("centroid")).alias("a"))
+
+
+def _subset_inputs(t: Tables):
+    anchors = _anchors(t)
+    sums = search.cluster_anchor_sums(t.embeddings, "label", "embedding", anchors, "anchor", "a")
+    # targets are met exactly by the clusters below 5
+    known = sums.filter("cluster < 5").groupBy("anchor").agg((F.sum("cubes") / F.sum("n")).alias("target"))
+    trials = search.bitmask_trials(t.spark, 200, 10, 9, max_value=1023)
+    return sums, known, trials
+
+
+@check(
+    "cluster_anchor_sums",
+    with_views(
+        """SELECT label AS cluster, anchor, round(sum(list_dot_product(v, a)), 6) AS dots, round(sum(list_dot_product(v, a) ** 3), 6) AS cubes, count(*) AS n
+        FROM units, anchors GROUP BY label, anchor""",
+        _ROWS,
+        _ANCHORS,
+    ),
+)
+def _(t: Tables):
+    sums, _, _ = _subset_inputs(t)
+    return sums.withColumns({"dots": rounded("dots"), "cubes": rounded("cubes")})
+
+
+@check("bitmask_trials", with_views("SELECT trial_id, cluster, selected FROM bits", _BITS))
+def _(t: Tables):
+    drawn = search.bitmask_trials(t.spark, 200, 10, 9, max_value=1023)
+    return drawn.withColumn("cluster", F.col("cluster").cast("long"))
+
+
+_FITS = """fits AS (SELECT trial_id, max(kept) AS kept, avg(((score - target) * 100) ** 2) AS fit FROM (
+  SELECT trial_id, anchor, avg(list_dot_product(v, a) ** 3) AS score, count(*) AS kept
+  FROM bits JOIN units ON label = cluster, anchors WHERE selected GROUP BY trial_id, anchor) JOIN targets USING (anchor) GROUP BY trial_id),
+metrics AS (SELECT trial_id, kept, fit, kept / (SELECT count(*) FROM units) - fit AS metric FROM fits)"""
+
+
+@check(
+    "cluster_subset_scores",
+    with_views("SELECT trial_id, kept, round(fit, 6) AS fit, round(metric, 6) AS metric FROM metrics", _ROWS, _ANCHORS, _BITS, _FITS),
+)
+def _(t: Tables):
+    sums, known, trials = _subset_inputs(t)
+    scores = search.score_subsets(trials, sums, known)
+    return scores.withColumns({"fit": rounded("fit"), "metric": rounded("metric")})
+
+
+@check(
+    "rows_of_best_subset",
+    with_views(
+        """SELECT vec_id FROM units JOIN bits ON label = cluster WHERE selected
+          AND trial_id = (SELECT trial_id FROM metrics ORDER BY round(metric, 9) DESC, trial_id LIMIT 1)""",
+        _ROWS,
+        _ANCHORS,
+        _BITS,
+        _FITS,
+    ),
+)
+def _(t: Tables):
+    sums, known, trials = _subset_inputs(t)
+    best = search.best_subset(search.score_subsets(trials, sums, known))
+    return search.rows_of_subset(t.embeddings, "label", trials, best).select("vec_id")
+
+
+@check(
+    "constraint_sums",
+    with_views(
+        """SELECT anchor, round(sum(list_dot_product(v, a)), 6) AS dot_sum, round(avg(list_dot_product(v, a)), 6) AS dot_mean,
+          round(sum(list_dot_product(v, a) ** 3), 6) AS cube_sum, round(avg(list_dot_product(v, a) ** 3), 6) AS cube_mean,
+          sum(list_dot_product(v, a)) BETWEEN any_value(target) - 1 AND any_value(target) + 1 AS dot_feasible,
+          sum(list_dot_product(v, a) ** 3) BETWEEN any_value(target) - 1 AND any_value(target) + 1 AS cube_feasible
+        FROM units, anchors JOIN targets USING (anchor) GROUP BY anchor""",
+        _ROWS,
+        _ANCHORS,
+    ),
+)
+def _(t: Tables):
+    sums, known, _ = _subset_inputs(t)
+    checked = search.constraint_sums(sums, known)
+    return checked.withColumns({c: rounded(c) for c in ("dot_sum", "dot_mean", "cube_sum", "cube_mean")})
+
+
+@check(
+    "score_changes",
+    """SELECT step, round(score - coalesce(lag(score) OVER (ORDER BY step), 0), 6) AS change
+      FROM (SELECT label AS step, avg(embedding[1]::DOUBLE) AS score FROM embeddings GROUP BY label)""",
+)
+def _(t: Tables):
+    trace = t.embeddings.groupBy(F.col("label").alias("step")).agg(F.avg(F.col("embedding")[0].cast("double")).alias("score"))
+    return search.score_changes(trace).select("step", rounded("change").alias("change"))
+
+
+@check(
+    "longest_word_list",
+    with_views(
+        f"""SELECT prompt_id, len({sql_words('rewrite_prompt')}) AS n FROM prompts
+        ORDER BY n DESC, array_to_string({sql_words('rewrite_prompt')}, ' ') LIMIT 1""",
+        "prompts",
+    ),
+)
+def _(t: Tables):
+    rows = t.prompts.select("prompt_id", tx.split_words(F.col("rewrite_prompt")).alias("w"))
+    return search.longest(rows, "w").select("prompt_id", F.size("w").cast("long").alias("n"))

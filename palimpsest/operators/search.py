@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from palimpsest.functions.text import capitalise_sentence, letters_only, seeded_int, seeded_key
 from palimpsest.functions.vectors import cubed_cosine, encode_text
@@ -112,7 +112,8 @@ def inserted_everywhere(words: Column, token: str) -> Column:
 
 
 def _literal_words(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
+    """Array literal, folded from one string instead of one expression node per word."""
+    return F.split(F.lit("\x1f".join(words)), "\x1f") if words else F.array().cast("array<string>")
 
 
 def expand_beams(vocabulary: DataFrame, beams: list[list[str]], word: str = "word") -> DataFrame:
@@ -151,7 +152,7 @@ def augmented_copies(df: DataFrame, row_id: str, words: str, vocabulary: DataFra
     vocabulary, so the vocabulary may be of any size. Word lists of fewer than two words stay as
     they are. Needs a unique ``row_id``.
     """
-    numbered = with_position(vocabulary.select("word", F.xxhash64("word").alias("_h")), "_h", "_slot", ["word"])
+    numbered = with_position(vocabulary.select("word", seeded_int("slot", "word").alias("_h")), "_h", "_slot", ["word"])
     size = vocabulary.agg(F.count(F.lit(1)).alias("n")).scalar()
     spread = shuffled_copies(df, row_id, words, copies, seed)
     identity = (F.col(row_id), F.col("copy"))
@@ -442,6 +443,12 @@ def constraint_sums(sums: DataFrame, targets: DataFrame, delta: float = 1.0) ->
     )
 
 
+def score_changes(trace: DataFrame) -> DataFrame:
+    """Change of the best score from the step before; a trace has one row per step."""
+    before = F.lag("score").over(Window.orderBy("step"))
+    return trace.withColumn("change", F.col("score") - F.coalesce(before, F.lit(0.0)))
+
+
 def longest(df: DataFrame, words: str) -> DataFrame:
     """The longest word list; ties go to the smaller text."""
     return df.orderBy(F.desc(F.size(words)), F.array_join(words, " ")).limit(1)
