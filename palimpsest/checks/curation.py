@@ -34,7 +34,7 @@ def _sql_record(rule, columns=curate.REWRITE_COLUMNS) -> str:
       round(sum(share) OVER (ORDER BY n DESC, word ROWS UNBOUNDED PRECEDING), 9) AS cumulative_share FROM top20""",
 )
 def _(t: Tables):
-    report = top_word_report(t.documents)
+    report = top_word_report(t.spread_documents)
     return report.withColumns({"share": rounded("share", 9), "cumulative_share": rounded("cumulative_share", 9)})
 
 

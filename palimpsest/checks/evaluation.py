@@ -9,6 +9,7 @@ from palimpsest.checks.registry import LOGPROBS_SQL, Tables, check, rounded, sql
 from palimpsest.functions import vectors as vx
 from palimpsest.operators import evaluate, ordering, scoring
 from palimpsest.plans import evaluation as plan
+from palimpsest.session import cut_lineage
 
 _PAIRS = (
     "rewrites",
@@ -37,7 +38,8 @@ def _(t: Tables):
     with_views("SELECT id, round(avg(score) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING), 6) AS running_mean FROM scored", *_PAIRS),
 )
 def _(t: Tables):
-    running = ordering.with_running_mean(_scored(t), "score", "id")
+    # the scores are a finished table, not worked out again for every pass over it
+    running = ordering.with_running_mean(cut_lineage(_scored(t)), "score", "id")
     return running.select("id", rounded("running_mean").alias("running_mean"))
 
 

@@ -14,12 +14,12 @@ _COUNTS = f"""counts AS (SELECT word, count(*) AS n FROM (SELECT {sql_letters('w
 
 @check("word_counts", with_views("SELECT word, n FROM counts", _COUNTS))
 def _(t: Tables):
-    return lexical.word_counts(t.documents, "text")
+    return lexical.word_counts(t.spread_documents, "text")
 
 
 @check("top_words", with_views("SELECT word, n FROM counts ORDER BY n DESC, word LIMIT 1000", _COUNTS))
 def _(t: Tables):
-    return lexical.top_words(lexical.word_counts(t.documents, "text"), 1000)
+    return lexical.top_words(lexical.word_counts(t.spread_documents, "text"), 1000)
 
 
 @check(
@@ -40,7 +40,7 @@ def _(t: Tables):
       FROM (SELECT unnest({sql_words('lower(text)')}) AS w FROM documents) GROUP BY 1)""",
 )
 def _(t: Tables):
-    return lexical.word_shares(t.documents, "text").withColumn("share", rounded("share", 9))
+    return lexical.word_shares(t.spread_documents, "text").withColumn("share", rounded("share", 9))
 
 
 @check(
@@ -51,7 +51,7 @@ def _(t: Tables):
     SELECT word, n, round(sum(share) OVER (ORDER BY n DESC, word ROWS UNBOUNDED PRECEDING), 9) AS cumulative_share FROM top20""",
 )
 def _(t: Tables):
-    shares = lexical.cumulative_share(lexical.word_shares(t.documents, "text"))
+    shares = lexical.cumulative_share(lexical.word_shares(t.spread_documents, "text"))
     return shares.select("word", "n", rounded("cumulative_share", 9).alias("cumulative_share"))
 
 
@@ -62,7 +62,7 @@ def _(t: Tables):
       FROM tokens) GROUP BY ngram ORDER BY n DESC, ngram LIMIT 50""",
 )
 def _(t: Tables):
-    return lexical.top_ngrams(t.documents, "text", 2, 50)
+    return lexical.top_ngrams(t.spread_documents, "text", 2, 50)
 
 
 @check(
@@ -71,7 +71,7 @@ def _(t: Tables):
       FROM (SELECT unnest({sql_words('text')}) AS w FROM documents)) WHERE word <> '' GROUP BY word""",
 )
 def _(t: Tables):
-    return lexical.alphanumeric_word_counts(t.documents, "text")
+    return lexical.alphanumeric_word_counts(t.spread_documents, "text")
 
 
 @check(
@@ -83,7 +83,7 @@ def _(t: Tables):
     SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS weight FROM raw""",
 )
 def _(t: Tables):
-    return lexical.tf_idf(t.documents, "doc_id", "text").withColumn("weight", rounded("weight"))
+    return lexical.tf_idf(t.spread_documents, "doc_id", "text").withColumn("weight", rounded("weight"))
 
 
 # A stand-in for a synonym lexicon: words of the documents that share five leading letters and a length.
@@ -91,7 +91,7 @@ _LEXICON = f"""lexicon AS (SELECT DISTINCT word AS lemma, substr(word, 1, 5) ||
 
 
 def _lexicon(t: Tables):
-    words = lexical.word_counts(t.documents, "text")
+    words = lexical.word_counts(t.spread_documents, "text")
     synset = F.concat(F.substring("word", 1, 5), F.length("word").cast("string"))
     return words.select(F.col("word").alias("lemma"), synset.alias("synset"))
 
@@ -119,7 +119,7 @@ def _(t: Tables):
     WHERE NOT special AND token NOT IN ('', '▁') AND {sql_letters("replace(token, '▁', '')")} <> ''""",
 )
 def _(t: Tables):
-    words = t.documents.select(F.explode(tx.split_words(F.col("text"))).alias("w"))
+    words = t.spread_documents.select(F.explode(tx.split_words(F.col("text"))).alias("w"))
     marked = F.when(F.length("w") % 2 == 0, F.concat(F.lit(lexical.SUBWORD_MARK), F.col("w"))).otherwise(F.col("w"))
     tokens = words.select(marked.alias("token"), F.startswith("w", F.lit("T")).alias("is_special"))
     return lexical.clean_token_vocabulary(tokens)
@@ -127,7 +127,7 @@ def _(t: Tables):
 
 @check("block_words", with_views("SELECT word, n FROM counts WHERE word NOT IN ('the', 'of', 'la', 'und')", _COUNTS))
 def _(t: Tables):
-    return lexical.block_words(lexical.word_counts(t.documents, "text"), ("the", "of", "la", "und"))
+    return lexical.block_words(lexical.word_counts(t.spread_documents, "text"), ("the", "of", "la", "und"))
 
 
 @check(
@@ -154,4 +154,4 @@ def _(t: Tables):
         t.prompts.select(F.explode(tx.split_words(F.col("rewrite_prompt"))).alias("word")),
         t.benchmark.select(F.explode(tx.split_words(F.col("text"))).alias("word")),
     ]
-    return lexical.merge_vocabularies([lexical.word_counts(t.documents, "text"), *raw])
+    return lexical.merge_vocabularies([lexical.word_counts(t.spread_documents, "text"), *raw])

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from palimpsest.functions.text import WHITESPACE_CLASS
 from palimpsest.functions.vectors import encode_text
 from palimpsest.session import new_folder
+from palimpsest.sources.readers import spread_small
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,6 +46,11 @@ class Tables:
     def documents(self) -> DataFrame:
         return self.read("documents")
 
+    @property
+    def spread_documents(self) -> DataFrame:
+        """The documents for queries that take every text apart."""
+        return spread_small(self.documents.select("doc_id", "text"))
+
     @property
     def embeddings(self) -> DataFrame:
         return self.read("embeddings")
@@ -96,7 +102,7 @@ class Tables:
 
     @property
     def document_vectors(self) -> DataFrame:
-        return self.documents.select(F.col("doc_id").alias("id"), encode_text(F.col("text")).alias("vector"))
+        return self.spread_documents.select(F.col("doc_id").alias("id"), encode_text(F.col("text")).alias("vector"))
 
     @property
     def token_logprobs(self) -> DataFrame:

@@ -201,7 +201,7 @@ def _(t: Tables):
 def _chat_json(t: Tables):
     """Answers with a JSON object between other text; raw line breaks inside; every third has none."""
     record = F.replace(F.to_json(F.struct(F.col("rewrite_prompt").alias("prompt"), F.col("subject"))), F.lit("\\n"), F.lit("\n"))
-    whole = F.concat(F.lit("Here you go {"), F.substring(record, 2, 2147483647), F.lit(" thanks"))
+    whole = F.concat(F.lit("Here you go {"), F.substring(record, 2, tx.REST), F.lit(" thanks"))
     return t.rewrites.select("rewrite_id", F.when(F.col("rewrite_id") % 3 == 0, "none").otherwise(whole).alias("answer"))
 
 

@@ -10,6 +10,8 @@ WHITESPACE = (
     "        　"
 )
 WHITESPACE_CLASS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# "To the end" for slice and substring; start + length must stay a 32-bit number.
+REST = 1 << 30
 WORD_TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -32,6 +34,19 @@ def letters_only(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"[^\p{L} ]", ""))
 
 
+def letter_words(text: Column, keep_empty: bool = False) -> Column:
+    """Whitespace-separated words reduced to lower-case letters.
+
+    Cleans the whole text at once and splits it afterwards, which gives the same words as cleaning
+    them one by one. ``keep_empty`` keeps an empty word for each word without letters.
+    """
+    spaced = strip(F.regexp_replace(text, WHITESPACE_CLASS + "+", " "))
+    words = F.split(letters_only(spaced), " ")
+    if keep_empty:
+        return F.when(spaced != "", words).otherwise(F.array().cast("array<string>"))
+    return F.filter(words, lambda w: w != "")
+
+
 def alphanumerics_only(text: Column) -> Column:
     """Keep letters, digits and the space character, case unchanged."""
     return F.regexp_replace(text, r"[^\p{L}\p{N} ]", "")
@@ -61,7 +76,7 @@ def head_lines(text: Column, min_len: int, sep: str = "\n") -> Column:
 
     One fold over the lines counts how many to keep, so long texts stay linear.
     """
-    lines = F.slice(F.split(text, sep), 2, 2147483647)
+    lines = F.slice(F.split(text, sep), 2, REST)
     start = F.struct(F.lit(0).alias("kept"), F.lit(0).alias("width"))
 
     def add(state: Column, line: Column) -> Column:
@@ -85,22 +100,26 @@ def lines_to_first_long(text: Column, limit: int = 400) -> Column:
 
 
 def capitalise_sentence(text: Column, stop: str = ".") -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 2147483647), F.lit(stop))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, REST), F.lit(stop))
 
 
 def ngrams(text: Column, n: int) -> Column:
     """Word n-grams of the lower-cased text; tokens have two or more word characters."""
     tokens = F.regexp_extract_all(F.lower(text), F.lit(WORD_TOKEN), F.lit(0))
+    if n == 1:
+        return tokens
 
     def grams(tokens: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-        return F.when(
-            F.size(tokens) >= n,
-            F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " ")),
-        ).otherwise(F.array().cast("array<string>"))
-
-    # binding the tokens once keeps the extraction from being repeated per n-gram
-    return F.flatten(F.transform(F.array(tokens), grams))
+        """Lengthen all grams by one word at a time: linear in the text for every n."""
+        grown = tokens
+        for k in range(1, n):
+            count = F.greatest(F.size(tokens) - k, F.lit(0))
+            longer = F.slice(tokens, k + 1, count)
+            grown = F.zip_with(F.slice(grown, 1, count), longer, lambda a, b: F.concat(a, F.lit(" "), b))
+        return grown
+
+    # the tokens are bound once, so that the extraction is not repeated
+    return F.transform(F.array(tokens), grams)[0]
 
 
 def sentence_count(text: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 from hashlib import md5
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from palimpsest.functions.text import split_words
@@ -89,49 +89,48 @@ def encode_words(words: Column, position_weight: float = 0.0) -> Column:
     on word order. Text without words gives null.
     """
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        numbers: dict[str, int] = {}
-        known: list[np.ndarray] = []
-
-        def encode_some(lists: list) -> list:
-            """Word numbers of all lists in one index, vectors by lookup, sums by differences."""
-            index: list[int] = []
-            ends = [0]
-            for entry in lists:
-                for word in entry:
-                    number = numbers.get(word)
-                    if number is None:
-                        number = numbers[word] = len(known)
-                        known.append(word_vector(word))
-                    index.append(number)
-                ends.append(len(index))
-            if not index:
-                return [None] * len(lists)
-            vectors, ends = np.asarray(known)[index], np.asarray(ends)
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, np.ndarray] = {}
+
+        def table_of(words: list[str]) -> np.ndarray:
+            if len(known) > WORD_CACHE:
+                known.clear()
+            for word in words:
+                if word not in known:
+                    known[word] = word_vector(word)
+            return np.stack([known[word] for word in words])
+
+        def encode_some(words: pa.Array, ends: np.ndarray) -> np.ndarray:
+            """One vector per list, lists being the ranges between ``ends``; NaN for no words."""
+            if not len(words):
+                return np.full((len(ends) - 1, ENCODER_DIM), np.nan)
+            coded = words.dictionary_encode()
+            vectors = table_of(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
             if position_weight:
-                place = np.arange(len(index)) - np.repeat(ends[:-1], np.diff(ends))
+                place = np.arange(len(words)) - np.repeat(ends[:-1], np.diff(ends))
                 vectors = vectors * (1.0 + position_weight * place)[:, None]
             total = np.vstack([np.zeros(ENCODER_DIM), np.cumsum(vectors, axis=0)])
             sums = total[ends[1:]] - total[ends[:-1]]
-            lengths = np.sqrt((sums * sums).sum(axis=1))
-            return [s / n if n > 0 else None for s, n in zip(sums, lengths)]
-
-        for batch in batches:
-            out: list = []
-            waiting: list = []
-            words_waiting = 0
-            for entry in batch:
-                waiting.append(() if entry is None else entry)
-                words_waiting += len(waiting[-1])
-                if words_waiting >= WORDS_AT_ONCE:
-                    out += encode_some(waiting)
-                    waiting, words_waiting = [], 0
-                    if len(known) > WORD_CACHE:
-                        numbers.clear()
-                        known.clear()
-            out += encode_some(waiting)
-            yield pd.Series(out, dtype=object)
+            lengths = np.sqrt((sums * sums).sum(axis=1))[:, None]
+            return np.divide(sums, lengths, out=np.full_like(sums, np.nan), where=lengths > 0)
+
+        for lists in batches:
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+            words = lists.flatten()
+            pieces, at = [np.empty((0, ENCODER_DIM))], 0
+            while at < len(sizes):
+                # as many lists as hold about WORDS_AT_ONCE words, one at least
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + WORDS_AT_ONCE, "right")) - 1)
+                part = words.slice(ends[at], ends[to] - ends[at])
+                pieces.append(encode_some(part, ends[at : to + 1] - ends[at]))
+                at = to
+            units = np.concatenate(pieces)
+            missing = np.isnan(units[:, 0])
+            widths = np.where(missing, 0, ENCODER_DIM)
+            offsets = np.concatenate([[0], np.cumsum(widths)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(offsets, units[~missing].ravel(), mask=pa.array(missing))
 
     return encode(words)
 

@@ -11,12 +11,12 @@ from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.functions.vectors import squared_distance, to_double, vector_literal
+from palimpsest.functions.vectors import squared_distance, to_double, usable, vector_literal
 from palimpsest.operators.scoring import (
     MOMENT_DIM_LIMIT,
     Batches,
     as_matrix,
-    batch_matrix,
+    batch_vectors,
     blocks,
     group_moments,
     vector_dim,
@@ -89,10 +89,10 @@ def _pieces(batches: Batches, width: int, cells: int = 4_000_000) -> Iterator[tu
     """Ids and vectors in row ranges small enough that a rows × ``width`` comparison fits ``cells``."""
     step = max(1, cells // max(1, width))
     for batch in batches:
-        if batch.num_rows:
-            ids, x = batch.column("id").to_numpy(), batch_matrix(batch, "v")
-            for at in range(0, len(ids), step):
-                yield ids[at : at + step], x[at : at + step]
+        batch, x = batch_vectors(batch)
+        ids = batch.column("id").to_numpy()
+        for at in range(0, len(ids), step):
+            yield ids[at : at + step], x[at : at + step]
 
 
 def _close(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
@@ -181,6 +181,7 @@ def density_clusters(df: DataFrame, id_column: str, vector: str, eps: float = 0.
     it touches; the rest is noise (−1). Copies of one vector are compared once with their weight.
     """
     rows = vectors_of(df, vector, F.col(id_column).cast("long").alias("id"))
+    rows = cut_lineage(rows).filter(usable(F.col("v")))
     points = cut_lineage(rows.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")))
     counted = (
         _compare(points, points, eps, False, "id long, neighbours double")
@@ -247,8 +248,8 @@ def _pass_step(df: DataFrame, vector: str):
         def add(batches: Batches) -> Batches:
             total, rows = np.zeros(dim), 0
             for batch in batches:
-                if batch.num_rows:
-                    x = batch_matrix(batch, "v")
+                _, x = batch_vectors(batch)
+                if len(x):
                     total += ((x @ e) ** 2) @ x
                     rows += len(x)
             if rows:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from palimpsest.functions.text import REST
 from palimpsest.functions.vectors import cubed_cosine, squared_distance, to_double, vector_literal
 from palimpsest.operators.scoring import blocks
 
@@ -52,7 +53,7 @@ def rerank_by_centre(nll: DataFrame, candidates: DataFrame, k: int, candidate_id
 
     def centre(entries: Column) -> Column:
         total = F.aggregate(
-            F.slice(entries, 2, 2147483647),
+            F.slice(entries, 2, REST),
             entries[0]["_v"],
             lambda t, e: F.zip_with(t, e["_v"], lambda x, y: x + y),
         )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from palimpsest.functions.text import letters_only, ngrams, normalised_words, split_words, strip
+from palimpsest.functions.text import letter_words, letters_only, ngrams, normalised_words, strip
 from palimpsest.operators.ordering import union_all
 
 # Words left out of the explored vocabulary.
@@ -16,8 +16,7 @@ BLOCKED_WORDS = (
 
 def text_words(df: DataFrame, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per whitespace-separated word, reduced to lower-case letters; empty ones dropped."""
-    raw = df.select(*keep, F.explode(split_words(F.col(text))).alias("word"))
-    return raw.withColumn("word", letters_only(F.col("word"))).filter(F.col("word") != "")
+    return df.select(*keep, F.explode(letter_words(F.col(text))).alias("word"))
 
 
 def word_counts(df: DataFrame, text: str) -> DataFrame:
@@ -34,10 +33,8 @@ def punctuated_vocabulary(words: DataFrame, marks: tuple[str, ...] = (",", ".",
 
 def word_shares(df: DataFrame, text: str) -> DataFrame:
     """Word count and its share of all words. A word without letters counts as the empty word."""
-    words = df.select(F.explode(split_words(F.lower(text))).alias("word"))
-    counts = words.select(letters_only(F.col("word")).alias("word")).groupBy("word").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    words = df.select(F.explode(letter_words(F.col(text), keep_empty=True)).alias("word"))
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("total")).scalar()
     return counts.withColumn("share", F.col("n") / total)
 

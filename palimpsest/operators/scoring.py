@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from palimpsest.functions.vectors import cubed_cosine, dot, squared_distance, to_double, usable, vector_literal
+from palimpsest.functions.vectors import cubed_cosine, dot, squared_distance, to_double, vector_literal
 from palimpsest.operators.ordering import union_all
 
 MOMENT_DIM_LIMIT = 64
@@ -41,18 +41,35 @@ def as_matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.empty((0, 0))
 
 
-def batch_matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    """The vectors of a batch without a copy per row."""
-    return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+def batch_vectors(batch: pa.RecordBatch, name: str = "v") -> tuple[pa.RecordBatch, np.ndarray]:
+    """The batch's rows that have a vector (not null, no null components) and those vectors.
+
+    Checking here instead of in a filter keeps an encoder from running once for the filter and once
+    for the value.
+    """
+    if batch.column(name).null_count:
+        batch = batch.filter(batch.column(name).is_valid())
+    if not batch.num_rows:
+        return batch, np.empty((0, 1))
+    values = batch.column(name).flatten()
+    x = values.to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+    if values.null_count:
+        whole = ~np.isnan(x).any(axis=1)
+        batch, x = batch.filter(pa.array(whole)), x[whole]
+    return batch, x
 
 
 def vectors_of(df: DataFrame, vector: str, *columns: Column) -> DataFrame:
-    """Rows with a usable vector, as ``v``, and the given further columns."""
-    return df.filter(usable(F.col(vector))).select(*columns, to_double(F.col(vector)).alias("v"))
+    """The vector as ``v`` and the given further columns."""
+    return df.select(*columns, to_double(F.col(vector)).alias("v"))
 
 
 def vector_dim(df: DataFrame, vector: str) -> int:
-    row = df.select(F.size(vector).alias("d")).filter("d > 0").first()
+    """Number of components, read off the first row that has a vector."""
+    sizes = df.select(F.size(vector).alias("d"))
+    row = sizes.first()
+    if row is not None and (row["d"] is None or row["d"] < 1):
+        row = sizes.filter("d > 0").first()
     if row is None:
         raise ValueError(f"no vectors in column {vector}")
     return row["d"]
@@ -64,12 +81,12 @@ def blocks(df: DataFrame, id_column: str, vector: str, keep: tuple[str, ...] = (
     The number of pieces follows from a count, pieces are hash classes of the id, and a piece that
     still turns out too large is an error, not a truncation.
     """
-    rows = df.count()
+    rows = df.select(id_column).count()
     if rows == 0:
         return
     per_block = max(1, block_bytes // (8 * vector_dim(df, vector)))
     pieces = 1 if rows <= per_block else ceil(1.25 * rows / per_block)
-    wanted = df.filter(usable(F.col(vector))).select(id_column, *keep, to_double(F.col(vector)).alias(vector))
+    wanted = df.select(id_column, *keep, to_double(F.col(vector)).alias(vector))
     for piece in range(pieces):
         part = wanted
         if pieces > 1:
@@ -77,8 +94,9 @@ def blocks(df: DataFrame, id_column: str, vector: str, keep: tuple[str, ...] = (
         pdf = part.limit(2 * per_block + 1).toArrow().to_pandas()
         if len(pdf) > 2 * per_block:
             raise ValueError("uneven blocks: lower block_bytes")
-        if len(pdf):
-            yield pdf
+        known = [v is not None and not np.isnan(np.asarray(v, dtype=np.float64)).any() for v in pdf[vector]]
+        if any(known):
+            yield pdf[known]
 
 
 @dataclass(frozen=True)
@@ -109,15 +127,14 @@ def _upper(dim: int, first: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tensor_slices(dim: int):
-    """Per task and group: one row per first index holding the dim×dim slice, plus the count."""
+    """Per task and group: one row per first index holding that index's cells, plus the count."""
 
     def add(batches: Batches) -> Batches:
         sums: dict[int, np.ndarray] = {}
         counts: dict[int, int] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors, keys = batch_matrix(batch, "v"), batch.column("grp").to_numpy()
+            batch, vectors = batch_vectors(batch)
+            keys = batch.column("grp").to_numpy()
             for key in np.unique(keys):
                 x = vectors[keys == key]
                 tensor = sums.setdefault(int(key), np.zeros((dim, dim * dim)))
@@ -141,12 +158,12 @@ def _tensor_slices(dim: int):
     return add
 
 
-def group_moments(df: DataFrame, vector: str, group: str | None = None) -> dict[int, Moments]:
+def group_moments(df: DataFrame, vector: str, group: str | None = None, dim: int | None = None) -> dict[int, Moments]:
     """Moments of the corpus (key 0), or of each integer group; one pass over the data.
 
     The tensors come to the driver, so their total size is checked first.
     """
-    dim = vector_dim(df, vector)
+    dim = dim or vector_dim(df, vector)
     if dim > MOMENT_DIM_LIMIT:
         raise ValueError(f"moments are for at most {MOMENT_DIM_LIMIT} components, got {dim}")
     grp = F.lit(0).cast("long")
@@ -177,8 +194,8 @@ def group_moments(df: DataFrame, vector: str, group: str | None = None) -> dict[
     return result
 
 
-def corpus_moments(df: DataFrame, vector: str) -> Moments:
-    return group_moments(df, vector)[0]
+def corpus_moments(df: DataFrame, vector: str, dim: int | None = None) -> Moments:
+    return group_moments(df, vector, dim=dim)[0]
 
 
 def with_moment_score(df: DataFrame, vector: str, moments: Moments, name: str = "score") -> DataFrame:
@@ -187,27 +204,28 @@ def with_moment_score(df: DataFrame, vector: str, moments: Moments, name: str =
 
     def score(batches: Batches) -> Batches:
         for batch in batches:
-            scores = np.empty(0)
-            if batch.num_rows:
-                scores = moments.mean_cube(batch_matrix(batch, "_v"))
-            columns = [batch.column(c) for c in kept] + [pa.array(scores, pa.float64())]
+            numbered = batch.append_column("_n", pa.array(np.arange(batch.num_rows)))
+            whole, x = batch_vectors(numbered, "_v")
+            scores = np.full(batch.num_rows, np.nan)
+            if len(x):
+                scores[whole.column("_n").to_numpy()] = moments.mean_cube(x)
+            columns = [batch.column(c) for c in kept] + [pa.array(scores, pa.float64(), mask=np.isnan(scores))]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, name])
 
-    # one width for all rows: an unusable vector goes through as NaN and comes back as null
-    blank = F.array_repeat(F.lit(float("nan")), moments.dim)
-    ready = df.withColumn("_v", F.coalesce(F.when(usable(F.col(vector)), to_double(F.col(vector))), blank)).drop(vector)
     schema = T.StructType([*[df.schema[c] for c in kept], T.StructField(name, T.DoubleType())])
-    return ready.mapInArrow(score, schema).withColumn(name, F.nanvl(name, F.lit(None)))
+    return df.select(*kept, to_double(F.col(vector)).alias("_v")).mapInArrow(score, schema)
 
 
 def mean_cubed_similarity(
     candidates: DataFrame, corpus: DataFrame, candidate_id: str, vector: str = "vector", corpus_vector: str = "vector", way: str = "auto"
 ) -> DataFrame:
     """``candidate_id, score`` for every candidate."""
+    dim = None
     if way == "auto":
-        way = "moments" if vector_dim(corpus, corpus_vector) <= MOMENT_DIM_LIMIT else "passes"
+        dim = vector_dim(corpus, corpus_vector)
+        way = "moments" if dim <= MOMENT_DIM_LIMIT else "passes"
     if way == "moments":
-        moments = corpus_moments(corpus, corpus_vector)
+        moments = corpus_moments(corpus, corpus_vector, dim)
         return with_moment_score(candidates.select(candidate_id, vector), vector, moments)
     return _score_in_passes(candidates, corpus, candidate_id, vector, corpus_vector)
 
@@ -224,7 +242,7 @@ def _score_in_passes(candidates: DataFrame, corpus: DataFrame, candidate_id: str
             cubes, rows = np.zeros(len(ids)), 0
             step = max(1, CELLS // len(ids))
             for batch in batches:
-                x = batch_matrix(batch, "v") if batch.num_rows else np.empty((0, 1))
+                _, x = batch_vectors(batch)
                 for at in range(0, len(x), step):
                     cubes += ((x[at : at + step] @ wanted.T) ** 3).sum(axis=0)
                 rows += len(x)
@@ -299,7 +317,7 @@ def similarity_rows(df: DataFrame, id_column: str, vector: str, candidates: Data
             ids, wanted = shared.value
             step = max(1, CELLS // len(ids))
             for batch in batches:
-                x = batch_matrix(batch, "v") if batch.num_rows else np.empty((0, 1))
+                batch, x = batch_vectors(batch)
                 names = batch.column(id_column).to_numpy(zero_copy_only=False)
                 for at in range(0, len(x), step):
                     part = x[at : at + step]
@@ -335,7 +353,7 @@ def nearest_rows(
             kept_sim = np.empty((len(ids), 0))
             step = max(k, CELLS // len(ids))
             for batch in batches:
-                x = batch_matrix(batch, "v") if batch.num_rows else np.empty((0, 1))
+                batch, x = batch_vectors(batch)
                 names = batch.column("c").to_numpy()
                 for at in range(0, len(x), step):
                     sims = np.round(wanted @ x[at : at + step].T, digits)

@@ -15,11 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from palimpsest.functions.text import capitalise_sentence, letters_only, seeded_int, seeded_key
+from palimpsest.functions.text import REST, capitalise_sentence, letters_only, seeded_int, seeded_key
 from palimpsest.functions.vectors import cubed_cosine, encode_text
 from palimpsest.operators.evaluate import pick_row
 from palimpsest.operators.ordering import union_all, with_position
-from palimpsest.operators.scoring import Batches, Moments, as_matrix, batch_matrix, blocks, vectors_of, with_moment_score
+from palimpsest.operators.scoring import Batches, Moments, as_matrix, batch_vectors, blocks, vectors_of, with_moment_score
 
 Encoder = Callable[[Column], Column]
 SCORE_DIGITS = 9
@@ -41,7 +41,7 @@ def cleaned_text(words: Column) -> Column:
 def sentence_text(words: Column, stop_after: int = 3) -> Column:
     """Capitalised; a full stop once the beam already held ``stop_after`` words."""
     text = plain_text(words)
-    head = F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 2147483647))
+    head = F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, REST))
     return F.when(F.size(words) > stop_after, F.concat(head, F.lit("."))).otherwise(head)
 
 
@@ -377,9 +377,10 @@ def cluster_anchor_sums(rows: DataFrame, cluster: str, vector: str, anchors: Dat
             ids, wanted = shared.value
             sums: dict = {}
             for batch in batches:
-                if not batch.num_rows:
+                batch, x = batch_vectors(batch)
+                if not len(x):
                     continue
-                product, keys = batch_matrix(batch, "v") @ wanted.T, batch.column("c").to_numpy()
+                product, keys = x @ wanted.T, batch.column("c").to_numpy()
                 for key in np.unique(keys):
                     part = product[keys == key]
                     dots, cubes, n = sums.get(key, (0.0, 0.0, 0))

@@ -49,6 +49,16 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
+def spread_small(table: DataFrame) -> DataFrame:
+    """Spread a file scan with fewer splits than the cluster has cores, for work heavy on the CPU.
+
+    Only for scans (their split count is known without running anything); a table with enough splits
+    comes back as it is, so large data is never shuffled for this.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table._jdf.rdd().getNumPartitions() >= cores else table.repartition(cores)
+
+
 def read_wide_embeddings(df: DataFrame, texts: tuple[str, ...] = TEXTS, dim: int = 768) -> DataFrame:
     """Fold ``{column}_emb_0 …`` scalars into one array per text, in the row with its text."""
     vectors = [fold_columns(f"{c}_emb", dim).alias(f"{c}_vector") for c in texts]
