@@ -116,7 +116,14 @@ def _(t: Tables):
     return generate.nearest_examples(found, t.prompts, "prompt_id", F.col("rewrite_prompt"))
 
 
-@check("bootstrap_prompts")
+_TASK_SUBJECTS = texts.FREE_PROMPTS_TASK.count("subject")
+
+
+@check(
+    "bootstrap_prompts",
+    f"""SELECT NULL AS run, 0 AS round, text AS prompt, array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ') AS subject FROM benchmark
+      UNION ALL SELECT run, round, 'about ' || ({_TASK_SUBJECTS} + 5 + round - 1), 'n' FROM range(2) a(run), range(1, 3) b(round)""",
+)
 def _(t: Tables):
     def load():
         def answer(prompts):

@@ -147,7 +147,7 @@ def _(t: Tables):
     f"""SELECT coalesce({sql_strip("array_to_string(list_slice(rest, 1, kept), chr(10))")}, '') AS original_text, 'wikipedia' AS dataset_id FROM (
       SELECT rest, coalesce(list_min(list_filter(range(1, len(rest) + 1),
         lambda k: len(array_to_string(list_slice(rest, 1, k), chr(10))) >= 600)), len(rest)) AS kept
-      FROM (SELECT list_slice(string_split(text, chr(10)), 2, NULL) AS rest FROM documents))""",
+      FROM (SELECT list_slice(string_split(text, chr(10)), 2, len(string_split(text, chr(10)))) AS rest FROM documents))""",
 )
 def _(t: Tables):
     return readers.read_source_corpora({"wikipedia": (t.documents, "text")})

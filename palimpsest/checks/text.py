@@ -95,7 +95,7 @@ def _(t: Tables):
     f"""SELECT doc_id, coalesce({sql_strip("array_to_string(list_slice(rest, 1, kept), chr(10))")}, '') AS text FROM (
       SELECT doc_id, rest, coalesce(list_min(list_filter(range(1, len(rest) + 1),
         lambda k: len(array_to_string(list_slice(rest, 1, k), chr(10))) >= 300)), len(rest)) AS kept
-      FROM (SELECT doc_id, list_slice(string_split(text, chr(10)), 2, NULL) AS rest FROM documents))""",
+      FROM (SELECT doc_id, list_slice(string_split(text, chr(10)), 2, len(string_split(text, chr(10)))) AS rest FROM documents))""",
 )
 def _(t: Tables):
     return t.documents.select("doc_id", tx.head_lines(F.col("text"), 300).alias("text"))

@@ -240,19 +240,39 @@ def _(t: Tables):
     return clusters.project(t.embeddings.select("vec_id", "embedding"), "embedding", 16).select("vec_id", "projected")
 
 
-@check("kmeans_on_projection")
+@check(
+    "pca_keeps_distances",
+    with_views(
+        """SELECT id AS vec_id, round(sum((v[i] - x) ** 2), 6) AS squared FROM units, (SELECT i, avg(v[i]) AS x FROM units, range(1, 65) r(i) GROUP BY i) m
+        GROUP BY id""",
+        _UNITS,
+    ),
+)
+def _(t: Tables):
+    # with all components PCA is a rotation about the mean: squared lengths are squared distances to it
+    full = clusters.project(t.embeddings.select("vec_id", "embedding"), "embedding", 64)
+    return full.select("vec_id", rounded(vx.dot(F.col("projected"), F.col("projected"))).alias("squared"))
+
+
+def _assigned_to_nearest(labelled, centres, vector: str):
+    placed = clusters.nearest_centre(labelled, vector, centres)
+    own = placed.join(centres.select("cluster", F.col("centre").alias("_own")), "cluster")
+    distance = F.sqrt(vx.squared_distance(F.col(vector), F.col("_own")))
+    return own.select("vec_id", (F.abs(distance - F.col("distance")) < 1e-9).alias("nearest"))
+
+
+@check("kmeans_on_projection", "SELECT vec_id, true AS nearest FROM embeddings")
 def _(t: Tables):
-    projected = clusters.project(t.embeddings.select("vec_id", "embedding"), "embedding", 32)
-    labelled, _ = clusters.kmeans(projected, "projected", 10)
-    return labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    projected = clusters.project(t.embeddings.select("vec_id", "embedding"), "embedding", 32).select("vec_id", "projected")
+    labelled, centres = clusters.kmeans(projected, "projected", 10)
+    return _assigned_to_nearest(labelled, centres, "projected")
 
 
-@check("kmeans_per_hundred_rows")
+@check("kmeans_per_hundred_rows", "SELECT vec_id, true AS nearest FROM embeddings")
 def _(t: Tables):
     rows = t.embeddings.select("vec_id", "embedding")
     labelled, centres = clusters.kmeans(rows, "embedding", clusters.clusters_for(rows.count()))
-    sizes = labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.join(centres, "cluster").select("cluster", "n", F.size("centre").alias("dim"))
+    return _assigned_to_nearest(labelled, centres, "embedding")
 
 
 _EPS = 0.3
@@ -277,14 +297,22 @@ def _(t: Tables):
     return clusters.density_clusters(t.document_vectors, "id", "vector", _EPS, 5)
 
 
-@check("best_direction")
+_FOUND = "round(start_score, 6) AS start_score, true AS improved"
+
+
+@check(
+    "best_direction",
+    with_views(f"SELECT 0 AS grp, {_FOUND} FROM (SELECT avg((list_sum(v) / 8) ** 3) AS start_score FROM units)", _UNITS),
+)
 def _(t: Tables):
-    start = [1.0] * 64
-    return clusters.best_direction(t.embeddings, "embedding", start).select("grp", "score", "start_score", "iterations")
+    found = clusters.best_direction(t.embeddings, "embedding", [1.0] * 64)
+    return found.select("grp", rounded("start_score").alias("start_score"), (F.col("score") > F.col("start_score")).alias("improved"))
 
 
-@check("best_direction_per_cluster")
+@check(
+    "best_direction_per_cluster",
+    with_views(f"SELECT grp, {_FOUND} FROM (SELECT label AS grp, avg((list_sum(v) / 8) ** 3) AS start_score FROM units GROUP BY label)", _UNITS),
+)
 def _(t: Tables):
-    start = [1.0] * 64
-    found = clusters.best_direction(t.embeddings, "embedding", start, group="label")
-    return found.select("grp", "score", "start_score", "iterations")
+    found = clusters.best_direction(t.embeddings, "embedding", [1.0] * 64, group="label")
+    return found.select("grp", rounded("start_score").alias("start_score"), (F.col("score") > F.col("start_score")).alias("improved"))
