@@ -335,9 +335,9 @@ def _(t: Tables):
     return ordering.slice_by_order(t.documents.select("doc_id", "source"), "doc_id", 0, 100)
 
 
-@check("row_slice", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents) WHERE r >= 200 AND r < 300")
+@check("row_slice", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents) WHERE r >= 100 AND r < 200")
 def _(t: Tables):
-    return ordering.slice_by_order(t.documents.select("doc_id"), "doc_id", 200, 300)
+    return ordering.slice_by_order(t.documents.select("doc_id"), "doc_id", 100, 200)
 
 
 @check(

@@ -142,7 +142,7 @@ def _load_conditioned():
     """Answers in three labelled lines taken from the last input text."""
 
     def answer(prompts):
-        return [f"Type: note\nPrompt: shorten {p.split('Input Text:')[-1][8:28].strip()}\nSubject: brevity" for p in prompts]
+        return [f"Type: note\nPrompt: shorten {p.split('Input Text:')[-1][8:28].split(chr(10))[0].strip()}\nSubject: brevity" for p in prompts]
 
     return answer
 

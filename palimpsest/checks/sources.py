@@ -126,7 +126,8 @@ def _(t: Tables):
 )
 def _(t: Tables):
     folder = t.scratch()
-    t.benchmark.select(F.concat(F.lit("  "), F.explode(F.split("text", "\n")), F.lit(" ")).alias("value")).write.text(folder)
+    lines = t.benchmark.select(F.explode(F.split("text", "\n")).alias("line"))
+    lines.select(F.concat(F.lit("  "), "line", F.lit(" ")).alias("value")).write.text(folder)
     return readers.read_lines(t.spark, folder)
 
 
