@@ -214,7 +214,7 @@ def _(t: Tables):
     held = held.withColumn("rewritten_text", F.concat("lang", "doc_id"))
     shifted = F.when(F.col("doc_id") % 7 == 0, F.concat("lang", F.col("doc_id") + 1))
     seen = seen.withColumn("rewritten_text", shifted)
-    return curate.drop_seen(held, seen, ["original_text", "rewritten_text", "rewrite_prompt"]).select("doc_id")
+    return curate.drop_seen(held, seen, ["original_text", "rewritten_text", "rewrite_prompt"], "doc_id").select("doc_id")
 
 
 @check(

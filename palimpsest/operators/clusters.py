@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from palimpsest.functions.vectors import squared_distance, to_double, usable, vector_literal
+from palimpsest.functions.vectors import to_double, usable
 from palimpsest.operators.scoring import (
+    CELLS,
     MOMENT_DIM_LIMIT,
     Batches,
     as_matrix,
@@ -57,24 +58,42 @@ def clusters_for(rows: int, per_cluster: int = 100) -> int:
 
 
 def nearest_centre(df: DataFrame, vector: str, centres: DataFrame, max_centres: int = 10_000) -> DataFrame:
-    """Add ``nearest`` and ``distance`` to the closest of a checked number of centres."""
+    """Add ``nearest`` and ``distance`` to the closest of a checked number of centres.
+
+    Ties go to the smaller cluster; rows without a vector get nulls.
+    """
     table = centres.select("cluster", to_double(F.col("centre")).alias("centre")).limit(max_centres + 1).collect()
     if len(table) > max_centres:
         raise ValueError(f"more than {max_centres} centres")
-    known = F.array(
-        *[
-            F.struct(F.lit(r["cluster"]).alias("cluster"), vector_literal(r["centre"]).alias("centre"))
-            for r in sorted(table, key=lambda r: r["cluster"])
-        ]
+    table = sorted(table, key=lambda r: r["cluster"])
+    shared = df.sparkSession.sparkContext.broadcast(
+        (np.array([r["cluster"] for r in table], dtype=np.int64), np.array([r["centre"] for r in table]))
     )
-    distances = F.transform(
-        known,
-        lambda c: F.struct(
-            F.sqrt(squared_distance(F.col(vector), c["centre"])).alias("distance"), c["cluster"].alias("nearest")
-        ),
+    names = df.columns
+
+    def place(batches: Batches) -> Batches:
+        clusters, points = shared.value
+        step = max(1, CELLS // points.size)
+        for batch in batches:
+            numbered = batch.append_column("_n", pa.array(np.arange(batch.num_rows)))
+            whole, x = batch_vectors(numbered, "_v")
+            where = whole.column("_n").to_numpy()
+            nearest = np.zeros(batch.num_rows, dtype=np.int64)
+            distance = np.full(batch.num_rows, np.nan)
+            for at in range(0, len(x), step):
+                squared = ((x[at : at + step, None, :] - points[None]) ** 2).sum(axis=2)
+                best = squared.argmin(axis=1)
+                nearest[where[at : at + step]] = clusters[best]
+                distance[where[at : at + step]] = np.sqrt(squared[np.arange(len(best)), best])
+            missing = np.isnan(distance)
+            added = [pa.array(nearest.astype(np.int32), mask=missing), pa.array(distance, mask=missing)]
+            columns = [batch.column(c) for c in names] + added
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "nearest", "distance"])
+
+    schema = T.StructType(
+        [*df.schema.fields, T.StructField("nearest", T.IntegerType()), T.StructField("distance", T.DoubleType())]
     )
-    best = df.withColumn("_best", F.array_min(distances))
-    return best.withColumns({"nearest": F.col("_best.nearest"), "distance": F.col("_best.distance")}).drop("_best")
+    return df.withColumn("_v", to_double(F.col(vector))).mapInArrow(place, schema)
 
 
 def most_typical(df: DataFrame, order: tuple[str, ...] = ("distance",), k: int = 20) -> DataFrame:

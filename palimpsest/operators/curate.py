@@ -136,16 +136,26 @@ def keep_listed(df: DataFrame, listed: DataFrame, key: str) -> DataFrame:
     return df.join(listed.select(key).distinct(), key, "left_semi")
 
 
-def drop_seen(df: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows for which none of the keys appears in the same column of ``seen``.
+def drop_seen(df: DataFrame, seen: DataFrame, keys: list[str], id_column: str | None = None) -> DataFrame:
+    """Rows for which none of the keys appears in the same column of ``seen``; duplicates are kept.
 
-    The seen values are reduced to distinct digests first, so long texts and repeated values do not
-    travel, and the kept rows keep their duplicates.
+    The seen values are reduced to distinct digests, so long texts and repeated values do not
+    travel. With a unique ``id_column`` only ids and digests are compared, and the ids that hit are
+    then taken out of the whole rows; otherwise the whole rows take part in one anti-join per key.
     """
-    for key in keys:
-        digests = seen.filter(F.col(key).isNotNull()).select(F.sha2(F.col(key), 256).alias("_seen")).distinct()
-        df = df.withColumn("_seen", F.sha2(F.col(key), 256)).join(digests, "_seen", "left_anti").drop("_seen")
-    return df
+
+    def digests(key: str) -> DataFrame:
+        return seen.filter(F.col(key).isNotNull()).select(F.sha2(F.col(key), 256).alias("_seen")).distinct()
+
+    if id_column is None:
+        for key in keys:
+            df = df.withColumn("_seen", F.sha2(F.col(key), 256)).join(digests(key), "_seen", "left_anti").drop("_seen")
+        return df
+    hits = [
+        df.select(id_column, F.sha2(F.col(key), 256).alias("_seen")).join(digests(key), "_seen", "left_semi").select(id_column)
+        for key in keys
+    ]
+    return df.join(union_all(hits).distinct(), id_column, "left_anti")
 
 
 def fan_out(df: DataFrame, variants: DataFrame, key: str, values: str, missing: str = "error") -> DataFrame:

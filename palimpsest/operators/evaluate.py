@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palimpsest.functions.text import REST
-from palimpsest.functions.vectors import cubed_cosine, squared_distance, to_double, vector_literal
-from palimpsest.operators.scoring import blocks
+from palimpsest.functions.vectors import cubed_cosine, squared_distance, to_double
+from palimpsest.operators.scoring import score_in_passes
 
 
 def mean_score(df: DataFrame, score: str = "score") -> DataFrame:
@@ -72,28 +72,6 @@ def rerank_by_centre(nll: DataFrame, candidates: DataFrame, k: int, candidate_id
 
 
 def constant_prompt_scores(df: DataFrame, truth: str, prompts: DataFrame, prompt_id: str, vector: str) -> DataFrame:
-    """Mean |cos³| of each constant prompt against every row's own prompt vector.
-
-    The prompts come in blocks of a checked size as one array, so the corpus is read once per block
-    and each row contributes one number per prompt to a map-side combined mean.
-    """
-    parts = []
-    for block in blocks(prompts, prompt_id, vector, block_bytes=256 * 1024):
-        known = F.array(
-            *[
-                F.struct(F.lit(_plain(i)).alias(prompt_id), vector_literal(v).alias("_p"))
-                for i, v in zip(block[prompt_id], block[vector])
-            ]
-        )
-        scored = df.select(F.col(truth).alias("_t"), F.explode(known).alias("_k")).select(
-            F.col(f"_k.{prompt_id}").alias(prompt_id), cubed_cosine(F.col("_t"), F.col("_k._p")).alias("score")
-        )
-        parts.append(mean_score_by(scored, [prompt_id]))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _plain(value):
-    return value.item() if hasattr(value, "item") else value
+    """``prompt_id, mean_score, n``: mean |cos³| of each constant prompt against every row's own prompt."""
+    scores = score_in_passes(prompts, df, prompt_id, vector, truth, absolute=True)
+    return scores.withColumnRenamed("score", "mean_score")

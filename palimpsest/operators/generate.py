@@ -59,6 +59,16 @@ def batch_generate(
     or lost executors do not call the model again.
     """
 
+    key = "_prompt_digest"
+    if distinct_prompts:
+        # joined back by digest, so that rendered prompts do not have to travel with the rows
+        keyed = df.withColumn(key, F.sha2(F.col(prompt), 256))
+        asked = keyed.select(key, prompt).filter(F.col(prompt).isNotNull()).distinct()
+        kept = [asked.schema[key]]
+    else:
+        asked, kept = df, df.schema.fields
+    names = [f.name for f in kept]
+
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None
         for pdf in batches:
@@ -67,16 +77,13 @@ def batch_generate(
                 if model is None:
                     model = load_model()
                 answers, errors = _attempt(model, part[prompt].tolist(), retries, wait)
-                yield part.assign(**{output: answers, "error": errors})
+                yield part[names].assign(**{output: answers, "error": errors})
 
-    asked = df.select(prompt).filter(F.col(prompt).isNotNull()).distinct() if distinct_prompts else df
-    schema = T.StructType(
-        [*asked.schema.fields, T.StructField(output, T.StringType()), T.StructField("error", T.StringType())]
-    )
+    schema = T.StructType([*kept, T.StructField(output, T.StringType()), T.StructField("error", T.StringType())])
     answered = asked.mapInPandas(call, schema)
     if keep_result:
         answered = cut_lineage(answered)
-    return df.join(answered, prompt, "left") if distinct_prompts else answered
+    return keyed.join(answered, key, "left").drop(key) if distinct_prompts else answered
 
 
 def encode_with(df: DataFrame, text: str, load_encoder: Callable[[], Callable[[Sequence[str]], Sequence]], output: str = "vector", batch_size: int = 256) -> DataFrame:

@@ -227,10 +227,13 @@ def mean_cubed_similarity(
     if way == "moments":
         moments = corpus_moments(corpus, corpus_vector, dim)
         return with_moment_score(candidates.select(candidate_id, vector), vector, moments)
-    return _score_in_passes(candidates, corpus, candidate_id, vector, corpus_vector)
+    return score_in_passes(candidates, corpus, candidate_id, vector, corpus_vector).select(candidate_id, "score")
 
 
-def _score_in_passes(candidates: DataFrame, corpus: DataFrame, candidate_id: str, vector: str, corpus_vector: str) -> DataFrame:
+def score_in_passes(
+    candidates: DataFrame, corpus: DataFrame, candidate_id: str, vector: str, corpus_vector: str, absolute: bool = False
+) -> DataFrame:
+    """``candidate_id, score, n``: mean of cos³ (or of its absolute value) over the corpus."""
     context = corpus.sparkSession.sparkContext
     id_type = candidates.schema[candidate_id].dataType.simpleString()
     parts = []
@@ -244,7 +247,8 @@ def _score_in_passes(candidates: DataFrame, corpus: DataFrame, candidate_id: str
             for batch in batches:
                 _, x = batch_vectors(batch)
                 for at in range(0, len(x), step):
-                    cubes += ((x[at : at + step] @ wanted.T) ** 3).sum(axis=0)
+                    cubed = (x[at : at + step] @ wanted.T) ** 3
+                    cubes += (np.abs(cubed) if absolute else cubed).sum(axis=0)
                 rows += len(x)
             if rows:
                 counts = np.full(len(ids), rows, dtype=np.int64)
@@ -253,7 +257,7 @@ def _score_in_passes(candidates: DataFrame, corpus: DataFrame, candidate_id: str
         schema = f"{candidate_id} {id_type}, cubes double, rows long"
         parts.append(vectors_of(corpus, corpus_vector).mapInArrow(add, schema))
     sums = union_all(parts).groupBy(candidate_id).agg(F.sum("cubes").alias("cubes"), F.sum("rows").alias("rows"))
-    return sums.select(candidate_id, (F.col("cubes") / F.col("rows")).alias("score"))
+    return sums.select(candidate_id, (F.col("cubes") / F.col("rows")).alias("score"), F.col("rows").alias("n"))
 
 
 def prompt_score(prompt_vector: Column, corpus: DataFrame, vector: str = "vector") -> DataFrame:

@@ -67,6 +67,8 @@ def test_drop_seen_keeps_duplicates(spark):
     rows = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "x"), ("a", "y")], "k string, l string")
     seen = spark.createDataFrame([("b", "z"), ("q", "y"), (None, None)], "k string, l string")
     assert [tuple(r) for r in curate.drop_seen(rows, seen, ["k", "l"]).collect()] == [("a", "x"), ("a", "x")]
+    numbered = spark.createDataFrame([(0, "a", "x"), (1, "a", "x"), (2, "b", "x"), (3, "a", "y")], "id long, k string, l string")
+    assert sorted(r["id"] for r in curate.drop_seen(numbered, seen, ["k", "l"], "id").collect()) == [0, 1]
 
 
 def test_fan_out_missing_key(spark):
