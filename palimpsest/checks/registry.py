@@ -63,17 +63,22 @@ class Tables:
     def benchmark(self) -> DataFrame:
         return self.read("benchmark")
 
+    @property
+    def user_turns(self) -> DataFrame:
+        """User turns, spread over the cores where the file has fewer splits than that."""
+        turns = self.read("conversations").filter(F.col("role") == "user")
+        return spread_small(turns.select("conv_id", "turn", "text"))
+
     @property
     def prompts(self) -> DataFrame:
         """User turns: ``prompt_id, rewrite_prompt``."""
-        turns = self.read("conversations").filter(F.col("role") == "user")
-        return turns.select((F.col("conv_id") * 65536 + F.col("turn")).alias("prompt_id"), F.col("text").alias("rewrite_prompt"))
+        return self.user_turns.select((F.col("conv_id") * 65536 + F.col("turn")).alias("prompt_id"), F.col("text").alias("rewrite_prompt"))
 
     @property
     def rewrites(self) -> DataFrame:
         """User turn, the assistant turn after it, and a document dealt to the pair."""
         turns = self.read("conversations")
-        asked = turns.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("rewrite_prompt"))
+        asked = self.user_turns.withColumnRenamed("text", "rewrite_prompt")
         answered = turns.filter(F.col("role") == "assistant").select(
             "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("rewritten_text")
         )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from palimpsest.checks.registry import Tables, check, rounded, sql_int, sql_key, sql_letters, sql_vectors, sql_words, with_views
 from palimpsest.functions import text as tx, vectors as vx
 from palimpsest.operators import lexical, scoring, search
+from palimpsest.session import cut_lineage
 
 _PROMPT_WORDS = f"""prompt_counts AS (SELECT {sql_letters('w')} AS word, count(*) AS n
   FROM (SELECT unnest({sql_words('rewrite_prompt')}) AS w FROM prompts) WHERE {sql_letters('w')} <> '' GROUP BY 1)"""
@@ -18,7 +19,8 @@ _RAW = """raw AS MATERIALIZED (SELECT word, list(('0x' || substr(md5(word || '#'
 
 
 def _vocabulary(t: Tables, k: int = 30):
-    return lexical.top_words(lexical.word_counts(t.prompts, "rewrite_prompt"), k)
+    """The vocabulary as a finished table, not counted again in every step."""
+    return cut_lineage(lexical.top_words(lexical.word_counts(t.prompts, "rewrite_prompt"), k))
 
 
 def _moments(t: Tables):
@@ -328,10 +330,22 @@ def _(t: Tables):
     return sums.withColumns({"dots": rounded("dots"), "cubes": rounded("cubes")})
 
 
-@check("bitmask_trials", with_views("SELECT trial_id, cluster, selected FROM bits", _BITS))
+@check(
+    "bitmask_trials",
+    with_views(
+        """SELECT trial_id, cluster, selected, count(vec_id) AS n FROM bits LEFT JOIN units ON label = cluster
+        GROUP BY trial_id, cluster, selected""",
+        _ROWS,
+        _BITS,
+    ),
+)
 def _(t: Tables):
-    drawn = search.bitmask_trials(t.spark, 200, 10, 9, max_value=1023)
-    return drawn.withColumn("cluster", F.col("cluster").cast("long"))
+    sizes = t.embeddings.groupBy(F.col("label").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
+    clusters = t.embeddings.agg(F.max("label")).first()[0] + 1
+    drawn = search.bitmask_trials(t.spark, 200, clusters, 9, max_value=1023)
+    return drawn.join(sizes, "cluster", "left").select(
+        "trial_id", F.col("cluster").cast("long").alias("cluster"), "selected", F.coalesce("n", F.lit(0)).alias("n")
+    )
 
 
 _FITS = """fits AS (SELECT trial_id, max(kept) AS kept, avg(((score - target) * 100) ** 2) AS fit FROM (

@@ -122,7 +122,7 @@ def first_per_key(df: DataFrame, keys: list[str], id_column: str) -> DataFrame:
     Only a digest of the key and the id are grouped (combined on the map side, so a group of copies
     costs one row per task); the surviving ids, which are unique, select the rows.
     """
-    digest = F.sha2(F.to_json(F.struct(*keys)), 256)
+    digest = F.sha2(F.col(keys[0]) if len(keys) == 1 else F.to_json(F.struct(*keys)), 256)
     firsts = df.groupBy(digest.alias("_digest")).agg(F.min(id_column).alias(id_column))
     return df.join(firsts.select(id_column), id_column, "left_semi")
 
@@ -219,10 +219,9 @@ def sample_rows(df: DataFrame, n: int, seed: int, id_columns: list[str]) -> Data
 
 def split_validation(df: DataFrame, validation_rows: int, seed: int, id_columns: list[str]) -> DataFrame:
     """Add ``split``: the last ``validation_rows`` of the seeded shuffle are ``validation``."""
-    placed = with_shuffled_position(df, seed, id_columns, "_position")
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    is_validation = F.col("_position") >= total - validation_rows
-    return placed.withColumn("split", F.when(is_validation, "validation").otherwise("train")).drop("_position")
+    placed = with_shuffled_position(df, seed, id_columns, "_position", "_rows")
+    is_validation = F.col("_position") >= F.col("_rows") - validation_rows
+    return placed.withColumn("split", F.when(is_validation, "validation").otherwise("train")).drop("_position", "_rows")
 
 
 def subject_orders(df: DataFrame, column: str = "subject") -> DataFrame:

@@ -45,9 +45,9 @@ def range_bucket(df: DataFrame, column: str, buckets: int = BUCKETS) -> Column:
 
 
 def with_running_totals(
-    df: DataFrame, bucket: Column, order: list[Column], totals: dict[str, Column], position: str | None = None
+    df: DataFrame, bucket: Column, order: list[Column], totals: dict[str, Column], position: str | None = None, row_count: str | None = None
 ) -> DataFrame:
-    """Add the 0-based position and the running (inclusive) sum of each ``totals`` entry."""
+    """Add the 0-based position, the table's row count and the running (inclusive) sum of each total."""
     keyed = df.withColumn("_bucket", bucket)
     per_bucket = keyed.groupBy("_bucket").agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_t_{name}") for name, c in totals.items()]
@@ -56,7 +56,7 @@ def with_running_totals(
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = ["_n"] + [f"_t_{name}" for name in totals]
     offsets = per_bucket.select(
-        "_bucket", *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_o{s}") for s in sums]
+        "_bucket", F.sum("_n").over(Window.partitionBy()).alias("_all"), *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_o{s}") for s in sums]
     )
     inside = Window.partitionBy("_bucket").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -64,6 +64,8 @@ def with_running_totals(
     columns = [F.col(c) for c in df.columns]
     if position:
         columns.append((F.row_number().over(inside) - 1 + F.col("_o_n")).cast("long").alias(position))
+    if row_count:
+        columns.append(F.col("_all").alias(row_count))
     for name, value in totals.items():
         columns.append((F.sum(value).over(upto) + F.col(f"_o_t_{name}")).alias(name))
     return placed.select(*columns)
@@ -77,11 +79,11 @@ def with_position(
     return with_running_totals(df, range_bucket(df, order_by, buckets), order, {}, position)
 
 
-def with_shuffled_position(df: DataFrame, seed: int | str, id_columns: list[str], position: str = "position") -> DataFrame:
+def with_shuffled_position(df: DataFrame, seed: int | str, id_columns: list[str], position: str = "position", row_count: str | None = None) -> DataFrame:
     """Dense 0-based position of every row in the seeded shuffle."""
     keyed = df.withColumn("_key", seeded_key(seed, *id_columns))
     order = [F.col("_key"), *[F.col(c) for c in id_columns]]
-    return with_running_totals(keyed, hash_bucket(F.col("_key")), order, {}, position).drop("_key")
+    return with_running_totals(keyed, hash_bucket(F.col("_key")), order, {}, position, row_count).drop("_key")
 
 
 def with_running_mean(df: DataFrame, value: str, order_by: str, name: str = "running_mean", buckets: int = BUCKETS) -> DataFrame:

@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from palimpsest.functions.text import REST, capitalise_sentence, letters_only, seeded_int, seeded_key
 from palimpsest.functions.vectors import cubed_cosine, encode_text
-from palimpsest.operators.evaluate import pick_row
 from palimpsest.operators.ordering import union_all, with_position
 from palimpsest.operators.scoring import Batches, Moments, as_matrix, batch_vectors, blocks, vectors_of, with_moment_score
 
@@ -54,49 +53,65 @@ def length_penalty(score: Column, words: Column, alpha: float | None) -> Column:
 # generators
 
 
-def ordered_subsets(df: DataFrame, words: Column, max_length: int = 3, max_test: int = 1000, name: str = "subset") -> DataFrame:
-    """Ordered word subsets of up to ``max_length`` (at most 3) words, longest first, at most ``max_test``.
-
-    The i-th permutation is computed from its number, so a row only ever makes the ones it keeps.
-    Adds ``subset_no`` (0-based) and the word array.
-    """
+def _subset_sizes(max_length: int) -> list[int]:
     if not 1 <= max_length <= 3:
         raise ValueError("max_length must be 1, 2 or 3")
-    sized = df.withColumn("_words", words).withColumn("_n", F.size("_words").cast("long"))
-    n = F.col("_n")
+    return [r for r in (3, 2, 1) if r <= max_length]
+
+
+def _subset_count(n: Column, max_length: int) -> Column:
     counts = {1: n, 2: n * (n - 1), 3: n * (n - 1) * (n - 2)}
-    sizes = [r for r in (3, 2, 1) if r <= max_length]
-    total = sum((counts[r] for r in sizes), F.lit(0).cast("long"))
-    last = F.least(total, F.lit(max_test).cast("long")) - 1
-    numbered = sized.filter(n > 0).withColumn("subset_no", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return sum((counts[r] for r in _subset_sizes(max_length)), F.lit(0).cast("long"))
 
-    def nth(rank: Column, *taken: Column) -> Column:
-        """The rank-th free position, given the positions already taken in ascending order."""
+
+def _subset_positions(n: Column, number: Column, max_length: int) -> Column:
+    """Positions of the ``number``-th ordered subset of n items, longest subsets first."""
+
+    def free(rank: Column, *taken: Column) -> Column:
+        """The rank-th free position, given the taken positions in ascending order."""
         for position in taken:
             rank = rank + F.when(rank >= position, 1).otherwise(0)
         return rank
 
-    k = F.col("subset_no")
-    index = None
-    before = F.lit(0).cast("long")
-    for r in sizes:
-        i = k - before
+    def at_least_one(value: Column) -> Column:
+        return F.greatest(value, F.lit(1).cast("long"))
+
+    counts = {1: n, 2: n * (n - 1), 3: n * (n - 1) * (n - 2)}
+    before, chosen = F.lit(0).cast("long"), None
+    for r in _subset_sizes(max_length):
+        i = number - before
         if r == 3:
-            per_first, per_second = (n - 1) * (n - 2), n - 2
-            a = F.floor(i / F.greatest(per_first, F.lit(1)))
-            b = nth(F.floor(F.pmod(i, F.greatest(per_first, F.lit(1))) / F.greatest(per_second, F.lit(1))), a)
-            c = nth(F.pmod(i, F.greatest(per_second, F.lit(1))), F.least(a, b), F.greatest(a, b))
-            chosen = F.array(a, b, c)
+            per_first, per_second = at_least_one((n - 1) * (n - 2)), at_least_one(n - 2)
+            a = F.floor(i / per_first)
+            b = free(F.floor(F.pmod(i, per_first) / per_second), a)
+            positions = F.array(a, b, free(F.pmod(i, per_second), F.least(a, b), F.greatest(a, b)))
         elif r == 2:
-            a = F.floor(i / F.greatest(n - 1, F.lit(1)))
-            chosen = F.array(a, nth(F.pmod(i, F.greatest(n - 1, F.lit(1))), a))
+            a = F.floor(i / at_least_one(n - 1))
+            positions = F.array(a, free(F.pmod(i, at_least_one(n - 1)), a))
         else:
-            chosen = F.array(i)
+            positions = F.array(i)
         before = before + counts[r]
-        fits = k < before
-        index = F.when(fits, chosen) if index is None else index.when(fits, chosen)
-    picked = F.transform(F.col("_index"), lambda p: F.get(F.col("_words"), p.cast("int")))
-    return numbered.withColumn("_index", index).withColumn(name, picked).drop("_words", "_n", "_index")
+        chosen = F.when(number < before, positions) if chosen is None else chosen.when(number < before, positions)
+    return chosen
+
+
+def _subset_words(words: Column, number: Column, max_length: int) -> Column:
+    positions = _subset_positions(F.size(words).cast("long"), number, max_length)
+    return F.transform(positions, lambda p: F.get(words, p.cast("int")))
+
+
+def ordered_subsets(df: DataFrame, words: Column, max_length: int = 3, max_test: int = 1000, name: str = "subset") -> DataFrame:
+    """Ordered word subsets of up to ``max_length`` (at most 3) words, longest first, at most ``max_test``.
+
+    The i-th permutation is computed from its number, so a row only ever makes the ones it keeps.
+    Adds ``subset_no`` (0-based) and the word array.
+    """
+    sized = df.withColumn("_words", words)
+    total = _subset_count(F.size("_words").cast("long"), max_length)
+    last = F.least(total, F.lit(max_test).cast("long")) - 1
+    numbers = F.sequence(F.lit(0).cast("long"), last)
+    numbered = sized.filter(F.size("_words") > 0).withColumn("subset_no", F.explode(numbers))
+    return numbered.withColumn(name, _subset_words(F.col("_words"), F.col("subset_no"), max_length)).drop("_words")
 
 
 def inserted_everywhere(words: Column, token: str) -> Column:
@@ -287,17 +302,25 @@ def best_subject(
     """Per row, the short word sequence of its own prompt that best completes the mean prompt.
 
     ``row_id, best_subject, score``: signed cos³ between the completed mean prompt and the row's
-    prompt; the first subset in generation order wins ties. All rows are one job.
+    prompt; the first subset in generation order wins ties. All rows are one job, and ``row_id`` is
+    unique. Score and subset number are packed in one whole number, so that the choice is a hash
+    aggregate over two numbers; the words are found again from the number.
     """
-    cleaned = letters_only(F.col(prompt))
-    base = df.select(row_id, cleaned.alias("_prompt")).withColumn("_truth", encoder(F.col("_prompt")))
-    subsets = ordered_subsets(base, F.split("_prompt", " "), max_words, max_test)
-    subject = F.array_join("subset", " ")
-    completed = letters_only(F.replace(mean_prompt, F.lit(SUBJECT_SLOT), F.col("best_subject")))
-    scored = subsets.withColumn("best_subject", subject).withColumn(
-        "score", F.round(cubed_cosine(encoder(completed), F.col("_truth"), signed=True), SCORE_DIGITS)
+    base = df.select(row_id, letters_only(F.col(prompt)).alias("_prompt"))
+    subsets = ordered_subsets(base.withColumn("_truth", encoder(F.col("_prompt"))), F.split("_prompt", " "), max_words, max_test)
+    completed = letters_only(F.replace(mean_prompt, F.lit(SUBJECT_SLOT), F.array_join("subset", " ")))
+    score = cubed_cosine(encoder(completed), F.col("_truth"), signed=True)
+    places = 10**SCORE_DIGITS
+    rank = -F.round(score * places).cast("long")
+    packed = rank * (1 << 31) + F.col("subset_no")
+    best = subsets.select(row_id, packed.alias("_packed")).groupBy(row_id).agg(F.min("_packed").alias("_packed"))
+    number = F.col("_packed").bitwiseAND(F.lit((1 << 31) - 1))
+    words = _subset_words(F.split("_prompt", " "), number, max_words)
+    return base.join(best, row_id, "left").select(
+        row_id,
+        F.array_join(words, " ").alias("best_subject"),
+        (F.shiftright("_packed", 31) / F.lit(-float(places))).alias("score"),
     )
-    return pick_row(scored, [row_id], [-F.col("score"), F.col("subset_no")], ["best_subject", "score"])
 
 
 def subject_position_sweep(df: DataFrame, prompt: str, subject: str, mean_words: Column, encoder: Encoder = encode_text) -> DataFrame:
