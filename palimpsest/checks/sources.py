@@ -15,7 +15,7 @@ _RECORDS = ("original_text", "rewrite_prompt", "rewritten_text", "subject")
 
 
 def _json_lines(df: DataFrame, value, path: str) -> None:
-    """One JSON document per line, a document per class of 16 neighbouring ids."""
+    """One JSON document per row, each on its own line."""
     df.select(value.alias("value")).write.text(path)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from palimpsest.functions.text import letter_words, letters_only, ngrams, normalised_words, strip
+from palimpsest.functions.text import letter_words, letters_only, ngrams, normalised_words
 from palimpsest.operators.ordering import union_all
 
 # Words left out of the explored vocabulary.
@@ -116,7 +116,3 @@ def block_words(words: DataFrame, blocked: tuple[str, ...] = BLOCKED_WORDS) -> D
 
 def word_count_between(words: Column, low: int = 45, high: int = 55) -> Column:
     return F.size(words).between(low, high)
-
-
-def stripped_lines(lines: DataFrame, name: str) -> DataFrame:
-    return lines.select(strip(F.col("value")).alias(name))

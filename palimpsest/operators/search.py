@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from palimpsest.functions.text import REST, capitalise_sentence, letters_only, seeded_int, seeded_key
 from palimpsest.functions.vectors import cubed_cosine, encode_text
+from palimpsest.operators.evaluate import mean_score_by
 from palimpsest.operators.ordering import union_all, with_position
 from palimpsest.operators.scoring import Batches, Moments, as_matrix, batch_vectors, blocks, vectors_of, with_moment_score
 
@@ -331,7 +332,7 @@ def subject_position_sweep(df: DataFrame, prompt: str, subject: str, mean_words:
     )
     text = letters_only(F.replace(F.array_join("_at.words", " "), F.lit(SUBJECT_SLOT), F.col("_subject")))
     scored = spread.select(F.col("_at.position").alias("position"), cubed_cosine(encoder(text), F.col("_truth")).alias("score"))
-    return scored.groupBy("position").agg(F.avg("score").alias("mean_score"))
+    return mean_score_by(scored, ["position"]).drop("n")
 
 
 def random_word_search(spark: SparkSession, words: list[str], moments: Moments, trials: int = 1000, genes: int = 7, seed: int = 0, encoder: Encoder = encode_text) -> DataFrame:
