@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this package."""
 
-from palimpsest.llm import decontaminate  # noqa: F401  (registers its query)
+from palimpsest.llm import decontaminate, token_counts  # noqa: F401  (registers their queries)
 from palimpsest.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
