@@ -1,6 +1,10 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this package."""
 
-from palimpsest.llm import decontaminate, token_counts  # noqa: F401  (registers their queries)
+from palimpsest.llm import (  # noqa: F401  (importing registers their queries)
+    decontaminate,
+    token_counts,
+    toxicity,
+)
 from palimpsest.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
