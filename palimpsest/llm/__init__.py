@@ -2,6 +2,7 @@
 
 from palimpsest.llm import (  # noqa: F401  (importing registers their queries)
     decontaminate,
+    language,
     token_counts,
     toxicity,
 )
