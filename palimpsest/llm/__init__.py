@@ -4,6 +4,7 @@ from palimpsest.llm import (  # noqa: F401  (importing registers their queries)
     decontaminate,
     language,
     token_counts,
+    token_files,
     toxicity,
 )
 from palimpsest.llm.registry import ORACLES, QUERIES
