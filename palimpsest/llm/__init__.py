@@ -4,6 +4,7 @@ from palimpsest.llm import (  # noqa: F401  (importing registers their queries)
     decontaminate,
     language,
     pieces,
+    quality,
     token_counts,
     token_files,
     toxicity,
