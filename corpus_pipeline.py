@@ -1,10 +1,30 @@
-"""The documents through the filters of a training corpus, one stage after the other."""
+"""The documents through the filters of a training corpus, one stage after the other, to piece ids.
+
+Each stage takes all that its predecessor kept and returns its rows as they are; the last one returns ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import decontaminate
+from palimpsest.llm import decontaminate, ngram_join, pieces, quality, toxicity
+from palimpsest.session import cut_lineage
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; one labelled document in five teaches nothing, as in the query."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.drop_toxic(docs, toxicity.fit_toxicity(docs, labels.filter(toxicity.fold("doc_id", 5) != 0)))
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents beyond their language's perplexity threshold go."""
+    return quality.drop_low_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate class stays."""
+    return ngram_join.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,8 +32,17 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each document, their digest, and whether they decode to its text."""
+    return pieces.round_trip(docs)
+
+
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality_classifier", drop_low_quality),
+    ("ngram_jaccard_join", drop_near_duplicates),
     ("benchmark_decontamination", drop_contaminated),
+    ("sentencepiece", encode),
 ]
 
 #: No SQL for the learned stages; tests hold the rows against a plain version.
@@ -21,8 +50,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``, each written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

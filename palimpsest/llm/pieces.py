@@ -193,19 +193,19 @@ def ids_checksum(ids: Column) -> Column:
 
 
 def round_trip(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, n_pieces, ids_crc32, lossless``: the digest of each document's pieces, and whether they decode to its text."""
+    """``id, n_pieces, ids_crc32, lossless, ids``: each document's pieces and their digest, and whether they decode to its text."""
     rows = documents.select(F.struct(F.col(id_column).alias("id"), F.col(text).alias("text")).alias("row"), F.col(text).alias("text"))
     encoded = encode_pieces(rows, "row", "text")
     keyed = encoded.select(
-        F.struct("row", F.size("ids").cast("long").alias("n"), ids_checksum(F.col("ids")).alias("crc")).alias("key"), "ids"
+        F.struct("row", F.size("ids").cast("long").alias("n"), ids_checksum(F.col("ids")).alias("crc"), "ids").alias("key"), "ids"
     )
     back = decode_pieces(keyed, "key")
     same = F.coalesce(F.col("key.row.text"), F.lit("")) == F.col("text")
     return back.select(
-        F.col("key.row.id").alias(id_column), F.col("key.n").alias("n_pieces"), F.col("key.crc").alias("ids_crc32"), same.alias("lossless")
+        F.col("key.row.id").alias(id_column), F.col("key.n").alias("n_pieces"), F.col("key.crc").alias("ids_crc32"), same.alias("lossless"), F.col("key.ids").alias("ids")
     )
 
 
 @query("op4_sentencepiece")
 def op4(spark, folder):
-    return round_trip(table(spark, folder, "documents"))
+    return round_trip(table(spark, folder, "documents")).drop("ids")
