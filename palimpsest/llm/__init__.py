@@ -3,6 +3,7 @@
 from palimpsest.llm import (  # noqa: F401  (importing registers their queries)
     decontaminate,
     language,
+    near_vectors,
     ngram_join,
     pieces,
     quality,
