@@ -10,6 +10,7 @@ from palimpsest.llm import (  # noqa: F401  (importing registers their queries)
     token_counts,
     token_files,
     toxicity,
+    url_filter,
 )
 from palimpsest.llm.registry import ORACLES, QUERIES
 
