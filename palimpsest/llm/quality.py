@@ -206,7 +206,7 @@ def perplexities(
     rows = documents.select(
         F.col(id_column).alias("id"),
         F.col(language).cast("string").alias("lang"),
-        F.struct(*[F.col(c) for c in keep], F.lit(0).alias("_")).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias("_")).alias("row"),
         F.col(text).cast("string").alias("text"),
     )
     dealt = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id"))
@@ -262,7 +262,7 @@ def quality_scores(documents: DataFrame, labels: DataFrame, id_column: str = "do
 def drop_low_quality(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """The rows whose perplexity is within the threshold of their language, as they are."""
     scored = cut_lineage(perplexities(documents, labels, id_column, keep=documents.columns))
-    return judged(scored, labels, id_column).filter("accepted").select(*[F.col(f"row.{c}") for c in documents.columns])
+    return judged(scored, labels, id_column).filter("accepted").select(*[F.col(f"row.`{c}`") for c in documents.columns])
 
 
 @query("op9_quality_classifier")
