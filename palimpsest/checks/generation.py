@@ -48,7 +48,7 @@ def _(t: Tables):
 @check("token_counts_with_tokenizer", "SELECT doc_id, CAST(len(string_split(text, ' ')) AS INTEGER) AS tokens FROM documents")
 def _(t: Tables):
     def load():
-        return lambda text: len(text.split(" "))
+        return lambda texts: [len(text.split(" ")) for text in texts]
 
     return generate.token_counts(t.documents.select("doc_id", "text"), "text", load).select("doc_id", "tokens")
 

@@ -283,8 +283,8 @@ _template_check("template_subject_task", texts.SUBJECT_TASK)
 _template_check("template_quality_task", texts.QUALITY_TASK)
 _template_check("template_prompt_task", texts.PROMPT_TASK)
 _template_check("template_json_task", texts.JSON_TASK, input="dataset_id")
-_template_check("template_merge_subject", texts.merge_template())
-_template_check("template_merge_subject_polite", texts.merge_template(polite=True))
+_template_check("template_merge_subject", texts.MERGE_SUBJECT)
+_template_check("template_merge_subject_polite", texts.MERGE_SUBJECT_POLITE)
 _template_check("template_rewrite_request", texts.CHAT_TURN.replace("{prompt}", texts.REWRITE_REQUEST))
 _template_check("template_chat_indented", texts.CHAT_TURN_INDENTED.replace("{prompt}", texts.REWRITE_REQUEST_ONE_LINE))
 _template_check("template_chat_quoted", texts.CHAT_QUOTED_TEXT, prompt="rewrite_prompt")

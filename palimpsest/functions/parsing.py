@@ -64,14 +64,14 @@ def prompt_or_default(text: Column, default: str = DEFAULT_PROMPT) -> Column:
 
 
 def judge_flag(response: Column, field: str = "is_well_written", any_text_is_true: bool = False) -> Column:
-    """Boolean answer of a judge; a missing key or unreadable response is false.
+    """Boolean answer of a judge (true, or a number other than 0); a missing key or unreadable response is false.
 
     ``any_text_is_true`` follows Python truthiness, under which even the text "False" counts as true.
     """
     value = F.get_json_object(response, f"$.{field}")
     if any_text_is_true:
         return F.coalesce(~value.isin("false", "", "0", "null", "[]", "{}"), F.lit(False))
-    return F.coalesce(F.lower(value) == "true", F.lit(False))
+    return F.coalesce((F.lower(value) == "true") | (F.coalesce(value.try_cast("double"), F.lit(0.0)) != 0), F.lit(False))
 
 
 def split_completion(text: Column, tag: str = COMPLETION_TAG) -> Column:

@@ -29,25 +29,35 @@ from palimpsest.session import cut_lineage
 NOISE = -1
 
 
+def _with_vector(df: DataFrame, vector: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with a usable vector, as ``_v`` for the learner, and the other rows."""
+    fit = F.coalesce(usable(to_double(F.col(vector))), F.lit(False))
+    return df.filter(fit).withColumn("_v", array_to_vector(to_double(F.col(vector)))), df.filter(~fit)
+
+
 def project(df: DataFrame, vector: str, dim: int, name: str = "projected") -> DataFrame:
-    """PCA projection of centred vectors to ``dim`` components (their signs are arbitrary)."""
-    ready = df.withColumn("_v", array_to_vector(to_double(F.col(vector))))
+    """PCA projection of centred vectors to ``dim`` components (their signs are arbitrary).
+
+    Rows without a usable vector take no part and get null.
+    """
+    ready, rest = _with_vector(df, vector)
     centre = StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False).fit(ready)
     centred = centre.transform(ready)
     model = PCA(k=dim, inputCol="_c", outputCol="_p").fit(centred)
-    return model.transform(centred).withColumn(name, vector_to_array("_p")).drop("_v", "_c", "_p")
+    done = model.transform(centred).withColumn(name, vector_to_array("_p")).drop("_v", "_c", "_p")
+    return done.unionByName(rest.withColumn(name, F.lit(None).cast("array<double>")))
 
 
 def explained_variance(df: DataFrame, vector: str, dim: int) -> list[float]:
-    ready = df.select(array_to_vector(to_double(F.col(vector))).alias("_v"))
+    ready = _with_vector(df, vector)[0].select("_v")
     return PCA(k=dim, inputCol="_v", outputCol="_p").fit(ready).explainedVariance.toArray().tolist()
 
 
 def kmeans(df: DataFrame, vector: str, k: int, seed: int = 0, name: str = "cluster") -> tuple[DataFrame, DataFrame]:
-    """Rows with their cluster, and the table of centres ``cluster, centre``."""
-    ready = df.withColumn("_v", array_to_vector(to_double(F.col(vector))))
+    """Rows with their cluster (null without a usable vector), and the table of centres ``cluster, centre``."""
+    ready, rest = _with_vector(df, vector)
     model: KMeansModel = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol=name).fit(ready)
-    labelled = model.transform(ready).drop("_v")
+    labelled = model.transform(ready).drop("_v").unionByName(rest.withColumn(name, F.lit(None).cast("int")))
     centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return labelled, df.sparkSession.createDataFrame(centres, "cluster int, centre array<double>")
 
@@ -197,10 +207,13 @@ def density_clusters(df: DataFrame, id_column: str, vector: str, eps: float = 0.
     """``id, cluster``: core points have at least ``min_samples`` rows (themselves included) within ``eps``.
 
     A cluster is named after its smallest core id; a border point joins the smallest-named cluster
-    it touches; the rest is noise (−1). Copies of one vector are compared once with their weight.
+    it touches; the rest is noise (−1), rows without a vector included. Copies of one vector are compared
+    once with their weight.
     """
-    rows = vectors_of(df, vector, F.col(id_column).cast("long").alias("id"))
-    rows = cut_lineage(rows).filter(usable(F.col("v")))
+    every = cut_lineage(vectors_of(df, vector, F.col(id_column).cast("long").alias("id")))
+    rows = every.filter(usable(F.col("v")))
+    missing = every.filter(~F.coalesce(usable(F.col("v")), F.lit(False)))
+    missing = missing.select(F.col("id").alias(id_column), F.lit(NOISE).cast("long").alias("cluster"))
     points = cut_lineage(rows.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")))
     counted = (
         _compare(points, points, eps, False, "id long, neighbours double")
@@ -212,14 +225,14 @@ def density_clusters(df: DataFrame, id_column: str, vector: str, eps: float = 0.
     )
     core = points.filter("core")
     if core.isEmpty():
-        return rows.select(F.col("id").alias(id_column), F.lit(NOISE).cast("long").alias("cluster"))
+        return rows.select(F.col("id").alias(id_column), F.lit(NOISE).cast("long").alias("cluster")).union(missing)
     edges = _compare(core, core, eps, True, "a long, b long")
     labels = cut_lineage(connected_labels(core, edges))
     border = points.filter(~F.col("core"))
     touched = _border_labels(border, core.join(labels, "id"), eps)
     named = labels.unionByName(touched.select("id", "label"))
     labelled = points.join(named, "id", "left").select("v", F.coalesce("label", F.lit(NOISE)).cast("long").alias("cluster"))
-    return rows.join(labelled, "v").select(F.col("id").alias(id_column), "cluster")
+    return rows.join(labelled, "v").select(F.col("id").alias(id_column), "cluster").union(missing)
 
 
 def _border_labels(border: DataFrame, core: DataFrame, eps: float) -> DataFrame:

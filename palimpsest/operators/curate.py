@@ -120,11 +120,13 @@ def first_per_key(df: DataFrame, keys: list[str], id_column: str) -> DataFrame:
     """First row (smallest id) of each distinct key, whole rows.
 
     Only a digest of the key and the id are grouped (combined on the map side, so a group of copies
-    costs one row per task); the surviving ids, which are unique, select the rows.
+    costs one row per task); the ids of the later copies, which are few, take their rows out.
     """
     digest = F.sha2(F.col(keys[0]) if len(keys) == 1 else F.to_json(F.struct(*keys)), 256)
-    firsts = df.groupBy(digest.alias("_digest")).agg(F.min(id_column).alias(id_column))
-    return df.join(firsts.select(id_column), id_column, "left_semi")
+    keyed = df.select(digest.alias("_digest"), id_column)
+    firsts = keyed.groupBy("_digest").agg(F.min(id_column).alias("_first"))
+    later = keyed.join(firsts, "_digest").filter(F.col(id_column) != F.col("_first")).select(id_column)
+    return df.join(later, id_column, "left_anti")
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

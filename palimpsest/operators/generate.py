@@ -25,7 +25,10 @@ def _attempt(model: Model, prompts: list[str], retries: int, wait: float) -> tup
     error = None
     for attempt in range(retries):
         try:
-            return list(model(prompts)), [None] * len(prompts)
+            answers = list(model(prompts))
+            if len(answers) != len(prompts):
+                raise ValueError(f"{len(answers)} answers to {len(prompts)} prompts")
+            return answers, [None] * len(prompts)
         except Exception as failure:  # a model may fail in any way; the row records it
             error = f"{type(failure).__name__}: {failure}"
             if attempt + 1 < retries:
@@ -108,15 +111,21 @@ def known_vectors(df: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     return df.join(vectors, key, "left")
 
 
-def token_counts(df: DataFrame, text: str, load_tokenizer: Callable[[], Callable[[str], int]], output: str = "tokens") -> DataFrame:
-    """Token count of each text by a user-supplied tokenizer, loaded once per task."""
+def token_counts(df: DataFrame, text: str, load_tokenizer: Callable[[], Callable[[list[str]], Sequence[int]]], output: str = "tokens") -> DataFrame:
+    """Token count of each text by a user-supplied tokenizer, loaded once per task.
+
+    The tokenizer gets the texts of a batch together and returns their counts; a null text has no count.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = None
         for pdf in batches:
             if count is None:
                 count = load_tokenizer()
-            yield pdf.assign(**{output: [int(count(t)) for t in pdf[text]]})
+            there = pdf[text].notna()
+            found = iter(count(pdf.loc[there, text].tolist()))
+            counts = [int(next(found)) if known else None for known in there]
+            yield pdf.assign(**{output: pd.Series(counts, index=pdf.index, dtype=object)})
 
     return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(output, T.IntegerType())]))
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from palimpsest.functions.text import letter_words, letters_only, ngrams, normalised_words
 from palimpsest.operators.ordering import union_all
@@ -60,10 +65,28 @@ def alphanumeric_word_counts(df: DataFrame, text: str) -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def term_counts(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, term, tf``: how often each term stands in each row's text, counted inside the row."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Counter(terms or ()) for terms in batch.column("terms").to_pylist()]
+            rows = np.repeat(np.arange(len(found)), [len(c) for c in found])
+            columns = [
+                batch.column("id").take(pa.array(rows)),
+                pa.array([t for c in found for t in c], pa.string()),
+                pa.array([n for c in found for n in c.values()], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "term", "tf"])
+
+    rows = df.select(F.col(doc_id).alias("id"), ngrams(F.col(text), 1).alias("terms"))
+    schema = T.StructType([rows.schema["id"], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    return rows.mapInArrow(count, schema).withColumnRenamed("id", doc_id)
+
+
 def tf_idf(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, term, weight``: smoothed idf ``ln((1+N)/(1+df)) + 1`` and unit-length rows."""
-    terms = df.select(doc_id, F.explode(ngrams(F.col(text), 1)).alias("term"))
-    counts = terms.groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """``doc_id, term, weight``: smoothed idf ``ln((1+N)/(1+df)) + 1`` and unit-length rows; one row per document."""
+    counts = term_counts(df, doc_id, text)
     documents = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     frequency = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = frequency.select(
@@ -77,11 +100,8 @@ def tf_idf(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def mean_polarity(df: DataFrame, row_id: str, text: str, lexicon: DataFrame) -> DataFrame:
     """Mean polarity of a text's words found in a ``(word, polarity)`` lexicon; null when none is."""
-    words = text_words(df, text, keep=(row_id,)).groupBy(row_id, "word").agg(F.count(F.lit(1)).alias("n"))
-    scored = words.join(lexicon.select("word", "polarity"), "word")
-    totals = scored.groupBy(row_id).agg(
-        (F.sum(F.col("polarity") * F.col("n")) / F.sum("n")).alias("polarity")
-    )
+    scored = text_words(df, text, keep=(row_id,)).join(lexicon.select("word", "polarity"), "word")
+    totals = scored.groupBy(row_id).agg(F.avg("polarity").alias("polarity"))
     return df.select(row_id).join(totals, row_id, "left")
 
 

@@ -86,13 +86,18 @@ def with_shuffled_position(df: DataFrame, seed: int | str, id_columns: list[str]
     return with_running_totals(keyed, hash_bucket(F.col("_key")), order, {}, position, row_count).drop("_key")
 
 
-def with_running_mean(df: DataFrame, value: str, order_by: str, name: str = "running_mean", buckets: int = BUCKETS) -> DataFrame:
-    """Mean of ``value`` over all rows up to and including each row in ``order_by`` order."""
-    totals = {"_sum": F.col(value).cast("double")}
-    placed = with_running_totals(
-        df, range_bucket(df, order_by, buckets), [F.col(order_by)], totals, "_position"
-    )
-    return placed.withColumn(name, F.col("_sum") / (F.col("_position") + 1)).drop("_sum", "_position")
+def with_running_mean(
+    df: DataFrame, value: str, order_by: str, name: str = "running_mean", buckets: int = BUCKETS, ties: list[str] = ()
+) -> DataFrame:
+    """Mean of the non-null ``value`` over all rows up to and including each row in ``order_by`` order.
+
+    Null while no value has come; ``ties`` break equal values of ``order_by``.
+    """
+    number = F.col(value).cast("double")
+    totals = {"_sum": F.coalesce(number, F.lit(0.0)), "_count": number.isNotNull().cast("long")}
+    order = [F.col(c) for c in (order_by, *ties)]
+    placed = with_running_totals(df, range_bucket(df, order_by, buckets), order, totals)
+    return placed.withColumn(name, F.when(F.col("_count") > 0, F.col("_sum") / F.col("_count"))).drop("_sum", "_count")
 
 
 def first_by_shuffle(df: DataFrame, n: int, seed: int | str, id_columns: list[str]) -> DataFrame:

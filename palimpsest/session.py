@@ -19,6 +19,7 @@ def local_session(cpus: int | str = "*", app: str = "palimpsest", shuffle_partit
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.checkpoint.dir", os.environ.get("PALIMPSEST_SHARED_FOLDER") or tempfile.mkdtemp(prefix="palimpsest-"))
         .getOrCreate()
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from palimpsest import schemas
 from palimpsest.functions.text import strip
@@ -16,21 +16,46 @@ TEXTS = ("original_text", "rewrite_prompt", "rewritten_text")
 METADATA_FILE = "dataset-metadata.json"  # fixed value: the one file a prompt folder holds besides data
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, by_header: bool = True) -> DataFrame:
-    """CSV whose texts hold quotes and newlines.
+CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+
+
+def _files_by_header(spark: SparkSession, path: str | list[str]) -> list[tuple[list[str], list[str]]]:
+    """The files of a path, glob or list, and their header, one entry per different header.
 
-    ``by_header`` maps the file's own header to the schema, so that column order and absent columns
-    do not matter (absent ones become null).
+    Lists the files and reads the first record of each.
     """
-    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
-    if not by_header:
-        return spark.read.options(**options).schema(schema).csv(path)
-    raw = spark.read.options(**options).csv(path)
-    columns = [
+    files = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").orderBy("path").collect()]
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file in files:
+        groups.setdefault(tuple(spark.read.options(**CSV_OPTIONS).csv(file).columns), []).append(file)
+    return [(list(header), members) for header, members in groups.items()]
+
+
+def _named_columns(raw: DataFrame, schema: T.StructType) -> list[Column]:
+    return [
         (F.col(f"`{f.name}`").cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name)
         for f in schema.fields
     ]
-    return raw.select(*columns)
+
+
+def _read_by_header(spark: SparkSession, path: str | list[str], schema: T.StructType, *more: Column) -> DataFrame:
+    parts = []
+    for _, members in _files_by_header(spark, path):
+        raw = spark.read.options(**CSV_OPTIONS).csv(members)
+        parts.append(raw.select(*_named_columns(raw, schema), *more))
+    return union_all(parts) if parts else spark.createDataFrame([], schema).select("*", *more)
+
+
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, by_header: bool = True) -> DataFrame:
+    """CSV whose texts hold quotes and newlines.
+
+    ``by_header`` maps each file's own header to the schema, so that column order and absent columns
+    do not matter (absent ones become null). Otherwise columns count by place, and a header that
+    disagrees with the schema is an error.
+    """
+    if by_header:
+        return _read_by_header(spark, path, schema)
+    return spark.read.options(**CSV_OPTIONS, enforceSchema=False).schema(schema).csv(path)
 
 
 def read_csv_files(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
@@ -39,10 +64,8 @@ def read_csv_files(spark: SparkSession, paths: list[str], schema: T.StructType)
 
 
 def read_csv_folder(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFrame:
-    """A glob of CSV files with one common header; ``source_file`` keeps provenance and order."""
-    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
-    table = spark.read.options(**options).schema(schema).csv(pattern)
-    return table.withColumn("source_file", F.input_file_name())
+    """A glob of CSV files, each read by its own header; ``source_file`` keeps provenance and order."""
+    return _read_by_header(spark, pattern, schema, F.input_file_name().alias("source_file"))
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -41,7 +41,7 @@ def test_random_examples_are_distinct_and_repeatable(spark):
 
 def test_tokenizer_and_encoder_hooks(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "c")], "id long, t string")
-    counted = generate.token_counts(df, "t", lambda: lambda x: len(x.split()))
+    counted = generate.token_counts(df, "t", lambda: lambda texts: [len(x.split()) for x in texts])
     assert [r["tokens"] for r in counted.orderBy("id").collect()] == [2, 1]
     encoded = generate.encode_with(df, "t", lambda: lambda batch: [[float(len(x))] for x in batch])
     assert [r["vector"] for r in encoded.orderBy("id").collect()] == [[3.0], [1.0]]

@@ -87,7 +87,7 @@ def test_render_keeps_braces_in_values_and_json(spark):
     rows = spark.createDataFrame([("{subject}", None)], "original_text string, subject string")
     got = rows.select(templates.render('{"k": 1} {original_text}|{subject}').alias("y")).first()["y"]
     assert got == '{"k": 1} {subject}|'
-    assert "subject" in templates.placeholders(prompt_texts.merge_template())
+    assert "subject" in templates.placeholders(prompt_texts.MERGE_SUBJECT)
 
 
 def test_training_record_parses_back(spark):
