@@ -17,13 +17,12 @@ from palimpsest.operators.scoring import (
     MOMENT_DIM_LIMIT,
     Batches,
     as_matrix,
+    against_blocks,
     batch_vectors,
-    blocks,
     group_moments,
     vector_dim,
     vectors_of,
 )
-from palimpsest.operators.ordering import union_all
 from palimpsest.session import cut_lineage
 
 NOISE = -1
@@ -129,7 +128,7 @@ def _close(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
     return squared <= eps * eps + 1e-12
 
 
-def _neighbour_kernel(shared, eps: float, want_edges: bool):
+def _neighbour_kernel(load, eps: float, want_edges: bool):
     """Per task: neighbour weights of its points, or a spanning set of edges between core points.
 
     Edges are reduced inside the task: every connected piece of a (task batch × block) comparison is
@@ -138,13 +137,15 @@ def _neighbour_kernel(shared, eps: float, want_edges: bool):
     """
 
     def weights(batches: Batches) -> Batches:
-        ids, y, weight = shared.value
+        block = load()
+        ids, y, weight = block["id"].to_numpy(), as_matrix(block["v"]), block["weight"].to_numpy(dtype=np.float64)
         for own, x in _pieces(batches, len(ids)):
             near = _close(x, y, eps)
             yield pa.RecordBatch.from_pydict({"id": own, "neighbours": near.astype(np.float64) @ weight})
 
     def edges(batches: Batches) -> Batches:
-        ids, y, _ = shared.value
+        block = load()
+        ids, y = block["id"].to_numpy(), as_matrix(block["v"])
         top = np.iinfo(np.int64).max
         for own, x in _pieces(batches, len(ids)):
             near = _close(x, y, eps)
@@ -164,15 +165,10 @@ def _neighbour_kernel(shared, eps: float, want_edges: bool):
 
 
 def _compare(points: DataFrame, others: DataFrame, eps: float, want_edges: bool, schema: str) -> DataFrame:
-    context = points.sparkSession.sparkContext
-    parts = []
-    for block in blocks(others, "id", "v", keep=("weight",), block_bytes=4 * 1024 * 1024):
-        shared = context.broadcast(
-            (block["id"].to_numpy(), as_matrix(block["v"]), block["weight"].to_numpy(dtype=np.float64))
-        )
-        kernel = _neighbour_kernel(shared, eps, want_edges)
-        parts.append(points.select("id", "v").mapInArrow(kernel, schema))
-    return union_all(parts)
+    def kernel(load):
+        return _neighbour_kernel(load, eps, want_edges)
+
+    return against_blocks(points.select("id", "v"), others, "id", "v", kernel, schema, keep=("weight",), block_bytes=4 * 1024 * 1024)
 
 
 def connected_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -236,21 +232,20 @@ def density_clusters(df: DataFrame, id_column: str, vector: str, eps: float = 0.
 
 
 def _border_labels(border: DataFrame, core: DataFrame, eps: float) -> DataFrame:
-    context = border.sparkSession.sparkContext
-    parts = []
-    for block in blocks(core, "id", "v", keep=("label",), block_bytes=4 * 1024 * 1024):
-        shared = context.broadcast((as_matrix(block["v"]), block["label"].to_numpy()))
-
-        def smallest(batches: Batches, shared=shared) -> Batches:
-            y, names = shared.value
+    def kernel(load):
+        def smallest(batches: Batches) -> Batches:
+            block = load()
+            y, names = as_matrix(block["v"]), block["label"].to_numpy()
             top = np.iinfo(np.int64).max
             for own, x in _pieces(batches, len(names)):
                 best = np.where(_close(x, y, eps), names[None, :], top).min(axis=1)
                 hit = best < top
                 yield pa.RecordBatch.from_pydict({"id": own[hit], "label": best[hit]})
 
-        parts.append(border.select("id", "v").mapInArrow(smallest, "id long, label long"))
-    return union_all(parts).groupBy("id").agg(F.min("label").alias("label"))
+        return smallest
+
+    found = against_blocks(border.select("id", "v"), core, "id", "v", kernel, "id long, label long", keep=("label",), block_bytes=4 * 1024 * 1024)
+    return found.groupBy("id").agg(F.min("label").alias("label"))
 
 
 # ---------------------------------------------------------------------------------------------

@@ -5,14 +5,14 @@ The score of a candidate ``c`` is the mean over the corpus of ``(c·d)³``. Two
 * **Moments** (up to 64 components): one pass turns the corpus into the symmetric third-moment
   tensor, whose size depends on the dimension alone. Any number of candidates is then scored
   without touching the corpus.
-* **Passes** (wider vectors): candidates go out in blocks of a checked byte size, every corpus
-  partition adds up its cubes locally, and only ``(candidate, sum, count)`` rows are shuffled. More
-  candidates than a block holds mean more passes.
+* **Passes** (vectors of any width): candidates in blocks of a checked byte size meet the corpus, which adds
+  up its cubes locally, and only ``(candidate, sum, count)`` rows leave a task. More candidates than one
+  block holds are joined block by block on the executors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import ceil
 
@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from palimpsest.functions.vectors import cubed_cosine, dot, squared_distance, to_double, vector_literal
-from palimpsest.operators.ordering import union_all
 
 MOMENT_DIM_LIMIT = 64
 BLOCK_BYTES = 64 * 1024 * 1024
@@ -75,28 +74,65 @@ def vector_dim(df: DataFrame, vector: str) -> int:
     return row["d"]
 
 
-def blocks(df: DataFrame, id_column: str, vector: str, keep: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> Iterator[pd.DataFrame]:
-    """The table in driver-sized pieces of at most about ``block_bytes`` of vectors each.
+def _whole_vectors(block: pd.DataFrame, vector: str) -> pd.DataFrame:
+    known = [v is not None and not np.isnan(np.asarray(v, dtype=np.float64)).any() for v in block[vector]]
+    return block[known]
 
-    The number of pieces follows from a count, pieces are hash classes of the id, and a piece that
-    still turns out too large is an error, not a truncation.
+
+def against_blocks(
+    left: DataFrame,
+    others: DataFrame,
+    id_column: str,
+    vector: str,
+    kernel: Callable[[Callable[[], pd.DataFrame]], Callable[[Batches], Batches]],
+    schema: T.StructType | str,
+    keep: tuple[str, ...] = (),
+    block_bytes: int | None = None,
+) -> DataFrame:
+    """Every row of ``left`` against every row of ``others`` that has a vector, block by block.
+
+    ``kernel(load)`` gives the function for a stream of left batches; ``load()`` the other side's block (id,
+    ``keep``, vector). Another side of at most ``block_bytes`` of vectors, by count, is one block that all
+    tasks get. A larger one is packed into blocks on the executors: each part of the left side meets each
+    block in a task of its own, and neither side passes the driver. Parts of the left side follow its rows,
+    equal ones spread by the partition they come from.
     """
-    rows = df.select(id_column).count()
+    block_bytes = block_bytes or BLOCK_BYTES
+    spark = left.sparkSession
+    wanted = others.select(id_column, *keep, to_double(F.col(vector)).alias(vector))
+    rows = wanted.count()
     if rows == 0:
-        return
-    per_block = max(1, block_bytes // (8 * vector_dim(df, vector)))
-    pieces = 1 if rows <= per_block else ceil(1.25 * rows / per_block)
-    wanted = df.select(id_column, *keep, to_double(F.col(vector)).alias(vector))
-    for piece in range(pieces):
-        part = wanted
-        if pieces > 1:
-            part = wanted.filter(F.pmod(F.xxhash64(id_column), F.lit(pieces)) == piece)
-        pdf = part.limit(2 * per_block + 1).toArrow().to_pandas()
-        if len(pdf) > 2 * per_block:
-            raise ValueError("uneven blocks: lower block_bytes")
-        known = [v is not None and not np.isnan(np.asarray(v, dtype=np.float64)).any() for v in pdf[vector]]
-        if any(known):
-            yield pdf[known]
+        return spark.createDataFrame([], schema)
+    per_block = max(1, block_bytes // (8 * vector_dim(others, vector)))
+    if rows <= per_block:
+        shared = spark.sparkContext.broadcast(_whole_vectors(wanted.toArrow().to_pandas(), vector))
+        return left.mapInArrow(kernel(lambda: shared.value), schema)
+    pieces, parts = ceil(1.25 * rows / per_block), max(1, ceil(left.count() / per_block))
+
+    def pack(block):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, block.schema) as stream:
+            stream.write_table(block)
+        return pa.table({"_piece": block.column("_piece")[:1], "_packed": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    def numbers(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    piece = F.pmod(F.xxhash64(id_column), F.lit(pieces).cast("long"))
+    packed = wanted.withColumn("_piece", piece).groupBy("_piece").applyInArrow(pack, "_piece long, _packed binary")
+    part = F.pmod(F.xxhash64(F.spark_partition_id(), *left.columns), F.lit(parts).cast("long"))
+    dealt = left.withColumn("_part", part).withColumn("_piece", numbers(pieces))
+    empty = spark.createDataFrame([], schema).toArrow().schema
+
+    def meet(mine, block):
+        if not mine.num_rows or not block.num_rows:
+            return empty.empty_table()
+        held = _whole_vectors(pa.ipc.open_stream(block.column("_packed")[0].as_py()).read_pandas(), vector)
+        found = list(kernel(lambda: held)(iter(mine.drop_columns(["_part", "_piece"]).to_batches(max_chunksize=4096)))) if len(held) else []
+        return pa.Table.from_batches(found).cast(empty) if found else empty.empty_table()
+
+    groups = dealt.groupBy("_part", "_piece"), packed.withColumn("_part", numbers(parts)).groupBy("_part", "_piece")
+    return groups[0].cogroup(groups[1]).applyInArrow(meet, schema)
 
 
 @dataclass(frozen=True)
@@ -165,7 +201,7 @@ def group_moments(df: DataFrame, vector: str, group: str | None = None, dim: int
     """
     dim = dim or vector_dim(df, vector)
     if dim > MOMENT_DIM_LIMIT:
-        raise ValueError(f"moments are for at most {MOMENT_DIM_LIMIT} components, got {dim}")
+        raise ValueError(f"moments are for at most {MOMENT_DIM_LIMIT} components, got {dim}: score in passes (CorpusVectors) instead")
     grp = F.lit(0).cast("long")
     if group is not None:
         grp = F.col(group).cast("long")
@@ -230,18 +266,26 @@ def mean_cubed_similarity(
     return score_in_passes(candidates, corpus, candidate_id, vector, corpus_vector).select(candidate_id, "score")
 
 
+@dataclass(frozen=True)
+class CorpusVectors:
+    """A corpus that scores candidates of any dimension, in passes over its rows."""
+
+    rows: DataFrame
+    vector: str
+
+
 def score_in_passes(
     candidates: DataFrame, corpus: DataFrame, candidate_id: str, vector: str, corpus_vector: str, absolute: bool = False
 ) -> DataFrame:
     """``candidate_id, score, n``: mean of cos³ (or of its absolute value) over the corpus."""
-    context = corpus.sparkSession.sparkContext
     id_type = candidates.schema[candidate_id].dataType.simpleString()
-    parts = []
-    for block in blocks(candidates, candidate_id, vector):
-        shared = context.broadcast((block[candidate_id].to_numpy(), as_matrix(block[vector])))
 
-        def add(batches: Batches, shared=shared) -> Batches:
-            ids, wanted = shared.value
+    def kernel(load):
+        def add(batches: Batches) -> Batches:
+            block = load()
+            ids, wanted = block[candidate_id].to_numpy(), as_matrix(block[vector])
+            if not len(ids):
+                return
             cubes, rows = np.zeros(len(ids)), 0
             step = max(1, CELLS // len(ids))
             for batch in batches:
@@ -254,9 +298,11 @@ def score_in_passes(
                 counts = np.full(len(ids), rows, dtype=np.int64)
                 yield pa.RecordBatch.from_pydict({candidate_id: ids, "cubes": cubes, "rows": counts})
 
-        schema = f"{candidate_id} {id_type}, cubes double, rows long"
-        parts.append(vectors_of(corpus, corpus_vector).mapInArrow(add, schema))
-    sums = union_all(parts).groupBy(candidate_id).agg(F.sum("cubes").alias("cubes"), F.sum("rows").alias("rows"))
+        return add
+
+    schema = f"{candidate_id} {id_type}, cubes double, rows long"
+    sums = against_blocks(vectors_of(corpus, corpus_vector), candidates, candidate_id, vector, kernel, schema)
+    sums = sums.groupBy(candidate_id).agg(F.sum("cubes").alias("cubes"), F.sum("rows").alias("rows"))
     return sums.select(candidate_id, (F.col("cubes") / F.col("rows")).alias("score"), F.col("rows").alias("n"))
 
 
@@ -309,16 +355,16 @@ def top_fraction(scores: DataFrame, fraction: float, order: list[Column]) -> Dat
 
 def similarity_rows(df: DataFrame, id_column: str, vector: str, candidates: DataFrame, candidate_id: str, candidate_vector: str) -> DataFrame:
     """Similarity matrix in long form, ``id, candidate, similarity``: the product of both tables."""
-    context = df.sparkSession.sparkContext
     schema = T.StructType(
         [df.schema[id_column], candidates.schema[candidate_id], T.StructField("similarity", T.DoubleType())]
     )
-    parts = []
-    for block in blocks(candidates, candidate_id, candidate_vector, block_bytes=BLOCK_BYTES // 64):
-        shared = context.broadcast((block[candidate_id].to_numpy(), as_matrix(block[candidate_vector])))
 
-        def multiply(batches: Batches, shared=shared) -> Batches:
-            ids, wanted = shared.value
+    def kernel(load):
+        def multiply(batches: Batches) -> Batches:
+            block = load()
+            ids, wanted = block[candidate_id].to_numpy(), as_matrix(block[candidate_vector])
+            if not len(ids):
+                return
             step = max(1, CELLS // len(ids))
             for batch in batches:
                 batch, x = batch_vectors(batch)
@@ -332,8 +378,10 @@ def similarity_rows(df: DataFrame, id_column: str, vector: str, candidates: Data
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=[id_column, candidate_id, "similarity"])
 
-        parts.append(vectors_of(df, vector, F.col(id_column)).mapInArrow(multiply, schema))
-    return union_all(parts)
+        return multiply
+
+    left = vectors_of(df, vector, F.col(id_column))
+    return against_blocks(left, candidates, candidate_id, candidate_vector, kernel, schema, block_bytes=BLOCK_BYTES // 64)
 
 
 def nearest_rows(
@@ -341,30 +389,30 @@ def nearest_rows(
 ) -> DataFrame:
     """``query, neighbour, similarity, rank``: the ``k`` corpus rows most similar to each query.
 
-    Each task keeps its own best ``k`` per query, so only those are shuffled; rounds of queries go
-    out in blocks of a checked size. Ties go to the smaller corpus id.
+    Each task keeps its own best ``k`` per query, so only those are shuffled. Ties go to the smaller corpus
+    id; ids may be of any type that orders.
     """
-    context = corpus.sparkSession.sparkContext
     corpus_vector = corpus_vector or vector
-    q_type = queries.schema[query_id].dataType.simpleString()
-    parts = []
-    for block in blocks(queries, query_id, vector, block_bytes=BLOCK_BYTES // 8):
-        shared = context.broadcast((block[query_id].to_numpy(), as_matrix(block[vector])))
-
-        def best(batches: Batches, shared=shared) -> Batches:
-            ids, wanted = shared.value
-            kept_id = np.empty((len(ids), 0), dtype=np.int64)
-            kept_sim = np.empty((len(ids), 0))
+    q_type, c_type = (d.schema[i].dataType.simpleString() for d, i in ((queries, query_id), (corpus, corpus_id)))
+
+    def kernel(load):
+        def best(batches: Batches) -> Batches:
+            block = load()
+            ids, wanted = block[query_id].to_numpy(), as_matrix(block[vector])
+            if not len(ids):
+                return
+            kept_id, kept_sim = None, np.empty((len(ids), 0))
             step = max(k, CELLS // len(ids))
             for batch in batches:
                 batch, x = batch_vectors(batch)
-                names = batch.column("c").to_numpy()
+                names = batch.column("c").to_numpy(zero_copy_only=False)
                 for at in range(0, len(x), step):
                     sims = np.round(wanted @ x[at : at + step].T, digits)
                     here = np.broadcast_to(names[at : at + step], sims.shape)
                     kept_sim = np.concatenate([kept_sim, sims], axis=1)
-                    kept_id = np.concatenate([kept_id, here], axis=1)
-                    order = np.lexsort((kept_id, -kept_sim), axis=1)[:, :k]
+                    kept_id = here if kept_id is None else np.concatenate([kept_id, here], axis=1)
+                    places = np.unique(kept_id, return_inverse=True)[1].reshape(kept_id.shape)
+                    order = np.lexsort((places, -kept_sim), axis=1)[:, :k]
                     kept_sim = np.take_along_axis(kept_sim, order, axis=1)
                     kept_id = np.take_along_axis(kept_id, order, axis=1)
             width = kept_sim.shape[1]
@@ -372,9 +420,11 @@ def nearest_rows(
                 columns = {"query": np.repeat(ids, width), "neighbour": kept_id.ravel(), "similarity": kept_sim.ravel()}
                 yield pa.RecordBatch.from_pydict(columns)
 
-        vectors = vectors_of(corpus, corpus_vector, F.col(corpus_id).cast("long").alias("c"))
-        parts.append(vectors.mapInArrow(best, f"query {q_type}, neighbour long, similarity double"))
-    return _rank_neighbours(union_all(parts), k)
+        return best
+
+    vectors = vectors_of(corpus, corpus_vector, F.col(corpus_id).alias("c"))
+    schema = f"query {q_type}, neighbour {c_type}, similarity double"
+    return _rank_neighbours(against_blocks(vectors, queries, query_id, vector, kernel, schema, block_bytes=BLOCK_BYTES // 8), k)
 
 
 def _rank_neighbours(found: DataFrame, k: int) -> DataFrame:

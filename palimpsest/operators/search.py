@@ -18,10 +18,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from palimpsest.functions.text import REST, capitalise_sentence, letters_only, seeded_int, seeded_key
 from palimpsest.functions.vectors import cubed_cosine, encode_text
 from palimpsest.operators.evaluate import mean_score_by
-from palimpsest.operators.ordering import union_all, with_position
-from palimpsest.operators.scoring import Batches, Moments, as_matrix, batch_vectors, blocks, vectors_of, with_moment_score
+from palimpsest.operators.ordering import with_position
+from palimpsest.operators.scoring import (
+    CELLS,
+    Batches,
+    CorpusVectors,
+    Moments,
+    against_blocks,
+    as_matrix,
+    batch_vectors,
+    score_in_passes,
+    vectors_of,
+    with_moment_score,
+)
 
 Encoder = Callable[[Column], Column]
+#: What candidates are scored against: moments (few components) or the corpus itself (any number).
+Scorer = Moments | CorpusVectors
 SCORE_DIGITS = 9
 MAX_BEAMS = 100_000
 
@@ -230,12 +243,17 @@ class SearchState:
     trace: list[tuple[int, float, str]]
 
 
-def _score_texts(candidates: DataFrame, moments: Moments, encoder: Encoder) -> DataFrame:
-    scored = with_moment_score(candidates.withColumn("_vector", encoder(F.col("text"))), "_vector", moments)
+def _score_texts(candidates: DataFrame, corpus: Scorer, encoder: Encoder) -> DataFrame:
+    if isinstance(corpus, Moments):
+        scored = with_moment_score(candidates.withColumn("_vector", encoder(F.col("text"))), "_vector", corpus)
+    else:
+        texts = candidates.select("text").distinct().withColumn("_vector", encoder(F.col("text")))
+        scores = score_in_passes(texts, corpus.rows, "text", "_vector", corpus.vector).select("text", "score")
+        scored = candidates.join(scores, "text", "left")
     return scored.withColumn("score", F.round("score", SCORE_DIGITS))
 
 
-def _scored(candidates: DataFrame, moments: Moments, encoder: Encoder, render, alpha: float | None) -> DataFrame:
+def _scored(candidates: DataFrame, moments: Scorer, encoder: Encoder, render, alpha: float | None) -> DataFrame:
     text = candidates.withColumn("text", render(F.col("words")))
     scored = _score_texts(text, moments, encoder)
     return scored.withColumn("beam_score", length_penalty(F.col("score"), F.col("words"), alpha))
@@ -243,7 +261,7 @@ def _scored(candidates: DataFrame, moments: Moments, encoder: Encoder, render, a
 
 def beam_search(
     vocabulary: DataFrame,
-    moments: Moments,
+    moments: Scorer,
     beam_width: int = 50,
     num_steps: int = 15,
     encoder: Encoder = encode_text,
@@ -282,7 +300,7 @@ def beams_table(spark: SparkSession, state: SearchState) -> DataFrame:
 
 
 def substitution_search(
-    vocabulary: DataFrame, moments: Moments, words: list[str], rounds: int = 5, encoder: Encoder = encode_text
+    vocabulary: DataFrame, moments: Scorer, words: list[str], rounds: int = 5, encoder: Encoder = encode_text
 ) -> list[tuple[int, float, str]]:
     """Best single-word replacement per round, taken even when it scores lower than before."""
     trace = []
@@ -335,7 +353,7 @@ def subject_position_sweep(df: DataFrame, prompt: str, subject: str, mean_words:
     return mean_score_by(scored, ["position"]).drop("n")
 
 
-def random_word_search(spark: SparkSession, words: list[str], moments: Moments, trials: int = 1000, genes: int = 7, seed: int = 0, encoder: Encoder = encode_text) -> DataFrame:
+def random_word_search(spark: SparkSession, words: list[str], moments: Scorer, trials: int = 1000, genes: int = 7, seed: int = 0, encoder: Encoder = encode_text) -> DataFrame:
     """All trials of a random word-set search, scored together: ``trial_id, text, score``."""
     known = _literal_words(words)
     drawn = random_trials(spark, trials, genes, len(words), seed)
@@ -344,7 +362,7 @@ def random_word_search(spark: SparkSession, words: list[str], moments: Moments,
 
 
 def population_search(
-    vocabulary: list[str], start: DataFrame, moments: Moments, generations: int = 100, parents: int = 5, offspring: int = 20, mutation: float = 0.5, seed: int = 0, encoder: Encoder = encode_text
+    vocabulary: list[str], start: DataFrame, moments: Scorer, generations: int = 100, parents: int = 5, offspring: int = 20, mutation: float = 0.5, seed: int = 0, encoder: Encoder = encode_text
 ) -> DataFrame:
     """Elitist mutation search over word lists: ``generation, score, text, change``.
 
@@ -382,24 +400,26 @@ def population_search(
 # ---------------------------------------------------------------------------------------------
 # cluster-subset selection
 
-MAX_ANCHORS = 10_000
-
-
 def cluster_anchor_sums(rows: DataFrame, cluster: str, vector: str, anchors: DataFrame, anchor_id: str, anchor_vector: str) -> DataFrame:
     """``cluster, anchor, dots, cubes, n``: sums of dot and dot³ per (cluster, anchor), in one pass.
 
-    The sums combine exactly over any set of clusters, so trials never touch the rows again.
+    The sums combine exactly over any set of clusters, so trials never touch the rows again. A task passes
+    its sums on as soon as they have ``CELLS`` numbers, whatever the number of clusters.
     """
-    context = rows.sparkSession.sparkContext
-    parts = []
-    for block in blocks(anchors, anchor_id, anchor_vector):
-        if len(block) > MAX_ANCHORS:
-            raise ValueError(f"more than {MAX_ANCHORS} anchors")
-        shared = context.broadcast((block[anchor_id].to_numpy(dtype=np.int64), as_matrix(block[anchor_vector])))
-
-        def add(batches: Batches, shared=shared) -> Batches:
-            ids, wanted = shared.value
+
+    def kernel(load):
+        def add(batches: Batches) -> Batches:
+            block = load()
+            ids, wanted = block[anchor_id].to_numpy(dtype=np.int64), as_matrix(block[anchor_vector])
+            if not len(ids):
+                return
             sums: dict = {}
+
+            def rows_of(sums: dict) -> Batches:
+                for key, (dots, cubes, n) in sums.items():
+                    columns = {"cluster": np.full(len(ids), key), "anchor": ids, "dots": dots, "cubes": cubes}
+                    yield pa.RecordBatch.from_pydict({**columns, "n": np.full(len(ids), n, dtype=np.int64)})
+
             for batch in batches:
                 batch, x = batch_vectors(batch)
                 if not len(x):
@@ -409,13 +429,16 @@ def cluster_anchor_sums(rows: DataFrame, cluster: str, vector: str, anchors: Dat
                     part = product[keys == key]
                     dots, cubes, n = sums.get(key, (0.0, 0.0, 0))
                     sums[key] = (dots + part.sum(0), cubes + (part**3).sum(0), n + len(part))
-            for key, (dots, cubes, n) in sums.items():
-                columns = {"cluster": np.full(len(ids), key), "anchor": ids, "dots": dots, "cubes": cubes}
-                yield pa.RecordBatch.from_pydict({**columns, "n": np.full(len(ids), n, dtype=np.int64)})
+                if 2 * len(sums) * len(ids) > CELLS:
+                    yield from rows_of(sums)
+                    sums = {}
+            yield from rows_of(sums)
+
+        return add
 
-        source = vectors_of(rows, vector, F.col(cluster).cast("long").alias("c"))
-        parts.append(source.mapInArrow(add, "cluster long, anchor long, dots double, cubes double, n long"))
-    return union_all(parts).groupBy("cluster", "anchor").agg(
+    source = vectors_of(rows, vector, F.col(cluster).cast("long").alias("c"))
+    schema = "cluster long, anchor long, dots double, cubes double, n long"
+    return against_blocks(source, anchors, anchor_id, anchor_vector, kernel, schema).groupBy("cluster", "anchor").agg(
         F.sum("dots").alias("dots"), F.sum("cubes").alias("cubes"), F.sum("n").alias("n")
     )
 

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from palimpsest.functions.text import letters_only
 from palimpsest.functions.vectors import encode_text
 from palimpsest.operators.lexical import merge_vocabularies, word_counts
-from palimpsest.operators.scoring import corpus_moments
+from palimpsest.operators.scoring import CorpusVectors, corpus_moments
 from palimpsest.operators.search import SearchState, beam_search, plain_text
+from palimpsest.session import cut_lineage
 from palimpsest.sources.writers import load_state, save_state
 
 
@@ -30,10 +31,15 @@ def find_mean_prompt(
     encoder: Callable[[Column], Column] = encode_text,
     state_path: str | None = None,
     alpha: float | None = None,
+    way: str = "moments",
 ) -> SearchState:
-    """Beam search over the vocabulary; with ``state_path`` every step is saved and a rerun resumes."""
+    """Beam search over the vocabulary; with ``state_path`` every step is saved and a rerun resumes.
+
+    ``way`` is ``moments`` (one pass over the corpus, few components) or ``passes`` (any number of components;
+    the encoded corpus is written once and read in every step).
+    """
     corpus = prompts.select(encoder(letters_only(F.col(text))).alias("vector"))
-    moments = corpus_moments(corpus, "vector")
+    moments = corpus_moments(corpus, "vector") if way == "moments" else CorpusVectors(cut_lineage(corpus), "vector")
     words = vocabulary.select("word").persist()
     try:
         return beam_search(

@@ -18,7 +18,7 @@ def frame(spark, x, name="v"):
 @pytest.mark.parametrize("dim,way", [(5, "moments"), (5, "passes"), (80, "auto"), (64, "auto")])
 def test_mean_cubed_similarity(spark, dim, way, monkeypatch):
     # small blocks, so that candidates need several passes
-    monkeypatch.setattr(scoring.blocks, "__defaults__", ((), 8 * dim * 10))
+    monkeypatch.setattr(scoring, "BLOCK_BYTES", 8 * dim * 10)
     corpus, candidates = unit_rows(60, dim, 1), unit_rows(35, dim, 2)
     holes = frame(spark, corpus).unionByName(spark.createDataFrame([(99, None)], "id long, v array<double>"))
     got = {r["id"]: r["score"] for r in scoring.mean_cubed_similarity(frame(spark, candidates), holes, "id", "v", "v", way).collect()}

@@ -120,3 +120,25 @@ def test_vocabulary_of_corpora(spark, corpus):
     extra = spark.createDataFrame([("Extra!",), ("",)], "word string")
     words = {r["word"] for r in search_vocabulary([(corpus, "rewrite_prompt")], [extra]).collect()}
     assert {"extra", "poem", "a"} <= words and "" not in words
+
+
+def _wide(text):
+    """Six seeded encoders side by side: 96 components."""
+    return F.concat(*[encode_text(F.concat(text, F.lit(" " + "x" * k))) for k in range(6)])
+
+
+def test_search_above_the_dimension_of_moments(spark, corpus, vocabulary, monkeypatch):
+    wide = scoring.CorpusVectors(corpus.select(_wide(F.col("rewrite_prompt")).alias("v")), "v")
+    monkeypatch.setattr(scoring, "BLOCK_BYTES", 8 * 96 * 5)  # candidates and corpus in several blocks
+    state = search.beam_search(vocabulary, wide, 3, 2, encoder=_wide)
+    texts = spark.createDataFrame([(" ".join(b[0]), b[1]) for b in state.beams], "text string, found double")
+    vectors = texts.select("found", _wide(F.col("text")).alias("c")).join(wide.rows)
+    cubes = F.aggregate(F.zip_with("c", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) ** 3
+    for row in vectors.groupBy("found").agg(F.avg(cubes).alias("score")).collect():
+        assert abs(row["found"] - row["score"]) < 1e-8
+    assert len(state.trace) == 2 and len(state.beams) == 3
+
+
+def test_passes_and_moments_find_the_same_prompt(corpus, vocabulary, moments):
+    rows = scoring.CorpusVectors(corpus.select(encode_text(F.col("rewrite_prompt")).alias("v")), "v")
+    assert search.beam_search(vocabulary, rows, 3, 2).trace == search.beam_search(vocabulary, moments, 3, 2).trace
