@@ -13,7 +13,7 @@ from palimpsest.plans import synthetic
 
 
 def _load_counting():
-    return lambda prompts: [f"{len(p)} {p[:20]}" for p in prompts]
+    return lambda prompts: [f"{len(p)} {p[::-1]}" for p in prompts]
 
 
 def _load_failing():
@@ -27,7 +27,7 @@ def _load_failing():
     return answer
 
 
-@check("batch_generate", with_views("SELECT prompt_id, len(rewrite_prompt) || ' ' || substr(rewrite_prompt, 1, 20) AS generated FROM prompts", "prompts"))
+@check("batch_generate", with_views("SELECT prompt_id, len(rewrite_prompt) || ' ' || reverse(rewrite_prompt) AS generated FROM prompts", "prompts"))
 def _(t: Tables):
     return generate.batch_generate(t.prompts, "rewrite_prompt", _load_counting).select("prompt_id", "generated")
 

@@ -402,10 +402,10 @@ def _(t: Tables):
 @check(
     "score_changes",
     """SELECT step, round(score - coalesce(lag(score) OVER (ORDER BY step), 0), 6) AS change
-      FROM (SELECT label AS step, avg(embedding[1]::DOUBLE) AS score FROM embeddings GROUP BY label)""",
+      FROM (SELECT label AS step, avg(list_sum(embedding::DOUBLE[])) AS score FROM embeddings GROUP BY label)""",
 )
 def _(t: Tables):
-    trace = t.embeddings.groupBy(F.col("label").alias("step")).agg(F.avg(F.col("embedding")[0].cast("double")).alias("score"))
+    trace = t.embeddings.groupBy(F.col("label").alias("step")).agg(F.avg(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x)).alias("score"))
     return search.score_changes(trace).select("step", rounded("change").alias("change"))
 
 

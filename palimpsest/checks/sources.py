@@ -61,20 +61,21 @@ def _(t: Tables):
 
 @check(
     "wide_embedding_columns",
-    """SELECT original_text, rewrite_prompt, rewritten_text, i - 1 AS i, round(embedding[i]::DOUBLE, 6) AS x FROM (
-      SELECT CAST(vec_id AS VARCHAR) AS original_text, 'p' || vec_id AS rewrite_prompt, 'r' || vec_id AS rewritten_text, embedding FROM embeddings),
-      range(1, 9) r(i)""",
+    """SELECT original_text, part, i - 1 AS i, embedding[i]::DOUBLE * k AS x FROM (
+      SELECT CAST(vec_id AS VARCHAR) AS original_text, embedding FROM embeddings),
+      (VALUES ('original_text', 1), ('rewrite_prompt', 2), ('rewritten_text', 4)) parts(part, k), range(1, 65) r(i)""",
 )
 def _(t: Tables):
     wide = t.embeddings.select(
         F.col("vec_id").cast("string").alias("original_text"),
         F.concat(F.lit("p"), "vec_id").alias("rewrite_prompt"),
         F.concat(F.lit("r"), "vec_id").alias("rewritten_text"),
-        *[F.col("embedding")[i].alias(f"{c}_emb_{i}") for c in readers.TEXTS for i in range(8)],
+        *[(F.col("embedding")[i].cast("double") * 2**k).alias(f"{c}_emb_{i}") for k, c in enumerate(readers.TEXTS) for i in range(64)],
     )
-    folded = readers.read_wide_embeddings(wide, dim=8)
-    cells = folded.select(*readers.TEXTS, F.posexplode("rewrite_prompt_vector").alias("i", "x"))
-    return cells.select(*readers.TEXTS, F.col("i").cast("long").alias("i"), rounded(F.col("x").cast("double")).alias("x"))
+    folded = readers.read_wide_embeddings(wide, dim=64)
+    parts = F.explode(F.array(*[F.struct(F.lit(c).alias("part"), F.col(f"{c}_vector").alias("v")) for c in readers.TEXTS])).alias("p")
+    cells = folded.select("original_text", parts).select("original_text", "p.part", F.posexplode("p.v").alias("i", "x"))
+    return cells.select("original_text", "part", F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x"))
 
 
 @check(
@@ -169,15 +170,16 @@ def _(t: Tables):
 
 @check(
     "vectors_by_dataset",
-    """SELECT vec_id AS id, 'label-' || label AS dataset, round(embedding[1]::DOUBLE, 6) AS x0, len(embedding) AS dim
-      FROM embeddings WHERE label IN (3, 7)""",
+    """SELECT vec_id AS id, 'label-' || label AS dataset, i - 1 AS i, round(embedding[i]::DOUBLE, 6) AS x
+      FROM embeddings, range(1, 65) r(i) WHERE label IN (3, 7)""",
 )
 def _(t: Tables):
     folder = t.scratch()
     rows = t.embeddings.select(F.col("vec_id").alias("id"), F.concat(F.lit("label-"), "label").alias("dataset"), "embedding")
     writers.write_vectors(rows, folder)
     back = readers.read_vectors(t.spark, folder, ["label-3", "label-7"])
-    return back.select("id", "dataset", rounded(F.col("embedding")[0].cast("double")).alias("x0"), F.size("embedding").cast("long").alias("dim"))
+    cells = back.select("id", "dataset", F.posexplode("embedding").alias("i", "x"))
+    return cells.select("id", "dataset", F.col("i").cast("long").alias("i"), rounded(F.col("x").cast("double")).alias("x"))
 
 
 @check(

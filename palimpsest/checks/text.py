@@ -327,9 +327,9 @@ def _(t: Tables):
     return t.prompts.select("prompt_id", F.lit(texts.CONSTANT_PROMPTS[0]).alias("pred"))
 
 
-@check("rename_prompt", with_views("SELECT prompt_id, rewrite_prompt FROM prompts", "prompts"))
+@check("rename_prompt", with_views("SELECT prompt_id, rewrite_prompt AS prompt FROM prompts", "prompts"))
 def _(t: Tables):
-    return t.prompts.withColumnRenamed("rewrite_prompt", "prompt").withColumnRenamed("prompt", "rewrite_prompt")
+    return t.prompts.withColumnRenamed("rewrite_prompt", "prompt")
 
 
 @check(

@@ -39,12 +39,14 @@ def _(t: Tables):
 
 @check(
     "join_known_vectors",
-    "SELECT doc_id, embedding[1]::DOUBLE AS x0 FROM documents LEFT JOIN embeddings ON vec_id = doc_id",
+    """SELECT doc_id, i - 1 AS i, embedding[i]::DOUBLE AS x FROM documents LEFT JOIN embeddings ON vec_id = doc_id, range(1, 65) r(i)
+      WHERE embedding IS NOT NULL OR i = 1""",
 )
 def _(t: Tables):
     known = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
     joined = generate.known_vectors(t.documents.select("doc_id"), known, "doc_id")
-    return joined.select("doc_id", F.col("embedding")[0].cast("double").alias("x0"))
+    cells = joined.select("doc_id", F.posexplode_outer("embedding").alias("i", "x"))
+    return cells.select("doc_id", F.coalesce("i", F.lit(0)).cast("long").alias("i"), F.col("x").cast("double").alias("x"))
 
 
 @check(
