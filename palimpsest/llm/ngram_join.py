@@ -6,6 +6,8 @@ compared a piece at a time, and it is dropped as soon as the posterior probabili
 the threshold, given the matches so far, falls below a tolerance; the pairs that stay are verified exactly on
 their n-grams. Buckets are worked on in tiles of bounded size, in numpy, and pairs never become rows: a tile
 sends each member's partners as a list, and the verified links leave as counts and a spanning star.
+
+The large joins are told to merge: none of their sides has a bound, so their plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -130,14 +132,14 @@ def tile_rows(classes: DataFrame) -> DataFrame:
     """
     spread = classes.select("set_key", F.posexplode("bands").alias("band", "bucket"))
     many = cut_lineage(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    met = spread.join(many, "bucket").withColumn("parts", F.ceil(F.col("n") / TILE).cast("int"))
+    met = spread.join(many.hint("merge"), "bucket").withColumn("parts", F.ceil(F.col("n") / TILE).cast("int"))
     met = met.withColumn("part", F.pmod(F.xxhash64("set_key"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     met = met.select("set_key", "band", "bucket", "part", other.alias("other"))
     side = F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1)
     tile = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))
     return met.select("set_key", "band", side.cast("int").alias("side"), tile.alias("tile")).join(
-        classes.select("set_key", "bands", "sig"), "set_key"
+        classes.select("set_key", "bands", "sig").hint("merge"), "set_key"
     )
 
 
@@ -263,7 +265,7 @@ def verified_links(candidates: DataFrame, sets: DataFrame, threshold: float) ->
     links with there and ``others`` the number of those classes. ``sets``: ``set_key, grams, size``.
     """
     groups = pieces_of(candidates.count(), 4_000)
-    joined = candidates.join(sets, "set_key").withColumn("group", F.pmod(F.col("tile"), F.lit(groups)))
+    joined = candidates.join(sets.hint("merge"), "set_key").withColumn("group", F.pmod(F.col("tile"), F.lit(groups)))
 
     def verify(members):
         members = members.sort_by([("tile", "ascending"), ("place", "ascending")]).combine_chunks()
@@ -356,7 +358,7 @@ def _sets(documents: DataFrame, id_column: str, text: str, words: int, involved:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(grams, pa.binary())], names=["id", "grams"])
 
     texts = documents.select(F.xxhash64(F.col(id_column), F.col(text)).alias("place"), F.col(text).alias("text"))
-    texts = texts.join(involved, "place").withColumn("who", F.struct("set_key", "size"))
+    texts = texts.join(involved.hint("merge"), "place").withColumn("who", F.struct("set_key", "size"))
     made = map_texts(texts, "who", "text", make, "grams binary")
     return made.select("who.set_key", "who.size", "grams").dropDuplicates(["set_key"])
 
