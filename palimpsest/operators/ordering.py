@@ -1,7 +1,9 @@
 """Global order without a global sort in one task.
 
-Rows fall into buckets that follow the wanted order. The bucket totals (a table no longer than the
-number of buckets) give each bucket its offset, and the rest of the work stays inside the buckets.
+Rows fall into buckets that follow the wanted order: the partitions of one range exchange, written once so
+that totals and offsets belong to the same rows, or leading digits of a uniform key. The bucket totals (a
+table no longer than the number of buckets) give each bucket its offset, and the rest of the work stays
+inside the buckets. Every size of input takes the same way.
 """
 
 from __future__ import annotations
@@ -11,12 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palimpsest.functions.text import seeded_key
-from palimpsest.functions.vectors import vector_literal
+from palimpsest.session import cut_lineage
 
 HASH_BUCKET_DIGITS = 4
-BUCKETS = 1024
-# Above this many rows a plain orderBy().limit() would gather too much in one task.
-SMALL_LIMIT = 100_000
 
 
 def hash_bucket(key: Column) -> Column:
@@ -24,24 +23,14 @@ def hash_bucket(key: Column) -> Column:
     return F.conv(F.substring(key, 1, HASH_BUCKET_DIGITS), 16, 10).cast("int")
 
 
-def range_bucket(df: DataFrame, column: str, buckets: int = BUCKETS) -> Column:
-    """Bucket of a numeric column between approximate quantiles.
+def in_range_buckets(df: DataFrame, order: list[str], buckets: int | None = None) -> DataFrame:
+    """The rows with ``_bucket``, a number that follows ``order`` (columns of any type that sorts, nulls first).
 
-    The quantiles are read once and become literals, so every use of the bucket agrees. The search
-    goes over about √buckets group bounds and then inside one group.
+    One range exchange, with as many partitions as the session's shuffles unless ``buckets`` says otherwise.
+    Rows that are equal in all of ``order`` share a bucket, so a hot value needs a further column to spread.
     """
-    value = F.col(column).cast("double")
-    probabilities = vector_literal([i / buckets for i in range(1, buckets)])
-    found = df.agg(F.percentile_approx(value, probabilities, 10 * buckets).alias("q")).first()["q"]
-    bounds = sorted(set(found or []))
-    if not bounds:
-        return F.lit(0)
-    width = max(1, int(len(bounds) ** 0.5))
-    heads = vector_literal(bounds[::width])
-    group = F.size(F.filter(heads, lambda b: b <= value))
-    members = F.slice(vector_literal(bounds), F.greatest((group - 1) * width + 1, F.lit(1)), width)
-    inside = F.size(F.filter(members, lambda b: b <= value))
-    return F.when(group == 0, 0).otherwise((group - 1) * width + inside)
+    ranged = df.repartitionByRange(buckets, *order) if buckets else df.repartitionByRange(*order)
+    return cut_lineage(ranged.withColumn("_bucket", F.spark_partition_id()))
 
 
 def with_running_totals(
@@ -72,11 +61,12 @@ def with_running_totals(
 
 
 def with_position(
-    df: DataFrame, order_by: str, position: str = "position", ties: list[str] = (), buckets: int = BUCKETS
+    df: DataFrame, order_by: str, position: str = "position", ties: list[str] = (), buckets: int | None = None
 ) -> DataFrame:
-    """Dense 0-based position of every row by a numeric column (``ties`` break equal values)."""
-    order = [F.col(c) for c in (order_by, *ties)]
-    return with_running_totals(df, range_bucket(df, order_by, buckets), order, {}, position)
+    """Dense 0-based position of every row by a column (``ties`` break equal values and spread them)."""
+    order = [order_by, *ties]
+    rows = in_range_buckets(df, order, buckets)
+    return with_running_totals(rows, F.col("_bucket"), [F.col(c) for c in order], {}, position).drop("_bucket")
 
 
 def with_shuffled_position(df: DataFrame, seed: int | str, id_columns: list[str], position: str = "position", row_count: str | None = None) -> DataFrame:
@@ -87,7 +77,7 @@ def with_shuffled_position(df: DataFrame, seed: int | str, id_columns: list[str]
 
 
 def with_running_mean(
-    df: DataFrame, value: str, order_by: str, name: str = "running_mean", buckets: int = BUCKETS, ties: list[str] = ()
+    df: DataFrame, value: str, order_by: str, name: str = "running_mean", buckets: int | None = None, ties: list[str] = ()
 ) -> DataFrame:
     """Mean of the non-null ``value`` over all rows up to and including each row in ``order_by`` order.
 
@@ -95,24 +85,21 @@ def with_running_mean(
     """
     number = F.col(value).cast("double")
     totals = {"_sum": F.coalesce(number, F.lit(0.0)), "_count": number.isNotNull().cast("long")}
-    order = [F.col(c) for c in (order_by, *ties)]
-    placed = with_running_totals(df, range_bucket(df, order_by, buckets), order, totals)
-    return placed.withColumn(name, F.when(F.col("_count") > 0, F.col("_sum") / F.col("_count"))).drop("_sum", "_count")
+    order = [order_by, *ties]
+    rows = in_range_buckets(df, order, buckets)
+    placed = with_running_totals(rows, F.col("_bucket"), [F.col(c) for c in order], totals)
+    return placed.withColumn(name, F.when(F.col("_count") > 0, F.col("_sum") / F.col("_count"))).drop("_sum", "_count", "_bucket")
 
 
 def first_by_shuffle(df: DataFrame, n: int, seed: int | str, id_columns: list[str]) -> DataFrame:
     """The first ``n`` rows of the seeded shuffle."""
-    if n <= SMALL_LIMIT:
-        return df.orderBy(seeded_key(seed, *id_columns), *id_columns).limit(n)
     placed = with_shuffled_position(df, seed, id_columns, "_position")
     return placed.filter(F.col("_position") < n).drop("_position")
 
 
-def slice_by_order(df: DataFrame, order_by: str, start: int, stop: int) -> DataFrame:
+def slice_by_order(df: DataFrame, order_by: str, start: int, stop: int, ties: list[str] = ()) -> DataFrame:
     """Rows at positions ``start`` (inclusive) to ``stop`` (exclusive) in ``order_by`` order."""
-    if stop <= SMALL_LIMIT:
-        return df.orderBy(order_by).offset(start).limit(stop - start)
-    placed = with_position(df, order_by, "_position")
+    placed = with_position(df, order_by, "_position", ties)
     return placed.filter((F.col("_position") >= start) & (F.col("_position") < stop)).drop("_position")
 
 

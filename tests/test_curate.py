@@ -47,7 +47,6 @@ def test_positions_and_running_totals_over_skewed_values(spark, buckets):
 def test_shuffle_is_a_permutation_and_large_sample_agrees(spark, monkeypatch):
     df = spark.range(300)
     small = {r["id"] for r in curate.sample_rows(df, 40, 5, ["id"]).collect()}
-    monkeypatch.setattr(ordering, "SMALL_LIMIT", 0)
     assert {r["id"] for r in curate.sample_rows(df, 40, 5, ["id"]).collect()} == small
     assert sorted(r["position"] for r in curate.shuffle(df, 5, ["id"]).collect()) == list(range(300))
     assert [r["id"] for r in ordering.slice_by_order(df, "id", 10, 13).orderBy("id").collect()] == [10, 11, 12]

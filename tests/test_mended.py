@@ -78,3 +78,11 @@ def test_terms_are_counted_inside_the_row(spark):
 )
 def test_wording_of_the_merge_prompts(text, digest):
     assert hashlib.sha256(text.encode()).hexdigest() == digest
+
+
+def test_order_over_strings_and_nulls(spark):
+    words = [None, "pear", "apple", "fig", "apple", None, "kiwi"]
+    df = spark.createDataFrame(list(enumerate(words)), "id long, w string").repartition(3)
+    got = [r["id"] for r in ordering.with_position(df, "w", "p", ["id"]).orderBy("p").collect()]
+    assert got == sorted(range(len(words)), key=lambda i: (words[i] is not None, words[i] or "", i))
+    assert [r["w"] for r in ordering.slice_by_order(df, "w", 4, 6, ["id"]).orderBy("w").collect()] == ["fig", "kiwi"]
