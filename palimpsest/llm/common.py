@@ -16,11 +16,16 @@ WORKER_CACHE = "palimpsest_worker_cache"
 
 
 def kept_in_worker(name, make: Callable):
-    """``make()`` once per Python worker; tasks that follow in the same worker find it again."""
-    holder = sys.modules.setdefault(WORKER_CACHE, types.ModuleType(WORKER_CACHE)).__dict__.setdefault("values", {})
-    if name not in holder:
-        holder[name] = make()
-    return holder[name]
+    """``make()`` once per Python worker; tasks that follow in the same worker find it again.
+
+    A worker holds the last one only, so queries one after the other do not add up.
+    """
+    holder = sys.modules.setdefault(WORKER_CACHE, types.ModuleType(WORKER_CACHE)).__dict__
+    if holder.get("held") != name:
+        holder["held"], holder["value"] = None, None
+        holder["value"] = make()
+        holder["held"] = name
+    return holder["value"]
 
 
 def bounded_slices(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:

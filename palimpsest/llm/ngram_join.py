@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from palimpsest.llm.common import Batches, map_texts, pieces_of
-from palimpsest.llm.decontaminate import words_of
+from palimpsest.llm.decontaminate import WORDS_SQL, words_of
 from palimpsest.llm.registry import query, table
 from palimpsest.operators.clusters import connected_labels
 from palimpsest.session import cut_lineage
@@ -375,7 +375,28 @@ def keep_one(documents: DataFrame, id_column: str = "doc_id", text: str = "text"
     return marked.join(extra, "_place", "left_anti").drop("_place")
 
 
-@query("op5_ngram_jaccard_join")
+OP5_SQL = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, coalesce({WORDS_SQL}, []) AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - least({WORDS}, len(w)) + 2),
+                                                lambda i: array_to_string(w[i : i + least({WORDS}, len(w)) - 1], ' '))) AS g
+  FROM docs WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+near AS (
+  SELECT x, y, c = s.n AND c = t.n AS same FROM shared JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y
+  WHERE 5 * c >= 4 * (s.n + t.n - c)),
+links AS (SELECT x, y, same FROM near UNION ALL SELECT y, x, same FROM near),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least_of AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+degree AS (SELECT x, count(*) AS n, min(y) FILTER (WHERE same) AS twin FROM links GROUP BY x)
+SELECT doc_id, least(doc_id, coalesce(m.y, doc_id)) AS class_id, coalesce(n, 0)::BIGINT AS n_links,
+       least(doc_id, coalesce(twin, doc_id)) AS set_id, doc_id = least(doc_id, coalesce(m.y, doc_id)) AS kept
+FROM docs LEFT JOIN degree d ON d.x = doc_id LEFT JOIN least_of m ON m.x = doc_id
+"""
+
+
+@query("op5_ngram_jaccard_join", OP5_SQL)
 def op5(spark, folder):
     found = near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", "class_id", "n_links", "set_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
