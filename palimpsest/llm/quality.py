@@ -58,7 +58,7 @@ def _pack(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as stream:
         stream.write_batch(batch)
-    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
+    return zstandard.ZstdCompressor(level=6).compress(sink.getvalue())
 
 
 def _unpack(packed: pa.ChunkedArray) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
@@ -210,7 +210,7 @@ def perplexities(
         F.col(text).cast("string").alias("text"),
     )
     dealt = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id"))
-    packed = cut_lineage(packed_blocks(rows, F.pmod(dealt, blocks)))
+    packed = packed_blocks(rows, F.pmod(dealt, blocks))  # made anew for each use: cheaper than another copy of the texts
     teaching = trusted_ids(labels, id_column, trusted).filter("not held")
     teaching = teaching.select(F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), "id")
     counted = cut_lineage(block_counts(packed, teaching, order))
