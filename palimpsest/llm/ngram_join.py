@@ -53,7 +53,7 @@ class Shingler:
         words = words_of(text)
         if not words:
             return np.zeros(0, dtype=np.uint64)
-        if len(self.known) > 600_000:
+        if len(self.known) > 150_000:
             self.known.clear()
         known, digest = self.known, xxhash.xxh3_64_intdigest
         for w in set(words):

@@ -25,7 +25,7 @@ from palimpsest.session import cut_lineage
 ORDER = 5
 BLOCK_BYTES = 32 * 1024 * 1024
 #: Bytes worked on at a time inside a block.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 #: One trusted text in so many sets thresholds and teaches nothing.
 HELD = 10
 #: A text is good up to the median log perplexity of held trusted texts plus ``REACH`` times the way from it to this quantile.
@@ -82,7 +82,7 @@ def packed_blocks(rows: DataFrame, block: Column) -> DataFrame:
             bare = batch.drop_columns(["_block"])
             for part in np.split(order, cuts):
                 if len(part):
-                    for piece in bounded_slices(bare.take(pa.array(part)), "text", 2 * STEP_BYTES):
+                    for piece in bounded_slices(bare.take(pa.array(part)), "text", 4 * STEP_BYTES):
                         yield pa.RecordBatch.from_pydict(
                             {"block": pa.array([int(numbers[part[0]])], pa.int32()), "packed": pa.array([_pack(piece)], pa.binary())}
                         )
@@ -158,8 +158,8 @@ def log_probabilities(asked: DataFrame, counts: DataFrame, order: int = ORDER) -
 
 
 def score_blocks(blocks: DataFrame, answers: DataFrame, schema: T.StructType, order: int = ORDER) -> DataFrame:
-    """The packed rows without their text column, with ``log_perplexity`` and ``n_grams``, from ``answers`` (``block, gram, logp``)."""
-    kept = [f for f in schema.fields if f.name != "text"]
+    """The packed rows of ``schema`` with ``log_perplexity`` and ``n_grams``, from ``answers`` (``block, gram, logp``)."""
+    kept = schema.fields
     out = T.StructType([*kept, *T.StructType.fromDDL("log_perplexity double, n_grams long").fields])
     names = [f.name for f in kept]
 
@@ -193,21 +193,19 @@ def perplexities(
     text: str = "text",
     language: str = "lang",
     trusted: str = "quality",
-    keep: Sequence[str] = (),
+    keep: Sequence[str] | None = None,
     order: int = ORDER,
 ) -> DataFrame:
-    """``id, lang, log_perplexity, n_grams, row`` per document row; ``row`` is a struct of the columns ``keep``.
+    """``id, lang, log_perplexity, n_grams`` per document row, and with ``keep`` a struct ``row`` of those columns and ``text``.
 
     ``log_perplexity`` is the mean negative log probability of the text's bytes and its end. Trusted are rows
     whose id has the label 1; of these ids one in ``HELD``, by hash, is held back from the counts. Null texts
     count as empty. Rows of one id are each scored and lie in one block; rows without an id teach nothing.
     """
     blocks = F.lit(pieces_of(text_bytes(documents, text), BLOCK_BYTES, least=16))
+    kept = [F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias("_")).alias("row")] if keep is not None else []
     rows = documents.select(
-        F.col(id_column).alias("id"),
-        F.col(language).cast("string").alias("lang"),
-        F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias("_")).alias("row"),
-        F.col(text).cast("string").alias("text"),
+        F.col(id_column).alias("id"), F.col(language).cast("string").alias("lang"), *kept, F.col(text).cast("string").alias("text")
     )
     dealt = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id"))
     packed = packed_blocks(rows, F.pmod(dealt, blocks))  # made anew for each use: cheaper than another copy of the texts
@@ -216,7 +214,7 @@ def perplexities(
     counted = cut_lineage(block_counts(packed, teaching, order))
     totals = cut_lineage(counted.groupBy("gram").agg(F.sum("n").alias("n")))
     logs = log_probabilities(totals.select("gram"), totals.filter("n > 0"), order)
-    return score_blocks(packed, counted.select("block", "gram").join(logs, "gram"), rows.schema, order)
+    return score_blocks(packed, counted.select("block", "gram").join(logs, "gram"), rows.schema if kept else rows.drop("text").schema, order)
 
 
 def thresholds(scored: DataFrame, held: DataFrame) -> DataFrame:
@@ -253,16 +251,18 @@ def judged(scored: DataFrame, labels: DataFrame, id_column: str, trusted: str =
 
 def quality_scores(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """``id, perplexity, threshold, accepted`` per document row."""
-    scored = cut_lineage(perplexities(documents, labels, id_column).drop("row"))
+    scored = cut_lineage(perplexities(documents, labels, id_column))
     return judged(scored, labels, id_column).select(
         F.col("id").alias(id_column), F.exp("log_perplexity").alias("perplexity"), F.exp("log_threshold").alias("threshold"), "accepted"
     )
 
 
-def drop_low_quality(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> DataFrame:
+def drop_low_quality(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows whose perplexity is within the threshold of their language, as they are."""
-    scored = cut_lineage(perplexities(documents, labels, id_column, keep=documents.columns))
-    return judged(scored, labels, id_column).filter("accepted").select(*[F.col(f"row.`{c}`") for c in documents.columns])
+    others = [c for c in documents.columns if c != text]
+    scored = cut_lineage(perplexities(documents, labels, id_column, text, keep=others))
+    columns = [F.col("text").alias(text) if c == text else F.col(f"row.`{c}`") for c in documents.columns]
+    return judged(scored, labels, id_column).filter("accepted").select(*columns)
 
 
 @query("op9_quality_classifier")

@@ -200,7 +200,7 @@ def fit_toxicity(
 class WordScores:
     """Log odds of words under a model, kept for the words that come again."""
 
-    KEPT = 500_000
+    KEPT = 300_000
 
     def __init__(self, model: Model):
         self.model = model
