@@ -9,11 +9,13 @@ each occurrence of a word takes one of ``DRAWS`` segmentations, dealt by a hash
 from __future__ import annotations
 
 import heapq
+import zlib
+from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from palimpsest.llm.bpe import tokenizer_path
 from palimpsest.llm.common import Batches, kept_in_worker, list_array, map_texts
@@ -21,7 +23,7 @@ from palimpsest.llm.registry import query, table
 
 MODEL = "piece_bpe_32k.model"
 DROPOUT = 0.1
-DRAWS = 4
+DRAWS = 2
 SEED = 1
 #: The sign SentencePiece writes for a blank.
 BLANK = "▁"
@@ -29,6 +31,10 @@ BLANK = "▁"
 WORDS = regex.compile(r" *\p{L}+| *[^ \p{L}]+| +")
 
 
+#: Marks a place whose letter went into the piece before.
+GONE = -2
+
+
 class Pieces:
     """Vocabulary, merge scores and byte pieces of a SentencePiece BPE model with byte fallback."""
 
@@ -37,7 +43,7 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.ids: dict[str, int] = {}
-        self.scores: dict[str, float] = {}
+        scores: dict[str, float] = {}
         self.bytes_ids: dict[int, int] = {}
         self.raw: list[bytes] = []
         for number in range(model.get_piece_size()):
@@ -53,50 +59,72 @@ class Pieces:
                 if len(WORDS.findall(plain)) != 1:
                     raise ValueError(f"words cannot be cut inside the piece {plain!r}")
                 self.ids[plain] = number
-                self.scores[plain] = model.get_score(number)
+                scores[plain] = model.get_score(number)
                 self.raw.append(plain.encode())
         if len(self.bytes_ids) != 256:
             raise ValueError("the model has no byte fallback, so unknown characters would be lost")
+        ordered = sorted(scores, key=lambda p: -scores[p])
+        #: Rank of the merge of two pieces by their ids (20 bits each), and the id of what each rank makes.
+        self.ranks: dict[int, int] = {}
+        self.wholes = [self.ids[p] for p in ordered]
+        for rank, piece in enumerate(ordered):
+            for cut in range(1, len(piece)):
+                left, right = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
+                if left is not None and right is not None:
+                    self.ranks[left << 20 | right] = rank
+        self.letters = {piece: number for piece, number in self.ids.items() if len(piece) == 1}
         self.opening = " " if model.id_to_piece(model.encode("a")[0]) == BLANK + "a" else ""
 
     def segment(self, word: str, dropout: float = 0.0, seed: int = SEED, draw: int = 0) -> list[int]:
-        """Ids of one word."""
-        scores = self.scores
-        part = list(word)
-        n = len(part)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = []
-        for i in range(n - 1):
-            score = scores.get(part[i] + part[i + 1])
-            if score is not None:
-                agenda.append((-score, i, part[i], part[i + 1]))
+        """Ids of one word.
+
+        An entry of the agenda is one number, the rank of the merge and its place; it is stale where another
+        merge, or none, is due at the place by then.
+        """
+        ranks, wholes, push = self.ranks.get, self.wholes, heapq.heappush
+        n = len(word)
+        part = [self.letters.get(c, -1) for c in word]
+        after = list(range(1, n + 1))
+        before = list(range(-1, n - 1))
+        due = [ranks(a << 20 | b, -1) for a, b in pairwise(part)]
+        due.append(-1)
+        agenda = [rank << 32 | i for i, rank in enumerate(due) if rank >= 0]
         heapq.heapify(agenda)
-        bar = int(dropout * (1 << 32))
+        bar = int(dropout * (1 << 16))
+        salt = xxhash.xxh32_intdigest(f"{seed} {draw}") if bar else 0
         while agenda:
-            _, i, left, right = heapq.heappop(agenda)
-            j = after[i]
-            if part[i] != left or j >= n or part[j] != right:
+            entry = heapq.heappop(agenda)
+            i, rank = entry & 0xFFFFFFFF, entry >> 32
+            if due[i] != rank:
                 continue
-            if bar and xxhash.xxh32_intdigest(f"{draw}|{i}|{left}|{right}", seed) < bar:
-                continue
-            whole = part[i] = left + right
-            part[j] = ""
+            due[i] = -1
+            if bar:
+                x = (rank * 0x9E3779B1 ^ i * 0x85EBCA6B ^ salt) * 0xC2B2AE3D & 0xFFFFFFFF
+                if ((x ^ x >> 15) * 0x27D4EB2F & 0xFFFFFFFF) >> 16 < bar:
+                    continue
+            j = after[i]
+            whole = part[i] = wholes[rank]
+            part[j], due[j] = GONE, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                score = scores.get(whole + part[k])
-                if score is not None:
-                    heapq.heappush(agenda, (-score, i, whole, part[k]))
+                rank = ranks(whole << 20 | part[k], -1)
+                if rank >= 0:
+                    due[i] = rank
+                    push(agenda, rank << 32 | i)
             h = before[i]
             if h >= 0:
-                score = scores.get(part[h] + whole)
-                if score is not None:
-                    heapq.heappush(agenda, (-score, h, part[h], whole))
+                rank = due[h] = ranks(part[h] << 20 | whole, -1)
+                if rank >= 0:
+                    push(agenda, rank << 32 | h)
+        if -1 not in part:
+            return [p for p in part if p != GONE]
         out: list[int] = []
-        for piece in part:
-            if piece:
-                number = self.ids.get(piece)
-                out += [number] if number is not None else [self.bytes_ids[b] for b in piece.encode()]
+        for p, c in zip(part, word, strict=True):
+            if p >= 0:
+                out.append(p)
+            elif p == -1:
+                out += [self.bytes_ids[b] for b in c.encode()]
         return out
 
     def decode(self, ids) -> str:
@@ -108,8 +136,10 @@ class Pieces:
 class Segmenter:
     """Segmentations of whole texts; those of short words are kept."""
 
-    KEPT = 800_000
+    KEPT = 600_000
     LONGEST = 40
+    #: Words of so many characters, which seldom come twice, have one segmentation a seed.
+    ONE_DRAW = 10
 
     def __init__(self, path: str, dropout: float, seed: int, draws: int):
         self.pieces = Pieces(path)
@@ -136,7 +166,8 @@ class Segmenter:
             return np.frombuffer(b"".join([get(w) or new(w, 0) for w in words]), dtype="<i4")
         start = xxhash.xxh32_intdigest(text, self.seed) % len(self.deal)
         deal = np.resize(np.roll(self.deal, -start), len(words)).tolist()
-        known, new = self.known, self._new
+        known, new, one = self.known, self._new, self.ONE_DRAW
+        deal = [d if len(w) < one else 0 for w, d in zip(words, deal, strict=True)]
         return np.frombuffer(b"".join([known[d].get(w) or new(w, d) for w, d in zip(words, deal, strict=True)]), dtype="<i4")
 
 
@@ -187,25 +218,38 @@ def decode_pieces(df: DataFrame, id_column: str = "doc_id", ids: str = "ids", mo
     return rows.mapInArrow(decode, schema).withColumnRenamed("id", id_column)
 
 
-def ids_checksum(ids: Column) -> Column:
-    """CRC-32 of the ids written in decimal with blanks between."""
-    return F.crc32(F.array_join(ids, " "))
+def round_trip(
+    documents: DataFrame,
+    id_column: str = "doc_id",
+    text: str = "text",
+    model: str = MODEL,
+    dropout: float = DROPOUT,
+    seed: int = SEED,
+    draws: int = DRAWS,
+    with_ids: bool = True,
+) -> DataFrame:
+    """``id, n_pieces, ids_crc32, lossless, ids``: each text encoded as by ``encode_pieces``, and decoded again in the same task.
+
+    ``ids_crc32`` is the unsigned CRC-32 of the ids as little-endian 32-bit integers; ``lossless`` tells whether
+    they decode to the text (a null text counts as empty); ``ids`` is null unless asked for.
+    """
 
+    def both(batches: Batches) -> Batches:
+        segment = kept_in_worker(
+            ("pieces", model, dropout, seed, draws), lambda: Segmenter(tokenizer_path(model), dropout, seed, draws)
+        )
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            ids = [segment(t) for t in texts]
+            same = [segment.pieces.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts, strict=True)]
+            sums = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
+            lists = pa.array(ids if with_ids else [None] * len(ids), pa.list_(pa.int32()))
+            columns = [batch.column("id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(sums, pa.int64()), pa.array(same), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_pieces", "ids_crc32", "lossless", "ids"])
 
-def round_trip(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, n_pieces, ids_crc32, lossless, ids``: each document's pieces and their digest, and whether they decode to its text."""
-    rows = documents.select(F.struct(F.col(id_column).alias("id"), F.col(text).alias("text")).alias("row"), F.col(text).alias("text"))
-    encoded = encode_pieces(rows, "row", "text")
-    keyed = encoded.select(
-        F.struct("row", F.size("ids").cast("long").alias("n"), ids_checksum(F.col("ids")).alias("crc"), "ids").alias("key"), "ids"
-    )
-    back = decode_pieces(keyed, "key")
-    same = F.coalesce(F.col("key.row.text"), F.lit("")) == F.col("text")
-    return back.select(
-        F.col("key.row.id").alias(id_column), F.col("key.n").alias("n_pieces"), F.col("key.crc").alias("ids_crc32"), same.alias("lossless"), F.col("key.ids").alias("ids")
-    )
+    return map_texts(documents, id_column, text, both, "n_pieces long, ids_crc32 long, lossless boolean, ids array<int>")
 
 
 @query("op4_sentencepiece")
 def op4(spark, folder):
-    return round_trip(table(spark, folder, "documents")).drop("ids")
+    return round_trip(table(spark, folder, "documents"), with_ids=False).drop("ids")
