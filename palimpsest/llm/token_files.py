@@ -18,16 +18,18 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from palimpsest.llm.bpe import stretches, tokenizer_path
+from palimpsest.llm.bpe import PRE_TOKENS, TWO_SPACES, stretches, tokenizer_path
 from palimpsest.llm.common import Batches, bounded_slices, kept_in_worker, pieces_of, text_bytes
 from palimpsest.llm.registry import query, table
 from palimpsest.session import cut_lineage, new_folder
@@ -43,13 +45,12 @@ FILE_BYTES = 48 * 1024 * 1024
 
 def to_planes(ids: np.ndarray, bits: int) -> list[bytes]:
     """Planes of a block of uint32 ids, lowest first; ``bits`` is 1 for bit planes or 8 for byte planes."""
+    used = max(1, -(-int(ids.max(initial=0)).bit_length() // bits))
     raw = np.ascontiguousarray(ids, dtype="<u4").view(np.uint8).reshape(-1, 4)
     if bits == 8:
-        planes = [np.ascontiguousarray(raw[:, k]) for k in range(4)]
-    else:
-        planes = [np.packbits((ids >> np.uint32(k)).astype(np.uint8) & 1) for k in range(32)]
-    used = max(1, -(-int(ids.max(initial=0)).bit_length() // bits))
-    return [p.tobytes() for p in planes[:used]]
+        return [raw[:, k].tobytes() for k in range(used)]
+    columns = [np.ascontiguousarray(raw[:, k]) for k in range(-(-used // 8))]
+    return [np.packbits(columns[k // 8] & np.uint8(1 << k % 8)).tobytes() for k in range(used)]
 
 
 def from_planes(planes: list[bytes], n: int, bits: int) -> np.ndarray:
@@ -151,13 +152,26 @@ class PlaneReader:
             rest = flat[n:]
 
 
+def _keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, factor: int) -> np.ndarray:
+    """A 64-bit polynomial hash of each stretch of bytes, from one running sum over all of them."""
+    powers = np.full(len(data) + 1, factor, dtype=np.uint64)
+    powers[0] = 1
+    np.cumprod(powers, out=powers)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[1:], out=sums[1:])
+    # moved to a common place by the powers of the stretch's distance to the end
+    return (sums[ends] - sums[starts]) * powers[len(data) - starts]
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library, stretch by stretch; stretches seen before are not encoded again.
+    """Ids of whole texts by the tokenizers library; what was encoded before is looked up.
 
-    Texts with a null character or other oddities take the same way: a stretch is cut only where no token crosses.
+    Texts are cut into stretches that encode by themselves, and the different stretches of a batch are told
+    apart by two 64-bit hashes of their bytes in numpy. Stretches not seen before are cut into pre-tokens, and
+    new pre-tokens go to the library in batches; a stretch that may hold a special token goes there whole.
     """
 
-    KEPT = 400_000
+    KEPT = 500_000
     LONGEST = 60
 
     def __init__(self, vocabulary: str):
@@ -165,27 +179,77 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(vocabulary))
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def __call__(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        openings = {t.content[0] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.special = regex.compile("[" + "".join(map(regex.escape, sorted(openings))) + "]") if openings else None
+        self.known: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> None:
+        for at in range(0, len(texts), 10_000):
+            part = texts[at : at + 10_000]
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.words.update((t, array("I", e.ids).tobytes()) for t, e in zip(part, found, strict=True))
+
+    def _of_stretches(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of stretches, each with its opening blank."""
         if len(self.known) > self.KEPT:
             self.known.clear()
-        known = self.known
-        cuts = [[c if k == 0 else " " + c for k, c in enumerate(stretches(t))] if t else [] for t in texts]
-        new = list({c for cut in cuts for c in cut if c not in known})
-        for at in range(0, len(new), 10_000):
-            known.update(zip(new[at : at + 10_000], self._encode(new[at : at + 10_000]), strict=True))
-        get = known.__getitem__
-        out = [np.frombuffer(b"".join(map(get, cut)), dtype="<u4") for cut in cuts]
-        for c in new:
-            if len(c) > self.LONGEST:
-                del known[c]
+        if len(self.words) > self.KEPT:
+            self.words.clear()
+        known, words, cut = self.known, self.words, PRE_TOKENS.findall
+        special = self.special.search if self.special else lambda s: None
+        found = [known.get(r) for r in raw]
+        new = [k for k, ids in enumerate(found) if ids is None]
+        texts = [raw[k].decode() for k in new]
+        parts = [[s] if special(s) else cut(s) for s in texts]
+        self._encode(list({w for ws in parts for w in ws if w not in words}))
+        for k, ws in zip(new, parts, strict=True):
+            ids = found[k] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
+            if len(raw[k]) <= self.LONGEST:
+                known[raw[k]] = ids
+        for ws in parts:
+            for w in ws:
+                if len(w) > self.LONGEST:
+                    words.pop(w, None)
+        return found
+
+    def __call__(self, texts: Sequence[str | None]) -> list[np.ndarray]:
+        out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(texts)
+        plain, odd = [], []
+        for k, text in enumerate(texts):
+            if text:
+                (odd if TWO_SPACES.search(text) else plain).append(k)
+        for k in odd:
+            cuts = stretches(texts[k])
+            ids = self._of_stretches([cuts[0].encode(), *[f" {c}".encode() for c in cuts[1:]]])
+            out[k] = np.frombuffer(b"".join(ids), dtype="<u4")
+        if plain:
+            for k, ids in zip(plain, self._plain([texts[k].encode() for k in plain]), strict=True):
+                out[k] = ids
         return out
 
+    def _plain(self, raw: list[bytes]) -> list[np.ndarray]:
+        """Texts that may be cut at every blank, all together."""
+        joined = b"".join(raw)
+        data = np.frombuffer(joined, dtype=np.uint8)
+        first = np.cumsum([0, *map(len, raw[:-1])])
+        starts = np.sort(np.concatenate([first, np.flatnonzero(data == 32)]))
+        ends = np.append(starts[1:], len(data))
+        keys = _keys(data, starts, ends, 0x9E3779B97F4A7C15)
+        _, one, which = np.unique(keys, return_index=True, return_inverse=True)
+        other = _keys(data, starts, ends, 0xD6E8FEB86659FD93) + (ends - starts).astype(np.uint64)
+        if not (other == other[one][which]).all():  # two stretches share a hash: take them as they come
+            one, which = np.arange(len(starts)), np.arange(len(starts))
+        parts = self._of_stretches([joined[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+        flat = np.frombuffer(b"".join(parts), dtype="<u4")
+        begins = np.cumsum(sizes) - sizes
+        lengths = sizes[which]
+        total = np.cumsum(lengths)
+        ids = flat[np.repeat(begins[which] - (total - lengths), lengths) + np.arange(total[-1])]
+        cuts = total[np.searchsorted(starts, first[1:]) - 1]
+        return np.split(ids, cuts)
+
 
 def _opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
