@@ -1,15 +1,17 @@
 """SentencePiece BPE with seeded merge dropout: varied segmentations that decode to the same text.
 
 Merges wait in an agenda, best score first and leftmost among equals, as in plain BPE. With dropout, a merge
-that comes up is skipped where a keyed hash of the seed, the draw, the place and the two pieces falls below
-the rate. Texts are cut into words and other runs first (blanks go with what follows), which no piece crosses;
-each occurrence of a word takes one of ``DRAWS`` segmentations, dealt by a hash of the text and its place.
+that comes up is skipped with the probability of the rate. Texts are cut into words and other runs first
+(blanks go with what follows), which no piece crosses. Each occurrence of a word has its own skips, from a keyed
+hash of the seed, the text and the place in it: the hash says how many merges pass before the next one skipped,
+so that a segmentation is kept by the numbers of its skipped merges and found again without being made.
 """
 
 from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 from itertools import pairwise
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,8 @@ from palimpsest.llm.registry import query, table
 
 MODEL = "piece_bpe_32k.model"
 DROPOUT = 0.1
-DRAWS = 2
+#: So many segmentations of a word at most; 0 means that each occurrence draws its own.
+DRAWS = 0
 SEED = 1
 #: The sign SentencePiece writes for a blank.
 BLANK = "▁"
@@ -33,6 +36,47 @@ WORDS = regex.compile(r" *\p{L}+| *[^ \p{L}]+| +")
 
 #: Marks a place whose letter went into the piece before.
 GONE = -2
+#: Words of so many characters are searched for each merge.
+SHORT = 32
+#: Rank of no merge.
+NEVER = 1 << 30
+ALL_BITS = (1 << 64) - 1
+
+
+def mixed(x):
+    """A well-mixed 64-bit hash (the end of SplitMix64) of an unsigned number, or of each of an array."""
+    big = isinstance(x, np.ndarray)
+    first, second = (np.uint64(c) if big else c for c in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+    x = (x ^ x >> 30) * first if big else (x ^ x >> 30) * first & ALL_BITS
+    x = (x ^ x >> 27) * second if big else (x ^ x >> 27) * second & ALL_BITS
+    return x ^ x >> 31
+
+
+class Gaps:
+    """How many merges pass before the next skipped one, by 16 bits of a hash: geometric, as if each were tossed for."""
+
+    def __init__(self, dropout: float):
+        self.none = dropout <= 0
+        if not self.none:
+            u = (np.arange(1 << 16) + 0.5) / (1 << 16)
+            gaps = np.zeros(len(u)) if dropout >= 1 else np.floor(np.log(u) / np.log1p(-dropout))
+            self.table = np.minimum(gaps, 1 << 30).astype(np.int64)
+            self.list = self.table.tolist()
+
+    def first(self, keys: np.ndarray) -> list[int]:
+        """The first skipped merge for each key."""
+        return self.table[(keys & np.uint64(0xFFFF)).astype(np.int64)].tolist()
+
+    def skips(self, key: int):
+        """Numbers of the skipped merges of a key, a hash of 64 bits, without end."""
+        at = -1
+        while True:
+            bits = key
+            for _ in range(4):
+                at += self.list[bits & 0xFFFF] + 1
+                yield at
+                bits >>= 16
+            key = mixed(key + 0x9E3779B97F4A7C15 & ALL_BITS)
 
 
 class Pieces:
@@ -76,11 +120,18 @@ class Pieces:
         self.opening = " " if model.id_to_piece(model.encode("a")[0]) == BLANK + "a" else ""
 
     def segment(self, word: str, dropout: float = 0.0, seed: int = SEED, draw: int = 0) -> list[int]:
-        """Ids of one word.
+        """Ids of one word."""
+        gaps = Gaps(dropout)
+        return self.merged(word, None if gaps.none else gaps.skips(xxhash.xxh64_intdigest(f"{draw} {word}", seed)))[0]
+
+    def merged(self, word: str, skips=None) -> tuple[list[int], list[int], int]:
+        """Ids of one word, the numbers of the merges skipped, and how many came up; ``skips`` says which to skip.
 
         An entry of the agenda is one number, the rank of the merge and its place; it is stale where another
-        merge, or none, is due at the place by then.
+        merge, or none, is due at the place by then. Short words are searched for the best merge instead.
         """
+        if len(word) <= SHORT:
+            return self._merged_short(word, skips)
         ranks, wholes, push = self.ranks.get, self.wholes, heapq.heappush
         n = len(word)
         part = [self.letters.get(c, -1) for c in word]
@@ -90,18 +141,19 @@ class Pieces:
         due.append(-1)
         agenda = [rank << 32 | i for i, rank in enumerate(due) if rank >= 0]
         heapq.heapify(agenda)
-        bar = int(dropout * (1 << 16))
-        salt = xxhash.xxh32_intdigest(f"{seed} {draw}") if bar else 0
+        count, skipped = -1, []
+        skip = next(skips) if skips else -1
         while agenda:
             entry = heapq.heappop(agenda)
             i, rank = entry & 0xFFFFFFFF, entry >> 32
             if due[i] != rank:
                 continue
             due[i] = -1
-            if bar:
-                x = (rank * 0x9E3779B1 ^ i * 0x85EBCA6B ^ salt) * 0xC2B2AE3D & 0xFFFFFFFF
-                if ((x ^ x >> 15) * 0x27D4EB2F & 0xFFFFFFFF) >> 16 < bar:
-                    continue
+            count += 1
+            if count == skip:
+                skipped.append(skip)
+                skip = next(skips)
+                continue
             j = after[i]
             whole = part[i] = wholes[rank]
             part[j], due[j] = GONE, -1
@@ -118,14 +170,42 @@ class Pieces:
                 if rank >= 0:
                     push(agenda, rank << 32 | h)
         if -1 not in part:
-            return [p for p in part if p != GONE]
+            return [p for p in part if p != GONE], skipped, count + 1
         out: list[int] = []
         for p, c in zip(part, word, strict=True):
             if p >= 0:
                 out.append(p)
             elif p == -1:
                 out += [self.bytes_ids[b] for b in c.encode()]
-        return out
+        return out, skipped, count + 1
+
+    def _merged_short(self, word: str, skips) -> tuple[list[int], list[int], int]:
+        """What ``merged`` gives, without an agenda."""
+        get, wholes = self.ranks.get, self.wholes
+        part = [*map(self.letters.get, word)]
+        odd = None in part
+        if odd:  # an own number below 0 for each place without a piece
+            part = [-1 - i if p is None else p for i, p in enumerate(part)]
+        due = [get(a << 20 | b, NEVER) for a, b in pairwise(part)]
+        due.append(NEVER)
+        count, skipped = 0, []
+        skip = next(skips) if skips else -1
+        while (rank := min(due)) != NEVER:
+            i = due.index(rank)
+            if count == skip:
+                skipped.append(skip)
+                skip = next(skips)
+                due[i] = NEVER
+            else:
+                whole = part[i] = wholes[rank]
+                del part[i + 1], due[i]
+                due[i] = get(whole << 20 | part[i + 1], NEVER) if i + 1 < len(part) else NEVER
+                if i:
+                    due[i - 1] = get(part[i - 1] << 20 | whole, NEVER)
+            count += 1
+        if odd:
+            part = [q for p in part for q in ([p] if p >= 0 else [self.bytes_ids[b] for b in word[-1 - p].encode()])]
+        return part, skipped, count
 
     def decode(self, ids) -> str:
         """Text of ids; the blank that encoding puts in front goes."""
@@ -134,41 +214,79 @@ class Pieces:
 
 
 class Segmenter:
-    """Segmentations of whole texts; those of short words are kept."""
+    """Segmentations of whole texts; those of words that are not very long are kept.
+
+    A node is a list of the ids with certain merges skipped, how many merges came up then, and the nodes with one
+    more, later merge skipped, by its number. The ids are None where only nodes below were asked for so far.
+    """
 
     KEPT = 600_000
     LONGEST = 40
-    #: Words of so many characters, which seldom come twice, have one segmentation a seed.
-    ONE_DRAW = 10
 
-    def __init__(self, path: str, dropout: float, seed: int, draws: int):
+    def __init__(self, path: str, dropout: float, seed: int, draws: int = DRAWS):
         self.pieces = Pieces(path)
-        self.dropout, self.seed = dropout, seed
-        self.draws = draws if dropout else 1
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.draws)]
-        self.deal = np.random.default_rng(seed).integers(0, self.draws, 1 << 16).astype(np.uint8)
-
-    def _new(self, word: str, draw: int) -> bytes:
-        ids = np.array(self.pieces.segment(word, self.dropout, self.seed, draw), dtype="<i4").tobytes()
+        self.gaps, self.seed, self.draws = Gaps(dropout), seed, draws
+        self.known: dict[str, list] = {}
+        self.size = 0
+
+    def _new(self, word: str, key: int) -> bytes:
+        """Ids of a word for a key, which go into its nodes."""
+        found, skipped, count = self.pieces.merged(word, None if self.gaps.none else self.gaps.skips(key))
+        ids = array("i", found).tobytes()
         if len(word) <= self.LONGEST:
-            known = self.known[draw]
-            if len(known) >= self.KEPT // self.draws:
-                known.clear()
-            known[word] = ids
+            if self.size >= self.KEPT:
+                self.known.clear()
+                self.size = 0
+            node = self.known.get(word)
+            if node is None:
+                node = self.known[word] = [None, 0, None]
+                self.size += 1
+            for skip in skipped:
+                if node[2] is None:
+                    node[2] = {}
+                below = node[2].get(skip)
+                if below is None:
+                    below = node[2][skip] = [None, 0, None]
+                    self.size += 1
+                node = below
+            node[0], node[1] = ids, count
         return ids
 
+    def _varied(self, word: str, node: list, key: int) -> bytes:
+        """Ids of a word for a key, from its nodes if they are there."""
+        for skip in self.gaps.skips(key):
+            below = node[2] and node[2].get(skip)
+            if below:
+                node = below
+            elif node[0] is not None and skip >= node[1]:
+                return node[0]
+            else:
+                return self._new(word, key)
+
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.int32)
         words = WORDS.findall(self.pieces.opening + text)
-        if self.draws == 1:
-            get, new = self.known[0].get, self._new
-            return np.frombuffer(b"".join([get(w) or new(w, 0) for w in words]), dtype="<i4")
-        start = xxhash.xxh32_intdigest(text, self.seed) % len(self.deal)
-        deal = np.resize(np.roll(self.deal, -start), len(words)).tolist()
-        known, new, one = self.known, self._new, self.ONE_DRAW
-        deal = [d if len(w) < one else 0 for w, d in zip(words, deal, strict=True)]
-        return np.frombuffer(b"".join([known[d].get(w) or new(w, d) for w, d in zip(words, deal, strict=True)]), dtype="<i4")
+        get, new, varied = self.known.get, self._new, self._varied
+        if self.gaps.none:
+            nodes = map(get, words)
+            return np.frombuffer(b"".join([n[0] if n else new(w, 0) for w, n in zip(words, nodes, strict=True)]), dtype=np.int32)
+        start = np.uint64(xxhash.xxh64_intdigest(text, self.seed))
+        keys = mixed(start + np.arange(len(words), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        if self.draws:
+            dealt = (keys % np.uint64(self.draws)).tolist()
+            keys = np.array([xxhash.xxh64_intdigest(f"{d} {w}", self.seed) for w, d in zip(words, dealt, strict=True)], dtype=np.uint64)
+        out = []
+        for word, key, skip in zip(words, keys.tolist(), self.gaps.first(keys), strict=True):
+            node = get(word)
+            # most often nothing is skipped
+            if node is None:
+                out.append(new(word, key))
+            elif node[0] is not None and skip >= node[1]:
+                out.append(node[0])
+            else:
+                out.append(varied(word, node, key))
+        return np.frombuffer(b"".join(out), dtype=np.int32)
 
 
 def encode_pieces(

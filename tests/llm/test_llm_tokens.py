@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from palimpsest.llm import token_files
+from palimpsest.llm import pieces as pieces_module, token_files
 from palimpsest.llm.bpe import PrefixCounts, stretches, tokenizer_path
 from palimpsest.llm.pieces import MODEL, Pieces, Segmenter, decode_pieces, encode_pieces, round_trip
 from palimpsest.llm.registry import QUERIES
@@ -139,3 +139,36 @@ def test_pieces_of_odd_documents(spark, odd_documents, no_documents):
 def test_op4_is_lossless(spark):
     rows = QUERIES["op4_sentencepiece"](spark, SF)
     assert rows.filter("lossless").count() == rows.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_production_segmenter_varies_long_words():
+    segmenter = Segmenter(tokenizer_path(MODEL), pieces_module.DROPOUT, pieces_module.SEED, pieces_module.DRAWS)
+    for word in (" internationalization", " responsibilities"):
+        got = [segmenter(word * n).tolist()[-30:] for n in range(50, 150)]
+        assert got == [segmenter(word * n).tolist()[-30:] for n in range(50, 150)]
+        ends = {tuple(ids[max(k for k, i in enumerate(ids) if segmenter.pieces.raw[i].startswith(b" ")) :]) for ids in got}
+        assert len(ends) > 4
+
+
+def test_kept_segmentations_are_those_made_anew():
+    dropout = 0.3
+    kept, fresh = (Segmenter(tokenizer_path(MODEL), dropout, 5) for _ in range(2))
+    fresh.LONGEST = -1
+    texts = made_up(8, 300) + ["tokenization of words " * 50, "responsibilities " * 200, "x" * 100]
+    for text in texts + texts:
+        assert kept(text).tolist() == fresh(text).tolist()
+
+
+def test_merges_are_skipped_at_the_rate():
+    pieces, gaps = Pieces(tokenizer_path(MODEL)), pieces_module.Gaps(0.1)
+    runs = [pieces.merged(" responsibilities", gaps.skips(pieces_module.mixed(k))) for k in range(5_000)]
+    rate = sum(len(skipped) for _, skipped, _ in runs) / sum(count for _, _, count in runs)
+    assert abs(rate - 0.1) < 0.005
+
+
+def test_short_words_merge_as_with_an_agenda(monkeypatch):
+    pieces, gaps = Pieces(tokenizer_path(MODEL)), pieces_module.Gaps(0.2)
+    words = [w for text in made_up(9, 100) for w in [text.replace(" ", "")[:30]] if w]
+    short = [pieces.merged(w, gaps.skips(k << 40 | k)) for k, w in enumerate(words)]
+    monkeypatch.setattr(pieces_module, "SHORT", -1)
+    assert short == [pieces.merged(w, gaps.skips(k << 40 | k)) for k, w in enumerate(words)]
