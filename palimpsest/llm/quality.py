@@ -33,8 +33,8 @@ QUANTILE = 0.95
 REACH = 4.0
 #: A text is judged as if so many bytes of median perplexity stood beside its own: few bytes are little evidence.
 PRIOR_BYTES = 40
-#: Languages with fewer held trusted texts take the threshold of all languages.
-LEAST_HELD = 50
+#: A language's median and quantile are taken as if so many held texts like those of all languages stood beside its own.
+PRIOR_HELD = 20
 
 
 def grams_of(texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -218,22 +218,22 @@ def perplexities(
 
 
 def thresholds(scored: DataFrame, held: DataFrame) -> DataFrame:
-    """``lang, log_middle, log_threshold`` for languages with enough held trusted texts, and one row with ``lang`` null for all others.
+    """``lang, log_middle, log_threshold`` for each language with held trusted texts, and one row with ``lang`` null for all others.
 
-    The threshold is the median plus ``REACH`` times the distance from the median to the ``QUANTILE``. Without
-    any held text nothing is rejected.
+    The threshold is the median plus ``REACH`` times the distance from the median to the ``QUANTILE``. A language's
+    median and distance are weighed by its number of held texts against ``PRIOR_HELD`` times those of all languages,
+    so one rule holds at every size. Without any held text nothing is rejected.
     """
     values = scored.select("id", "lang", "log_perplexity").join(held, "id")
 
     low, high = (F.percentile_approx("log_perplexity", q, 10_000) for q in (0.5, QUANTILE))
-    limits = low.alias("log_middle"), (low + REACH * (high - low)).alias("log_threshold")
-    own = values.filter("lang is not null").groupBy("lang").agg(*limits, F.count(F.lit(1)).alias("n"))
-    every = values.agg(*limits).select(
-        F.lit(None).cast("string").alias("lang"),
-        F.coalesce("log_middle", F.lit(0.0)).alias("log_middle"),
-        F.coalesce("log_threshold", F.lit(float("inf"))).alias("log_threshold"),
-    )
-    return own.filter(F.col("n") >= LEAST_HELD).drop("n").union(every)
+    middle, reach = values.agg(low, high - low).first()
+    if middle is None:
+        middle, reach = 0.0, float("inf")
+    own = values.filter("lang is not null").groupBy("lang").agg(low.alias("middle"), (high - low).alias("reach"), F.count(F.lit(1)).alias("n"))
+    weighed = [(F.col("n") * F.col(c) + PRIOR_HELD * every) / (F.col("n") + PRIOR_HELD) for c, every in (("middle", middle), ("reach", reach))]
+    others = scored.sparkSession.range(1).select(F.lit(None).cast("string"), F.lit(middle), F.lit(middle + REACH * reach))
+    return own.select("lang", weighed[0].alias("log_middle"), (weighed[0] + REACH * weighed[1]).alias("log_threshold")).union(others)
 
 
 def judged(scored: DataFrame, labels: DataFrame, id_column: str, trusted: str = "quality") -> DataFrame:

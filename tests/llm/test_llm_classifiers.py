@@ -178,3 +178,16 @@ def test_quality_keeps_trusted_and_drops_junk(spark):
     rows = scored.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     share = {r["quality"]: r["share"] for r in rows.groupBy("quality").agg(F.avg(F.col("accepted").cast("int")).alias("share")).collect()}
     assert share[1] > 0.98 and share[0] < 0.2
+
+
+def test_quality_thresholds_follow_one_rule_at_every_size(spark):
+    def limits(n):
+        rows = [(k, "big", 1 + k % 100 / 500) for k in range(1000)] + [(1000 + k, "small", 2 + k % 10 / 100) for k in range(n)]
+        scored = spark.createDataFrame(rows, "id long, lang string, log_perplexity double")
+        return {r["lang"]: (r["log_middle"], r["log_threshold"]) for r in quality.thresholds(scored, scored.select("id")).collect()}
+
+    sizes = {n: limits(n) for n in (1, 10, 49, 50, 400)}
+    middles = [sizes[n]["small"][0] for n in sizes]
+    assert middles == sorted(middles) and sizes[1][None][0] < middles[0] and 1.9 < middles[-1] <= 2.05
+    assert abs(sizes[49]["small"][1] - sizes[50]["small"][1]) < 0.05
+    assert set(limits(0)) == {"big", None}
