@@ -11,6 +11,7 @@ from palimpsest.llm import (  # noqa: F401  (importing registers their queries)
     token_files,
     toxicity,
     url_filter,
+    vector_codes,
 )
 from palimpsest.llm.registry import ORACLES, QUERIES
 
