@@ -1,12 +1,14 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this package."""
 
 from palimpsest.llm import (  # noqa: F401  (importing registers their queries)
+    alignment,
     decontaminate,
     language,
     near_vectors,
     ngram_join,
     pieces,
     quality,
+    secret_scans,
     token_counts,
     token_files,
     toxicity,

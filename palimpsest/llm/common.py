@@ -7,6 +7,7 @@ import sys
 import types
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -28,6 +29,58 @@ def kept_in_worker(name, make: Callable):
     return holder["value"]
 
 
+class Slots(dict):
+    """A number for each string asked for; ``fresh`` lists those that are new, in the order of their numbers."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        self.fresh.append(key)
+        return number
+
+    def taken(self) -> list[str]:
+        """The new strings, which are then no longer new."""
+        fresh, self.fresh = self.fresh, []
+        return fresh
+
+
+class Runs:
+    """Runs of integers by number, in one array that grows."""
+
+    def __init__(self):
+        self.flat = np.zeros(1024, dtype=np.int32)
+        self.starts, self.sizes = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
+        self.used = self.count = 0
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Further runs, end to end."""
+        self.flat = grown(self.flat, self.used + len(flat))
+        self.flat[self.used : self.used + len(flat)] = flat
+        last = self.count + len(sizes)
+        self.starts, self.sizes = grown(self.starts, last), grown(self.sizes, last)
+        self.sizes[self.count : last] = sizes
+        self.starts[self.count : last] = self.used + np.cumsum(sizes) - sizes
+        self.used, self.count = self.used + len(flat), last
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs asked for, end to end, and their sizes."""
+        sizes = self.sizes[numbers]
+        before = np.cumsum(sizes) - sizes
+        return self.flat[np.repeat(self.starts[numbers] - before, sizes) + np.arange(sizes.sum())], sizes
+
+
+def grown(values: np.ndarray, least: int) -> np.ndarray:
+    """The array, or a longer one that begins with it."""
+    if least <= len(values):
+        return values
+    out = np.zeros((max(least, 2 * len(values)), *values.shape[1:]), dtype=values.dtype)
+    out[: len(values)] = values
+    return out
+
+
 def bounded_slices(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in runs whose texts have about ``limit`` bytes at most; a longer text stands alone."""
     lengths = pa.compute.binary_length(batch.column(column)).to_pylist()
