@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import struct
 from collections.abc import Iterator
+from functools import cached_property
 from hashlib import sha256
 from itertools import chain
 
@@ -34,6 +35,8 @@ PIECE_MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 #: Text bytes whose different pairs make one block, about.
 BLOCK_BYTES = 32_000_000
+#: Text bytes that are aligned at a time, about.
+SLICE_BYTES = 2_000_000
 #: Ids of the second side take so many bits of a pair's number.
 ID_BITS = 24
 
@@ -49,10 +52,8 @@ class ByteSide:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.path = path
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         letters = byte_letters()
@@ -67,6 +68,15 @@ class ByteSide:
         if made == sorted(made) and len(raw) == 256 + len(set(made)):
             self.fast = tiktoken.Encoding("ranks", pat_str=PRE_TOKENS.pattern, mergeable_ranks=raw, special_tokens={})
 
+    @cached_property
+    def library(self):
+        """The tokenizers library, loaded when a stretch needs it."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True
+        return found
+
     def __call__(self, opened: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all stretches end to end, and their number by stretch; each begins with a blank."""
         lists: list = [None] * len(opened)
@@ -121,7 +131,7 @@ class BothSides:
     """
 
     #: Stretches and their characters that are kept.
-    KEPT, CHARACTERS = 400_000, 16_000_000
+    KEPT, CHARACTERS = 200_000, 8_000_000
 
     def __init__(self, vocabulary: str, model: str):
         self.sides = ByteSide(tokenizer_path(vocabulary)), PieceSide(tokenizer_path(model))
@@ -300,8 +310,8 @@ class _Block:
         code = held & 0xFFFFFFFF
         self.rows.append(rows)
         self.pairs.append(np.asarray(pairs, dtype=np.int64))
-        self.docs.append(np.bincount(code, minlength=len(pairs)))
-        self.packed.append((np.bincount(held >> 32, minlength=rows.num_rows), code, times))
+        self.docs.append(np.bincount(code, minlength=len(pairs)).astype(np.int32))
+        self.packed.append((np.bincount(held >> 32, minlength=rows.num_rows), code.astype(np.int32), times.astype(np.int32)))
 
     def out(self, number: int) -> Iterator[pa.RecordBatch]:
         """The rows of the block; the first one of each slice holds the links of all of the slice's documents."""
@@ -378,7 +388,7 @@ def aligned_blocks(
             *T.StructType.fromDDL(f"{_DOC}, packed binary, pairs array<long>, docs array<long>").fields,
         ]
     )
-    sliced = lambda batches: align(part for batch in batches for part in bounded_slices(batch, "text"))
+    sliced = lambda batches: align(part for batch in batches for part in bounded_slices(batch, "text", SLICE_BYTES))
     return cut_lineage(rows.mapInArrow(sliced, schema))
 
 
