@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest import prompt_texts as texts
-from palimpsest.checks.registry import Tables, check, sql_key, sql_vectors, with_views
+from palimpsest.checks.registry import Tables, check, sql_int, sql_vectors, with_views
 from palimpsest.functions.templates import render
 from palimpsest.operators import curate, generate, scoring
 from palimpsest.plans import synthetic
@@ -61,15 +61,25 @@ def _seeds(t: Tables):
 _SEEDS = r"seeds AS (SELECT item_id, 'Prompt: ' || text || chr(10) || 'Subject: ' || array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ') || chr(10) AS shot FROM benchmark)"
 
 
+def _sql_draws(k: int, seed: int) -> list[str]:
+    """Draw after draw, each a rank among the positions still free."""
+    views = ["draw0 AS (SELECT prompt_id, []::BIGINT[] AS taken FROM prompts)", "many AS (SELECT count(*) AS n FROM seeds)"]
+    for j in range(k):
+        rank = f"{sql_int(f'{seed}-{j}', 'prompt_id')} % greatest(n - {j}, 1)"
+        place = f"list_reduce(list_prepend({rank}, list_sort(taken)), lambda free, p: free + CASE WHEN free >= p THEN 1 ELSE 0 END)"
+        views.append(f"draw{j + 1} AS (SELECT prompt_id, CASE WHEN n > {j} THEN list_append(taken, {place}) ELSE taken END AS taken FROM draw{j}, many)")
+    return views
+
+
 @check(
     "random_examples",
     with_views(
-        f"""SELECT prompt_id, string_agg(shot, chr(10) ORDER BY k, item_id) AS examples FROM (
-          SELECT prompt_id, shot, item_id, {sql_key(27007, 'prompt_id', 'item_id')} AS k,
-            row_number() OVER (PARTITION BY prompt_id ORDER BY {sql_key(27007, 'prompt_id', 'item_id')}, item_id) AS r
-          FROM prompts, seeds) WHERE r <= 5 GROUP BY prompt_id""",
+        """SELECT prompt_id, string_agg(shot, chr(10) ORDER BY place) AS examples FROM (
+          SELECT prompt_id, unnest(taken) AS slot, unnest(range(len(taken))) AS place FROM draw5)
+          JOIN (SELECT shot, row_number() OVER (ORDER BY item_id) - 1 AS slot FROM seeds) USING (slot) GROUP BY prompt_id""",
         "prompts",
         _SEEDS,
+        *_sql_draws(5, 27007),
     ),
 )
 def _(t: Tables):

@@ -6,21 +6,26 @@ from pyspark.sql import functions as F
 
 from palimpsest.checks.registry import Tables, check, rounded, sql_int, sql_key, sql_letters, sql_vectors, sql_words, with_views
 from palimpsest.functions import text as tx, vectors as vx
-from palimpsest.operators import lexical, scoring, search
+from palimpsest.operators import additive, lexical, scoring, search
+from palimpsest.sources import writers
 from palimpsest.session import cut_lineage
 
 _PROMPT_WORDS = f"""prompt_counts AS (SELECT {sql_letters('w')} AS word, count(*) AS n
   FROM (SELECT unnest({sql_words('rewrite_prompt')}) AS w FROM prompts) WHERE {sql_letters('w')} <> '' GROUP BY 1)"""
-_VOCABULARY = "vocabulary AS MATERIALIZED (SELECT word, n FROM prompt_counts ORDER BY n DESC, word LIMIT 30)"
+_VOCABULARY = "vocabulary AS MATERIALIZED (SELECT word, n FROM prompt_counts)"
 _PV = sql_vectors("pv", "SELECT prompt_id AS id, rewrite_prompt AS text FROM prompts")
 # raw (not normalised) word vectors
 _RAW = """raw AS MATERIALIZED (SELECT word, list(('0x' || substr(md5(word || '#' || (i // 8)), 4 * (i % 8) + 1, 4))::BIGINT / 32768::DOUBLE - 1 ORDER BY i) AS v
   FROM vocabulary, range(16) r(i) GROUP BY word)"""
 
 
-def _vocabulary(t: Tables, k: int = 30):
-    """The vocabulary as a finished table, not counted again in every step."""
-    return cut_lineage(lexical.top_words(lexical.word_counts(t.prompts, "rewrite_prompt"), k))
+def _vocabulary(t: Tables):
+    """All words of the prompts, counted once and not again in every step."""
+    return cut_lineage(lexical.word_counts(t.prompts, "rewrite_prompt").filter(F.col("word") != ""))
+
+
+def _additive(t: Tables, form=additive.plain_form):
+    return additive.Vocabulary(_vocabulary(t), _moments(t), form=form)
 
 
 def _moments(t: Tables):
@@ -55,46 +60,93 @@ def _sql_trace(steps: int) -> str:
     )
 
 
-@check("beam_search", with_views(_sql_trace(4), "prompts", _PROMPT_WORDS, _VOCABULARY, _PV, _RAW, *_sql_beam_steps(4, 5)))
+_WIDTH, _STEPS = 10, 6
+_BEAMS = ("prompts", _PROMPT_WORDS, _VOCABULARY, _PV, _RAW, *_sql_beam_steps(_STEPS, _WIDTH))
+
+
+@check("beam_search", with_views(_sql_trace(_STEPS), *_BEAMS))
+def _(t: Tables):
+    state = additive.beam_search(_additive(t), _WIDTH, _STEPS)
+    return search.trace_table(t.spark, state).select("step", "text", rounded("score", 9).alias("score"))
+
+
+@check("beam_search_with_encoder", with_views(_sql_trace(2), *_BEAMS))
 def _(t: Tables):
-    state = search.beam_search(_vocabulary(t), _moments(t), beam_width=5, num_steps=4)
+    # every candidate text goes through the encoder, as it must where word vectors do not add up
+    state = search.beam_search(_vocabulary(t), _moments(t), beam_width=_WIDTH, num_steps=2)
     return search.trace_table(t.spark, state).select("step", "text", rounded("score", 9).alias("score"))
 
 
 @check(
     "beam_search_last_beams",
-    with_views(
-        "SELECT text, round(score / (1 + 0.1 * log2(1 + 3)), 9) AS penalised FROM beam2",
-        "prompts", _PROMPT_WORDS, _VOCABULARY, _PV, _RAW, *_sql_beam_steps(3, 5),
-    ),
+    with_views(f"SELECT text, round(score / (1 + 0.1 * log2(1 + {_STEPS})), 9) AS penalised FROM beam{_STEPS - 1}", *_BEAMS),
 )
 def _(t: Tables):
     # beams of one step have equal length, so the penalty leaves their order as it is
-    state = search.beam_search(_vocabulary(t), _moments(t), beam_width=5, num_steps=3, alpha=0.1)
+    state = additive.beam_search(_additive(t), _WIDTH, _STEPS, alpha=0.1)
     beams = search.beams_table(t.spark, state)
     return beams.select(F.array_join("words", " ").alias("text"), rounded("beam_score", 9).alias("penalised"))
 
 
+@check(
+    "beam_search_resumed",
+    with_views(
+        f"""SELECT c.text, {_SCORE} AS score FROM (SELECT b.text || ' ' || raw.word AS text, {_sql_plus("b.s", "raw.v")} AS s
+          FROM beam{_STEPS - 2} b, raw) c, pv GROUP BY c.text""",
+        *_BEAMS,
+    ),
+)
+def _(t: Tables):
+    # stops half-way, is read back from its saved state, and keeps every candidate of the last step
+    vocabulary, path, seen = _additive(t), t.scratch(), []
+    half = additive.beam_search(vocabulary, _WIDTH, _STEPS // 2)
+    writers.save_state(t.spark, half, path)
+    additive.beam_search(vocabulary, _WIDTH, _STEPS, resume=writers.load_state(t.spark, path), all_beams=lambda step, df: seen.append(df))
+    return seen[-1].groupBy("text").agg(F.first("score").alias("score"))
+
+
+@check("beam_search_50_wide")
+def _(t: Tables):
+    # the source's own width and number of steps over every word; tested against brute force on a small vocabulary
+    return search.trace_table(t.spark, additive.beam_search(_additive(t), 50, 15))
+
+
 def _sql_case_words(words: str) -> str:
-    return f"upper(substr({words}, 1, 1)) || substr({words}, 2)"
+    # a sharp s has two letters as its capital
+    return f"replace(upper(substr({words}, 1, 1)), 'ẞ', 'SS') || substr({words}, 2)"
+
+
+def _sql_sentence_steps(steps: int, width: int, stop_after: int) -> list[str]:
+    """Beams of capitalised texts; beyond ``stop_after`` words the last one carries a full stop."""
+    views = [
+        f"""forms AS MATERIALIZED (SELECT word, 'open' AS form, {_sql_case_words("word")} AS w FROM vocabulary
+          UNION ALL SELECT word, 'plain', word FROM vocabulary UNION ALL SELECT word, 'end', word || '.' FROM vocabulary)""",
+        """rawf AS MATERIALIZED (SELECT word, form, any_value(w) AS w, list(('0x' || substr(md5(w || '#' || (i // 8)), 4 * (i % 8) + 1, 4))::BIGINT / 32768::DOUBLE - 1 ORDER BY i) AS v
+          FROM forms, range(16) r(i) GROUP BY word, form)""",
+    ]
+    for step in range(steps):
+        if step == 0:
+            grown = "SELECT o.w AS text, o.v AS s, o.w AS held, o.v AS h FROM rawf o WHERE form = 'open'"
+        else:
+            form = "end" if step + 1 > stop_after else "plain"
+            grown = f"""SELECT b.held || ' ' || f.w AS text, {_sql_plus("b.h", "f.v")} AS s, b.held || ' ' || f.word AS held, {_sql_plus("b.h", "p.v")} AS h
+              FROM sent{step - 1} b, rawf f JOIN rawf p ON p.word = f.word AND p.form = 'plain' WHERE f.form = '{form}'"""
+        views.append(
+            f"""sent{step} AS MATERIALIZED (SELECT text, held, h, score FROM (
+              SELECT c.text, any_value(c.held) AS held, any_value(c.h) AS h, {_SCORE} AS score FROM ({grown}) c, pv GROUP BY c.text)
+            ORDER BY score DESC, text LIMIT {width})"""
+        )
+    return views
 
 
 @check(
     "beam_search_sentences",
-    with_views(
-        """SELECT text, round(avg(list_dot_product(pv.v, c.v) ** 3), 9) AS score FROM texts JOIN c USING (id), pv
-        GROUP BY text ORDER BY score DESC, text LIMIT 5""",
-        "prompts", _PROMPT_WORDS, _VOCABULARY, _PV,
-        f"texts AS (SELECT row_number() OVER (ORDER BY word) AS id, {_sql_case_words('word')} AS text FROM vocabulary)",
-        sql_vectors("c", "SELECT id, text FROM texts"),
-    ),
+    with_views("SELECT text, score FROM sent4", "prompts", _PROMPT_WORDS, _VOCABULARY, _PV, *_sql_sentence_steps(5, 8, 3)),
 )
 def _(t: Tables):
-    seen = []
-    search.beam_search(
-        _vocabulary(t), _moments(t), beam_width=5, num_steps=1, render=search.sentence_text, all_beams=lambda step, df: seen.append(df)
-    )
-    return seen[0].orderBy(F.desc("score"), "text").limit(5).select("text", "score")
+    state = additive.beam_search(_additive(t, additive.sentence_form), 8, 5, stop_after=3)
+    beams = search.beams_table(t.spark, state)
+    return beams.select(search.sentence_text(F.col("words")).alias("text"), rounded("score", 9).alias("score"))
 
 
 def _sql_substitution(number: int, previous: str) -> list[str]:
@@ -110,20 +162,22 @@ def _sql_substitution(number: int, previous: str) -> list[str]:
     ]
 
 
+_ROUNDS = 5
+
+
 @check(
     "substitution_search",
     with_views(
-        "SELECT 0 AS round, text, score FROM round0 UNION ALL SELECT 1, text, score FROM round1",
+        " UNION ALL ".join(f"SELECT {k} AS round, text, score FROM round{k}" for k in range(_ROUNDS)),
         "prompts", _PROMPT_WORDS, _VOCABULARY, _PV,
         "start AS (SELECT list(word ORDER BY n DESC, word) AS words FROM (SELECT * FROM vocabulary ORDER BY n DESC, word LIMIT 4))",
-        *_sql_substitution(0, "start"),
-        *_sql_substitution(1, "round0"),
+        *[view for k in range(_ROUNDS) for view in _sql_substitution(k, f"round{k - 1}" if k else "start")],
     ),
 )
 def _(t: Tables):
-    vocabulary = _vocabulary(t)
-    start = [r["word"] for r in lexical.top_words(vocabulary, 4).collect()]
-    trace = search.substitution_search(vocabulary, _moments(t), start, rounds=2)
+    vocabulary = _additive(t)
+    start = [r["word"] for r in lexical.top_words(_vocabulary(t), 4).collect()]
+    trace = additive.substitution_search(vocabulary, start, rounds=_ROUNDS)
     return t.spark.createDataFrame([(n, text, score) for n, score, text in trace], "round int, text string, score double")
 
 
@@ -264,32 +318,67 @@ def _(t: Tables):
     return made.select("prompt_id", F.col("copy").cast("long").alias("copy"), F.array_join("words", " ").alias("text"))
 
 
-_TOP20 = f"""top20 AS MATERIALIZED (SELECT list(word ORDER BY n DESC, word) AS words FROM (SELECT word, n FROM prompt_counts ORDER BY n DESC, word LIMIT 20))"""
+_ORDERED = "ordered AS MATERIALIZED (SELECT list(word ORDER BY n DESC, word) AS words FROM prompt_counts)"
 _TRIALS = f"""trials AS MATERIALIZED (SELECT min(trial_id) AS trial_id, params FROM (
-  SELECT trial_id, list_transform(range(7), lambda g: ({sql_int(3, 'trial_id', 'g')} % 20)) AS params FROM range(1000) r(trial_id)) GROUP BY params)"""
+  SELECT trial_id, list_transform(range(7), lambda g: ({sql_int(3, 'trial_id', 'g')} % len(words))) AS params
+  FROM range(1000) r(trial_id), ordered) GROUP BY params)"""
 
 
 @check(
     "random_word_search",
     with_views(
         "SELECT texts.id AS trial_id, text, round(avg(list_dot_product(pv.v, c.v) ** 3), 9) AS score FROM texts JOIN c USING (id), pv GROUP BY texts.id, text",
-        "prompts", _PROMPT_WORDS, _PV, _TOP20, _TRIALS,
-        f"""plain AS (SELECT trial_id, array_to_string(list_transform(params, lambda p: words[p + 1]), ' ') AS s FROM trials, top20)""",
-        "texts AS (SELECT trial_id AS id, upper(substr(s, 1, 1)) || substr(s, 2) || '.' AS text FROM plain)",
+        "prompts", _PROMPT_WORDS, _PV, _ORDERED, _TRIALS,
+        f"""plain AS (SELECT trial_id, array_to_string(list_transform(params, lambda p: words[p + 1]), ' ') AS s FROM trials, ordered)""",
+        f"texts AS (SELECT trial_id AS id, {_sql_case_words('s')} || '.' AS text FROM plain)",
         sql_vectors("c", "SELECT id, text FROM texts"),
     ),
 )
 def _(t: Tables):
-    words = [r["word"] for r in _vocabulary(t, 20).collect()]
-    return search.random_word_search(t.spark, words, _moments(t), 1000, 7, 3)
+    return search.random_word_search(_vocabulary(t), _moments(t), 1000, 7, 3, order=[-F.col("n")])
+
+
+def _sql_population(generations: int, parents: int, offspring: int) -> list[str]:
+    """Generation by generation: texts scored, the best kept, their words redrawn by hash."""
+    views = [
+        "slots AS MATERIALIZED (SELECT word, row_number() OVER (ORDER BY word) - 1 AS slot FROM prompt_counts)",
+        f"""longest_ AS (SELECT prompt_id, w FROM (SELECT prompt_id, string_split({sql_letters("rewrite_prompt")}, ' ') AS w FROM prompts)
+          ORDER BY len(w) DESC, array_to_string(w, ' '), prompt_id LIMIT 1)""",
+        f"""pop0 AS MATERIALIZED (SELECT list(x ORDER BY CASE WHEN copy = 0 THEN lpad(CAST(i AS VARCHAR), 9, '0') ELSE {sql_key(0, "prompt_id", "copy", "i")} END, x) AS words
+          FROM (SELECT prompt_id, copy, unnest(w) AS x, unnest(range(len(w))) AS i FROM longest_, range(6) r(copy)) GROUP BY prompt_id, copy)""",
+    ]
+    for g in range(generations + 1):
+        views += [
+            f"txt{g} AS MATERIALIZED (SELECT array_to_string(words, ' ') AS text, any_value(words) AS words FROM pop{g} GROUP BY 1)",
+            sql_vectors(f"gv{g}", f"SELECT text AS id, text FROM txt{g}"),
+            f"""best{g} AS MATERIALIZED (SELECT text, words, score, row_number() OVER (ORDER BY score DESC, text) - 1 AS r FROM (
+              SELECT t.text, any_value(t.words) AS words, round(avg(list_dot_product(pv.v, c.v) ** 3), 9) AS score FROM txt{g} t JOIN gv{g} c ON c.id = t.text, pv GROUP BY t.text)
+              QUALIFY r < {parents})""",
+            f"""cells{g} AS (SELECT child, i, CASE WHEN {sql_int(f"0-{g}m", "child", "i")} / 4294967296.0 < 0.5
+                THEN (SELECT word FROM slots WHERE slot = {sql_int(f"0-{g}w", "child", "i")} % (SELECT count(*) FROM slots)) ELSE x END AS x
+              FROM (SELECT child, unnest(words) AS x, unnest(range(len(words))) AS i
+                FROM range({offspring}) c(child) JOIN best{g} ON r = child % (SELECT count(*) FROM best{g})))""",
+            f"pop{g + 1} AS MATERIALIZED (SELECT words FROM best{g} UNION ALL SELECT list(x ORDER BY i) FROM cells{g} GROUP BY child)",
+        ]
+    return views
 
 
-@check("population_search")
+_GENERATIONS = 5
+
+
+@check(
+    "population_search",
+    with_views(
+        f"""SELECT generation, score, text, round(score - coalesce(lag(score) OVER (ORDER BY generation), 0), 9) AS change FROM (
+        {" UNION ALL ".join(f"SELECT {g} AS generation, score, text FROM best{g} WHERE r = 0" for g in range(_GENERATIONS + 1))})""",
+        "prompts", _PROMPT_WORDS, _PV, *_sql_population(_GENERATIONS, 5, 20),
+    ),
+)
 def _(t: Tables):
-    vocabulary = [r["word"] for r in _vocabulary(t, 100).collect()]
     rows = t.prompts.select("prompt_id", F.split(tx.letters_only(F.col("rewrite_prompt")), " ").alias("words"))
     start = search.shuffled_copies(search.longest(rows, "words"), "prompt_id", "words", 5, 0)
-    return search.population_search(vocabulary, start, _moments(t), generations=3, offspring=20)
+    found = search.population_search(_vocabulary(t), start, _moments(t), generations=_GENERATIONS, offspring=20)
+    return found.withColumn("change", rounded("change", 9))
 
 
 # --- cluster subsets ------------------------------------------------------------------------

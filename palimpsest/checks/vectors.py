@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.checks.registry import Tables, check, rounded, sql_vectors, with_views
+from palimpsest.checks.registry import Tables, check, rounded, sql_key, sql_vectors, with_views
 from palimpsest.functions import vectors as vx
-from palimpsest.operators import clusters, generate, scoring
+from palimpsest.operators import clusters, density, generate, neighbours, scoring
+from palimpsest.session import cut_lineage
 
 _PROMPTS = ("prompts", sql_vectors("pv", "SELECT prompt_id AS id, rewrite_prompt AS text FROM prompts"))
 _BENCH = sql_vectors("bv", "SELECT item_id AS id, text FROM benchmark")
@@ -205,6 +206,43 @@ def _(t: Tables):
     return found.select("query", "neighbour", rounded("similarity").alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
+# the same planes, buckets and probes as the library's, then the recall against all pairs
+_LSH = f"""size AS MATERIALIZED (SELECT greatest(1, ceil(log2(greatest(2, count(*) / 64))))::BIGINT AS bits FROM (SELECT DISTINCT v FROM pv)),
+planes AS MATERIALIZED (SELECT t, b, list(('0x' || substr(md5('plane#' || t || '#' || b || '#' || i), 1, 4))::BIGINT / 32768::DOUBLE - 1 ORDER BY i) AS c
+  FROM range(12) t(t), range(12) b(b), range(16) i(i), size WHERE b < bits GROUP BY t, b),
+cut AS MATERIALIZED (SELECT kind, id, t, b, list_dot_product(v, c) AS x FROM (SELECT 'p' AS kind, * FROM pv UNION ALL SELECT 'q', * FROM bv), planes),
+coded AS MATERIALIZED (SELECT kind, id, t, sum(CASE WHEN x >= 0 THEN 1 << b ELSE 0 END)::BIGINT AS code FROM cut GROUP BY kind, id, t),
+crossed AS (SELECT id, t, 0::BIGINT AS mask, 0::DOUBLE AS cost FROM coded WHERE kind = 'q'
+  UNION ALL SELECT id, t, (1 << b)::BIGINT, round(abs(x), 12) FROM cut WHERE kind = 'q'
+  UNION ALL SELECT c.id, c.t, ((1 << c.b) | (1 << d.b))::BIGINT, round(abs(c.x) + abs(d.x), 12) FROM cut c JOIN cut d ON c.kind = 'q' AND d.kind = 'q' AND c.id = d.id AND c.t = d.t AND c.b < d.b),
+probed AS (SELECT id, t, mask FROM (SELECT *, row_number() OVER (PARTITION BY id, t ORDER BY cost, bit_count(mask), mask) AS r FROM crossed) WHERE r <= {{probes}}),
+pairs AS (SELECT DISTINCT q.id AS query, p.id AS neighbour FROM probed q JOIN coded k ON k.kind = 'q' AND k.id = q.id AND k.t = q.t
+  JOIN coded p ON p.kind = 'p' AND p.t = q.t AND p.code = xor(k.code, q.mask)),
+near AS (SELECT query, neighbour, similarity, rank FROM (SELECT query, neighbour, list_dot_product(bv.v, pv.v) AS similarity,
+    row_number() OVER (PARTITION BY query ORDER BY round(list_dot_product(bv.v, pv.v), 12) DESC, neighbour) AS rank
+  FROM pairs JOIN bv ON bv.id = query JOIN pv ON pv.id = neighbour) WHERE rank <= 5),
+exact AS (SELECT query, neighbour FROM (SELECT bv.id AS query, pv.id AS neighbour,
+    row_number() OVER (PARTITION BY bv.id ORDER BY round(list_dot_product(bv.v, pv.v), 12) DESC, pv.id) AS rank FROM bv, pv) WHERE rank <= 5)"""
+
+
+@check(
+    "approximate_nearest_rows",
+    with_views(
+        """SELECT query, neighbour, round(similarity, 6) AS similarity, rank,
+          (SELECT avg(CASE WHEN n.query IS NULL THEN 0 ELSE 1 END) >= 0.95 FROM exact LEFT JOIN near n USING (query, neighbour)) AS recall_reached FROM near""",
+        *_PROMPTS,
+        _BENCH,
+        _LSH.format(probes=neighbours.PROBES),
+    ),
+)
+def _(t: Tables):
+    corpus, asked = cut_lineage(t.prompt_vectors), cut_lineage(t.benchmark_vectors)
+    found = cut_lineage(neighbours.approximate_rows(asked, corpus, "id", "id", "vector", 5))
+    reached = neighbours.recall(found, scoring.nearest_rows(asked, corpus, "id", "id", "vector", 5)) >= 0.95
+    columns = [rounded("similarity").alias("similarity"), F.col("rank").cast("long").alias("rank"), F.lit(reached).alias("recall_reached")]
+    return found.select("query", "neighbour", *columns)
+
+
 @check(
     "nearest_centre",
     with_views(
@@ -256,25 +294,48 @@ def _(t: Tables):
     return full.select("vec_id", rounded(vx.dot(F.col("projected"), F.col("projected"))).alias("squared"))
 
 
-def _assigned_to_nearest(labelled, centres, vector: str):
+def _settled(labelled, centres, vector: str):
+    """Whether each row is with its nearest centre, and that centre is the mean of its rows."""
     placed = clusters.nearest_centre(labelled, vector, centres)
-    own = placed.join(centres.select("cluster", F.col("centre").alias("_own")), "cluster")
+    means = scoring.centroid(labelled, vector, ("cluster",))
+    both = centres.join(means, "cluster").select("cluster", (vx.squared_distance(F.col("centre"), F.col("centroid")) < 1e-12).alias("is_mean"))
+    own = placed.join(centres.select("cluster", F.col("centre").alias("_own")), "cluster").join(both, "cluster")
     distance = F.sqrt(vx.squared_distance(F.col(vector), F.col("_own")))
-    return own.select("vec_id", (F.abs(distance - F.col("distance")) < 1e-9).alias("nearest"))
+    return own.select("vec_id", (F.abs(distance - F.col("distance")) < 1e-9).alias("nearest"), "is_mean")
 
 
-@check("kmeans_on_projection", "SELECT vec_id, true AS nearest FROM embeddings")
+@check("kmeans_on_projection", "SELECT vec_id, true AS nearest, true AS is_mean FROM embeddings")
 def _(t: Tables):
     projected = clusters.project(t.embeddings.select("vec_id", "embedding"), "embedding", 32).select("vec_id", "projected")
-    labelled, centres = clusters.kmeans(projected, "projected", 10)
-    return _assigned_to_nearest(labelled, centres, "projected")
-
-
-@check("kmeans_per_hundred_rows", "SELECT vec_id, true AS nearest FROM embeddings")
+    labelled, centres = clusters.kmeans(projected, "projected", 10, ids=("vec_id",), max_iter=60)
+    return _settled(labelled, centres, "projected")
+
+
+def _sql_lloyd(steps: int) -> list[str]:
+    """Assignments and centres step by step from the rows that come first in the seeded order."""
+    views = [
+        f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {sql_key(0, 'id')}, id) - 1 AS cluster, v AS c FROM units
+          QUALIFY cluster < greatest(2, (SELECT count(*) FROM units) // 100))"""
+    ]
+    distance = "list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) ** 2))"
+    for step in range(steps + 1):
+        views.append(
+            f"""a{step} AS MATERIALIZED (SELECT id, any_value(v) AS v, arg_min(cluster, struct_pack(d := {distance}, k := cluster)) AS cluster
+            FROM units, c{step} GROUP BY id)"""
+        )
+        if step < steps:
+            views += [
+                f"m{step} AS (SELECT cluster, list(x ORDER BY i) AS m FROM (SELECT cluster, i, avg(v[i]) AS x FROM a{step}, range(1, 65) r(i) GROUP BY cluster, i) GROUP BY cluster)",
+                f"c{step + 1} AS MATERIALIZED (SELECT cluster, coalesce(m, c) AS c FROM c{step} LEFT JOIN m{step} USING (cluster))",
+            ]
+    return views
+
+
+@check("kmeans_per_hundred_rows", with_views("SELECT id AS vec_id, cluster FROM a20", _UNITS, *_sql_lloyd(20)))
 def _(t: Tables):
     rows = t.embeddings.select("vec_id", "embedding")
-    labelled, centres = clusters.kmeans(rows, "embedding", clusters.clusters_for(rows.count()))
-    return _assigned_to_nearest(labelled, centres, "embedding")
+    labelled, _ = clusters.kmeans(rows, "embedding", clusters.clusters_for(rows.count()), ids=("vec_id",))
+    return labelled.select("vec_id", F.col("cluster").cast("long").alias("cluster"))
 
 
 _EPS = 0.3
@@ -296,10 +357,15 @@ _EPS = 0.3
     ),
 )
 def _(t: Tables):
-    return clusters.density_clusters(t.document_vectors, "id", "vector", _EPS, 5)
+    return density.density_clusters(t.document_vectors, "id", "vector", _EPS, 5)
+
+
+_FOUND = "round(start_score, 6) AS start_score, true AS improved, true AS settled"
 
 
-_FOUND = "round(start_score, 6) AS start_score, true AS improved"
+def _improved(found):
+    improved = (F.col("score") > F.col("start_score")).alias("improved")
+    return found.select("grp", rounded("start_score").alias("start_score"), improved, (F.col("residual") < 1e-6).alias("settled"))
 
 
 @check(
@@ -307,8 +373,8 @@ _FOUND = "round(start_score, 6) AS start_score, true AS improved"
     with_views(f"SELECT 0 AS grp, {_FOUND} FROM (SELECT avg((list_sum(v) / 8) ** 3) AS start_score FROM units)", _UNITS),
 )
 def _(t: Tables):
-    found = clusters.best_direction(t.embeddings, "embedding", [1.0] * 64)
-    return found.select("grp", rounded("start_score").alias("start_score"), (F.col("score") > F.col("start_score")).alias("improved"))
+    found = clusters.best_direction(t.embeddings, "embedding", [1.0] * 64, alpha=None, max_iter=2_000)
+    return _improved(found)
 
 
 @check(
@@ -316,5 +382,5 @@ def _(t: Tables):
     with_views(f"SELECT grp, {_FOUND} FROM (SELECT label AS grp, avg((list_sum(v) / 8) ** 3) AS start_score FROM units GROUP BY label)", _UNITS),
 )
 def _(t: Tables):
-    found = clusters.best_direction(t.embeddings, "embedding", [1.0] * 64, group="label")
-    return found.select("grp", rounded("start_score").alias("start_score"), (F.col("score") > F.col("start_score")).alias("improved"))
+    found = clusters.best_direction(t.embeddings, "embedding", [1.0] * 64, group="label", alpha=None, max_iter=2_000)
+    return _improved(found)

@@ -137,3 +137,15 @@ def encode_words(words: Column, position_weight: float = 0.0) -> Column:
 
 def encode_text(text: Column, position_weight: float = 0.0) -> Column:
     return encode_words(split_words(text), position_weight)
+
+
+def word_vectors(word: Column) -> Column:
+    """The built-in encoder's vector of a single word, not normalised: a text's vector has the direction of their sum."""
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def look_up(words: pa.Array) -> pa.Array:
+        coded = words.dictionary_encode()
+        known = pa.array([word_vector(w) for w in coded.dictionary.to_pylist()], pa.list_(pa.float64()))
+        return known.take(coded.indices)
+
+    return look_up(word)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from palimpsest.functions.parsing import fenced_prompt_list
-from palimpsest.functions.text import seeded_key
-from palimpsest.operators.ordering import union_all
+from palimpsest.functions.text import seeded_int
+from palimpsest.operators.ordering import union_all, with_position
 from palimpsest.schemas import PROMPT_SUBJECT_LIST
 from palimpsest.session import cut_lineage
 
@@ -133,42 +134,63 @@ def token_counts(df: DataFrame, text: str, load_tokenizer: Callable[[], Callable
 # ---------------------------------------------------------------------------------------------
 # few-shot examples
 
-MAX_SEEDS = 10_000
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once however often it is used."""
+    return F.transform(F.array(value), lambda held: use(held))[0]
 
 
-def _seed_array(seeds: DataFrame, id_column: str, rendered: Column) -> Column:
-    """The checked-size seed table as one array literal ``[(id, text), …]`` in id order."""
-    rows = seeds.select(F.col(id_column).alias("id"), rendered.alias("text")).limit(MAX_SEEDS + 1).collect()
-    if len(rows) > MAX_SEEDS:
-        raise ValueError(f"more than {MAX_SEEDS} seed examples")
-    entries = sorted((r["id"], r["text"]) for r in rows)
-    return F.array(*[F.struct(F.lit(i).alias("id"), F.lit(t).alias("text")) for i, t in entries])
+def drawn_positions(n: Column, k: int, seed: int | str, *identity: Column) -> Column:
+    """``k`` different positions below ``n`` (all, where there are no more), in drawn order, by hash of the identity.
+
+    The j-th draw is a rank among the positions still free, so no draw is ever made twice, whatever ``n``.
+    """
+
+    def with_draw(held: Column, j: int) -> Column:
+        left = n - j
+        rank = F.pmod(seeded_int(f"{seed}-{j}", *identity).cast("bigint"), F.greatest(left, F.lit(1).cast("bigint")))
+        one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+        place = F.aggregate(F.array_sort(held), rank, lambda at, p: at + F.when(at >= p, one).otherwise(none))
+        return F.when(left > 0, F.array_append(held, place)).otherwise(held)
+
+    taken = F.array().cast("array<bigint>")
+    for j in range(k):
+        # bound as a lambda variable, so that the draws so far are worked out once
+        taken = _bound(taken, partial(with_draw, j=j))
+    return taken
+
+
+def drawn_examples(df: DataFrame, seeds: DataFrame, row_id: str, seed_id: str, rendered: Column, k: int, seed: int, output: str = "drawn") -> DataFrame:
+    """``row_id`` and the array of ``k`` pseudo-random seed examples, rendered, in drawn order.
+
+    Seeds are numbered by ``seed_id``; every row draws different numbers, and the drawn ones meet the seeds in a join,
+    so there may be any number of seeds. ``row_id`` is unique; without seeds the arrays are empty.
+    """
+    numbered = cut_lineage(with_position(seeds.select(F.col(seed_id).alias("_seed"), rendered.alias("_text")), "_seed", "_slot").select("_slot", "_text"))
+    size = F.lit(numbered.count()).cast("bigint")
+    wanted = df.select(row_id).withColumn("_slots", drawn_positions(size, k, seed, F.col(row_id)))
+    cells = wanted.select(row_id, F.posexplode_outer("_slots").alias("_at", "_slot"))
+    met = cells.join(numbered, "_slot", "left")
+    ordered = F.array_sort(F.collect_list(F.when(F.col("_at").isNotNull(), F.struct("_at", "_text"))))
+    return met.groupBy(row_id).agg(F.transform(ordered, lambda c: c["_text"]).alias(output))
 
 
 def random_examples(
     df: DataFrame, seeds: DataFrame, row_id: str, seed_id: str, rendered: Column, k: int, seed: int, separator: str = "\n", output: str = "examples"
 ) -> DataFrame:
-    """Add ``k`` pseudo-random seed examples per row, rendered and joined in the drawn order.
-
-    Every row draws from the same small array, so nothing is shuffled.
-    """
-    known = _seed_array(seeds, seed_id, rendered)
-    keyed = F.transform(
-        known,
-        lambda s: F.struct(
-            seeded_key(seed, F.col(row_id), s["id"]).alias("key"), s["id"].alias("id"), s["text"].alias("text")
-        ),
-    )
-    drawn = F.slice(F.array_sort(keyed), 1, k)
-    return df.withColumn(output, F.array_join(F.transform(drawn, lambda s: s["text"]), separator))
+    """Add ``k`` pseudo-random seed examples per row, rendered and joined in the drawn order (see ``drawn_examples``)."""
+    drawn = drawn_examples(df, seeds, row_id, seed_id, rendered, k, seed, "_drawn")
+    joined = df.join(drawn, row_id, "left").withColumn(output, F.coalesce(F.array_join("_drawn", separator), F.lit("")))
+    return joined.select(*df.columns, output)
 
 
 def fixed_examples(df: DataFrame, seeds: DataFrame, seed_id: str, rendered: Column, n: int | None = None, separator: str = "\n", output: str = "examples") -> DataFrame:
-    """Add all, or the first ``n``, seed examples in id order; the same text on every row."""
+    """Add all, or the first ``n``, seed examples in id order; the same text on every row, so as long as the seeds are."""
+    rows = seeds.select(F.col(seed_id).alias("_seed"), rendered.alias("_text"))
     if n is not None:
-        seeds = seeds.orderBy(seed_id).limit(n)
-    known = _seed_array(seeds, seed_id, rendered)
-    return df.withColumn(output, F.array_join(F.transform(known, lambda s: s["text"]), separator))
+        rows = rows.orderBy("_seed").limit(n)
+    ordered = F.array_sort(F.collect_list(F.struct("_seed", "_text")))
+    text = rows.agg(F.array_join(F.transform(ordered, lambda s: s["_text"]), separator).alias("text"))
+    return df.withColumn(output, text.scalar())
 
 
 def nearest_examples(neighbours: DataFrame, examples: DataFrame, example_id: str, rendered: Column, separator: str = "\n", output: str = "examples") -> DataFrame:
@@ -199,12 +221,10 @@ def bootstrap_prompts(
     """
     spark = seeds.sparkSession
     base = seeds.select("prompt", "subject")
-    keyed = F.transform(
-        _seed_array(base.withColumn("id", F.xxhash64("prompt", "subject")), "id", F.to_json(F.struct("prompt", "subject"))),
-        lambda s: F.struct(seeded_key(seed, F.col("run"), s["id"]).alias("key"), s["text"].alias("text")),
-    )
-    start = F.transform(F.slice(F.array_sort(keyed), 1, examples), lambda s: s["text"])
-    state = cut_lineage(spark.range(runs).select(F.col("id").cast("int").alias("run"), start.alias("context"), F.lit(0).alias("round")))
+    shown = base.withColumn("id", F.struct("prompt", "subject"))
+    rows = spark.range(runs).select(F.col("id").cast("int").alias("run"))
+    start = drawn_examples(rows, shown, "run", "id", F.to_json(F.struct("prompt", "subject")), examples, seed, "context")
+    state = cut_lineage(start.select("run", "context", F.lit(0).alias("round")))
     added = []
     for number in range(1, rounds + 1):
         listing = F.concat(F.lit("["), F.array_join("context", ", "), F.lit("]"))

@@ -25,12 +25,8 @@ from palimpsest.functions.vectors import cubed_cosine, dot, squared_distance, to
 
 MOMENT_DIM_LIMIT = 64
 BLOCK_BYTES = 64 * 1024 * 1024
-# Tensor partial sums are emitted once per task; fewer, larger tasks keep that shuffle small.
-MOMENT_TASKS = 2048
 # Cells of one similarity product held at a time inside a task.
 CELLS = 2_000_000
-# Most tensor cells ever brought to the driver.
-MOMENT_CELLS = 8_000_000
 
 
 Batches = Iterator[pa.RecordBatch]
@@ -162,76 +158,127 @@ def _upper(dim: int, first: int) -> tuple[np.ndarray, np.ndarray]:
     return j + first, k + first
 
 
-def _tensor_slices(dim: int):
-    """Per task and group: one row per first index holding that index's cells, plus the count."""
+#: Rows of one group whose moments one task adds up.
+TENSOR_ROWS = 1_000_000
+
+
+def _packed(tensor: np.ndarray) -> np.ndarray:
+    """The cells i ≤ j ≤ k of a symmetric tensor, which say it all."""
+    dim = len(tensor)
+    return np.concatenate([tensor[i][_upper(dim, i)] for i in range(dim)])
+
+
+def _unpacked(cells: np.ndarray, dim: int) -> np.ndarray:
+    tensor, at = np.zeros((dim, dim, dim)), 0
+    for i in range(dim):
+        j, k = _upper(dim, i)
+        values = cells[at : at + len(j)]
+        at += len(j)
+        for a, b, c in ((i, j, k), (i, k, j), (j, i, k), (k, i, j), (j, k, i), (k, j, i)):
+            tensor[a, b, c] = values
+    return tensor
+
+
+def _add_outer(tensor: np.ndarray, x: np.ndarray) -> None:
+    """Add Σ d⊗d⊗d, with the last two indices in one."""
+    for at in range(0, len(x), 1024):
+        piece = x[at : at + 1024]
+        tensor += piece.T @ (piece[:, :, None] * piece[:, None, :]).reshape(len(piece), -1)
+
+
+def group_tensors(grouped: DataFrame, dim: int) -> DataFrame:
+    """``grp, cells, n``: sums of d⊗d⊗d of ``grp, v``, a row or more for each group, as packed cells.
+
+    Groups are dealt to tasks whole, large ones in shares of ``TENSOR_ROWS`` rows; a task holds one tensor at a time.
+    """
+    grouped = grouped.withColumn("_share", F.xxhash64("v"))
+    counts = grouped.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / TENSOR_ROWS).alias("_shares")).filter("_shares > 1")
+    dealt = grouped.join(counts, "grp", "left").withColumn("_share", F.pmod("_share", F.coalesce("_shares", F.lit(1).cast("long"))))
+    dealt = dealt.select("grp", "v", "_share").repartition("grp", "_share").sortWithinPartitions("grp", "_share")
 
     def add(batches: Batches) -> Batches:
-        sums: dict[int, np.ndarray] = {}
-        counts: dict[int, int] = {}
+        held, tensor, n = None, np.zeros((dim, dim * dim)), 0
+
+        def out():
+            cells = pa.array([_packed(tensor.reshape(dim, dim, dim))], pa.list_(pa.float64()))
+            return pa.RecordBatch.from_arrays([pa.array([held[0]], kind), cells, pa.array([n])], names=["grp", "cells", "n"])
+
         for batch in batches:
-            batch, vectors = batch_vectors(batch)
-            keys = batch.column("grp").to_numpy()
-            for key in np.unique(keys):
-                x = vectors[keys == key]
-                tensor = sums.setdefault(int(key), np.zeros((dim, dim * dim)))
-                for at in range(0, len(x), 1024):
-                    piece = x[at : at + 1024]
-                    outer = (piece[:, :, None] * piece[:, None, :]).reshape(len(piece), dim * dim)
-                    tensor += piece.T @ outer
-                counts[int(key)] = counts.get(int(key), 0) + len(x)
-        for key, tensor in sums.items():
-            # symmetric: the cells with i ≤ j ≤ k say it all
-            cells = [tensor[i].reshape(dim, dim)[_upper(dim, i)] for i in range(dim)]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "grp": np.full(dim, key, dtype=np.int64),
-                    "i": np.arange(dim, dtype=np.int32),
-                    "cells": pa.array(cells, pa.list_(pa.float64())),
-                    "n": np.full(dim, counts[key], dtype=np.int64),
-                }
-            )
-
-    return add
-
-
-def group_moments(df: DataFrame, vector: str, group: str | None = None, dim: int | None = None) -> dict[int, Moments]:
-    """Moments of the corpus (key 0), or of each integer group; one pass over the data.
-
-    The tensors come to the driver, so their total size is checked first.
+            kind = batch.schema.field("grp").type
+            batch, x = batch_vectors(batch)
+            keys = list(zip(batch.column("grp").to_pylist(), batch.column("_share").to_pylist(), strict=True))
+            at = 0
+            while at < len(keys):
+                last = at + 1
+                while last < len(keys) and keys[last] == keys[at]:
+                    last += 1
+                if keys[at] != held:
+                    if n:
+                        yield out()
+                    held, tensor, n = keys[at], np.zeros((dim, dim * dim)), 0
+                _add_outer(tensor, x[at:last])
+                n += last - at
+                at = last
+        if n:
+            yield out()
+
+    kind_ = grouped.schema["grp"].dataType.simpleString()
+    return dealt.mapInArrow(add, f"grp {kind_}, cells array<double>, n long")
+
+
+def summed_tensors(batches: Batches, dim: int) -> Iterator[tuple]:
+    """``(group, tensor, count)`` of rows sorted by group, one tensor at a time."""
+    held, cells, n = None, None, 0
+    for batch in batches:
+        for key, part, rows in zip(batch.column("grp").to_pylist(), batch.column("cells"), batch.column("n").to_pylist(), strict=True):
+            values = part.values.to_numpy()
+            if key != held:
+                if cells is not None:
+                    yield held, _unpacked(cells, dim), n
+                held, cells, n = key, np.zeros(len(values)), 0
+            cells = cells + values
+            n += rows
+    if cells is not None:
+        yield held, _unpacked(cells, dim), n
+
+
+def corpus_moments(df: DataFrame, vector: str, dim: int | None = None) -> Moments:
+    """Moments of the corpus; one pass over the data. A corpus without vectors has a count of 0.
+
+    Every task adds up its rows and its tensor is one row; those are added in a second round, and what is left cell by
+    cell, so that one tensor comes to the driver, whose size follows from the dimension alone.
     """
     dim = dim or vector_dim(df, vector)
     if dim > MOMENT_DIM_LIMIT:
         raise ValueError(f"moments are for at most {MOMENT_DIM_LIMIT} components, got {dim}: score in passes (CorpusVectors) instead")
-    grp = F.lit(0).cast("long")
-    if group is not None:
-        grp = F.col(group).cast("long")
-        max_groups = max(1, MOMENT_CELLS // dim**3)
-        if df.select(group).distinct().limit(max_groups + 1).count() > max_groups:
-            raise ValueError(f"more than {max_groups} groups of {dim} components")
-    slices = (
-        vectors_of(df, vector, grp.alias("grp"))
-        .coalesce(MOMENT_TASKS)
-        .mapInArrow(_tensor_slices(dim), "grp long, i int, cells array<double>, n long")
-    )
-    # summed cell by cell, so no array grows with the number of tasks
-    cells = slices.select("grp", "i", F.posexplode("cells").alias("cell", "value"), "n")
-    summed = cells.groupBy("grp", "i", "cell").agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
-    packed = summed.toArrow().to_pandas()
-    result = {}
-    for key, part in packed.groupby("grp"):
-        tensor = np.zeros((dim, dim, dim))
-        for i, cells_of_i in part.groupby("i"):
-            j, k = _upper(dim, i)
-            values = np.zeros(len(j))
-            values[cells_of_i["cell"].to_numpy()] = cells_of_i["value"].to_numpy()
-            for a, b, c in ((i, j, k), (i, k, j), (j, i, k), (k, i, j), (j, k, i), (k, j, i)):
-                tensor[a, b, c] = values
-        result[int(key)] = Moments(tensor, int(part["n"].iloc[0]))
-    return result
 
+    def add(batches: Batches) -> Batches:
+        tensor, n = np.zeros((dim, dim * dim)), 0
+        for batch in batches:
+            _, x = batch_vectors(batch)
+            if len(x):
+                _add_outer(tensor, x)
+                n += len(x)
+        if n:
+            cells = pa.array([_packed(tensor.reshape(dim, dim, dim))], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([cells, pa.array([n])], names=["cells", "n"])
+
+    def again(batches: Batches) -> Batches:
+        cells, n = None, 0
+        for batch in batches:
+            for part, rows in zip(batch.column("cells"), batch.column("n").to_pylist(), strict=True):
+                values = part.values.to_numpy()
+                cells, n = values + (0.0 if cells is None else cells), n + rows
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([cells], pa.list_(pa.float64())), pa.array([n])], names=["cells", "n"])
 
-def corpus_moments(df: DataFrame, vector: str, dim: int | None = None) -> Moments:
-    return group_moments(df, vector, dim=dim)[0]
+    shape = "cells array<double>, n long"
+    slices = vectors_of(df, vector).mapInArrow(add, shape).hint("rebalance").mapInArrow(again, shape)
+    summed = slices.select(F.posexplode("cells").alias("cell", "value"), "n").groupBy("cell").agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
+    packed = summed.toArrow().to_pandas().sort_values("cell")
+    if packed.empty:
+        return Moments(np.zeros((dim, dim, dim)), 0)
+    return Moments(_unpacked(packed["value"].to_numpy(), dim), int(packed["n"].iloc[0]))
 
 
 def with_moment_score(df: DataFrame, vector: str, moments: Moments, name: str = "score") -> DataFrame:
@@ -424,10 +471,10 @@ def nearest_rows(
 
     vectors = vectors_of(corpus, corpus_vector, F.col(corpus_id).alias("c"))
     schema = f"query {q_type}, neighbour {c_type}, similarity double"
-    return _rank_neighbours(against_blocks(vectors, queries, query_id, vector, kernel, schema, block_bytes=BLOCK_BYTES // 8), k)
+    return rank_neighbours(against_blocks(vectors, queries, query_id, vector, kernel, schema, block_bytes=BLOCK_BYTES // 8), k)
 
 
-def _rank_neighbours(found: DataFrame, k: int) -> DataFrame:
+def rank_neighbours(found: DataFrame, k: int) -> DataFrame:
     # at most k rows per query and task arrive here
     ranked = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
     return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)

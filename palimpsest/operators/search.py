@@ -19,6 +19,7 @@ from palimpsest.functions.text import REST, capitalise_sentence, letters_only, s
 from palimpsest.functions.vectors import cubed_cosine, encode_text
 from palimpsest.operators.evaluate import mean_score_by
 from palimpsest.operators.ordering import with_position
+from palimpsest.session import cut_lineage
 from palimpsest.operators.scoring import (
     CELLS,
     Batches,
@@ -283,6 +284,8 @@ def beam_search(
         if all_beams is not None:
             all_beams(step, scored)
         best = scored.orderBy(F.desc("beam_score"), "text").limit(beam_width).collect()
+        if not best:  # an empty vocabulary: nothing to add
+            return state
         beams = [(list(r["words"]), r["score"], r["beam_score"]) for r in best]
         state = SearchState(step, beams, [*state.trace, (step, best[0]["score"], best[0]["text"])])
         if after_step is not None:
@@ -302,11 +305,17 @@ def beams_table(spark: SparkSession, state: SearchState) -> DataFrame:
 def substitution_search(
     vocabulary: DataFrame, moments: Scorer, words: list[str], rounds: int = 5, encoder: Encoder = encode_text
 ) -> list[tuple[int, float, str]]:
-    """Best single-word replacement per round, taken even when it scores lower than before."""
+    """Best single-word replacement per round, taken even when it scores lower than before.
+
+    An empty vocabulary or word list has no replacement and gives an empty trace.
+    """
     trace = []
     for number in range(rounds):
         scored = _scored(substitutions(vocabulary, words), moments, encoder, plain_text, None)
-        best = scored.orderBy(F.desc("score"), "text", "position").limit(1).collect()[0]
+        found = scored.orderBy(F.desc("score"), "text", "position").limit(1).collect() if words else []
+        if not found:
+            return trace
+        best = found[0]
         words = list(best["words"])
         trace.append((number, best["score"], best["text"]))
     return trace
@@ -353,45 +362,75 @@ def subject_position_sweep(df: DataFrame, prompt: str, subject: str, mean_words:
     return mean_score_by(scored, ["position"]).drop("n")
 
 
-def random_word_search(spark: SparkSession, words: list[str], moments: Scorer, trials: int = 1000, genes: int = 7, seed: int = 0, encoder: Encoder = encode_text) -> DataFrame:
-    """All trials of a random word-set search, scored together: ``trial_id, text, score``."""
-    known = _literal_words(words)
-    drawn = random_trials(spark, trials, genes, len(words), seed)
-    text = capitalise_sentence(F.array_join(F.transform("params", lambda i: F.get(known, i)), " "))
-    return _score_texts(drawn.select("trial_id", text.alias("text")), moments, encoder)
+def numbered_words(vocabulary: DataFrame, order: list[Column] | None = None, word: str = "word") -> tuple[DataFrame, int]:
+    """``slot, word`` as a table, slots 0… in the given order (by word unless told), and the number of words."""
+    ordered = vocabulary.select(F.struct(*(order or []), F.col(word)).alias("_order"), F.col(word).alias("word"))
+    numbered = cut_lineage(with_position(ordered, "_order", "slot").select("slot", "word"))
+    return numbered, numbered.count()
+
+
+def words_at(df: DataFrame, keys: list[str], slots: str, numbered: DataFrame, words: str | None = None, name: str = "words") -> DataFrame:
+    """``keys`` and the words of an array of slots, in its order; a null slot leaves the word of ``words`` there.
+
+    Slots meet the vocabulary in a join, so it may be of any size; a group is one row's own list.
+    """
+    own = F.transform(slots, lambda s, i: F.struct(s.alias("slot"), (F.get(words, i) if words else F.lit(None).cast("string")).alias("own")))
+    cells = df.select(*keys, F.posexplode(own).alias("_at", "_c")).select(*keys, "_at", F.col("_c.slot").alias("slot"), F.col("_c.own").alias("_own"))
+    met = cells.join(numbered, "slot", "left").select(*keys, F.struct("_at", F.coalesce("word", "_own").alias("w")).alias("_cell"))
+    ordered = F.array_sort(F.collect_list("_cell"))
+    return met.groupBy(*keys).agg(F.transform(ordered, lambda c: c["w"]).alias(name))
+
+
+def random_word_search(
+    vocabulary: DataFrame, moments: Scorer, trials: int = 1000, genes: int = 7, seed: int = 0, encoder: Encoder = encode_text, order: list[Column] | None = None
+) -> DataFrame:
+    """All trials of a random word-set search, scored together: ``trial_id, text, score``.
+
+    Words are drawn from all of ``vocabulary`` (column ``word``); an empty one has no trials.
+    """
+    numbered, size = numbered_words(vocabulary, order)
+    drawn = random_trials(vocabulary.sparkSession, trials if size else 0, genes, max(1, size), seed)
+    drawn = drawn.select("trial_id", F.transform("params", lambda p: p.cast("long")).alias("slots"))
+    text = capitalise_sentence(F.array_join("words", " "))
+    return _score_texts(words_at(drawn, ["trial_id"], "slots", numbered).select("trial_id", text.alias("text")), moments, encoder)
 
 
 def population_search(
-    vocabulary: list[str], start: DataFrame, moments: Scorer, generations: int = 100, parents: int = 5, offspring: int = 20, mutation: float = 0.5, seed: int = 0, encoder: Encoder = encode_text
+    vocabulary: DataFrame, start: DataFrame, moments: Scorer, generations: int = 100, parents: int = 5, offspring: int = 20, mutation: float = 0.5, seed: int = 0, encoder: Encoder = encode_text
 ) -> DataFrame:
     """Elitist mutation search over word lists: ``generation, score, text, change``.
 
-    Every generation keeps the ``parents`` best and mutates each word of their copies with the given
-    probability. The population is small and fixed in size, so it is a literal between jobs.
+    Every generation keeps the ``parents`` best and mutates each word of their copies with the given probability, to
+    any word of ``vocabulary`` (column ``word``; an empty one mutates nothing). The population is small and fixed in
+    size, so it is a literal between jobs. A start without word lists gives an empty table.
     """
     spark = start.sparkSession
-    known = _literal_words(vocabulary)
-    slots = len(vocabulary)
+    numbered, slots = numbered_words(vocabulary)
     population = start.select("words")
-    best_rows, trace, previous = [], [], 0.0
+    trace, previous = [], 0.0
     for generation in range(generations + 1):
         scored = _scored(population, moments, encoder, plain_text, None).dropDuplicates(["text"])
         best_rows = scored.orderBy(F.desc("score"), "text").limit(parents).collect()
+        if not best_rows:
+            break
         top = best_rows[0]
         trace.append((generation, top["score"], top["text"], top["score"] - previous))
         previous = top["score"]
+        if generation == generations:
+            break
         kept = F.array(*[_literal_words(list(r["words"])) for r in best_rows])
         copies = spark.range(offspring).select(
             F.col("id").alias("_child"), F.get(kept, F.pmod("id", F.lit(len(best_rows))).cast("int")).alias("_from")
         )
         here = f"{seed}-{generation}"
 
-        def mutated(word: Column, i: Column) -> Column:
+        def drawn(word: Column, i: Column) -> Column:
             roll = seeded_int(f"{here}m", F.col("_child"), i) / 4294967296.0
-            other = F.get(known, F.pmod(seeded_int(f"{here}w", F.col("_child"), i), F.lit(slots)).cast("int"))
-            return F.when(roll < mutation, other).otherwise(word)
+            other = F.pmod(seeded_int(f"{here}w", F.col("_child"), i), F.lit(max(1, slots)))
+            return F.when((roll < mutation) & F.lit(slots > 0), other)
 
-        children = copies.select(F.transform("_from", mutated).alias("words"))
+        children = copies.select("_child", "_from", F.transform("_from", drawn).alias("_slots"))
+        children = words_at(children, ["_child"], "_slots", numbered, "_from").select("words")
         elite = spark.range(1).select(F.explode(kept).alias("words"))
         population = elite.unionByName(children)
     return spark.createDataFrame(trace, "generation int, score double, text string, change double")

@@ -39,6 +39,26 @@ def test_random_examples_are_distinct_and_repeatable(spark):
     assert all(len(set(e.split())) == 3 for e in first.values()) and len(set(first.values())) > 1
 
 
+def test_draws_without_replacement_are_even(spark):
+    n = F.lit(6).cast("bigint")
+    rows = spark.range(3000).select("id", generate.drawn_positions(n, 3, 5, F.col("id")).alias("d"), generate.drawn_positions(n, 9, 5, F.col("id")).alias("all"))
+    drawn = rows.collect()
+    assert all(len(set(r["d"])) == 3 and set(r["d"]) <= set(range(6)) and sorted(r["all"]) == list(range(6)) for r in drawn)
+    seen = {}
+    for r in drawn:
+        seen[tuple(r["d"])] = seen.get(tuple(r["d"]), 0) + 1
+    assert len(seen) == 120 and max(seen.values()) < 60 and min(seen.values()) > 5  # 25 each on average
+
+
+def test_examples_of_few_or_no_seeds(spark):
+    seeds = spark.createDataFrame([(2, "b"), (1, "a")], "sid long, t string")
+    rows = spark.range(3).withColumn("t", F.lit("own"))
+    short = generate.random_examples(rows, seeds, "id", "sid", F.col("t"), 5, 1, " ").collect()
+    assert len(short) == 3 and all(sorted(r["examples"].split()) == ["a", "b"] and r["t"] == "own" for r in short)
+    assert [r["examples"] for r in generate.random_examples(rows, seeds.limit(0), "id", "sid", F.col("t"), 5, 1).collect()] == [""] * 3
+    assert {r["examples"] for r in generate.fixed_examples(rows, seeds, "sid", F.col("t")).collect()} == {"a\nb"}
+
+
 def test_tokenizer_and_encoder_hooks(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "c")], "id long, t string")
     counted = generate.token_counts(df, "t", lambda: lambda texts: [len(x.split()) for x in texts])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F, types as T
 
 from palimpsest import prompt_texts
 from palimpsest.functions.parsing import judge_flag
-from palimpsest.operators import clusters, curate, generate, lexical, ordering
+from palimpsest.operators import clusters, curate, density, generate, lexical, ordering
 from palimpsest.sources import readers
 
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "text", "more")])
@@ -45,7 +45,7 @@ def test_vectors_that_are_missing(spark):
     assert [r["id"] for r in clusters.project(df, "v", 2).filter("projected is null").collect()] == [99]
     labelled, centres = clusters.kmeans(df, "v", 2)
     assert [r["id"] for r in labelled.filter("cluster is null").collect()] == [99] and centres.count() == 2
-    got = {r["id"]: r["cluster"] for r in clusters.density_clusters(df, "id", "v", eps=0.1, min_samples=1).collect()}
+    got = {r["id"]: r["cluster"] for r in density.density_clusters(df, "id", "v", eps=0.1, min_samples=1).collect()}
     assert len(got) == 13 and got[99] == clusters.NOISE
 
 

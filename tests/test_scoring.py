@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import vectors as vx
-from palimpsest.operators import clusters, evaluate, scoring
+from palimpsest.operators import clusters, density, evaluate, scoring
 
 
 def unit_rows(n, dim, seed):
@@ -74,7 +74,7 @@ def test_density_clusters_against_brute_force(spark, seed):
     x[40] = x[41] = x[42]  # copies are compared once
     order = rng.permutation(len(x))
     df = spark.createDataFrame([(int(i), [float(a) for a in x[i]]) for i in order], "id long, v array<double>").repartition(3)
-    got = {r["id"]: r["cluster"] for r in clusters.density_clusters(df, "id", "v", 0.35, 5).collect()}
+    got = {r["id"]: r["cluster"] for r in density.density_clusters(df, "id", "v", 0.35, 5).collect()}
     assert [got[i] for i in range(len(x))] == brute_density(x, 0.35, 5)
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions.vectors import encode_text
-from palimpsest.operators import scoring, search
+from palimpsest.operators import additive, scoring, search
 from palimpsest.plans.mean_prompt import find_mean_prompt, search_vocabulary
 from palimpsest.sources import writers
 
@@ -111,9 +111,51 @@ def test_augmentation_keeps_length_and_original(spark, vocabulary):
 
 def test_population_search_is_elitist(spark, vocabulary, moments):
     start = spark.createDataFrame([(["make", "text"],), (["poem", "tone"],)], "words array<string>")
-    trace = search.population_search(WORDS, start, moments, generations=3, parents=2, offspring=6).collect()
+    trace = search.population_search(vocabulary, start, moments, generations=3, parents=2, offspring=6).collect()
     scores = [r["score"] for r in trace]
     assert scores == sorted(scores) and len(trace) == 4
+    nothing = search.population_search(vocabulary.limit(0), start, moments, generations=2, parents=2, offspring=3).collect()
+    assert len(nothing) == 3 and len({r["score"] for r in nothing}) == 1
+    assert search.population_search(vocabulary, start.limit(0), moments, generations=2).collect() == []
+
+
+@pytest.mark.parametrize("form,stop_after,render", [(additive.plain_form, None, search.plain_text), (additive.sentence_form, 2, lambda w: search.sentence_text(w, 1 + 1))])
+def test_additive_beams_are_those_of_encoded_texts(vocabulary, moments, form, stop_after, render):
+    words = additive.Vocabulary(vocabulary, moments, form=form)
+    for width, steps in ((1, 5), (3, 4), (50, 3)):
+        # the encoded search adds the full stop where the whole text has more words than the beam may hold without
+        plain = search.beam_search(vocabulary, moments, width, steps, render=render)
+        found = additive.beam_search(words, width, steps, stop_after=stop_after)
+        assert [(s, round(x, 8), t) for s, x, t in found.trace] == [(s, round(x, 8), t) for s, x, t in plain.trace]
+        assert {tuple(b[0]) for b in found.beams} == {tuple(b[0]) for b in plain.beams}
+
+
+def test_additive_substitutions_are_those_of_encoded_texts(vocabulary, moments):
+    words = additive.Vocabulary(vocabulary, moments)
+    start = ["make", "make", "tone", "poem"]
+    assert additive.substitution_search(words, start, 4) == search.substitution_search(vocabulary, moments, start, 4)
+
+
+def test_additive_search_keeps_all_beams_and_resumes(vocabulary, moments):
+    words, seen = additive.Vocabulary(vocabulary, moments), []
+    whole = additive.beam_search(words, 3, 4, all_beams=lambda step, df: seen.append(df.count()))
+    assert seen == [8, 24, 24, 24]
+    half = additive.beam_search(words, 3, 2)
+    assert additive.beam_search(additive.Vocabulary(vocabulary, moments), 3, 4, resume=half) == whole
+
+
+def test_searches_of_an_empty_vocabulary_end(spark, vocabulary, moments):
+    none = vocabulary.limit(0)
+    words = additive.Vocabulary(none, moments)
+    assert additive.beam_search(words, 3, 2).trace == [] and search.beam_search(none, moments, 3, 2).trace == []
+    assert additive.substitution_search(words, [], 2) == [] and search.substitution_search(none, moments, ["make"], 2) == []
+    assert search.random_word_search(none, moments, 10).collect() == []
+
+
+def test_words_at_slots(spark, vocabulary):
+    numbered, n = search.numbered_words(vocabulary)
+    rows = spark.createDataFrame([(1, [7, None, 0], ["a", "b", "c"])], "id long, s array<bigint>, w array<string>")
+    assert n == 8 and search.words_at(rows, ["id"], "s", numbered, "w").first()["words"] == [sorted(WORDS)[7], "b", sorted(WORDS)[0]]
 
 
 def test_vocabulary_of_corpora(spark, corpus):
