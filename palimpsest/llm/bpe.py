@@ -19,6 +19,8 @@ NEVER = 1 << 30
 
 #: Fixed values of byte-level BPE with the usual English contractions.
 PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: White space as the pattern knows it; Python's own ``isspace`` has some control characters besides.
+WHITE = frozenset(c for c in map(chr, range(0x3001)) if regex.fullmatch(r"\s", c))
 TWO_SPACES = regex.compile(r"\s\s|^\s|\s$")
 SINGLE_SPACE = regex.compile(r"(?<=\S) (?=\S)")
 
@@ -171,10 +173,10 @@ class PrefixCounter:
         run_start, run_total = -1, 0
         for match in PRE_TOKENS.finditer(text):
             word, start = match.group(), match.start()
-            blank = word[0].isspace()
+            blank = word[0] in WHITE
             counts = self._by_character(word)
             if blank and run_start >= 0 and run_start < start:
-                opening = len(word) if word.isspace() else 1
+                opening = len(word) if word[-1] in WHITE else 1
                 joined = self._by_character(text[run_start : start + opening])
                 out += [run_total + n for n in joined[start - run_start :]]
                 out += [total + n for n in counts[opening:]]
@@ -182,7 +184,7 @@ class PrefixCounter:
                 out += [total + 1, total + 2, total + counts[2]]
             else:
                 out += [total + n for n in counts]
-            if word.isspace():
+            if word[-1] in WHITE:
                 if run_start < 0:
                     run_start, run_total = start, total
             else:
