@@ -8,13 +8,13 @@ the one with most expected words.
 
 from __future__ import annotations
 
-import re
 import zlib
 from itertools import chain, groupby
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from palimpsest.llm.common import Batches, map_texts
@@ -22,9 +22,9 @@ from palimpsest.llm.registry import query, table
 from palimpsest.llm.samples import labelled_texts
 from palimpsest.llm.toxicity import fold
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}+")
 BUCKETS = 1 << 17
-#: Texts of each language that a fit takes at most, and the words it takes from each.
+#: Texts of each language that a fit takes at most, and the words an epoch draws from each.
 PER_LANGUAGE = 400
 WORDS_PER_TEXT = 120
 EPOCHS = 4
@@ -135,11 +135,18 @@ def _chains(texts: list[tuple[str, list[str]]], rng: np.random.Generator) -> lis
     """Code-switched training chains: runs of 5 to 40 words from random texts, about 60 words a chain."""
     runs = []
     for language, words in texts:
-        words, at = words[:WORDS_PER_TEXT], 0
+        own, at = [], 0
         while at < len(words):
             size = int(rng.integers(5, 41))
-            runs.append((language, words[at : at + size]))
+            own.append((language, words[at : at + size]))
             at += size
+        # runs from anywhere in the text, as many as hold WORDS_PER_TEXT words
+        taken = 0
+        for k in rng.permutation(len(own)):
+            if taken >= WORDS_PER_TEXT:
+                break
+            runs.append(own[k])
+            taken += len(own[k][1])
     out, chain_words, chain_labels = [], [], []
     for k in rng.permutation(len(runs)):
         language, words = runs[k]
@@ -195,8 +202,8 @@ def fit_language(
 ) -> Model:
     """Model from rows with a text and a language; rows where either is null teach nothing.
 
-    At most ``per_language`` texts of a language are drawn, by hash of the id, and their first
-    ``WORDS_PER_TEXT`` words used.
+    At most ``per_language`` texts of a language are drawn, by hash of the id; each epoch draws runs of about
+    ``WORDS_PER_TEXT`` words from anywhere in each of them.
     """
     known = labelled.select(id_column, F.col(label).cast("string").alias(label))
     return fit(labelled_texts(known, labelled, id_column, text, label, per_language)[0])

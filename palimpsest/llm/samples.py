@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-#: Longer texts are scored like any other but not used to fit, which bounds the memory of a fit.
-LONGEST_SAMPLED = 200_000
+#: Characters that a text gives to a fit at most: longer ones give ``PIECES`` pieces, spread by hash over the whole
+#: text. That bounds the memory of a fit.
+MOST_CHARACTERS, PIECES = 65_536, 16
+
+
+def _pieces(text: Column) -> Column:
+    """The text, or pieces of it: one from each of ``PIECES`` equal stretches, at a place that a hash says."""
+    each, size = MOST_CHARACTERS // PIECES, F.length(text)
+    stretch = F.floor(size / PIECES).cast("int")
+    start = lambda k: k * stretch + F.pmod(F.xxhash64(text, k), F.greatest(stretch - each, F.lit(1)).cast("long")).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: F.substring(text, start(k) + 1, F.lit(each)))
+    return F.when(size <= MOST_CHARACTERS, text).otherwise(F.array_join(cut, " "))
 
 
 def labelled_texts(
@@ -13,8 +23,8 @@ def labelled_texts(
 ) -> tuple[list[tuple], dict]:
     """``(label, text)`` pairs, at most ``per_label`` of each label, and the number of labelled rows by label.
 
-    ``labelled`` has the id and the label; rows where either is null are left out, as are texts that are null
-    or longer than ``LONGEST_SAMPLED`` bytes. Ids are drawn by hash, so a run repeats on any cluster. With more
+    ``labelled`` has the id and the label; rows where either is null are left out, as are null texts. A text longer
+    than ``MOST_CHARACTERS`` gives pieces from all over it. Ids are drawn by hash, so a run repeats on any cluster. With more
     than ``max_labels`` labels the most frequent ones are learned.
     """
     known = labelled.select(F.col(id_column).alias("id"), F.col(label).alias("label")).dropna()
@@ -27,8 +37,8 @@ def labelled_texts(
     drawn = known.withColumn("draw", draw).filter(F.col("draw") < share[F.col("label")]).distinct().collect()
     picked = labelled.sparkSession.createDataFrame([(r["id"], r["label"], r["draw"]) for r in drawn], f"id {kind}, label {dict(known.dtypes)['label']}, draw double")
     texts = (
-        documents.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
-        .filter(F.octet_length("text") <= LONGEST_SAMPLED)
+        documents.select(F.col(id_column).alias("id"), _pieces(F.col(text)).alias("text"))
+        .filter(F.col("text").isNotNull())
         .join(F.broadcast(picked), "id")
         .select("label", "draw", "text")
         .distinct()
