@@ -286,7 +286,7 @@ def token_groups(
                 rows[d].append({"start": int(at[k]) - base, "stop": int(stop[k]) - base, "a": parts[0][k], "b": parts[1][k]})
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, kind)], names=["id", "groups"])
 
-    return map_texts(df, id_column, text, cut, "groups array<struct<start:bigint,stop:bigint,a:array<int>,b:array<int>>>")
+    return map_texts(df, id_column, text, cut, "groups array<struct<start:bigint,stop:bigint,a:array<int>,b:array<int>>>", keeps=True)
 
 
 class _Block:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import sys
 import types
@@ -9,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -29,6 +31,29 @@ def kept_in_worker(name, make: Callable):
     return holder["value"]
 
 
+def forget_kept() -> None:
+    """Let go of what another operator keeps in this worker, and give freed memory back to the system."""
+    holder = sys.modules.get(WORKER_CACHE)
+    if holder is not None and holder.__dict__.pop("held", None) is not None:
+        holder.__dict__["value"] = None
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def column(name: str) -> Column:
+    """The column of that very name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Slots(dict):
     """A number for each string asked for; ``fresh`` lists those that are new, in the order of their numbers."""
 
@@ -94,20 +119,47 @@ def bounded_slices(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -
         yield batch.slice(at)
 
 
-def map_texts(df: DataFrame, id_column: str, text: str, kernel: Callable[[Batches], Batches], added: str) -> DataFrame:
+def map_texts(
+    df: DataFrame, id_column: str, text: str, kernel: Callable[[Batches], Batches], added: str, keeps: bool = False, limit: int = 4_000_000
+) -> DataFrame:
     """Row by row in Arrow batches: ``kernel`` sees columns ``id`` and ``text`` in small batches.
 
-    It returns ``id`` and the columns of the DDL string ``added``. Other columns of ``df`` are not read.
+    It returns ``id`` and the columns of the DDL string ``added``. Other columns of ``df`` are not read. A kernel that
+    ``keeps`` something for later tasks of its worker finds it; others first let go of it.
     """
     rows = df.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), *T.StructType.fromDDL(added).fields])
 
     def run(batches: Batches) -> Batches:
-        return kernel(part for batch in batches for part in bounded_slices(batch, "text"))
+        if not keeps:
+            forget_kept()
+        yield from kernel(part for batch in batches for part in bounded_slices(batch, "text", limit))
 
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_column)
 
 
+def filter_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list], np.ndarray]]) -> DataFrame:
+    """The rows of ``df`` whose text the judge of ``make()`` keeps, as they are, in one pass with one copy of each text.
+
+    The judge gets the texts of a small batch, nulls included, and returns which to keep.
+    """
+    names = [f"c{i}" for i in range(len(df.columns))]
+    rows = df.select(*[column(c).alias(n) for c, n in zip(df.columns, names, strict=True)], column(text).cast("string").alias("text"))
+    if df.schema[text].dataType == T.StringType():
+        rows = rows.drop("text").withColumnRenamed(names[df.columns.index(text)], "text")
+    schema = T.StructType([rows.schema[n if n in rows.columns else "text"] for n in names])
+
+    def run(batches: Batches) -> Batches:
+        forget_kept()
+        judge = make()
+        for batch in batches:
+            for part in bounded_slices(batch, "text"):
+                kept = part.filter(pa.array(judge(part.column("text").to_pylist()), pa.bool_()))
+                yield pa.RecordBatch.from_arrays([kept.column(f.name) for f in schema.fields], names=schema.names)
+
+    return rows.mapInArrow(run, schema).toDF(*df.columns)
+
+
 def text_bytes(df: DataFrame, text: str) -> int:
     """UTF-8 bytes of all texts."""
     return df.agg(F.sum(F.octet_length(text))).first()[0] or 0

@@ -14,8 +14,9 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palimpsest.llm.common import Batches, map_texts, pieces_of, text_bytes
+from palimpsest.llm.common import Batches, column, filter_texts, map_texts, pieces_of, text_bytes
 from palimpsest.llm.registry import query, table
+from palimpsest.session import cut_lineage
 
 WINDOW = 13
 #: Bytes of test texts searched for in one pass over the documents.
@@ -99,6 +100,11 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _items(benchmark: DataFrame, item_column: str, item_text: str) -> DataFrame:
+    items = benchmark.select(F.col(item_column).cast("string").alias("name"), F.col(item_text).cast("string").alias("words"))
+    return items.filter("words is not null").distinct()
+
+
 def benchmark_hits(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -121,8 +127,7 @@ def benchmark_hits(
     so a benchmark of any size fits; one pass is the rule.
     """
     spark = documents.sparkSession
-    items = benchmark.select(F.col(item_column).cast("string").alias("name"), F.col(item_text).cast("string").alias("words"))
-    items = items.filter("words is not null").distinct()
+    items = _items(benchmark, item_column, item_text)
     passes = pieces_of(text_bytes(items, "words"), pass_bytes)
     rows = documents.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
     found = None
@@ -149,7 +154,8 @@ def benchmark_hits(
         if found is None:
             found = map_texts(rows, "id", "text", search, HITS)
         else:
-            found = _joined(found, search)
+            # cut between passes: a task holds the tables of one pass only
+            found = _joined(cut_lineage(found), search)
     # ranges of several passes may overlap or touch: the words are counted once
     ranges = F.aggregate(
         F.array_sort("spans"),
@@ -189,11 +195,33 @@ def contaminated(n_words: Column, n_hit: Column) -> Column:
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def clean_documents(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``documents`` whose text is not contaminated, as they are, in one pass without a shuffle."""
-    rows = documents.select(F.struct("*").alias("row"), F.col(text).alias("text"))
-    hits = benchmark_hits(rows, benchmark, "row", "text")
-    return hits.filter(~contaminated(F.col("n_words"), F.col("n_hit"))).select("row.*")
+def clean_documents(documents: DataFrame, benchmark: DataFrame, text: str = "text", pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """The rows of ``documents`` whose text is not contaminated, as they are, without a shuffle.
+
+    Null and empty texts stay. A benchmark of one pass, which is the rule, filters the rows where they are.
+    """
+    items = _items(benchmark, "item_id", "text")
+    if pieces_of(text_bytes(items, "words"), pass_bytes) > 1:
+        rows = documents.select(F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(documents.columns)]).alias("row"), column(text).alias("text"))
+        hits = benchmark_hits(rows, benchmark, "row", "text", pass_bytes=pass_bytes)
+        return hits.filter(~contaminated(F.col("n_words"), F.col("n_hit"))).select("row.*").toDF(*documents.columns)
+    shared = documents.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
+
+    def make():
+        tables, _ = pattern_tables(shared.value, WINDOW)
+
+        def clean(texts: list) -> list[bool]:
+            out = []
+            for value in texts:
+                words = words_of(value)
+                spans = [(s, s + t.length - 1) for t in tables for s, _ in t.search(words)] if words else []
+                hit = sum(b - a + 1 for a, b in _merged(spans))
+                out.append(not (hit and 20 * hit >= len(words)))
+            return out
+
+        return clean
+
+    return filter_texts(documents, text, make)
 
 
 WORDS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

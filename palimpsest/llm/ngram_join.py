@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.llm.common import Batches, map_texts, pieces_of
+from palimpsest.llm.common import Batches, column, free_name, map_texts, pieces_of
 from palimpsest.llm.decontaminate import WORDS_SQL, words_of
 from palimpsest.llm.registry import query, table
 from palimpsest.operators.clusters import connected_labels
@@ -370,9 +370,10 @@ def keep_one(documents: DataFrame, id_column: str = "doc_id", text: str = "text"
     one is in their class.
     """
     found = near_duplicates(documents, id_column, text)
-    extra = cut_lineage(found.filter(~F.col(id_column).eqNullSafe(F.col("class_id"))).select(F.col("place").alias("_place")).distinct())
-    marked = documents.withColumn("_place", F.xxhash64(F.col(id_column), F.col(text)))
-    return marked.join(extra, "_place", "left_anti").drop("_place")
+    mark = free_name(documents, "place")
+    extra = cut_lineage(found.filter(~F.col(id_column).eqNullSafe(F.col("class_id"))).select(F.col("place").alias(mark)).distinct())
+    marked = documents.withColumn(mark, F.xxhash64(column(id_column), column(text)))
+    return marked.join(extra, mark, "left_anti").select(*[column(c) for c in documents.columns])
 
 
 OP5_SQL = f"""

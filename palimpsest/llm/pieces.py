@@ -317,7 +317,7 @@ def encode_pieces(
             flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("id"), list_array(flat, offsets, pa.int32())], names=["id", "ids"])
 
-    return map_texts(df, id_column, text, encode, "ids array<int>")
+    return map_texts(df, id_column, text, encode, "ids array<int>", keeps=True)
 
 
 def decode_pieces(df: DataFrame, id_column: str = "doc_id", ids: str = "ids", model: str = MODEL) -> DataFrame:
@@ -365,7 +365,7 @@ def round_trip(
             columns = [batch.column("id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(sums, pa.int64()), pa.array(same), lists]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n_pieces", "ids_crc32", "lossless", "ids"])
 
-    return map_texts(documents, id_column, text, both, "n_pieces long, ids_crc32 long, lossless boolean, ids array<int>")
+    return map_texts(documents, id_column, text, both, "n_pieces long, ids_crc32 long, lossless boolean, ids array<int>", keeps=True)
 
 
 @query("op4_sentencepiece")

@@ -18,7 +18,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from palimpsest.llm.common import Batches, bounded_slices, pieces_of, text_bytes
+from palimpsest.llm.common import column, forget_kept, Batches, bounded_slices, pieces_of, text_bytes
 from palimpsest.llm.registry import query, table
 from palimpsest.session import cut_lineage
 
@@ -164,6 +164,7 @@ def score_blocks(blocks: DataFrame, answers: DataFrame, schema: T.StructType, or
     names = [f.name for f in kept]
 
     def score(packed, answered):
+        forget_kept()
         grams = answered.column("gram").to_numpy()
         place = np.argsort(grams)
         grams, logp = grams[place], answered.column("logp").to_numpy()[place]
@@ -196,14 +197,14 @@ def perplexities(
     keep: Sequence[str] | None = None,
     order: int = ORDER,
 ) -> DataFrame:
-    """``id, lang, log_perplexity, n_grams`` per document row, and with ``keep`` a struct ``row`` of those columns and ``text``.
+    """``id, lang, log_perplexity, n_grams`` per document row, and with ``keep`` a struct ``row`` of those columns (``c0``, ``c1`` …) and ``text``.
 
     ``log_perplexity`` is the mean negative log probability of the text's bytes and its end. Trusted are rows
     whose id has the label 1; of these ids one in ``HELD``, by hash, is held back from the counts. Null texts
     count as empty. Rows of one id are each scored and lie in one block; rows without an id teach nothing.
     """
     blocks = F.lit(pieces_of(text_bytes(documents, text), BLOCK_BYTES, least=16))
-    kept = [F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias("_")).alias("row")] if keep is not None else []
+    kept = [F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(keep)], F.lit(0).alias("none")).alias("row")] if keep is not None else []
     rows = documents.select(
         F.col(id_column).alias("id"), F.col(language).cast("string").alias("lang"), *kept, F.col(text).cast("string").alias("text")
     )
@@ -258,11 +259,14 @@ def quality_scores(documents: DataFrame, labels: DataFrame, id_column: str = "do
 
 
 def drop_low_quality(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose perplexity is within the threshold of their language, as they are."""
+    """The rows whose perplexity is within the threshold of their language, as they are.
+
+    Null and empty texts are judged by the end of the text alone; see ``perplexities`` for repeated rows and ids.
+    """
     others = [c for c in documents.columns if c != text]
     scored = cut_lineage(perplexities(documents, labels, id_column, text, keep=others))
-    columns = [F.col("text").alias(text) if c == text else F.col(f"row.`{c}`") for c in documents.columns]
-    return judged(scored, labels, id_column).filter("accepted").select(*columns)
+    columns = [F.col("text") if c == text else F.col(f"row.c{others.index(c)}") for c in documents.columns]
+    return judged(scored, labels, id_column).filter("accepted").select(*columns).toDF(*documents.columns)
 
 
 @query("op9_quality_classifier")

@@ -34,7 +34,7 @@ def prefix_token_counts(df: DataFrame, id_column: str = "doc_id", text: str = "t
             columns = [batch.column("id"), sizes, list_array(flat, offsets, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n_bytes", "prefix_tokens"])
 
-    return map_texts(df, id_column, text, count, "n_bytes long, prefix_tokens array<int>")
+    return map_texts(df, id_column, text, count, "n_bytes long, prefix_tokens array<int>", keeps=True)
 
 
 def total_tokens(prefix_tokens: Column) -> Column:

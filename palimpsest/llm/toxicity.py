@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.llm.common import Batches, map_texts
+from palimpsest.llm.common import Batches, filter_texts, map_texts
 from palimpsest.llm.decontaminate import words_of
 from palimpsest.llm.registry import query, table
 from palimpsest.llm.samples import labelled_texts
@@ -246,9 +246,15 @@ def toxicity_scores(documents: DataFrame, model: Model, id_column: str = "doc_id
 
 
 def drop_toxic(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows whose text is not predicted toxic, as they are, in one pass."""
-    rows = documents.select(F.struct("*").alias("row"), F.col(text).alias("text"))
-    return toxicity_scores(rows, model, "row", "text").filter("predicted = 0").select("row.*")
+    """The rows whose text is not predicted toxic, as they are, in one pass; null and empty texts get the share of label 1."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        scores = WordScores(shared.value)
+        # a probability of a half or more, in the same arithmetic as the scores
+        return lambda texts: 1.0 / (1.0 + np.exp(-np.clip(scores.of_texts(texts), -500, 500))) < 0.5
+
+    return filter_texts(documents, text, make)
 
 
 def fold(id_column: str, folds: int):
