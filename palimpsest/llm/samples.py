@@ -15,7 +15,7 @@ def _pieces(text: Column) -> Column:
     stretch = F.floor(size / PIECES).cast("int")
     start = lambda k: k * stretch + F.pmod(F.xxhash64(text, k), F.greatest(stretch - each, F.lit(1)).cast("long")).cast("int")
     cut = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: F.substring(text, start(k) + 1, F.lit(each)))
-    return F.when(size <= MOST_CHARACTERS, text).otherwise(F.array_join(cut, " "))
+    return F.when(size > MOST_CHARACTERS, F.array_join(cut, " ")).otherwise(text)
 
 
 def labelled_texts(
