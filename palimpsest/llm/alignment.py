@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from palimpsest.llm.bpe import PRE_TOKENS, byte_letters, stretches, tokenizer_path
-from palimpsest.llm.common import Batches, Runs, Slots, bounded_slices, kept_in_worker, map_texts
+from palimpsest.llm.common import Batches, Runs, Slots, bounded_slices, kept_in_worker, map_texts, small_batches
 from palimpsest.llm.registry import query, table
 from palimpsest.session import cut_lineage
 
@@ -389,7 +389,7 @@ def aligned_blocks(
         ]
     )
     sliced = lambda batches: align(part for batch in batches for part in bounded_slices(batch, "text", SLICE_BYTES))
-    return cut_lineage(rows.mapInArrow(sliced, schema))
+    return cut_lineage(small_batches(rows).mapInArrow(sliced, schema))
 
 
 def _entries(blocks: DataFrame) -> DataFrame:

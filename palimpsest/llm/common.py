@@ -119,6 +119,17 @@ def bounded_slices(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -
         yield batch.slice(at)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session sends rows to Python in batches of about 4 MB, unless it was told a size."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES, "") == "67108864b":  # Spark's own default
+        conf.set(BATCH_BYTES, "4m")
+    return df
+
+
 def map_texts(
     df: DataFrame, id_column: str, text: str, kernel: Callable[[Batches], Batches], added: str, keeps: bool = False, limit: int = 4_000_000
 ) -> DataFrame:
@@ -135,7 +146,7 @@ def map_texts(
             forget_kept()
         yield from kernel(part for batch in batches for part in bounded_slices(batch, "text", limit))
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_column)
+    return small_batches(rows).mapInArrow(run, schema).withColumnRenamed("id", id_column)
 
 
 def filter_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list], np.ndarray]]) -> DataFrame:
@@ -157,7 +168,7 @@ def filter_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list], n
                 kept = part.filter(pa.array(judge(part.column("text").to_pylist()), pa.bool_()))
                 yield pa.RecordBatch.from_arrays([kept.column(f.name) for f in schema.fields], names=schema.names)
 
-    return rows.mapInArrow(run, schema).toDF(*df.columns)
+    return small_batches(rows).mapInArrow(run, schema).toDF(*df.columns)
 
 
 def text_bytes(df: DataFrame, text: str) -> int:
