@@ -124,8 +124,8 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``; from now on its session sends rows to Python in batches of about 4 MB, unless it was told a size."""
-    conf = df.sparkSession.conf
-    if conf.get(BATCH_BYTES, "") == "67108864b":  # Spark's own default
+    conf, default = df.sparkSession.conf, "67108864b"
+    if conf.get(BATCH_BYTES, default) == default:
         conf.set(BATCH_BYTES, "4m")
     return df
 
