@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest import prompt_texts as texts
-from palimpsest.checks.registry import LOGPROBS_SQL, Tables, check, rounded, sql_string, sql_strip, sql_vectors, with_views
+from palimpsest.checks.registry import LOGPROBS_SQL, Tables, check, rounded, sql_key, sql_string, sql_strip, sql_vectors, sql_words, with_views
 from palimpsest.functions import vectors as vx
 from palimpsest.operators import evaluate, ordering, scoring
 from palimpsest.plans import evaluation as plan
@@ -57,16 +57,16 @@ _NLL = "nll AS (SELECT example_id, candidate_id, -avg(logprob) AS nll FROM token
 
 @check(
     "mean_token_nll",
-    with_views("SELECT example_id, candidate_id, round(nll, 6) AS nll FROM nll", "rewrites", LOGPROBS_SQL, _NLL),
+    with_views("SELECT example_id, candidate_id, round(nll, 10) AS nll FROM nll", "rewrites", LOGPROBS_SQL, _NLL),
 )
 def _(t: Tables):
-    return evaluate.mean_token_nll(t.token_logprobs).withColumn("nll", rounded("nll"))
+    return evaluate.mean_token_nll(t.token_logprobs).withColumn("nll", rounded("nll", 10))
 
 
 @check(
     "lowest_nll_candidate",
     with_views(
-        """SELECT example_id, candidate_id, round(nll, 6) AS nll FROM (SELECT *,
+        """SELECT example_id, candidate_id, round(nll, 10) AS nll FROM (SELECT *,
           row_number() OVER (PARTITION BY example_id ORDER BY round(nll, 9), candidate_id) AS r FROM nll) WHERE r = 1""",
         "rewrites",
         LOGPROBS_SQL,
@@ -74,7 +74,7 @@ def _(t: Tables):
     ),
 )
 def _(t: Tables):
-    return evaluate.lowest_nll(evaluate.mean_token_nll(t.token_logprobs)).withColumn("nll", rounded("nll"))
+    return evaluate.lowest_nll(evaluate.mean_token_nll(t.token_logprobs)).withColumn("nll", rounded("nll", 10))
 
 
 @check(
@@ -89,7 +89,7 @@ def _(t: Tables):
 @check(
     "rerank_likeliest_by_centre",
     with_views(
-        """SELECT example_id, candidate_id, round(d, 6) AS distance FROM (
+        """SELECT example_id, candidate_id, round(round(d, 9), 6) AS distance FROM (
           SELECT example_id, candidate_id, d, row_number() OVER (PARTITION BY example_id ORDER BY round(d, 9), candidate_id) AS r FROM (
             SELECT k.example_id, k.candidate_id, sqrt(sum((bv.v[r.i] - m.x) ** 2)) AS d
             FROM kept k JOIN bv ON bv.id = k.candidate_id, range(1, 17) r(i) JOIN mid m ON m.i = r.i
@@ -99,14 +99,17 @@ def _(t: Tables):
         _NLL,
         sql_vectors("bv", "SELECT item_id AS id, text FROM benchmark"),
         """kept AS (SELECT example_id, candidate_id FROM (SELECT *,
-          row_number() OVER (PARTITION BY example_id ORDER BY round(nll, 9), candidate_id) AS r FROM nll) WHERE r <= 3)""",
+          row_number() OVER (PARTITION BY example_id ORDER BY round(nll, 9), candidate_id) AS r FROM nll) WHERE r <= 15)""",
         "mid AS (SELECT example_id, r.i, avg(bv.v[r.i]) AS x FROM kept JOIN bv ON bv.id = candidate_id, range(1, 17) r(i) GROUP BY example_id, r.i)",
     ),
 )
 def _(t: Tables):
     nll = evaluate.mean_token_nll(t.token_logprobs)
     candidates = t.benchmark_vectors.withColumnRenamed("id", "candidate_id")
-    return evaluate.rerank_by_centre(nll, candidates, 3).withColumn("distance", rounded("distance"))
+    return evaluate.rerank_by_centre(nll, candidates, 15).withColumn("distance", rounded("distance"))
+
+
+_CONSTANTS = (*texts.CONSTANT_PROMPTS, texts.BASE_PREDICTION)
 
 
 @check(
@@ -116,12 +119,12 @@ def _(t: Tables):
         "prompts",
         sql_vectors("pv", "SELECT prompt_id AS id, rewrite_prompt AS text FROM prompts"),
         sql_vectors(
-            "c", " UNION ALL ".join(f"SELECT {i} AS id, {sql_string(p)} AS text" for i, p in enumerate(texts.CONSTANT_PROMPTS))
+            "c", " UNION ALL ".join(f"SELECT {i} AS id, {sql_string(p)} AS text" for i, p in enumerate(_CONSTANTS))
         ),
     ),
 )
 def _(t: Tables):
-    known = t.spark.createDataFrame(list(enumerate(texts.CONSTANT_PROMPTS)), "prompt_no int, text string")
+    known = t.spark.createDataFrame(list(enumerate(_CONSTANTS)), "prompt_no int, text string")
     prompts = known.select("prompt_no", vx.encode_text(F.col("text")).alias("vector"))
     scores = evaluate.constant_prompt_scores(t.prompt_vectors, "vector", prompts, "prompt_no", "vector")
     return scores.withColumn("mean_score", rounded("mean_score"))
@@ -196,3 +199,126 @@ def _(t: Tables):
     truths = t.rewrites.select(F.col("rewrite_id").alias("example_id"), "rewrite_prompt")
     scored = plan.likeliest_prompt_scores(logprobs, dealt.join(prompts, "candidate_id"), truths)
     return scored.select("example_id", "candidate_id", rounded("score").alias("score"))
+
+
+_CENTRAL = (
+    "rewrites",
+    LOGPROBS_SQL,
+    _NLL,
+    "asked AS MATERIALIZED (SELECT item_id AS id, text || ' {xxx}' AS text FROM benchmark)",
+    sql_vectors("bv", "SELECT id, text FROM asked"),
+    """kept AS (SELECT example_id, candidate_id FROM (SELECT *,
+      row_number() OVER (PARTITION BY example_id ORDER BY round(nll, 9), candidate_id) AS r FROM nll) WHERE r <= 15)""",
+    "mid AS (SELECT example_id, r.i, avg(bv.v[r.i]) AS x FROM kept JOIN bv ON bv.id = candidate_id, range(1, 17) r(i) GROUP BY example_id, r.i)",
+    """chosen AS MATERIALIZED (SELECT example_id, candidate_id FROM (
+      SELECT example_id, candidate_id, row_number() OVER (PARTITION BY example_id ORDER BY round(d, 9), candidate_id) AS r FROM (
+        SELECT k.example_id, k.candidate_id, sqrt(sum((bv.v[r.i] - m.x) ** 2)) AS d
+        FROM kept k JOIN bv ON bv.id = k.candidate_id, range(1, 17) r(i) JOIN mid m ON m.i = r.i
+        WHERE m.example_id = k.example_id GROUP BY k.example_id, k.candidate_id)) WHERE r = 1)""",
+    f"""worded AS (SELECT rewrite_id, coalesce((SELECT arg_min(w, {sql_key(0, "rewrite_id", "i")}) FROM (SELECT unnest(ws) AS w, unnest(range(len(ws))) AS i)), '') AS word
+      FROM (SELECT rewrite_id, list_filter({sql_words("rewrite_prompt")}, lambda w: len(w) >= 5) AS ws FROM rewrites))""",
+    """filled AS MATERIALIZED (SELECT example_id AS id, candidate_id, replace(text, '{xxx}', word) AS text
+      FROM chosen JOIN asked a ON a.id = candidate_id JOIN worded ON rewrite_id = example_id)""",
+    sql_vectors("p", "SELECT id, text FROM filled"),
+    sql_vectors("a", "SELECT rewrite_id AS id, rewrite_prompt AS text FROM rewrites"),
+)
+
+
+def _central(t: Tables):
+    candidates = t.benchmark.select(F.col("item_id").alias("candidate_id"), F.concat("text", F.lit(" {xxx}")).alias("prompt"))
+    truths = t.rewrites.select(F.col("rewrite_id").alias("example_id"), "rewrite_prompt")
+    return plan.central_likely_prompts(t.token_logprobs, candidates, truths)
+
+
+@check(
+    "perplexity_run",
+    with_views(
+        """SELECT example_id, candidate_id, text AS predicted, round(abs(list_dot_product(a.v, p.v) ** 3), 6) AS score
+        FROM filled JOIN a ON a.id = filled.id JOIN p ON p.id = filled.id JOIN chosen ON example_id = filled.id""".replace(
+            "example_id, candidate_id, text", "chosen.example_id, chosen.candidate_id, text"
+        ),
+        *_CENTRAL,
+    ),
+)
+def _(t: Tables):
+    return _central(t).withColumn("score", rounded("score"))
+
+
+def _load_reader():
+    """A stand-in that answers with the lengths of the case's texts and the number of examples before it."""
+
+    def answer(prompts):
+        found = []
+        for prompt in prompts:
+            case = prompt.rsplit('Original Text\n""""""\n', 1)[1]
+            original, rest = case.split('\n""""""\n\nRewritten text:\n""""""\n', 1)
+            rewritten = rest.rsplit('\n""""""\n\nPrompt:\n""""""\n', 1)[0]
+            found.append(f'\n "{len(original)} {rewritten[::-1][:40]}" {prompt.count("-" * 96)}\nmore')
+        return found
+
+    return answer
+
+
+_LAST_LINE = f"""{sql_strip("string_split(" + sql_strip("replace(len(original_text) || ' ' || substr(reverse(rewritten_text), 1, 40) || ' ' || {n}, '\"', '')") + ", chr(10))[1]")}"""
+
+
+@check(
+    "fewshot_run",
+    with_views(
+        "SELECT id AS rewrite_id, round(abs(list_dot_product(a.v, p.v) ** 3), 6) AS score FROM a JOIN p USING (id)",
+        "rewrites",
+        sql_vectors("a", "SELECT rewrite_id AS id, rewrite_prompt AS text FROM rewrites"),
+        sql_vectors("p", f"SELECT rewrite_id AS id, {_sql_prediction(_LAST_LINE.replace('{n}', '3'))} AS text FROM rewrites"),
+    ),
+)
+def _(t: Tables):
+    rows = cut_lineage(t.rewrites)
+    scored = plan.evaluate_fewshot(rows, rows, "rewrite_id", _load_reader, 3)
+    return scored.select("rewrite_id", rounded("score").alias("score"))
+
+
+@check(
+    "fewshot_run_with_nearest_examples",
+    with_views(
+        "SELECT id AS rewrite_id, round(abs(list_dot_product(a.v, p.v) ** 3), 6) AS score FROM a JOIN p USING (id)",
+        "rewrites",
+        sql_vectors("a", "SELECT rewrite_id AS id, rewrite_prompt AS text FROM rewrites"),
+        sql_vectors("p", f"SELECT rewrite_id AS id, {_sql_prediction(_LAST_LINE.replace('{n}', '2'))} AS text FROM rewrites"),
+    ),
+)
+def _(t: Tables):
+    rows = cut_lineage(t.rewrites)
+    vectors = cut_lineage(rows.select(F.col("rewrite_id").alias("id"), vx.encode_text(F.col("original_text")).alias("vector")))
+    near = scoring.nearest_rows(vectors, vectors, "id", "id", "vector", 2)
+    scored = plan.evaluate_fewshot(rows, rows, "rewrite_id", _load_reader, neighbours=near)
+    return scored.select("rewrite_id", rounded("score").alias("score"))
+
+
+def _load_subject_reader():
+    def answer(prompts):
+        cases = [p.rsplit("\n#####\n\nSubject\n######", 1)[0].rsplit("Rewritten text:\n#####\n", 1)[1] for p in prompts]
+        return [f"subject of {len(c)} after {p.count('Input text:') - 1}" for c, p in zip(cases, prompts, strict=True)]
+
+    return answer
+
+
+@check(
+    "fewshot_subject_run",
+    with_views(
+        "SELECT id AS rewrite_id, round(abs(list_dot_product(a.v, p.v) ** 3), 6) AS score FROM a JOIN p USING (id)",
+        "rewrites",
+        sql_vectors("a", "SELECT rewrite_id AS id, rewrite_prompt AS text FROM rewrites"),
+        sql_vectors(
+            "p",
+            """SELECT rewrite_id AS id, 'Improve rephrase text manner this written to has character in style to a subject of ' || len(rewritten_text) || ' after 4.' AS text
+            FROM rewrites""",
+        ),
+    ),
+)
+def _(t: Tables):
+    rows = cut_lineage(t.rewrites)
+    scored = plan.evaluate_fewshot(
+        rows, rows, "rewrite_id", _load_subject_reader, 4, task=texts.FEWSHOT_SUBJECT_TASK, case=texts.FEWSHOT_SUBJECT_CASE,
+        example=texts.FEWSHOT_SUBJECT_EXAMPLE, template=texts.SHORT_PREDICTION,
+    )
+    return scored.select("rewrite_id", rounded("score").alias("score"))

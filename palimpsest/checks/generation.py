@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import functions as F
 
 from palimpsest import prompt_texts as texts
-from palimpsest.checks.registry import Tables, check, sql_int, sql_vectors, with_views
+from palimpsest.checks.registry import Tables, check, sql_int, sql_string, sql_vectors, with_views
 from palimpsest.functions.templates import render
 from palimpsest.operators import curate, generate, scoring
 from palimpsest.plans import synthetic
@@ -136,32 +139,35 @@ _TASK_SUBJECTS = texts.FREE_PROMPTS_TASK.count("subject")
 )
 def _(t: Tables):
     def load():
-        def answer(prompts):
+        def answer(prompts, system):
+            assert system == texts.FREE_PROMPTS_SYSTEM
             # every prompt lists its examples last; the answer names how many there were
             return [f'```json [{{"prompt": "about {p.count("subject")}", "subject": "n"}}]```' for p in prompts]
 
         return answer
 
     seeds = _seeds(t).select("prompt", "subject")
-    return generate.bootstrap_prompts(
-        seeds, load, lambda listing: render(texts.FREE_PROMPTS_TASK, examples=listing), rounds=2, runs=2
-    )
+    return synthetic.free_prompts(seeds, load, rounds=2, runs=2)
 
 
 def _load_conditioned():
-    """Answers in three labelled lines taken from the last input text."""
+    """Answers in three labelled lines: the length of the whole input text and its last characters, backwards."""
 
     def answer(prompts):
-        return [f"Type: note\nPrompt: shorten {p.split('Input Text:')[-1][8:28].split(chr(10))[0].strip()}\nSubject: brevity" for p in prompts]
+        found = []
+        for prompt in prompts:
+            text = prompt.rsplit('Input Text:\n""""""\n', 1)[1].rsplit('\n""""""\n\n### Info', 1)[0]
+            tail = "".join(c for c in text[::-1][:30] if c.isascii() and c.isalpha())
+            found.append(f"Type: note\nPrompt: shorten {len(text)} {tail}\nSubject: brevity")
+        return found
 
     return answer
 
 
 @check(
     "conditioned_prompts",
-    """SELECT doc_id, 'note' AS type, CASE WHEN contains(head, ': ') THEN 'shorten ' || string_split(head, ': ')[1] ELSE 'shorten ' || head END AS prompt,
-      'brevity' AS subject FROM (SELECT doc_id, regexp_replace(string_split(regexp_replace(substr(text, 1, 20), '\\s+$', ''), chr(10))[1], '\\s+$', '') AS head
-        FROM documents WHERE len(text) >= 300 AND len(text) <= 2500)""",
+    """SELECT doc_id, 'note' AS type, trim('shorten ' || len(text) || ' ' || regexp_replace(substr(reverse(text), 1, 30), '[^A-Za-z]', '', 'g')) AS prompt,
+      'brevity' AS subject FROM documents WHERE len(text) >= 300 AND len(text) <= 2500""",
 )
 def _(t: Tables):
     sources = t.documents.filter(F.length("text").between(300, 2500)).select(
@@ -169,19 +175,25 @@ def _(t: Tables):
     )
     seeds = t.benchmark.select("item_id", F.col("text").alias("original_text"), F.lit("note").alias("type"), F.lit("p").alias("prompt"), F.lit("s").alias("subject"))
     made = synthetic.conditioned_prompts(sources, "doc_id", seeds, "item_id", _load_conditioned)
-    return made.select("doc_id", "type", "prompt", "subject")
+    return made.select("doc_id", "type", F.trim("prompt").alias("prompt"), "subject")
 
 
 def _load_rewriter():
-    return lambda prompts: ["Sure:\n" + p.split("<start_of_turn>user\n")[1].split("\n\n")[0].upper() for p in prompts]
+    """Answers with a digest of the whole text and its prompt, behind an opening remark."""
+
+    def answer(prompts):
+        asked = [p.removeprefix("<start_of_turn>user\n").removesuffix("<end_of_turn>\n<start_of_turn>model\n").split("\n\n", 1) for p in prompts]
+        return ["Sure:\n" + hashlib.md5((text + prompt).encode()).hexdigest() for prompt, text in asked]
+
+    return answer
 
 
 @check(
     "rewritten_texts",
     with_views(
-        """SELECT rewrite_id, rewrite_prompt, len(rewrite_prompt) > 0 AS answered FROM (
-          SELECT rewrite_id, 'Improve: ' || dataset_id AS rewrite_prompt FROM rewrites WHERE len(original_text) BETWEEN 300 AND 2000
-          UNION ALL SELECT rewrite_id, 'Please improve ' || dataset_id FROM rewrites WHERE len(original_text) BETWEEN 300 AND 2000)""",
+        """SELECT rewrite_id, rewrite_prompt, md5(original_text || rewrite_prompt) AS rewritten FROM (
+          SELECT rewrite_id, original_text, 'Improve: ' || dataset_id AS rewrite_prompt FROM rewrites WHERE len(original_text) BETWEEN 300 AND 2000
+          UNION ALL SELECT rewrite_id, original_text, 'Please improve ' || dataset_id FROM rewrites WHERE len(original_text) BETWEEN 300 AND 2000)""",
         "rewrites",
     ),
 )
@@ -190,19 +202,31 @@ def _(t: Tables):
     entries = t.documents.select(F.concat(F.lit("Improve: "), "source").alias("prompt"), F.array(F.concat(F.lit("Please improve "), "source")).alias("variants"), "doc_id")
     table = curate.variant_table(entries, "prompt", "variants", "doc_id")
     made = synthetic.rewritten_texts(rows, table, _load_rewriter)
-    answered = F.col("rewritten_text") == F.upper("rewrite_prompt")
-    return made.select("rewrite_id", "rewrite_prompt", answered.alias("answered"))
+    return made.select("rewrite_id", "rewrite_prompt", F.col("rewritten_text").alias("rewritten"))
 
 
 @check(
     "judged_records",
-    with_views("SELECT rewrite_id, len(rewritten_text) % 2 = 0 AS is_well_written FROM rewrites", "rewrites"),
+    with_views(
+        """SELECT rewrite_id, ('0x' || substr(md5(original_text || '#' || rewritten_text || '#' || rewrite_prompt), 1, 8))::BIGINT % 3 = 0 AS is_well_written
+        FROM rewrites""",
+        "rewrites",
+    ),
 )
 def _(t: Tables):
     def load():
-        def answer(prompts):
-            texts_ = [p.split('Rewritten text:\n""""""\n')[1].rsplit('\n""""""\n\nPrompt:', 1)[0] for p in prompts]
-            return ['{"is_well_written": %s}' % ("true" if len(x) % 2 == 0 else "false") for x in texts_]
+        def answer(prompts, system):
+            assert system == texts.JUDGE_SYSTEM
+            found = []
+            for prompt in prompts:
+                # the judge's verdict is a digest of all three whole texts
+                case = prompt.split('\n""""""\n', 1)[1]
+                original, rest = case.split('\n""""""\n\nRewritten text:\n""""""\n', 1)
+                rewritten, rest = rest.rsplit('\n""""""\n\nPrompt:\n""""""\n', 1)
+                wanted = rest.rsplit('\n""""""', 1)[0]
+                digest = hashlib.md5(f"{original}#{rewritten}#{wanted}".encode()).hexdigest()
+                found.append('{"is_well_written": %s}' % ("true" if int(digest[:8], 16) % 3 == 0 else "false"))
+            return found
 
         return answer
 
@@ -211,13 +235,36 @@ def _(t: Tables):
 
 @check(
     "extracted_subjects",
-    with_views("SELECT rewrite_id, CAST(len(rewrite_prompt) AS VARCHAR) AS subject FROM rewrites", "rewrites"),
+    with_views("SELECT rewrite_id, md5(rewrite_prompt) AS subject FROM rewrites", "rewrites"),
 )
 def _(t: Tables):
     def load():
-        return lambda prompts: [f"Subject: {len(p.rsplit('Prompt: ', 1)[1]) - len(chr(10) + 'Subject: ')}" for p in prompts]
+        def answer(prompts, system):
+            assert system == texts.SUBJECT_SYSTEM
+            return ["Subject: " + hashlib.md5(p.rsplit("\n\nPrompt: ", 1)[1].removesuffix("\nSubject: ").encode()).hexdigest() for p in prompts]
+
+        return answer
 
     records = t.rewrites.drop("subject")
     return synthetic.subjects(records, _seeds(t), "item_id", load).select("rewrite_id", "subject")
 
 
+@check(
+    "expanded_prompts",
+    with_views(
+        f"""SELECT DISTINCT rewrite_prompt AS prompt, 2 AS n, {sql_string(texts.EXPANSION_SYSTEM)} || ' ' || rewrite_prompt || '|' || reverse(rewrite_prompt) AS variants
+        FROM prompts WHERE len(rewrite_prompt) % 7 > 0""",
+        "prompts",
+    ),
+)
+def _(t: Tables):
+    def load():
+        def answer(prompts, system):
+            asked = [p.split("Begin!\n\nprompt: ", 1)[1].removesuffix("\n") for p in prompts]
+            # some answers cannot be parsed, and their prompts have no variants
+            return [f"Here: {json.dumps({'rewritten_prompts': [f'{system} {a}', a[::-1]]})}." if len(a) % 7 else "none" for a in asked]
+
+        return answer
+
+    made = synthetic.expanded_prompts(t.prompts, load)
+    return made.select("prompt", F.size("variants").cast("long").alias("n"), F.array_join("variants", "|").alias("variants"))

@@ -113,14 +113,12 @@ class Tables:
     def token_logprobs(self) -> DataFrame:
         """Hashed stand-in for a model's token log-probabilities.
 
-        One row per rewrite, each of four benchmark prompts dealt to it, and word of the rewritten text.
+        One row per rewrite, benchmark prompt, and word of the rewritten text.
         """
         words = F.size(F.filter(F.split("rewritten_text", WHITESPACE_CLASS + "+"), lambda w: w != ""))
         rows = self.rewrites.select(F.col("rewrite_id").alias("example_id"), words.alias("n"))
-        size = self.benchmark.agg((F.max("item_id") + 1).alias("n")).scalar()
-        pairs = rows.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn(
-            "candidate_id", F.pmod(F.col("example_id") + F.col("deal") * 13, size)
-        )
+        size = self.benchmark.agg(F.max("item_id").alias("n")).scalar()
+        pairs = rows.withColumn("candidate_id", F.explode(F.sequence(F.lit(0).cast("long"), size)))
         tokens = pairs.filter("n > 0").select("example_id", "candidate_id", F.explode(F.sequence(F.lit(1), "n")).alias("pos"))
         digest = F.md5(F.concat_ws("#", F.col("example_id").cast("string"), F.col("candidate_id").cast("string"), F.col("pos").cast("string")))
         value = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
@@ -192,9 +190,8 @@ def sql_vectors(name: str, source: str, position_weight: float = 0.0) -> str:
 LOGPROBS_SQL = f"""token_logprobs AS (
   SELECT example_id, candidate_id, pos,
          -(1 + ('0x' || substr(md5(concat_ws('#', example_id, candidate_id, pos)), 1, 8))::BIGINT % 1000) / 250::DOUBLE AS logprob
-  FROM (SELECT rewrite_id AS example_id, (rewrite_id + deal * 13) % (SELECT max(item_id) + 1 FROM benchmark) AS candidate_id,
-               unnest(range(1, n + 1)) AS pos
-        FROM (SELECT rewrite_id, len({sql_words('rewritten_text')}) AS n FROM rewrites), range(4) deals(deal)))"""
+  FROM (SELECT rewrite_id AS example_id, candidate_id, unnest(range(1, n + 1)) AS pos
+        FROM (SELECT rewrite_id, len({sql_words('rewritten_text')}) AS n FROM rewrites), range((SELECT max(item_id) + 1 FROM benchmark)) c(candidate_id)))"""
 
 
 def with_views(query: str, *views: str, recursive: bool = False) -> str:

@@ -111,6 +111,44 @@ def _(t: Tables):
     return search.trace_table(t.spark, additive.beam_search(_additive(t), 50, 15))
 
 
+#: Encoders side by side, so that vectors have more components than moments are kept for.
+_SIDES = 5
+
+
+def _wide(text):
+    return F.concat(*[vx.encode_text(F.concat(text, F.lit(" " + "x" * k))) for k in range(_SIDES)])
+
+
+def _sql_wide(name: str, source: str) -> list[str]:
+    parts = [sql_vectors(f"{name}{k}", f"SELECT id, text || ' {'x' * k}' AS text FROM ({source})") for k in range(_SIDES)]
+    joined = " ".join(f"JOIN {name}{k} USING (id)" for k in range(1, _SIDES))
+    whole = f"{name}0.v" if _SIDES == 1 else "list_concat(" * (_SIDES - 1) + f"{name}0.v" + "".join(f", {name}{k}.v)" for k in range(1, _SIDES))
+    return [*parts, f"{name} AS MATERIALIZED (SELECT id, {whole} AS v FROM {name}0 {joined})"]
+
+
+def _sql_wide_steps(steps: int, width: int) -> list[str]:
+    views = _sql_wide("pw", "SELECT prompt_id AS id, rewrite_prompt AS text FROM prompts")
+    for step in range(steps):
+        grown = "SELECT word AS text FROM vocabulary" if step == 0 else f"SELECT b.text || ' ' || word AS text FROM wide{step - 1} b, vocabulary"
+        views += [
+            f"grown{step} AS MATERIALIZED (SELECT DISTINCT text AS id, text FROM ({grown}))",
+            *_sql_wide(f"gw{step}", f"SELECT id, text FROM grown{step}"),
+            f"""wide{step} AS MATERIALIZED (SELECT c.id AS text, round(avg(list_dot_product(pw.v, c.v) ** 3), 9) AS score FROM gw{step} c, pw
+              GROUP BY c.id ORDER BY score DESC, text LIMIT {width})""",
+        ]
+    return views
+
+
+@check(
+    "beam_search_wide_vectors",
+    with_views("SELECT text, score FROM wide1", "prompts", _PROMPT_WORDS, _VOCABULARY, *_sql_wide_steps(2, 3)),
+)
+def _(t: Tables):
+    corpus = scoring.CorpusVectors(cut_lineage(t.prompts.select(_wide(F.col("rewrite_prompt")).alias("v"))), "v")
+    state = search.beam_search(_vocabulary(t), corpus, beam_width=3, num_steps=2, encoder=_wide)
+    return search.beams_table(t.spark, state).select(F.array_join("words", " ").alias("text"), "score")
+
+
 def _sql_case_words(words: str) -> str:
     # a sharp s has two letters as its capital
     return f"replace(upper(substr({words}, 1, 1)), 'ẞ', 'SS') || substr({words}, 2)"
@@ -217,7 +255,7 @@ _MEAN_PROMPT = "rewrite this text as {{subject}}"
     ),
 )
 def _(t: Tables):
-    return search.best_subject(t.prompts, "prompt_id", "rewrite_prompt", F.lit(_MEAN_PROMPT))
+    return additive.best_subject(t.prompts, "prompt_id", "rewrite_prompt", _MEAN_PROMPT)
 
 
 _SWEEP_WORDS = ["rewrite", "this", "text", "in", "the", "style", "of"]

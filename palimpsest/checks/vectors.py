@@ -108,8 +108,9 @@ def _(t: Tables):
     ),
 )
 def _(t: Tables):
-    constant = vx.encode_text(F.lit("rewrite this text in the style of"))
-    return scoring.prompt_score(constant, t.prompt_vectors).select(rounded("score", 9).alias("score"))
+    # the constant is encoded once, not once for each row of the corpus
+    encoded = t.spark.range(1).select(vx.encode_text(F.lit("rewrite this text in the style of")).alias("v")).first()["v"]
+    return scoring.prompt_score(vx.vector_literal(encoded), t.prompt_vectors).select(rounded("score", 9).alias("score"))
 
 
 _SCORES = "scores AS (SELECT bv.id, avg(list_dot_product(pv.v, bv.v) ** 3) AS score FROM bv, pv GROUP BY bv.id)"

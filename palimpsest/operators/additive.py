@@ -12,15 +12,17 @@ dim² products and no text is encoded. A step reads the vocabulary once, and onl
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
+from itertools import islice, permutations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palimpsest.functions.text import REST
-from palimpsest.functions.vectors import word_vectors
+from palimpsest.functions.text import REST, letters_only
+from palimpsest.functions.vectors import WORD_CACHE, word_vector, word_vectors
 from palimpsest.operators.scoring import CELLS, Batches, Moments, batch_vectors
-from palimpsest.operators.search import SCORE_DIGITS, SearchState
+from palimpsest.operators.search import SCORE_DIGITS, SUBJECT_SLOT, SearchState
 from palimpsest.session import cut_lineage
 
 #: How a word is written: its column, whether it opens the text, whether a full stop follows.
@@ -184,3 +186,73 @@ def substitution_search(vocabulary: Vocabulary, words: list[str], rounds: int =
         words = [*words[:place], best[0]["word"], *words[place + 1 :]]
         trace.append((number, best[0]["score"], best[0]["text"]))
     return trace
+
+
+@lru_cache(maxsize=256)
+def sequences(n: int, max_words: int, max_test: int) -> list[np.ndarray]:
+    """Positions of the first ``max_test`` word sequences of n words, by length, the longest first."""
+    out, left = [], max_test
+    for size in range(min(max_words, n), 0, -1):
+        found = list(islice(permutations(range(n), size), left))
+        left -= len(found)
+        out.append(np.array(found, dtype=np.int64).reshape(-1, size))
+    return out
+
+
+def best_subject(
+    df: DataFrame,
+    row_id: str,
+    prompt: str,
+    mean_prompt: str,
+    max_words: int = 3,
+    max_test: int = 1000,
+    vector_of: Callable[[str], np.ndarray] = word_vector,
+) -> DataFrame:
+    """``search.best_subject`` where order does not matter: ``row_id, best_subject, score``, no text encoded.
+
+    A completed prompt is the sum of the mean prompt's other words and the chosen ones, so that a row adds up rows of
+    its own words' vectors. The first word sequence in generation order wins ties. ``mean_prompt`` has the slot as a
+    word of its own. A prompt that is null or has no words has no subject. Other columns are not read.
+    """
+    others = [w for w in mean_prompt.split(" ") if w != SUBJECT_SLOT]
+    if SUBJECT_SLOT not in mean_prompt.split(" "):
+        raise ValueError("the slot must be a word of the mean prompt")
+    cleaned = ["".join(c for c in w if c.isalpha()).lower() for w in others]
+    base = sum((vector_of(w) for w in cleaned if w), np.zeros(len(vector_of("a"))))
+    slots = mean_prompt.split(" ").count(SUBJECT_SLOT)
+
+    def choose(batches: Batches) -> Batches:
+        known: dict[str, np.ndarray] = {"": np.zeros_like(base)}
+        for batch in batches:
+            if len(known) > WORD_CACHE:
+                known = {"": np.zeros_like(base)}
+            best, scores = [], []
+            for text in batch.column("prompt").to_pylist():
+                words = text.split(" ") if text is not None else []
+                for w in words:
+                    if w not in known:
+                        known[w] = vector_of(w)
+                own = np.array([known[w] for w in words]).reshape(-1, len(base))
+                truth = own.sum(axis=0)
+                length = np.sqrt(truth @ truth)
+                if not length:
+                    best.append(None)
+                    scores.append(None)
+                    continue
+                top = None
+                for chosen in sequences(len(words), max_words, max_test):
+                    sums = base + slots * own[chosen].sum(axis=1)
+                    norms = np.sqrt((sums * sums).sum(axis=1))
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        value = np.round((sums @ (truth / length) / norms) ** 3, SCORE_DIGITS)
+                    value = np.where(np.isfinite(value), value, -np.inf)
+                    if len(value) and (top is None or value.max() > top[0]):
+                        top = float(value.max()), chosen[int(value.argmax())]
+                found = top is not None and np.isfinite(top[0])
+                best.append(" ".join(words[k] for k in top[1]) if found else None)
+                scores.append(top[0] if found else None)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(best, pa.string()), pa.array(scores, pa.float64())], names=["id", "best_subject", "score"])
+
+    rows = df.select(F.col(row_id).alias("id"), letters_only(F.col(prompt)).alias("prompt"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(choose, f"id {kind}, best_subject string, score double").withColumnRenamed("id", row_id)

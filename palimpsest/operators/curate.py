@@ -181,27 +181,42 @@ def variant_table(expansions: DataFrame, key: str, values: str, order_by: str) -
     return expansions.groupBy(key).agg(F.max_by(values, order_by).alias(values))
 
 
-def zip_by_order(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
-    """Pair the i-th row of one table with the i-th of the other; the longer one is cut."""
-    a = with_position(left, left_order, "_position")
-    b = with_position(right, right_order, "_position")
+def zip_by_order(
+    left: DataFrame, right: DataFrame, left_order: str, right_order: str, left_ties: list[str] = (), right_ties: list[str] = ()
+) -> DataFrame:
+    """Pair the i-th row of one table with the i-th of the other; the longer one is cut.
+
+    The ties decide among rows of equal order, and spread them over tasks.
+    """
+    a = with_position(left, left_order, "_position", left_ties)
+    b = with_position(right, right_order, "_position", right_ties)
     return a.join(b, "_position").drop("_position")
 
 
-def zip_shuffled(base: DataFrame, donors: DataFrame, seed: int, base_order: str, donor_ids: list[str], columns: list[str]) -> DataFrame:
-    """Replace ``columns`` of the base with those of shuffled donors, and append to the base."""
+def zip_shuffled(
+    base: DataFrame, donors: DataFrame, seed: int, base_order: str, donor_ids: list[str], columns: list[str], base_ties: list[str] = ()
+) -> DataFrame:
+    """Replace ``columns`` of the base with those of shuffled donors, and append to the base.
+
+    ``base_ties`` (not among ``columns``) decide among base rows of equal order, and spread them over tasks.
+    """
     kept = [c for c in base.columns if c not in columns]
-    a = with_position(base.select(*kept), base_order, "_position")
+    a = with_position(base.select(*kept), base_order, "_position", base_ties)
     b = with_shuffled_position(donors.select(*donor_ids, *columns), seed, donor_ids, "_position")
     replaced = a.join(b.select("_position", *columns), "_position").drop("_position")
     return base.unionByName(replaced.select(*base.columns))
 
 
-def cycle_join(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
-    """Row i of the left table with row i mod n of the right one."""
+def cycle_join(
+    left: DataFrame, right: DataFrame, left_order: str, right_order: str, left_ties: list[str] = (), right_ties: list[str] = ()
+) -> DataFrame:
+    """Row i of the left table with row i mod n of the right one; ties as in ``zip_by_order``.
+
+    A right side so short that its rows repeat often is small, and Spark sends it to the left rows.
+    """
     size = right.agg(F.count(F.lit(1)).alias("n")).scalar()
-    a = with_position(left, left_order, "_index").withColumn("_index", F.pmod("_index", size))
-    b = with_position(right, right_order, "_index")
+    a = with_position(left, left_order, "_index", left_ties).withColumn("_index", F.pmod("_index", size))
+    b = with_position(right, right_order, "_index", right_ties)
     return a.join(b, "_index").drop("_index")
 
 

@@ -55,6 +55,7 @@ def batch_generate(
     wait: float = RETRY_WAIT_SECONDS,
     distinct_prompts: bool = True,
     keep_result: bool = False,
+    system: str | None = None,
 ) -> DataFrame:
     """Add the model's answer and an ``error`` column; failed calls give null, the job goes on.
 
@@ -79,7 +80,7 @@ def batch_generate(
             for at in range(0, len(pdf), batch_size):
                 part = pdf.iloc[at : at + batch_size]
                 if model is None:
-                    model = load_model()
+                    model = load_model() if system is None else partial(load_model(), system=system)
                 answers, errors = _attempt(model, part[prompt].tolist(), retries, wait)
                 yield part[names].assign(**{output: answers, "error": errors})
 
@@ -212,6 +213,7 @@ def bootstrap_prompts(
     examples: int = 5,
     runs: int = 1,
     seed: int = 27003,
+    system: str | None = None,
 ) -> DataFrame:
     """Grow a ``(prompt, subject)`` table: each round's parsed answers become examples of the next.
 
@@ -229,7 +231,7 @@ def bootstrap_prompts(
     for number in range(1, rounds + 1):
         listing = F.concat(F.lit("["), F.array_join("context", ", "), F.lit("]"))
         asked = state.withColumn("_prompt", render(listing))
-        answered = batch_generate(asked, "_prompt", load_model, "_answer", wait=0.0, distinct_prompts=False)
+        answered = batch_generate(asked, "_prompt", load_model, "_answer", wait=0.0, distinct_prompts=False, system=system)
         parsed = cut_lineage(
             answered.withColumn("new", F.coalesce(fenced_prompt_list(F.col("_answer")), F.array().cast(PROMPT_SUBJECT_LIST)))
         )

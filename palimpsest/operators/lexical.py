@@ -98,9 +98,18 @@ def tf_idf(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return raw.select(doc_id, "term", (F.col("raw") / F.sqrt(squared)).alias("weight"))
 
 
+#: Words of a lexicon that goes to all rows; a larger one meets the words in a shuffle.
+LEXICON_ROWS = 500_000
+
+
 def mean_polarity(df: DataFrame, row_id: str, text: str, lexicon: DataFrame) -> DataFrame:
-    """Mean polarity of a text's words found in a ``(word, polarity)`` lexicon; null when none is."""
-    scored = text_words(df, text, keep=(row_id,)).join(lexicon.select("word", "polarity"), "word")
+    """Mean polarity of a text's words found in a ``(word, polarity)`` lexicon; null when none is.
+
+    A lexicon of up to ``LEXICON_ROWS`` rows, by count, cuts the words where they are: only those it has are shuffled.
+    """
+    known = lexicon.select("word", "polarity")
+    few = known.limit(LEXICON_ROWS + 1).count() <= LEXICON_ROWS
+    scored = text_words(df, text, keep=(row_id,)).join(F.broadcast(known) if few else known, "word")
     totals = scored.groupBy(row_id).agg(F.avg("polarity").alias("polarity"))
     return df.select(row_id).join(totals, row_id, "left")
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import csv
+import io
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from palimpsest import schemas
@@ -11,6 +14,7 @@ from palimpsest.functions.text import strip
 from palimpsest.functions.vectors import fold_columns
 from palimpsest.operators.curate import combine_sources, source_text
 from palimpsest.operators.ordering import union_all
+from palimpsest.session import cut_lineage
 
 TEXTS = ("original_text", "rewrite_prompt", "rewritten_text")
 METADATA_FILE = "dataset-metadata.json"  # fixed value: the one file a prompt folder holds besides data
@@ -19,31 +23,55 @@ METADATA_FILE = "dataset-metadata.json"  # fixed value: the one file a prompt fo
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 
 
-def _files_by_header(spark: SparkSession, path: str | list[str]) -> list[tuple[list[str], list[str]]]:
-    """The files of a path, glob or list, and their header, one entry per different header.
+def _headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file, names`` of the CSV files of a path, glob or list: each file's first record, all in one job.
 
-    Lists the files and reads the first record of each.
+    A record goes on over line ends inside quotes. Files without a record have none.
     """
-    files = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").orderBy("path").collect()]
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for file in files:
-        groups.setdefault(tuple(spark.read.options(**CSV_OPTIONS).csv(file).columns), []).append(file)
-    return [(list(header), members) for header, members in groups.items()]
-
-
-def _named_columns(raw: DataFrame, schema: T.StructType) -> list[Column]:
-    return [
-        (F.col(f"`{f.name}`").cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name)
-        for f in schema.fields
-    ]
+    lines = spark.read.option("lineSep", "\n").text(path).filter(F.col("_metadata.file_block_start") == 0)
+    rows = lines.select(F.col("_metadata.file_path").alias("file"), "value")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[str] = set()
+        record: dict[str, str] = {}  # of files whose first record goes on; lines of a file come in order
+        for batch in batches:
+            found = []
+            for file, line in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                if file in done:
+                    continue
+                text = record.pop(file) + "\n" + line if file in record else line
+                if text.count('"') % 2:
+                    record[file] = text
+                elif text.strip():
+                    done.add(file)
+                    found.append((file, next(csv.reader(io.StringIO(text.removeprefix("\ufeff").rstrip("\r"), newline="")))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f for f, _ in found], pa.string()), pa.array([n for _, n in found], pa.list_(pa.string()))], names=["file", "names"]
+            )
+
+    return rows.mapInArrow(first, "file string, names array<string>")
+
+
+def _read_by_header(spark: SparkSession, path: str | list[str], schema: T.StructType, source: str | None = None) -> DataFrame:
+    """The columns of ``schema`` by each file's own header: one job for the headers, one scan for the rows.
+
+    Rows are read by place and find their file's header in a join; the headers never come to the driver.
+    """
+    headers = cut_lineage(_headers(spark, path))
+    width = headers.agg(F.max(F.size("names"))).first()[0]
+    more = [F.col("_file").alias(source)] if source else []
+    if width is None:
+        return spark.createDataFrame([], schema).withColumn("_file", F.lit("")).select(*schema.names, *more)
+    places = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
+    raw = spark.read.options(**CSV_OPTIONS).schema(places).csv(path)
+    cells = raw.select(F.array(*places.names).alias("_cells"), F.col("_metadata.file_path").alias("_file"))
+    named = cells.join(headers.withColumnRenamed("file", "_file"), "_file")
 
+    def cell(field: T.StructField) -> Column:
+        place = F.array_position("names", F.lit(field.name)).cast("int") - 1  # -1 where the file lacks the column
+        return F.get("_cells", place).cast(field.dataType).alias(field.name)
 
-def _read_by_header(spark: SparkSession, path: str | list[str], schema: T.StructType, *more: Column) -> DataFrame:
-    parts = []
-    for _, members in _files_by_header(spark, path):
-        raw = spark.read.options(**CSV_OPTIONS).csv(members)
-        parts.append(raw.select(*_named_columns(raw, schema), *more))
-    return union_all(parts) if parts else spark.createDataFrame([], schema).select("*", *more)
+    return named.select(*map(cell, schema.fields), *more)
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, by_header: bool = True) -> DataFrame:
@@ -65,7 +93,7 @@ def read_csv_files(spark: SparkSession, paths: list[str], schema: T.StructType)
 
 def read_csv_folder(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFrame:
     """A glob of CSV files, each read by its own header; ``source_file`` keeps provenance and order."""
-    return _read_by_header(spark, pattern, schema, F.input_file_name().alias("source_file"))
+    return _read_by_header(spark, pattern, schema, "source_file")
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -97,3 +97,16 @@ def test_common_word_counts(spark):
     assert {r["word"]: r["n"] for r in lexical.word_counts(df, "t").collect()} == {"the": 3, "cat": 2, "a": 1}
     shares = {r["word"]: r["share"] for r in lexical.word_shares(df, "t").collect()}
     assert shares[""] == pytest.approx(1 / 7) and shares["the"] == pytest.approx(3 / 7)
+
+
+def test_pairs_of_equal_order_follow_the_ties(spark):
+    left = spark.createDataFrame([(i, 0) for i in range(20)], "a long, o long").repartition(5)
+    right = spark.createDataFrame([(i, 0) for i in range(7)], "b long, p long").repartition(3)
+    paired = curate.zip_by_order(left, right, "o", "p", ["a"], ["b"]).collect()
+    assert sorted((r["a"], r["b"]) for r in paired) == [(i, i) for i in range(7)]
+    cycled = curate.cycle_join(left, right, "o", "p", ["a"], ["b"]).collect()
+    assert sorted((r["a"], r["b"]) for r in cycled) == [(i, i % 7) for i in range(20)]
+    base = left.withColumn("c", F.lit("own"))
+    donors = spark.createDataFrame([(i, f"d{i}") for i in range(20)], "id long, c string")
+    zipped = curate.zip_shuffled(base, donors, 3, "o", ["id"], ["c"], ["a"])
+    assert {r["a"]: r["c"] for r in zipped.filter("c <> 'own'").collect()} == {r["a"]: r["c"] for r in curate.zip_shuffled(base.repartition(2), donors, 3, "o", ["id"], ["c"], ["a"]).filter("c <> 'own'").collect()}

@@ -184,3 +184,15 @@ def test_search_above_the_dimension_of_moments(spark, corpus, vocabulary, monkey
 def test_passes_and_moments_find_the_same_prompt(corpus, vocabulary, moments):
     rows = scoring.CorpusVectors(corpus.select(encode_text(F.col("rewrite_prompt")).alias("v")), "v")
     assert search.beam_search(vocabulary, rows, 3, 2).trace == search.beam_search(vocabulary, moments, 3, 2).trace
+
+
+def test_best_subject_of_sums_is_that_of_encoded_texts(spark):
+    prompts = ["make this text better", "Rewrite, this: as a poem!", "a a b", "one", "", None, "two  blanks here", "x y z w v u t s r q p o n"]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(prompts)], "id long, p string")
+    mean = "Improve the text to {{subject}} style"
+    for words, most in ((3, 1000), (2, 7), (1, 2)):
+        encoded = search.best_subject(rows, "id", "p", F.lit(mean), words, most).collect()
+        summed = additive.best_subject(rows, "id", "p", mean, words, most).collect()
+        assert sorted(map(tuple, summed)) == sorted(map(tuple, encoded))
+    with pytest.raises(ValueError, match="slot"):
+        additive.best_subject(rows, "id", "p", "no slot")

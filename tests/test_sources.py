@@ -20,6 +20,26 @@ def test_csv_with_quotes_and_newlines(spark, tmp_path):
     assert got == {('a "b"\nc', "p", "s"), ("o2", None, None)}
 
 
+def test_headers_of_many_files_take_one_job(spark, tmp_path):
+    for i in range(300):
+        header, row = ("original_text,subject", f'"t{i}, ""q"" \n",s{i}') if i % 2 else ("subject,note,original_text", f"s{i},x,t{i}")
+        put(tmp_path / "many" / f"{i:04d}.csv", f"{header}\n{row}\n")
+    put(tmp_path / "many" / "quoted.csv", '"a ""b""\nc",original_text\n1,last\n')
+    put(tmp_path / "many" / "empty.csv", "")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("headers", "headers")
+    try:
+        headers = readers._headers(spark, f"{tmp_path}/many/*.csv").collect()
+        assert len(tracker.getJobIdsForGroup("headers")) == 1
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(headers) == 301 and ['a "b"\nc', "original_text"] in [r["names"] for r in headers]
+    rows = readers.read_csv_folder(spark, f"{tmp_path}/many/*.csv", schemas.REWRITE_SUBJECT).collect()
+    got = {r["original_text"]: (r["subject"], r["rewrite_prompt"], r["source_file"].rsplit("/", 1)[1]) for r in rows}
+    assert len(rows) == 301 and got["last"] == (None, None, "quoted.csv")
+    assert got['t7, "q" \n'] == ("s7", None, "0007.csv") and got["t8"] == ("s8", None, "0008.csv")
+
+
 def test_json_readers_take_whole_files(spark, tmp_path):
     put(tmp_path / "list.json", ["a", "b"])
     assert [r[0] for r in readers.read_prompt_list(spark, f"{tmp_path}/list.json").collect()] == ["a", "b"]
