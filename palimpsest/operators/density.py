@@ -2,8 +2,9 @@
 
 Space is cut into cells around sampled centres: a vector's own cell is that of its nearest centre. A vector within
 ε of a member of another cell is at most 2ε further from that cell's centre than from its own, and within the
-cell's radius plus ε of it; so copied into the cells that pass both tests, vectors find every neighbour inside
-one cell, and no pair is missed. Cells of any size are compared tile by tile.
+cell's radius plus ε of it; so a vector compared with the rows of the cells that pass both tests meets every
+neighbour, and no pair is missed. Cells of any size are compared tile by tile, and no copy of a vector is written
+for the cells it reaches.
 """
 
 from __future__ import annotations
@@ -16,13 +17,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from palimpsest.functions.vectors import usable
 from palimpsest.operators.clusters import NOISE, connected_labels
-from palimpsest.operators.scoring import Batches, batch_vectors, vectors_of
+from palimpsest.operators.scoring import Batches, against_blocks, as_matrix, batch_vectors, vectors_of
 from palimpsest.session import cut_lineage
 
 #: Centres at most; what they take on the driver is so many vectors.
 MOST_CELLS = 4096
 #: Rows of one side that a task compares at a time.
 TILE_ROWS = 4096
+#: Rows that a task holds of what it found before it shortens them.
+FOUND_ROWS = 2_000_000
+#: Tasks for each core that the left side of a comparison is dealt to.
+TASKS = 4
 #: Room for the rounding of a distance.
 ROUNDING = 1e-9
 
@@ -86,32 +91,65 @@ class Cells:
     def copies(self, points: DataFrame, keep: tuple[str, ...] = ("id", "v")) -> DataFrame:
         return _in_cells(points, self.centres, self.radius, self.eps, keep).drop("distance")
 
-    def meet(self, left: DataFrame, right: DataFrame, kernel, schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
-        """``kernel(mine, x, others, y)`` of tables and matrices, for each tile of ``left`` and of the copies of ``right``.
+    def meet(self, left: DataFrame, right: DataFrame, kernel, schema: str, keep: tuple[str, ...] = (), combine=None) -> DataFrame:
+        """``kernel(mine, x, others, y)`` of tables and matrices, for the rows of ``left`` near a cell and tiles of that cell.
 
-        A row of ``left`` meets each row of ``right`` that may be its neighbour, once.
+        A row of ``left`` meets each row of ``right`` that may be its neighbour, once. The right side comes in blocks, by
+        its own cells, and the copies in other cells are never made: which cells a row reaches is worked out where it
+        is. ``combine`` shortens what a task has found so far, a table of ``schema``, before it leaves the task.
         """
-        mine, others = self.own(left), cut_lineage(self.copies(right, ("id", "v", *keep)))
-        many = others.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).alias("tiles")).filter("tiles > 1")
-        many = cut_lineage(many)
-        tiles = F.coalesce("tiles", F.lit(1).cast("long"))
-        others = others.join(many, "cell", "left").withColumn("tile", F.pmod(F.xxhash64("id"), tiles)).drop("tiles")
-        # the left side's own tiles keep a hot cell's rows apart; each meets all tiles of the other side
-        mine = mine.join(many, "cell", "left").withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), tiles))
-        mine = mine.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1))).drop("tiles")
-        parts = F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1))
-        others = others.join(many, "cell", "left").withColumn("part", parts).drop("tiles")
-        empty = self.points.sparkSession.createDataFrame([], schema).toArrow().schema
-
-        def run(a: pa.Table, b: pa.Table) -> pa.Table:
-            if not a.num_rows or not b.num_rows:
-                return empty.empty_table()
-            x, y = (t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) for t in (a, b))
-            found = [kernel(a.slice(at, 1024), x[at : at + 1024], b, y) for at in range(0, len(x), 1024)]
-            return pa.concat_tables(pa.table(f, schema=empty) for f in found)
-
-        keys = ["cell", "part", "tile"]
-        return mine.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInArrow(run, schema)
+        spark = self.points.sparkSession
+        tasks = TASKS * spark.sparkContext.defaultParallelism
+        mine = left.select("id", "v").repartition(tasks, "id")
+        others = cut_lineage(self.own(right, ("id", "v", *keep)))
+        shared = spark.sparkContext.broadcast((self.centres, self.radius))
+        empty = spark.createDataFrame([], schema).toArrow().schema
+        eps = self.eps
+
+        def near_tiles(x: np.ndarray, ends: np.ndarray):
+            """Rows of the batch and the bounds of a tile of a cell that they reach."""
+            around, reach = shared.value
+            far = _distances(x, around)
+            near = (far - far.min(axis=1, keepdims=True) <= 2 * eps + ROUNDING) & (far <= reach[None, :] + eps + ROUNDING)
+            near &= (np.diff(ends) > 0)[None, :]
+            for cell in np.flatnonzero(near.any(axis=0)):
+                rows = np.flatnonzero(near[:, cell])
+                for at in range(ends[cell], ends[cell + 1], TILE_ROWS):
+                    yield rows, at, min(at + TILE_ROWS, ends[cell + 1])
+
+        def start(load):
+            def run(batches: Batches) -> Batches:
+                block = load()
+                if not len(block):
+                    return
+                block = block.sort_values("cell", kind="stable")
+                y = as_matrix(block["v"])
+                ends = np.searchsorted(block["cell"].to_numpy(), np.arange(len(shared.value[0]) + 1))
+                others = pa.Table.from_pandas(block[["id", *keep]], preserve_index=False)
+                held, size = [], 0
+                for whole in batches:
+                    for at in range(0, whole.num_rows, 1024):
+                        batch, x = batch_vectors(whole.slice(at, 1024))
+                        if not batch.num_rows:
+                            continue
+                        table = pa.Table.from_batches([batch])
+                        for rows, low, high in near_tiles(x, ends):
+                            found = pa.table(kernel(table.take(rows), x[rows], others.slice(low, high - low), y[low:high]), schema=empty)
+                            if found.num_rows:
+                                held.append(found)
+                                size += found.num_rows
+                            if size > FOUND_ROWS:
+                                joined = _shorter(held, combine)
+                                held, size = [joined], joined.num_rows
+                                if size > FOUND_ROWS // 2:
+                                    yield from joined.to_batches(max_chunksize=65536)
+                                    held, size = [], 0
+                if held:
+                    yield from _shorter(held, combine).to_batches(max_chunksize=65536)
+
+            return run
+
+        return against_blocks(mine, others, "id", "v", start, schema, keep=(*keep, "cell"))
 
     def comparisons(self, left: DataFrame, right: DataFrame) -> int:
         """Pairs of vectors that ``meet`` compares."""
@@ -140,6 +178,36 @@ def _spanning(near: np.ndarray, own: np.ndarray, theirs: np.ndarray) -> dict:
     return {"a": names[pairs[:, 0]], "b": names[pairs[:, 1]]}
 
 
+def _shorter(found: list[pa.Table], combine) -> pa.Table:
+    table = pa.concat_tables(found).combine_chunks()
+    return table if combine is None else pa.table(combine(table), schema=table.schema)
+
+
+def _forest(edges: pa.Table) -> dict:
+    """Edges that join what ``edges`` join: each piece as a star around its smallest id."""
+    names, rank = np.unique(np.concatenate([edges.column(c).to_numpy() for c in ("a", "b")]), return_inverse=True)
+    a, b = rank[: edges.num_rows], rank[edges.num_rows :]
+    root = np.arange(len(names))
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        a, b = low[low != high], high[low != high]
+        np.minimum.at(root, b, a)
+        while (root[root] != root).any():
+            root = root[root]
+    rest = np.flatnonzero(root != np.arange(len(names)))
+    return {"a": names[rest], "b": names[root[rest]]}
+
+
+def _summed(found: pa.Table) -> dict:
+    table = found.group_by("id").aggregate([("neighbours", "sum")])
+    return {"id": table.column("id"), "neighbours": table.column("neighbours_sum")}
+
+
+def _lowest(found: pa.Table) -> dict:
+    table = found.group_by("id").aggregate([("label", "min")])
+    return {"id": table.column("id"), "label": table.column("label_min")}
+
+
 def density_clusters(df: DataFrame, id_column: str, vector: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """``id, cluster``: core points have at least ``min_samples`` rows (themselves included) within ``eps``.
 
@@ -163,14 +231,14 @@ def density_clusters(df: DataFrame, id_column: str, vector: str, eps: float = 0.
     def weigh(mine, x, others, y):
         return {"id": _ids(mine), "neighbours": close(x, y, eps) @ others.column("weight").to_numpy().astype(np.float64)}
 
-    counted = cells.meet(points, points, weigh, f"id {kind}, neighbours double", ("weight",)).groupBy("id").agg(F.sum("neighbours").alias("n"))
+    counted = cells.meet(points, points, weigh, f"id {kind}, neighbours double", ("weight",), _summed).groupBy("id").agg(F.sum("neighbours").alias("n"))
     points = cut_lineage(points.join(counted, "id").select("id", "v", (F.col("n") >= min_samples).alias("core")))
     core, border = points.filter("core").select("id", "v"), points.filter(~F.col("core")).select("id", "v")
 
     def join(mine, x, others, y):
         return _spanning(close(x, y, eps), _ids(mine), _ids(others))
 
-    edges = cells.meet(core, core, join, f"a {kind}, b {kind}")
+    edges = cells.meet(core, core, join, f"a {kind}, b {kind}", combine=_forest)
     labels = cut_lineage(connected_labels(core, edges))
 
     def touch(mine, x, others, y):
@@ -180,7 +248,7 @@ def density_clusters(df: DataFrame, id_column: str, vector: str, eps: float = 0.
         hit = best < len(names)
         return {"id": _ids(mine)[hit], "label": names[best[hit]]}
 
-    touched = cells.meet(border, core.join(labels, "id"), touch, f"id {kind}, label {kind}", ("label",))
+    touched = cells.meet(border, core.join(labels, "id"), touch, f"id {kind}, label {kind}", ("label",), _lowest)
     named = labels.unionByName(touched.groupBy("id").agg(F.min("label").alias("label")))
     labelled = points.join(named, "id", "left").select("v", F.coalesce("label", nothing).alias("cluster"))
     return rows.join(labelled, "v").select(F.col("id").alias(id_column), "cluster").union(missing)
