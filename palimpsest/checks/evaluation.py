@@ -193,11 +193,10 @@ def _(t: Tables):
     ),
 )
 def _(t: Tables):
-    logprobs = t.token_logprobs
-    dealt = logprobs.select("example_id", "candidate_id").distinct()
+    # every example has the same candidates: their texts are not written out for each pair
     prompts = t.benchmark.select(F.col("item_id").alias("candidate_id"), F.col("text").alias("prompt"))
     truths = t.rewrites.select(F.col("rewrite_id").alias("example_id"), "rewrite_prompt")
-    scored = plan.likeliest_prompt_scores(logprobs, dealt.join(prompts, "candidate_id"), truths)
+    scored = plan.likeliest_prompt_scores(t.token_logprobs, prompts, truths)
     return scored.select("example_id", "candidate_id", rounded("score").alias("score"))
 
 

@@ -16,6 +16,9 @@ from palimpsest.session import new_folder
 from palimpsest.sources.readers import spread_small
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Tasks for each core that the examples of the token tables are dealt to.
+TOKEN_TASKS = 8
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -109,17 +112,27 @@ class Tables:
     def document_vectors(self) -> DataFrame:
         return self.spread_documents.select(F.col("doc_id").alias("id"), encode_text(F.col("text")).alias("vector"))
 
+    @property
+    def token_pairs(self) -> DataFrame:
+        """``example_id, candidate_id, n``: each rewrite with words beside each benchmark prompt, and the number of its words.
+
+        A short row here stands for many tokens, so the examples are dealt to tasks by id before they are spread out: a
+        file of few splits would leave all tokens to as few tasks. What is asked per example stays in its task.
+        """
+        words = F.size(F.filter(F.split("rewritten_text", WHITESPACE_CLASS + "+"), lambda w: w != ""))
+        rows = self.rewrites.select(F.col("rewrite_id").alias("example_id"), words.alias("n")).filter("n > 0")
+        tasks = TOKEN_TASKS * self.spark.sparkContext.defaultParallelism
+        size = self.benchmark.agg(F.max("item_id").alias("n")).scalar()
+        dealt = rows.repartition(tasks, "example_id")
+        return dealt.select("example_id", F.explode(F.sequence(F.lit(0).cast("long"), size)).alias("candidate_id"), "n")
+
     @property
     def token_logprobs(self) -> DataFrame:
         """Hashed stand-in for a model's token log-probabilities.
 
         One row per rewrite, benchmark prompt, and word of the rewritten text.
         """
-        words = F.size(F.filter(F.split("rewritten_text", WHITESPACE_CLASS + "+"), lambda w: w != ""))
-        rows = self.rewrites.select(F.col("rewrite_id").alias("example_id"), words.alias("n"))
-        size = self.benchmark.agg(F.max("item_id").alias("n")).scalar()
-        pairs = rows.withColumn("candidate_id", F.explode(F.sequence(F.lit(0).cast("long"), size)))
-        tokens = pairs.filter("n > 0").select("example_id", "candidate_id", F.explode(F.sequence(F.lit(1), "n")).alias("pos"))
+        tokens = self.token_pairs.select("example_id", "candidate_id", F.explode(F.sequence(F.lit(1), "n")).alias("pos"))
         digest = F.md5(F.concat_ws("#", F.col("example_id").cast("string"), F.col("candidate_id").cast("string"), F.col("pos").cast("string")))
         value = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
         return tokens.withColumn("logprob", -(1 + F.pmod(value, F.lit(1000))) / 250.0)

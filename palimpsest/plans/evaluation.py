@@ -45,9 +45,11 @@ def evaluate_model(records: DataFrame, load_model: Callable[[], Model], task: st
 def likeliest_prompt_scores(logprobs: DataFrame, candidates: DataFrame, truths: DataFrame, encoder: Encoder = encode_text) -> DataFrame:
     """Per example, the candidate prompt with the lowest NLL and its |cos³| to the true prompt.
 
-    ``candidates`` is ``example_id, candidate_id, prompt``; ``truths`` is ``example_id, rewrite_prompt``.
+    ``candidates`` is ``example_id, candidate_id, prompt``, or ``candidate_id, prompt`` where all examples have the same
+    ones; ``truths`` is ``example_id, rewrite_prompt``.
     """
-    chosen = lowest_nll(mean_token_nll(logprobs)).join(candidates, ["example_id", "candidate_id"])
+    keys = [c for c in ("example_id", "candidate_id") if c in candidates.columns]
+    chosen = lowest_nll(mean_token_nll(logprobs)).join(candidates, keys)
     paired = chosen.join(truths, "example_id")
     return paired.withColumn("score", cubed_cosine(encoder(F.col("prompt")), encoder(F.col("rewrite_prompt"))))
 

@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import density, scoring
+from palimpsest.checks.registry import Tables
+from palimpsest.operators import density, evaluate, scoring
+from palimpsest.plans.evaluation import likeliest_prompt_scores
 
 
 def frame(spark, x):
@@ -36,3 +38,26 @@ def test_density_copies_no_vector_into_cells(spark, monkeypatch, block_bytes):
     label = np.where(core, label, np.where(near & core[None, :], label[None, :], 999).min(axis=1))
     found = {r["id"]: r["cluster"] for r in density.density_clusters(points, "id", "v", 0.6, 5).collect()}
     assert found == {i: -1 if c == 999 else c for i, c in enumerate(label.tolist())}
+
+
+def test_tokens_of_a_file_of_one_split_are_dealt_to_all_cores(spark, tmp_path):
+    turns = [(c, t, ("user", "assistant")[t % 2], f"write {c} words in turn {t}") for c in range(40) for t in range(4)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(i, f"text {i}", "s") for i in range(5)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, f"item {i}") for i in range(3)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    tokens = Tables(spark, str(tmp_path)).token_logprobs
+    assert tokens.count() == 80 * 3 * 6
+    held = tokens.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(held) >= 8 and max(r["count"] for r in held) < 80 * 3 * 6 / 4
+    # what is asked per example goes on in the task that has the example
+    plan = plan_of(evaluate.lowest_nll(evaluate.mean_token_nll(tokens)))
+    assert "Exchange" not in plan.split("Generate")[0]
+
+
+def test_candidates_that_all_examples_share_need_no_pairs(spark):
+    logprobs = spark.createDataFrame([(1, 0, -1.0), (1, 1, -2.0), (2, 0, -3.0), (2, 1, -1.0)], "example_id long, candidate_id long, logprob double")
+    prompts = spark.createDataFrame([(0, "be brief"), (1, "rhyme it")], "candidate_id long, prompt string")
+    truths = spark.createDataFrame([(1, "be brief"), (2, "be brief")], "example_id long, rewrite_prompt string")
+    dealt = logprobs.select("example_id", "candidate_id").join(prompts, "candidate_id")
+    shared, paired = (sorted(likeliest_prompt_scores(logprobs, c, truths).select("example_id", "candidate_id", "prompt", "score").collect()) for c in (prompts, dealt))
+    assert shared == paired and [r["candidate_id"] for r in shared] == [0, 1]
