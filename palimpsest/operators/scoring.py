@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from math import ceil
+from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
@@ -25,6 +25,8 @@ from palimpsest.functions.vectors import cubed_cosine, dot, squared_distance, to
 
 MOMENT_DIM_LIMIT = 64
 BLOCK_BYTES = 64 * 1024 * 1024
+# Pairs of a part of one side and a block of the other for each core, where the sides meet in tasks.
+PAIRS = 3
 # Cells of one similarity product held at a time inside a task.
 CELLS = 2_000_000
 
@@ -103,7 +105,10 @@ def against_blocks(
     if rows <= per_block:
         shared = spark.sparkContext.broadcast(_whole_vectors(wanted.toArrow().to_pandas(), vector))
         return left.mapInArrow(kernel(lambda: shared.value), schema)
-    pieces, parts = ceil(1.25 * rows / per_block), max(1, ceil(left.count() / per_block))
+    # pairs of a part and a block for all cores, the two sides cut alike so that neither is sent much more often
+    pairs = PAIRS * spark.sparkContext.defaultParallelism
+    pieces = max(ceil(1.25 * rows / per_block), ceil(sqrt(pairs)))
+    parts = max(ceil(left.count() / per_block), ceil(pairs / pieces))
 
     def pack(block):
         sink = pa.BufferOutputStream()
@@ -144,8 +149,13 @@ class Moments:
 
     def mean_cube(self, vectors: np.ndarray) -> np.ndarray:
         dim = self.dim
-        half = (vectors @ self.tensor.reshape(dim, dim * dim)).reshape(-1, dim, dim)
-        return np.einsum("nij,ni,nj->n", half, vectors, vectors, optimize=True) / self.count
+        flat, step = self.tensor.reshape(dim, dim * dim), max(1, CELLS // (dim * dim))
+        means = np.empty(len(vectors))
+        for at in range(0, len(vectors), step):  # a row takes dim² cells
+            x = vectors[at : at + step]
+            half = (x @ flat).reshape(-1, dim, dim)
+            means[at : at + step] = np.matmul(np.matmul(half, x[:, :, None])[:, :, 0][:, None, :], x[:, :, None])[:, 0, 0]
+        return means / self.count
 
     def mean_direction(self, unit_vector: np.ndarray) -> np.ndarray:
         """mean((d·e)² d) for a direction e."""
@@ -338,8 +348,10 @@ def score_in_passes(
             for batch in batches:
                 _, x = batch_vectors(batch)
                 for at in range(0, len(x), step):
-                    cubed = (x[at : at + step] @ wanted.T) ** 3
-                    cubes += (np.abs(cubed) if absolute else cubed).sum(axis=0)
+                    cosines = x[at : at + step] @ wanted.T
+                    cubed = cosines * cosines  # a power of 3 takes many times as long as two products
+                    cubed *= np.abs(cosines, out=cosines) if absolute else cosines
+                    cubes += cubed.sum(axis=0)
                 rows += len(x)
             if rows:
                 counts = np.full(len(ids), rows, dtype=np.int64)
@@ -439,32 +451,50 @@ def nearest_rows(
     Each task keeps its own best ``k`` per query, so only those are shuffled. Ties go to the smaller corpus
     id; ids may be of any type that orders.
     """
-    corpus_vector = corpus_vector or vector
+    corpus_vector, slack = corpus_vector or vector, 10.0**-digits
     q_type, c_type = (d.schema[i].dataType.simpleString() for d, i in ((queries, query_id), (corpus, corpus_id)))
 
     def kernel(load):
         def best(batches: Batches) -> Batches:
             block = load()
             ids, wanted = block[query_id].to_numpy(), as_matrix(block[vector])
-            if not len(ids):
+            if not len(ids) or k < 1:
                 return
-            kept_id, kept_sim = None, np.empty((len(ids), 0))
-            step = max(k, CELLS // len(ids))
+            best_id, best_sim = None, np.full((len(ids), k), -np.inf)  # best first, -inf where none has come
+            step = max(1, CELLS // len(ids))
             for batch in batches:
                 batch, x = batch_vectors(batch)
                 names = batch.column("c").to_numpy(zero_copy_only=False)
+                if best_id is None:
+                    best_id = np.empty((len(ids), k), dtype=names.dtype)
                 for at in range(0, len(x), step):
-                    sims = np.round(wanted @ x[at : at + step].T, digits)
-                    here = np.broadcast_to(names[at : at + step], sims.shape)
-                    kept_sim = np.concatenate([kept_sim, sims], axis=1)
-                    kept_id = here if kept_id is None else np.concatenate([kept_id, here], axis=1)
-                    places = np.unique(kept_id, return_inverse=True)[1].reshape(kept_id.shape)
-                    order = np.lexsort((places, -kept_sim), axis=1)[:, :k]
-                    kept_sim = np.take_along_axis(kept_sim, order, axis=1)
-                    kept_id = np.take_along_axis(kept_id, order, axis=1)
-            width = kept_sim.shape[1]
-            if width:
-                columns = {"query": np.repeat(ids, width), "neighbour": kept_id.ravel(), "similarity": kept_sim.ravel()}
+                    here = names[at : at + step]
+                    sims = wanted @ x[at : at + step].T
+                    # few pairs reach what a query holds already; only those are rounded and ranked
+                    row, place = np.nonzero(sims >= best_sim[:, -1:] - slack)
+                    found = np.round(sims[row, place], digits)
+                    last = best_sim[row, -1]
+                    better = found > last
+                    ties = np.flatnonzero(found == last)
+                    better[ties] = here[place[ties]] < best_id[row[ties], -1]
+                    row, place, found = row[better], place[better], found[better]
+                    if not len(row):
+                        continue
+                    changed = np.unique(row)
+                    rows = np.concatenate([np.repeat(changed, k), row])
+                    held_sim = np.concatenate([best_sim[changed].ravel(), found])
+                    held_id = np.concatenate([best_id[changed].ravel(), here[place]])
+                    full = held_sim > -np.inf
+                    rows, held_sim, held_id = rows[full], held_sim[full], held_id[full]
+                    order = np.lexsort((np.unique(held_id, return_inverse=True)[1], -held_sim, rows))
+                    rows, held_sim, held_id = rows[order], held_sim[order], held_id[order]
+                    rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                    first = rank < k
+                    best_sim[rows[first], rank[first]] = held_sim[first]
+                    best_id[rows[first], rank[first]] = held_id[first]
+            full = best_sim > -np.inf
+            if full.any():
+                columns = {"query": np.repeat(ids, full.sum(axis=1)), "neighbour": best_id[full], "similarity": best_sim[full]}
                 yield pa.RecordBatch.from_pydict(columns)
 
         return best

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.checks.registry import Tables
-from palimpsest.operators import density, evaluate, scoring
+from palimpsest.operators import density, evaluate, generate, lexical, scoring, search
 from palimpsest.plans.evaluation import likeliest_prompt_scores
 
 
@@ -61,3 +62,83 @@ def test_candidates_that_all_examples_share_need_no_pairs(spark):
     dealt = logprobs.select("example_id", "candidate_id").join(prompts, "candidate_id")
     shared, paired = (sorted(likeliest_prompt_scores(logprobs, c, truths).select("example_id", "candidate_id", "prompt", "score").collect()) for c in (prompts, dealt))
     assert shared == paired and [r["candidate_id"] for r in shared] == [0, 1]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_nearest_rows_keep_the_best_step_by_step(spark, monkeypatch, kind):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 6))
+    x[100:160] = x[100]  # ties go to the smaller id
+    monkeypatch.setattr(scoring, "CELLS", 3000)
+    rows = frame(spark, x).withColumn("id", F.format_string("%04d", "id") if kind == "string" else F.col("id"))
+    found = scoring.nearest_rows(rows, rows, "id", "id", "v", 3).collect()
+    sims = np.round(x @ x.T, 12)
+    wanted = {(q, r + 1): c for q in range(300) for r, c in enumerate(np.lexsort((np.arange(300), -sims[q]))[:3])}
+    assert {(int(f["query"]), f["rank"]): int(f["neighbour"]) for f in found} == wanted
+
+
+def test_large_sides_meet_in_pairs_for_all_cores(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "BLOCK_BYTES", 60 * 8 * 4)
+    x = np.random.default_rng(9).normal(size=(100, 4))
+    rows = frame(spark, x)
+
+    def count(load):
+        return lambda batches: iter([pa.RecordBatch.from_pydict({"pairs": [sum(b.num_rows for b in batches) * len(load())]})])
+
+    seen = scoring.against_blocks(rows, rows, "id", "v", count, "pairs long").collect()
+    assert sum(r["pairs"] for r in seen) == 100 * 100
+    assert len(seen) >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_moment_scores_hold_few_rows_at_a_time(monkeypatch):
+    rng = np.random.default_rng(10)
+    x, corpus = rng.normal(size=(1000, 8)), rng.normal(size=(50, 8))
+    tensor = np.einsum("ni,nj,nk->ijk", corpus, corpus, corpus)
+    largest = []
+    matmul = np.matmul
+    monkeypatch.setattr(np, "matmul", lambda a, b: largest.append(a.size) or matmul(a, b))
+    monkeypatch.setattr(scoring, "CELLS", 640)
+    assert np.allclose(scoring.Moments(tensor, 50).mean_cube(x), ((x @ corpus.T) ** 3).mean(axis=1))
+    assert max(largest) <= 640
+
+
+def test_rows_go_to_python_in_small_batches(spark):
+    held = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(held)
+    try:
+        spark.conf.unset(held)
+        lexical.tf_idf(spark.createDataFrame([(1, "one two")], "id long, text string"), "id", "text")
+        assert spark.conf.get(held) == "4m"
+        spark.conf.set(held, "8m")
+        lexical.tf_idf(spark.createDataFrame([(1, "one two")], "id long, text string"), "id", "text")
+        assert spark.conf.get(held) == "8m"
+    finally:
+        spark.conf.set(held, before)
+
+
+def test_long_prompts_wait_in_no_hash_table(spark):
+    df = spark.range(200).select("id", F.when(F.col("id") % 50 > 0, F.concat(F.lit("p"), F.col("id") % 50)).alias("prompt")).repartition(5)
+
+    def load():
+        asked = set()
+
+        def answer(prompts):
+            assert not asked.intersection(prompts) and len(set(prompts)) == len(prompts)
+            asked.update(prompts)
+            return [p.upper() for p in prompts]
+
+        return answer
+
+    made = generate.batch_generate(df, "prompt", load, wait=0.0, retries=1)
+    assert "Aggregate" not in plan_of(made)
+    rows = made.collect()
+    assert len(rows) == 200 and all(r["error"] is None for r in rows)
+    assert all(r["generated"] == (r["prompt"].upper() if r["prompt"] else None) for r in rows)
+
+
+def test_subsets_grow_in_tasks(spark, monkeypatch):
+    monkeypatch.setattr(search, "SUBSETS_PER_TASK", 2000)
+    df = spark.range(100, numPartitions=1).select("id", F.lit("a b c d").alias("text"))
+    made = search.ordered_subsets(df, F.split("text", " "))
+    assert made.rdd.getNumPartitions() >= 50
+    assert made.count() == 100 * (24 + 12 + 4)
