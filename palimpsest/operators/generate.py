@@ -13,7 +13,7 @@ from palimpsest.functions.parsing import fenced_prompt_list
 from palimpsest.functions.text import seeded_int
 from palimpsest.operators.ordering import union_all, with_position
 from palimpsest.schemas import PROMPT_SUBJECT_LIST
-from palimpsest.session import cut_lineage
+from palimpsest.session import cut_lineage, small_batches
 
 Model = Callable[[Sequence[str]], Sequence[str]]
 
@@ -64,19 +64,24 @@ def batch_generate(
     or lost executors do not call the model again.
     """
 
+    small_batches()
     key = "_prompt_digest"
     if distinct_prompts:
         # joined back by digest, so that rendered prompts do not have to travel with the rows
         keyed = df.withColumn(key, F.sha2(F.col(prompt), 256))
-        asked = keyed.select(key, prompt).filter(F.col(prompt).isNotNull()).distinct()
+        # equal prompts come to one task, which knows them by digest: no long prompt waits in a hash table or a sort
+        asked = keyed.select(key, prompt).filter(F.col(prompt).isNotNull()).repartition(key)
         kept = [asked.schema[key]]
     else:
         asked, kept = df, df.schema.fields
     names = [f.name for f in kept]
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = None
+        model, seen = None, set()
         for pdf in batches:
+            if distinct_prompts:
+                pdf = pdf[~(pdf[key].isin(seen) | pdf[key].duplicated())]
+                seen.update(pdf[key])
             for at in range(0, len(pdf), batch_size):
                 part = pdf.iloc[at : at + batch_size]
                 if model is None:
