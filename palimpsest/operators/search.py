@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ Encoder = Callable[[Column], Column]
 Scorer = Moments | CorpusVectors
 SCORE_DIGITS = 9
 MAX_BEAMS = 100_000
+#: Subsets at most that a task makes.
+SUBSETS_PER_TASK = 1_000_000
 
 
 # ---------------------------------------------------------------------------------------------
@@ -119,8 +122,12 @@ def ordered_subsets(df: DataFrame, words: Column, max_length: int = 3, max_test:
     """Ordered word subsets of up to ``max_length`` (at most 3) words, longest first, at most ``max_test``.
 
     The i-th permutation is computed from its number, so a row only ever makes the ones it keeps.
-    Adds ``subset_no`` (0-based) and the word array.
+    Adds ``subset_no`` (0-based) and the word array. A row becomes up to ``max_test`` rows, so tasks grow in number
+    with the rows, not in length.
     """
+    tasks = ceil(df.count() * max_test / SUBSETS_PER_TASK)
+    if tasks > 1:
+        df = df.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism))
     sized = df.withColumn("_words", words)
     total = _subset_count(F.size("_words").cast("long"), max_length)
     last = F.least(total, F.lit(max_test).cast("long")) - 1
