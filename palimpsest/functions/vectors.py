@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from palimpsest.functions.text import split_words
+from palimpsest.session import small_batches
 
 ENCODER_DIM = 16
 
@@ -88,6 +89,7 @@ def encode_words(words: Column, position_weight: float = 0.0) -> Column:
     The text's vector is the sum of its word vectors; a positive ``position_weight`` makes it depend
     on word order. Text without words gives null.
     """
+    small_batches()
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

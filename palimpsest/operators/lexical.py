@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from palimpsest.functions.text import letter_words, letters_only, ngrams, normalised_words
 from palimpsest.operators.ordering import union_all
+from palimpsest.session import small_batches
 
 # Words left out of the explored vocabulary.
 BLOCKED_WORDS = (
@@ -79,6 +80,7 @@ def term_counts(df: DataFrame, doc_id: str, text: str) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "term", "tf"])
 
+    small_batches()
     rows = df.select(F.col(doc_id).alias("id"), ngrams(F.col(text), 1).alias("terms"))
     schema = T.StructType([rows.schema["id"], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
     return rows.mapInArrow(count, schema).withColumnRenamed("id", doc_id)

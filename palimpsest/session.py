@@ -49,6 +49,19 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/palimpsest-{uuid.uuid4().hex}"
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches() -> None:
+    """From now on the session in use sends rows to Python in batches of about 4 MB, unless it was told a size.
+
+    Long texts and word lists then take no more of a worker's memory, however many rows a task has.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(BATCH_BYTES, "67108864b") == "67108864b":
+        spark.conf.set(BATCH_BYTES, "4m")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and continue from there.
 
