@@ -25,14 +25,17 @@ def kept_in_worker(name, make: Callable):
     """
     holder = sys.modules.setdefault(WORKER_CACHE, types.ModuleType(WORKER_CACHE)).__dict__
     if holder.get("held") != name:
-        holder["held"], holder["value"] = None, None
+        forget_kept()  # what tasks of other operators freed goes back to the system before more is asked for
         holder["value"] = make()
         holder["held"] = name
     return holder["value"]
 
 
 def forget_kept() -> None:
-    """Let go of what another operator keeps in this worker, and give freed memory back to the system."""
+    """Let go of what another operator keeps in this worker, and give freed memory back to the system.
+
+    Workers wait for further tasks, of any operator, with what they hold; so this comes before and after a task.
+    """
     holder = sys.modules.get(WORKER_CACHE)
     if holder is not None and holder.__dict__.pop("held", None) is not None:
         holder.__dict__["value"] = None
@@ -145,6 +148,8 @@ def map_texts(
         if not keeps:
             forget_kept()
         yield from kernel(part for batch in batches for part in bounded_slices(batch, "text", limit))
+        if not keeps:
+            forget_kept()
 
     return small_batches(rows).mapInArrow(run, schema).withColumnRenamed("id", id_column)
 
@@ -167,6 +172,8 @@ def filter_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list], n
             for part in bounded_slices(batch, "text"):
                 kept = part.filter(pa.array(judge(part.column("text").to_pylist()), pa.bool_()))
                 yield pa.RecordBatch.from_arrays([kept.column(f.name) for f in schema.fields], names=schema.names)
+        batch = part = kept = judge = None
+        forget_kept()
 
     return small_batches(rows).mapInArrow(run, schema).toDF(*df.columns)
 
