@@ -100,6 +100,30 @@ class Runs:
         return self.flat[np.repeat(self.starts[numbers] - before, sizes) + np.arange(sizes.sum())], sizes
 
 
+def run_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, factor: int) -> np.ndarray:
+    """A 64-bit polynomial hash of each run of an array of unsigned numbers, from one running sum over all of them."""
+    powers = np.full(len(data) + 1, factor, dtype=np.uint64)
+    powers[0] = 1
+    np.cumprod(powers, out=powers)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[1:], out=sums[1:])
+    # moved to a common place by the powers of the run's distance to the end
+    return (sums[ends] - sums[starts]) * powers[len(data) - starts]
+
+
+def different_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of each kind of equal runs, by number, and the kind of each run; by two 64-bit hashes.
+
+    Where two runs share one hash and not the other, each counts as a kind of its own.
+    """
+    keys = run_keys(data, starts, ends, 0x9E3779B97F4A7C15)
+    _, one, which = np.unique(keys, return_index=True, return_inverse=True)
+    other = run_keys(data, starts, ends, 0xD6E8FEB86659FD93) + (ends - starts).astype(np.uint64)
+    if not (other == other[one][which]).all():
+        one = which = np.arange(len(starts))
+    return one, which
+
+
 def grown(values: np.ndarray, least: int) -> np.ndarray:
     """The array, or a longer one that begins with it."""
     if least <= len(values):

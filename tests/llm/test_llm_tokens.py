@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -172,3 +173,35 @@ def test_short_words_merge_as_with_an_agenda(monkeypatch):
     short = [pieces.merged(w, gaps.skips(k << 40 | k)) for k, w in enumerate(words)]
     monkeypatch.setattr(pieces_module, "SHORT", -1)
     assert short == [pieces.merged(w, gaps.skips(k << 40 | k)) for k, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("dropout, draws", [(0.0, 0), (0.1, 0), (0.4, 3), (1.0, 0)])
+def test_words_merged_together_are_those_merged_one_by_one(monkeypatch, dropout, draws):
+    together, apart = (Segmenter(tokenizer_path(MODEL), dropout, 5, draws) for _ in range(2))
+    together.BLOCK, together.TOGETHER = 300, 100
+    apart.LONGEST = -1
+    texts = [None, "", " ", *made_up(10, 300, 30), "responsibilities " * 40, "漢" * 64 + " " + "漢" * 65, "▁\U0010ffff\x00 ʼ"]
+    want = [apart(t).tolist() for t in texts]
+    merged, asked = Pieces.merged, []
+    monkeypatch.setattr(Pieces, "merged", lambda self, word, skips=None: asked.append(word) or merged(self, word, skips))
+    ids, offsets = together.many(texts)
+    assert [x.tolist() for x in np.split(ids, offsets[1:-1])] == want
+    assert all(len(word) > together.LONGEST for word in asked)
+    assert together.lossless(texts, ids, offsets) == [True] * len(texts)
+    wrong = ids.copy()
+    wrong[offsets[-2]] = 5
+    assert together.lossless(texts, wrong, offsets) == [True] * (len(texts) - 1) + [False]
+
+
+def test_a_worker_keeps_no_words_of_the_texts_it_cut():
+    segmenter = Segmenter(tokenizer_path(MODEL), 0.1, 1)
+    segmenter("some words")
+    rng = random.Random(11)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(500)) for _ in range(40)]
+    tracemalloc.start()
+    try:
+        for text in texts:
+            segmenter(text)
+        assert tracemalloc.get_traced_memory()[0] < 500_000
+    finally:
+        tracemalloc.stop()
