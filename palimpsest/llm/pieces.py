@@ -27,6 +27,8 @@ DROPOUT = 0.1
 #: So many segmentations of a word at most; 0 means that each occurrence draws its own.
 DRAWS = 0
 SEED = 1
+#: Text bytes that are cut and merged at once, about.
+BATCH = 1_000_000
 #: The sign SentencePiece writes for a blank.
 BLANK = "▁"
 #: Letters, or anything else, with the blanks before; a piece that mixes letters and others is refused.
@@ -486,7 +488,7 @@ def encode_pieces(
             flat, offsets = segment.many(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("id"), list_array(flat, offsets, pa.int32())], names=["id", "ids"])
 
-    return map_texts(df, id_column, text, encode, "ids array<int>", keeps=True)
+    return map_texts(df, id_column, text, encode, "ids array<int>", keeps=True, limit=BATCH)
 
 
 def decode_pieces(df: DataFrame, id_column: str = "doc_id", ids: str = "ids", model: str = MODEL) -> DataFrame:
@@ -535,7 +537,8 @@ def round_trip(
             columns = [batch.column("id"), pa.array(np.diff(offsets), pa.int64()), pa.array(sums, pa.int64()), pa.array(same, pa.bool_()), lists]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n_pieces", "ids_crc32", "lossless", "ids"])
 
-    return map_texts(documents, id_column, text, both, "n_pieces long, ids_crc32 long, lossless boolean, ids array<int>", keeps=True)
+    added = "n_pieces long, ids_crc32 long, lossless boolean, ids array<int>"
+    return map_texts(documents, id_column, text, both, added, keeps=True, limit=BATCH)
 
 
 @query("op4_sentencepiece")
