@@ -19,7 +19,7 @@ import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from palimpsest.llm.bpe import PRE_TOKENS, TWO_SPACES, stretches, tokenizer_path
-from palimpsest.llm.common import Batches, bounded_slices, kept_in_worker, pieces_of, text_bytes
+from palimpsest.llm.common import Batches, bounded_slices, different_runs, kept_in_worker, pieces_of, text_bytes
 from palimpsest.llm.registry import query, table
 from palimpsest.session import cut_lineage, new_folder
 
@@ -152,15 +152,11 @@ class PlaneReader:
             rest = flat[n:]
 
 
-def _keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, factor: int) -> np.ndarray:
-    """A 64-bit polynomial hash of each stretch of bytes, from one running sum over all of them."""
-    powers = np.full(len(data) + 1, factor, dtype=np.uint64)
-    powers[0] = 1
-    np.cumprod(powers, out=powers)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[1:], out=sums[1:])
-    # moved to a common place by the powers of the stretch's distance to the end
-    return (sums[ends] - sums[starts]) * powers[len(data) - starts]
+def one_of(signs: set[str]) -> Callable[[str], object]:
+    """Whether a text has one of the signs."""
+    if len(signs) == 1:
+        return lambda s, sign=min(signs): sign in s
+    return regex.compile("[" + "".join(map(regex.escape, sorted(signs))) + "]").search if signs else lambda s: None
 
 
 class Encoder:
@@ -169,10 +165,14 @@ class Encoder:
     Texts are cut into stretches that encode by themselves, and the different stretches of a batch are told
     apart by two 64-bit hashes of their bytes in numpy. Stretches not seen before are cut into pre-tokens, and
     new pre-tokens go to the library in batches; a stretch that may hold a special token goes there whole.
+    Pre-tokens of a blank and visible signs go end to end, many in one text, as none of them crosses the blank of
+    the next; the bytes of the ids tell them apart again.
     """
 
     KEPT = 500_000
     LONGEST = 60
+    #: Pre-tokens in one text.
+    JOINED = 1000
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -180,11 +180,37 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(vocabulary))
         openings = {t.content[0] for t in self.tokenizer.get_added_tokens_decoder().values()}
-        self.special = regex.compile("[" + "".join(map(regex.escape, sorted(openings))) + "]") if openings else None
+        self.special = one_of(openings)
+        #: Letters alone make one pre-token, unless a special token may begin with one.
+        self.letters = not any(map(str.isalpha, openings))
+        self.id_bytes = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)  # byte-level: a letter for a byte
+        for token, number in self.tokenizer.get_vocab().items():
+            self.id_bytes[number] = len(token)
         self.known: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> None:
+        special = self.special
+        joined, apart = [], []
+        for t in texts:
+            fits = t[0] == " " and len(t) > 1 and not t[1].isspace() and not t[-1].isspace() and not special(t)
+            (joined if fits else apart).append(t)
+        for at in range(0, len(joined), self.JOINED):
+            part = joined[at : at + self.JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.cumsum([len(t.encode()) for t in part])
+            have = np.cumsum(self.id_bytes[ids])
+            cuts = np.searchsorted(have, ends) + 1
+            if len(have) == 0 or cuts[-1] != len(ids) or not (have[cuts - 1] == ends).all():
+                apart += part  # the ids do not spell the bytes
+                continue
+            raw, last = ids.tobytes(), 0
+            for t, cut in zip(part, (cuts * 4).tolist(), strict=True):
+                self.words[t] = raw[last:cut]
+                last = cut
+        self._encode_apart(apart)
+
+    def _encode_apart(self, texts: list[str]) -> None:
         for at in range(0, len(texts), 10_000):
             part = texts[at : at + 10_000]
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
@@ -197,20 +223,22 @@ class Encoder:
         if len(self.words) > self.KEPT:
             self.words.clear()
         known, words, cut = self.known, self.words, PRE_TOKENS.findall
-        special = self.special.search if self.special else lambda s: None
-        found = [known.get(r) for r in raw]
+        special, letters = self.special, self.letters
+        found = list(map(known.get, raw))
         new = [k for k, ids in enumerate(found) if ids is None]
         texts = [raw[k].decode() for k in new]
-        parts = [[s] if special(s) else cut(s) for s in texts]
-        self._encode(list({w for ws in parts for w in ws if w not in words}))
-        for k, ws in zip(new, parts, strict=True):
-            ids = found[k] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
+        # None for a stretch that is not cut
+        parts = [None if letters and s[1:].isalpha() and (s[0] == " " or s[0].isalpha()) or special(s) else cut(s) for s in texts]
+        unseen = {s for s, ws in zip(texts, parts, strict=True) if ws is None and s not in words}
+        unseen.update([w for ws in parts if ws is not None for w in ws if w not in words])
+        self._encode(list(unseen))
+        for k, s, ws in zip(new, texts, parts, strict=True):
+            ids = found[k] = words[s] if ws is None else b"".join([words[w] for w in ws])
             if len(raw[k]) <= self.LONGEST:
                 known[raw[k]] = ids
-        for ws in parts:
-            for w in ws:
-                if len(w) > self.LONGEST:
-                    words.pop(w, None)
+        for w in unseen:
+            if len(w) > self.LONGEST:
+                del words[w]
         return found
 
     def __call__(self, texts: Sequence[str | None]) -> list[np.ndarray]:
@@ -235,11 +263,7 @@ class Encoder:
         first = np.cumsum([0, *map(len, raw[:-1])])
         starts = np.sort(np.concatenate([first, np.flatnonzero(data == 32)]))
         ends = np.append(starts[1:], len(data))
-        keys = _keys(data, starts, ends, 0x9E3779B97F4A7C15)
-        _, one, which = np.unique(keys, return_index=True, return_inverse=True)
-        other = _keys(data, starts, ends, 0xD6E8FEB86659FD93) + (ends - starts).astype(np.uint64)
-        if not (other == other[one][which]).all():  # two stretches share a hash: take them as they come
-            one, which = np.arange(len(starts)), np.arange(len(starts))
+        one, which = different_runs(data, starts, ends)
         parts = self._of_stretches([joined[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
         sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
         flat = np.frombuffer(b"".join(parts), dtype="<u4")

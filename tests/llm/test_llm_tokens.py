@@ -205,3 +205,26 @@ def test_a_worker_keeps_no_words_of_the_texts_it_cut():
         assert tracemalloc.get_traced_memory()[0] < 500_000
     finally:
         tracemalloc.stop()
+
+
+def test_new_words_go_to_the_library_many_in_one_text(library):
+    encoder = token_files.Encoder(tokenizer_path(VOCABULARY))
+    encoder.JOINED = 7
+    asked, call = [], encoder.tokenizer.encode_batch_fast
+
+    class Counted:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            asked.extend(texts)
+            return call(texts, add_special_tokens=add_special_tokens)
+
+    encoder.tokenizer = Counted()
+    plain = [f"first word{'abcdefghij'[n % 10] * (n // 10 + 1)} é漢{n} 'll x\x1c" for n in range(100)]
+    texts = plain + ["", *made_up(12, 500), "<|endoftext|> a<b <|endoftext|>", " a", " ", "\u3000b c\u3000", "word " + "long" * 40]
+    assert [x.tolist() for x in encoder(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    del asked[:]
+    words = [f" {a}{b}qz" for a in "abcdefghijklmnop" for b in "abcdefghijklmnop"]
+    encoder(["".join(words).strip()])
+    assert len(asked) <= len(words) / encoder.JOINED + 2
+    encoder.id_bytes[:] = 0  # ids that do not spell the bytes: each word by itself
+    text = "other words than those before"
+    assert encoder([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
