@@ -101,13 +101,17 @@ class Runs:
 
 
 def run_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, factor: int) -> np.ndarray:
-    """A 64-bit polynomial hash of each run of an array of unsigned numbers, from one running sum over all of them."""
+    """A 64-bit polynomial hash of each run of an array of unsigned numbers, from one running sum over all of them.
+
+    Equal runs have equal hashes in any array. ``factor`` is odd.
+    """
     powers = np.full(len(data) + 1, factor, dtype=np.uint64)
     powers[0] = 1
     np.cumprod(powers, out=powers)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[1:], out=sums[1:])
-    # moved to a common place by the powers of the run's distance to the end
+    # moved to a common place by the powers of the run's distance to the end, and from there to the beginning
+    powers *= np.uint64(pow(factor, -len(data), 1 << 64))
     return (sums[ends] - sums[starts]) * powers[len(data) - starts]
 
 
@@ -124,6 +128,55 @@ def different_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     return one, which
 
 
+class RunTable:
+    """A number for each short run of numbers seen, by two 64-bit hashes; a table of fixed size, where new runs replace old ones."""
+
+    #: Longer runs are never kept.
+    LONGEST = 60
+
+    def __init__(self, bits: int, kind=np.int32):
+        self.shift = np.uint64(64 - bits)
+        self.keys = np.zeros((1 << bits, 2), dtype=np.uint64)
+        self.values = np.zeros(1 << bits, dtype=kind)
+        self.filled = np.zeros(1 << bits, dtype=bool)
+
+    def clear(self) -> None:
+        self.filled[:] = False
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """Where runs of these first hashes lie."""
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def looked_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Values of runs, those without one, one of each kind of equal runs among these, the kind of each, and the kinds' hashes.
+
+        Values count only where one was found. Runs longer than ``LONGEST`` are kinds of their own, as hashes tell
+        short runs apart only.
+        """
+        keys = np.stack([run_keys(data, starts, ends, 0x9E3779B97F4A7C15), run_keys(data, starts, ends, 0xD6E8FEB86659FD93)], axis=1)
+        slots = self.slots(keys[:, 0])
+        short = ends - starts <= self.LONGEST
+        found = short & self.filled[slots] & (self.keys[slots] == keys).all(axis=1)
+        new = np.flatnonzero(~found)
+        kinds = new[short[new]]
+        _, one, which = np.unique(keys[kinds, 0], return_index=True, return_inverse=True)
+        if not (keys[kinds[one][which], 1] == keys[kinds, 1]).all():
+            one = which = np.arange(len(kinds))
+        long = new[~short[new]]
+        kind = np.zeros(len(new), dtype=np.int64)
+        kind[short[new]] = which
+        kind[~short[new]] = len(one) + np.arange(len(long))
+        one = np.concatenate([kinds[one], long])
+        return self.values[slots], new, one, kind, keys[one]
+
+    def put(self, keys: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> None:
+        """Values of new kinds of runs, by their hashes and sizes."""
+        short = np.flatnonzero(sizes <= self.LONGEST)
+        slots, last = np.unique(self.slots(keys[short, 0])[::-1], return_index=True)
+        chosen = short[len(short) - 1 - last]
+        self.keys[slots], self.values[slots], self.filled[slots] = keys[chosen], values[chosen], True
+
+
 def grown(values: np.ndarray, least: int) -> np.ndarray:
     """The array, or a longer one that begins with it."""
     if least <= len(values):

@@ -36,7 +36,7 @@ TOLERANCE = 1e-7
 #: Members of a bucket in one tile, and rows of a task's group of tiles.
 TILE = 1024
 GROUP_ROWS = 20_000
-PAIRS_AT_ONCE = 400_000
+PAIRS_AT_ONCE = 50_000
 
 _ODD = np.random.default_rng(17).integers(1, 1 << 62, size=(2, HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -46,20 +46,13 @@ class Shingler:
 
     def __init__(self, words: int = WORDS):
         self.words = words
-        self.known: dict[bytes, int] = {}
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Sorted distinct 64-bit hashes; a text of fewer words, but not none, is one n-gram."""
         words = words_of(text)
         if not words:
             return np.zeros(0, dtype=np.uint64)
-        if len(self.known) > 150_000:
-            self.known.clear()
-        known, digest = self.known, xxhash.xxh3_64_intdigest
-        for w in set(words):
-            if w not in known:
-                known[w] = digest(w)
-        hashed = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+        hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
         size = min(self.words, len(words))
         grams = np.full(len(words) - size + 1, size, dtype=np.uint64)
         for k in range(size):
@@ -239,7 +232,7 @@ def _overlaps(grams: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarr
         bits = np.zeros((len(grams), -(-span // 64)), dtype=np.uint64)
         inside = (where >= low) & (where < low + span)
         np.bitwise_or.at(bits, (owner[inside], (where[inside] - low) // 64), np.uint64(1) << ((where[inside] - low) % 64).astype(np.uint64))
-        step = max(1, 4_000_000 // bits.shape[1])
+        step = max(1, 500_000 // bits.shape[1])
         for at in range(0, len(a), step):
             total[at : at + step] += np.bitwise_count(bits[a[at : at + step]] & bits[b[at : at + step]]).sum(axis=1, dtype=np.int64)
     return total

@@ -28,7 +28,7 @@ DROPOUT = 0.1
 DRAWS = 0
 SEED = 1
 #: Text bytes that are cut and merged at once, about.
-BATCH = 1_000_000
+BATCH = 250_000
 #: The sign SentencePiece writes for a blank.
 BLANK = "▁"
 #: Letters, or anything else, with the blanks before; a piece that mixes letters and others is refused.

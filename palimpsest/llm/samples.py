@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from palimpsest.session import cut_lineage
+
 #: Characters that a text gives to a fit at most: longer ones give ``PIECES`` pieces, spread by hash over the whole
 #: text. That bounds the memory of a fit.
 MOST_CHARACTERS, PIECES = 65_536, 16
@@ -33,9 +35,8 @@ def labelled_texts(
         return [], {}
     draw = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["label"], min(1.0, 1.2 * per_label / r["count"]))])
-    kind = labelled.schema[id_column].dataType.simpleString()
-    drawn = known.withColumn("draw", draw).filter(F.col("draw") < share[F.col("label")]).distinct().collect()
-    picked = labelled.sparkSession.createDataFrame([(r["id"], r["label"], r["draw"]) for r in drawn], f"id {kind}, label {dict(known.dtypes)['label']}, draw double")
+    # a written table: rows from the driver would start Python workers of their own kind on every executor
+    picked = cut_lineage(known.withColumn("draw", draw).filter(F.col("draw") < share[F.col("label")]).distinct())
     texts = (
         documents.select(F.col(id_column).alias("id"), _pieces(F.col(text)).alias("text"))
         .filter(F.col("text").isNotNull())

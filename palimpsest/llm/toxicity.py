@@ -11,6 +11,7 @@ on a quarter of the sample that the fit leaves out.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from itertools import chain
 from typing import NamedTuple
 
@@ -18,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.llm.common import Batches, filter_texts, map_texts
-from palimpsest.llm.decontaminate import words_of
+from palimpsest.llm.common import Batches, RunTable, filter_texts, map_texts
+from palimpsest.llm.decontaminate import WORD_BYTES, words_of
 from palimpsest.llm.registry import query, table
 from palimpsest.llm.samples import labelled_texts
 
@@ -198,31 +199,70 @@ def fit_toxicity(
 
 
 class WordScores:
-    """Log odds of words under a model, kept for the words that come again."""
+    """Log odds of words under a model, kept by hash in a table of fixed size for the words that come again.
 
-    KEPT = 300_000
+    Texts are cut into words in numpy, a block of bytes at a time, so no lists of words are held.
+    """
+
+    #: Bytes cut at a time; a longer text is cut at blanks.
+    BLOCK = 250_000
+    BITS = 18
 
     def __init__(self, model: Model):
         self.model = model
-        self.known: dict[bytes, float] = {}
+        self.table = RunTable(self.BITS, np.float64)
 
-    def of_texts(self, texts: list[str | None]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.KEPT:
-            known.clear()
-        cut = [lower_words(t) for t in texts]
-        new = list({w for words in cut for w in words if w not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            lists = [subwords(w) for w in part]
+    def _of_new(self, words: list[bytes]) -> np.ndarray:
+        out = [np.zeros(0)]
+        for at in range(0, len(words), 2_000):
+            lists = [subwords(w) for w in words[at : at + 2_000]]
             sizes = np.array([len(x) for x in lists])
             flat = np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=sizes.sum())
-            means = np.add.reduceat(self.model.weights[flat].astype(np.float64), np.cumsum(sizes) - sizes) / sizes
-            known.update(zip(part, means.tolist(), strict=True))
-        get = known.__getitem__
+            out.append(np.add.reduceat(self.model.weights[flat].astype(np.float64), np.cumsum(sizes) - sizes) / sizes)
+        return np.concatenate(out)
+
+    def _of_block(self, parts: list[bytes]) -> list[np.ndarray]:
+        """Scores of the words of each part; parts are words and blanks, one blank or more at the end."""
+        joined = b"".join(parts)
+        data = np.frombuffer(joined, dtype=np.uint8)
+        edges = np.flatnonzero(np.diff(data != 32, prepend=False))
+        starts, ends = edges[::2], edges[1::2]
+        values, new, one, kind, keys = self.table.looked_up(data, starts, ends)
+        if len(one):
+            fresh = self._of_new([joined[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
+            values[new] = fresh[kind]
+            self.table.put(keys, ends[one] - starts[one], fresh)
+        return np.split(values, np.searchsorted(starts, np.cumsum([len(x) for x in parts[:-1]])))
+
+    def _word_scores(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Scores of the words of each text in turn."""
+        waiting, held = [], 0
+        for text in texts:
+            raw = (text.lower().encode().translate(WORD_BYTES) if text else b"") + b" "
+            if held + len(raw) > self.BLOCK:
+                if waiting:
+                    yield from self._of_block(waiting)
+                waiting, held = [], 0
+            if len(raw) > self.BLOCK:
+                yield np.concatenate([x for part in _blank_cuts(raw, self.BLOCK) for x in self._of_block([part])])
+                continue
+            waiting.append(raw)
+            held += len(raw)
+        if waiting:
+            yield from self._of_block(waiting)
+
+    def of_texts(self, texts: list[str | None]) -> np.ndarray:
         _, scale, constant, empty = self.model
-        values = (np.fromiter(map(get, words), dtype=np.float64, count=len(words)) for words in cut)
-        return np.array([constant + scale * speakers(v) if len(v) else empty for v in values])
+        return np.array([constant + scale * speakers(v) if len(v) else empty for v in self._word_scores(texts)])
+
+
+def _blank_cuts(raw: bytes, size: int) -> Iterator[bytes]:
+    """Parts of about ``size`` bytes that each end behind a blank."""
+    at = 0
+    while at < len(raw):
+        end = raw.find(b" ", min(at + size, len(raw) - 1)) + 1
+        yield raw[at:end]
+        at = end
 
 
 def toxicity_scores(documents: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text") -> DataFrame:
