@@ -14,12 +14,12 @@ of the blocks, and a fixed-size tail that says where they begin:
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import uuid
 import zlib
-from array import array
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,8 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from palimpsest.llm.bpe import PRE_TOKENS, TWO_SPACES, stretches, tokenizer_path
-from palimpsest.llm.common import Batches, bounded_slices, different_runs, kept_in_worker, pieces_of, text_bytes
+from palimpsest.llm.bpe import SINGLE_SPACE, stretches, tokenizer_path
+from palimpsest.llm.common import Batches, RunTable, Runs, bounded_slices, kept_in_worker, pieces_of, text_bytes
 from palimpsest.llm.registry import query, table
 from palimpsest.session import cut_lineage, new_folder
 
@@ -152,127 +152,164 @@ class PlaneReader:
             rest = flat[n:]
 
 
-def one_of(signs: set[str]) -> Callable[[str], object]:
-    """Whether a text has one of the signs."""
-    if len(signs) == 1:
-        return lambda s, sign=min(signs): sign in s
-    return regex.compile("[" + "".join(map(regex.escape, sorted(signs))) + "]").search if signs else lambda s: None
+#: Kinds of characters in the pattern of pre-tokens.
+WHITE, LETTER, DIGIT = 1, 2, 3
+
+
+@functools.cache
+def character_kinds() -> np.ndarray:
+    """``WHITE``, ``LETTER``, ``DIGIT`` or 0 for each code point."""
+    kinds = np.zeros(0x110000, dtype=np.uint8)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for kind, pattern in ((WHITE, r"\s+"), (LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+")):
+        for m in regex.finditer(pattern, every):
+            kinds[ord(m[0][0]) : ord(m[0][-1]) + 1] = kind
+    kinds[0xD800:0xE000] = 0
+    return kinds
+
+
+def piece_starts(codes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Where pieces that encode by themselves begin, in texts end to end that begin at ``firsts``.
+
+    Borders of pre-tokens, all but those between an apostrophe and a letter, where contractions may be. A blank
+    opens the piece of the visible sign behind it; of more white space before a visible sign, the last is apart.
+    """
+    kinds = character_kinds()[codes]
+    before, here = kinds[:-1], kinds[1:]
+    starts = np.zeros(len(codes) + 1, dtype=bool)
+    starts[1:-1] = (before != here) & (codes[:-1] != 32) & ~((codes[:-1] == 39) & (here == LETTER))
+    starts[firsts] = starts[-1] = True
+    last = np.flatnonzero((before == WHITE) & (here == WHITE)) + 1
+    last = last[last + 1 < len(codes)]
+    last = last[kinds[last + 1] != WHITE]
+    last = last[~np.isin(last + 1, firsts)]
+    starts[last] = True
+    return np.flatnonzero(starts[:-1])
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library; what was encoded before is looked up.
 
-    Texts are cut into stretches that encode by themselves, and the different stretches of a batch are told
-    apart by two 64-bit hashes of their bytes in numpy. Stretches not seen before are cut into pre-tokens, and
-    new pre-tokens go to the library in batches; a stretch that may hold a special token goes there whole.
-    Pre-tokens of a blank and visible signs go end to end, many in one text, as none of them crosses the blank of
-    the next; the bytes of the ids tell them apart again.
+    Texts are cut into pieces that encode by themselves, in numpy, and equal pieces are told by two 64-bit hashes.
+    New pieces go to the library many in one text: none crosses the blank or line end in front of the next, and
+    the bytes of the ids tell them apart again. The stretch around a special token goes there whole.
     """
 
-    KEPT = 500_000
-    LONGEST = 60
-    #: Pre-tokens in one text.
+    #: Pieces kept, and four times as many ids.
+    KEPT = 1 << 20
+    #: Pieces in one text.
     JOINED = 1000
+    #: Characters cut at a time.
+    BLOCK = 1_000_000
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(vocabulary))
-        openings = {t.content[0] for t in self.tokenizer.get_added_tokens_decoder().values()}
-        self.special = one_of(openings)
-        #: Letters alone make one pre-token, unless a special token may begin with one.
-        self.letters = not any(map(str.isalpha, openings))
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.id_bytes = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)  # byte-level: a letter for a byte
         for token, number in self.tokenizer.get_vocab().items():
             self.id_bytes[number] = len(token)
-        self.known: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> None:
-        special = self.special
-        joined, apart = [], []
-        for t in texts:
-            fits = t[0] == " " and len(t) > 1 and not t[1].isspace() and not t[-1].isspace() and not special(t)
-            (joined if fits else apart).append(t)
-        for at in range(0, len(joined), self.JOINED):
-            part = joined[at : at + self.JOINED]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.cumsum([len(t.encode()) for t in part])
-            have = np.cumsum(self.id_bytes[ids])
-            cuts = np.searchsorted(have, ends) + 1
-            if len(have) == 0 or cuts[-1] != len(ids) or not (have[cuts - 1] == ends).all():
-                apart += part  # the ids do not spell the bytes
+        self.table = RunTable(self.KEPT.bit_length())
+        self.runs = Runs()
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, end to end, and how many each has."""
+        opening, white = codes[starts], character_kinds()[codes[starts + sizes - 1]] == WHITE
+        out: list[np.ndarray | None] = [None] * -(-len(starts) // self.JOINED)
+        counts = np.zeros(len(starts), dtype=np.int64)
+        texts, places = [], []
+        for at in range(0, len(starts), self.JOINED):
+            part = slice(at, min(at + self.JOINED, len(starts)))
+            if white[part].any():
                 continue
-            raw, last = ids.tobytes(), 0
-            for t, cut in zip(part, (cuts * 4).tolist(), strict=True):
-                self.words[t] = raw[last:cut]
-                last = cut
-        self._encode_apart(apart)
-
-    def _encode_apart(self, texts: list[str]) -> None:
-        for at in range(0, len(texts), 10_000):
-            part = texts[at : at + 10_000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.words.update((t, array("I", e.ids).tobytes()) for t, e in zip(part, found, strict=True))
-
-    def _of_stretches(self, raw: list[bytes]) -> list[bytes]:
-        """Ids of stretches, each with its opening blank."""
-        if len(self.known) > self.KEPT:
-            self.known.clear()
-        if len(self.words) > self.KEPT:
-            self.words.clear()
-        known, words, cut = self.known, self.words, PRE_TOKENS.findall
-        special, letters = self.special, self.letters
-        found = list(map(known.get, raw))
-        new = [k for k, ids in enumerate(found) if ids is None]
-        texts = [raw[k].decode() for k in new]
-        # None for a stretch that is not cut
-        parts = [None if letters and s[1:].isalpha() and (s[0] == " " or s[0].isalpha()) or special(s) else cut(s) for s in texts]
-        unseen = {s for s, ws in zip(texts, parts, strict=True) if ws is None and s not in words}
-        unseen.update([w for ws in parts if ws is not None for w in ws if w not in words])
-        self._encode(list(unseen))
-        for k, s, ws in zip(new, texts, parts, strict=True):
-            ids = found[k] = words[s] if ws is None else b"".join([words[w] for w in ws])
-            if len(raw[k]) <= self.LONGEST:
-                known[raw[k]] = ids
-        for w in unseen:
-            if len(w) > self.LONGEST:
-                del words[w]
-        return found
+            # a line end goes in front of pieces without a blank
+            apart = (opening[part] != 32).astype(np.int64)
+            lengths = sizes[part] + apart
+            ends = np.cumsum(lengths)
+            text = codes[np.repeat(starts[part] - apart - (ends - lengths), lengths) + np.arange(ends[-1])]
+            text[(ends - lengths)[apart > 0]] = 10
+            width = np.cumsum(1 + (text >= 0x80).astype(np.int64) + (text >= 0x800) + (text >= 0x10000))
+            texts.append(text.tobytes().decode("utf-32-le"))
+            places.append((at // self.JOINED, width[ends - lengths + apart - 1] * ((ends - lengths + apart) > 0), width[ends - 1]))
+        for (k, begins, ends), ids in zip(places, self._library(texts), strict=True):
+            have = np.concatenate([[0], np.cumsum(self.id_bytes[ids])])
+            first, last = (np.minimum(np.searchsorted(have, x), len(ids)) for x in (begins, ends))
+            if (have[first] == begins).all() and (have[last] == ends).all():
+                n = counts[k * self.JOINED : (k + 1) * self.JOINED] = last - first
+                out[k] = ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        for k in [k for k, ids in enumerate(out) if ids is None]:  # white space, or the ids do not spell the bytes
+            part = slice(k * self.JOINED, (k + 1) * self.JOINED)
+            alone = [codes[a : a + n].tobytes().decode("utf-32-le") for a, n in zip(starts[part].tolist(), sizes[part].tolist(), strict=True)]
+            ids = self._library(alone)
+            counts[part] = [len(x) for x in ids]
+            out[k] = np.concatenate(ids)
+        return np.concatenate(out), counts
+
+    def _block(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts without special tokens, none empty."""
+        if self.runs.count > self.KEPT or self.runs.used > 4 * self.KEPT:
+            self.runs = Runs()
+            self.table.clear()
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4")
+        firsts = np.cumsum([0, *map(len, texts[:-1])])
+        starts = piece_starts(codes, firsts)
+        ends = np.append(starts[1:], len(codes))
+        numbers, new, one, kind, keys = self.table.looked_up(codes, starts, ends)
+        if len(one):
+            sizes = ends[one] - starts[one]
+            # white space goes to the library piece by piece, so it comes together
+            order = np.argsort(character_kinds()[codes[ends[one] - 1]] != WHITE, kind="stable")
+            made = np.empty(len(one), dtype=np.int32)
+            made[order] = self.runs.count + np.arange(len(one))
+            self.runs.add(*self._encode(codes, starts[one][order], sizes[order]))
+            numbers[new] = made[kind]
+            self.table.put(keys, sizes, made)
+        ids, counts = self.runs.of(numbers)
+        total = np.cumsum(counts)
+        return np.split(ids.view(np.uint32), total[np.searchsorted(starts, firsts[1:]) - 1])
+
+    def _parts(self, text: str) -> Iterator[tuple[str, bool]]:
+        """A text in parts that encode by themselves, not much longer than ``BLOCK``, and whether one may hold special tokens."""
+        if any(s in text for s in self.special):
+            for k, cut in enumerate(stretches(text)):
+                part = f" {cut}" if k else cut
+                yield part, any(s in part for s in self.special)
+            return
+        at = 0
+        while len(text) - at > self.BLOCK and (cut := SINGLE_SPACE.search(text, at + self.BLOCK)):
+            yield text[at : cut.start()], False
+            at = cut.start()
+        yield text[at:], False
 
     def __call__(self, texts: Sequence[str | None]) -> list[np.ndarray]:
-        out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(texts)
-        plain, odd = [], []
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        waiting, held = [], 0
+
+        def flush():
+            for (k, place, _), ids in zip(waiting, self._block([part for _, _, part in waiting]) if waiting else [], strict=True):
+                out[k][place] = ids
+            waiting.clear()
+
         for k, text in enumerate(texts):
-            if text:
-                (odd if TWO_SPACES.search(text) else plain).append(k)
-        for k in odd:
-            cuts = stretches(texts[k])
-            ids = self._of_stretches([cuts[0].encode(), *[f" {c}".encode() for c in cuts[1:]]])
-            out[k] = np.frombuffer(b"".join(ids), dtype="<u4")
-        if plain:
-            for k, ids in zip(plain, self._plain([texts[k].encode() for k in plain]), strict=True):
-                out[k] = ids
-        return out
-
-    def _plain(self, raw: list[bytes]) -> list[np.ndarray]:
-        """Texts that may be cut at every blank, all together."""
-        joined = b"".join(raw)
-        data = np.frombuffer(joined, dtype=np.uint8)
-        first = np.cumsum([0, *map(len, raw[:-1])])
-        starts = np.sort(np.concatenate([first, np.flatnonzero(data == 32)]))
-        ends = np.append(starts[1:], len(data))
-        one, which = different_runs(data, starts, ends)
-        parts = self._of_stretches([joined[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
-        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
-        flat = np.frombuffer(b"".join(parts), dtype="<u4")
-        begins = np.cumsum(sizes) - sizes
-        lengths = sizes[which]
-        total = np.cumsum(lengths)
-        ids = flat[np.repeat(begins[which] - (total - lengths), lengths) + np.arange(total[-1])]
-        cuts = total[np.searchsorted(starts, first[1:]) - 1]
-        return np.split(ids, cuts)
+            for part, whole in self._parts(text or ""):
+                if not part:
+                    continue
+                if whole:
+                    out[k].append(self._library([part])[0].view(np.uint32))
+                    continue
+                if held + len(part) > self.BLOCK:
+                    flush()
+                    held = 0
+                out[k].append(np.zeros(0, dtype=np.uint32))
+                waiting.append((k, len(out[k]) - 1, part))
+                held += len(part)
+        flush()
+        return [parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, dtype=np.uint32), *parts]) for parts in out]
 
 
 def _opened(uri: str) -> tuple[fs.FileSystem, str]:
