@@ -7,9 +7,13 @@ in front of a query.
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from palimpsest.functions.digests import numbered_md5
 from palimpsest.functions.text import WHITESPACE_CLASS
 from palimpsest.functions.vectors import encode_text
 from palimpsest.session import new_folder
@@ -18,6 +22,10 @@ from palimpsest.sources.readers import spread_small
 Query = Callable[[SparkSession, str], DataFrame]
 #: Tasks for each core that the examples of the token tables are dealt to.
 TOKEN_TASKS = 8
+#: Pairs of an example and a benchmark prompt that a task is to have.
+TASK_PAIRS = 50_000
+#: Tokens of an example at most that are hashed together.
+TOKEN_BLOCK = 32_768
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -113,35 +121,59 @@ class Tables:
         return self.spread_documents.select(F.col("doc_id").alias("id"), encode_text(F.col("text")).alias("vector"))
 
     @property
-    def token_pairs(self) -> DataFrame:
-        """``example_id, candidate_id, n``: each rewrite with words beside each benchmark prompt, and the number of its words.
+    def token_blocks(self) -> DataFrame:
+        """``example_id, candidate, candidates, pos, tokens``: each rewrite with words, cut into blocks of its tokens.
 
-        A short row here stands for many tokens, so the examples are dealt to tasks by id before they are spread out: a
-        file of few splits would leave all tokens to as few tasks. What is asked per example stays in its task.
+        A block is ``candidates`` benchmark prompts from ``candidate`` on beside ``tokens`` words from ``pos`` on. A
+        short row here stands for many tokens, so the examples are dealt to tasks by id before they are spread out: a
+        file of few splits would leave all tokens to as few tasks. What is asked per example stays in its task. Tasks
+        grow in number with the user turns, so that a task's pairs have room in an aggregate's fast table.
         """
         words = F.size(F.filter(F.split("rewritten_text", WHITESPACE_CLASS + "+"), lambda w: w != ""))
         rows = self.rewrites.select(F.col("rewrite_id").alias("example_id"), words.alias("n")).filter("n > 0")
-        tasks = TOKEN_TASKS * self.spark.sparkContext.defaultParallelism
+        pairs = self.read("conversations").filter(F.col("role") == "user").count() * self.benchmark.count()
+        tasks = max(TOKEN_TASKS * self.spark.sparkContext.defaultParallelism, ceil(pairs / TASK_PAIRS))
         size = self.benchmark.agg(F.max("item_id").alias("n")).scalar()
-        dealt = rows.repartition(tasks, "example_id")
-        return dealt.select("example_id", F.explode(F.sequence(F.lit(0).cast("long"), size)).alias("candidate_id"), "n")
+        run = F.least("n", F.lit(TOKEN_BLOCK))
+        beside = F.floor(F.lit(TOKEN_BLOCK) / run)
+        dealt = rows.repartition(tasks, "example_id").select("example_id", "n", run.alias("run"), beside.alias("beside"))
+        cut = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), size, F.col("beside"))).alias("candidate"))
+        cut = cut.withColumn("candidates", F.least("beside", size - F.col("candidate") + 1).cast("int"))
+        cut = cut.select("*", F.explode(F.sequence(F.lit(1), "n", F.col("run"))).alias("pos"))
+        return cut.select("example_id", "candidate", "candidates", "pos", F.least("run", F.col("n") - F.col("pos") + 1).alias("tokens"))
 
     @property
     def token_logprobs(self) -> DataFrame:
         """Hashed stand-in for a model's token log-probabilities.
 
-        One row per rewrite, benchmark prompt, and word of the rewritten text.
+        One row per rewrite, benchmark prompt, and word of the rewritten text. The digests of a block are made together
+        in numpy, grouped by example so that its rows stay where they are.
         """
-        tokens = self.token_pairs.select("example_id", "candidate_id", F.explode(F.sequence(F.lit(1), "n")).alias("pos"))
-        digest = F.md5(F.concat_ws("#", F.col("example_id").cast("string"), F.col("candidate_id").cast("string"), F.col("pos").cast("string")))
-        value = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-        return tokens.withColumn("logprob", -(1 + F.pmod(value, F.lit(1000))) / 250.0)
+        block = ("example_id", "candidate", "candidates", "pos", "tokens")
+        hashed = self.token_blocks.groupBy(*block).agg(hashed_tokens(*block).alias("values"))
+        lists = hashed.select(*block[:4], F.posexplode("values").alias("beside", "values"))
+        candidate = (F.col("candidate") + F.col("beside") % F.col("candidates")).alias("candidate_id")
+        tokens = lists.select("example_id", candidate, "pos", F.posexplode("values").alias("place", "value"))
+        logprob = -(1 + F.col("value").cast("long")) / 250.0
+        return tokens.select("example_id", "candidate_id", (F.col("pos") + F.col("place")).alias("pos"), logprob.alias("logprob"))
 
     def scratch(self) -> str:
         """New folder below the shared folder, for what a query writes and reads back."""
         return new_folder(self.spark)
 
 
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.ShortType())))
+def hashed_tokens(example: pa.Array, candidate: pa.Array, candidates: pa.Array, pos: pa.Array, tokens: pa.Array) -> list[np.ndarray]:
+    """MD5 of example, candidate and place of each token of a block, modulo 1000: a list for each candidate.
+
+    A block that comes in several rows has its lists as many times.
+    """
+    rows, example, candidate, n, pos, tokens = len(example), *(c[0].as_py() for c in (example, candidate, candidates, pos, tokens))
+    heads = [f"{example}#{c}#".encode() for c in range(candidate, candidate + n)]
+    values = numbered_md5(heads, np.arange(pos, pos + tokens)) % np.uint32(1000)
+    return list(values.astype(np.int16)) * rows
+
+
 def rounded(column: Column | str, digits: int = 6) -> Column:
     return F.round(column, digits)
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.checks import registry
 from palimpsest.checks.registry import Tables
+from palimpsest.functions.digests import numbered_md5
 from palimpsest.operators import density, evaluate, generate, lexical, scoring, search
 from palimpsest.plans.evaluation import likeliest_prompt_scores
 
@@ -142,3 +146,32 @@ def test_subsets_grow_in_tasks(spark, monkeypatch):
     made = search.ordered_subsets(df, F.split("text", " "))
     assert made.rdd.getNumPartitions() >= 50
     assert made.count() == 100 * (24 + 12 + 4)
+
+
+def test_digests_of_many_texts_are_those_of_each():
+    texts = [f"{e}#{c}#".encode() for e in (-3, 65536, 10**15) for c in (0, 9, 10, 117)] + [b"", b"x" * 50]
+    for heads, numbers in ((texts, range(120)), (texts, [7, 99_999, 100_000]), ([b"x" * 55, b"y"], [4, 12]), (texts[:1], [5, 5])):
+        wanted = [[int(md5(h + str(i).encode()).hexdigest()[:8], 16) for i in numbers] for h in heads]
+        assert numbered_md5(heads, np.array(numbers)).tolist() == wanted
+    assert numbered_md5([], np.arange(3)).shape == (0, 3)
+
+
+@pytest.mark.parametrize("block", [2**15, 16, 3])
+def test_tokens_are_hashed_in_blocks_of_an_example(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(registry, "TOKEN_BLOCK", block)
+    monkeypatch.setattr(registry, "TASK_PAIRS", 1)
+    turns = [(c, t, ("user", "assistant")[t % 2], " ".join(["w"] * (1 + 5 * c * t))) for c in range(4) for t in range(4)]
+    turns += [(2, 1, "assistant", "x y"), (3, 1, "assistant", turns[13][3])]  # an example with two answers, and one whose answer comes twice
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(i, f"text {i}", "s") for i in range(5)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, f"item {i}") for i in range(12)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    tokens = Tables(spark, str(tmp_path)).token_logprobs
+    assert "md5(" not in plan_of(tokens)  # not one digest at a time in the JVM
+    wanted = []
+    for c, t, _, text in turns:
+        if t % 2:
+            keys = [(c * 65536 + t - 1, k, pos) for k in range(12) for pos in range(1, len(text.split()) + 1)]
+            wanted += [(*k, -(1 + int(md5("#".join(map(str, k)).encode()).hexdigest()[:8], 16) % 1000) / 250) for k in keys]
+    assert sorted(map(tuple, tokens.collect())) == sorted(wanted)
+    spark.createDataFrame([], "item_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+    assert Tables(spark, str(tmp_path)).token_logprobs.collect() == []
