@@ -74,8 +74,13 @@ def word_vector(word: str) -> np.ndarray:
 
     Components are multiples of 2⁻¹⁵ in [−1, 1), so sums of word vectors are exact in any order.
     """
-    digits = b"".join(md5(f"{word}#{half}".encode()).digest() for half in range(ENCODER_DIM // 8))
-    return np.frombuffer(digits, dtype=">u2").astype(np.float64) / 32768.0 - 1.0
+    return word_matrix([word])[0]
+
+
+def word_matrix(words: Sequence[str]) -> np.ndarray:
+    """The vectors of many words, one a row."""
+    digits = b"".join(md5(f"{word}#{half}".encode()).digest() for word in words for half in range(ENCODER_DIM // 8))
+    return np.frombuffer(digits, dtype=">u2").reshape(-1, ENCODER_DIM).astype(np.float64) / 32768.0 - 1.0
 
 
 # Most distinct words a task remembers at a time.
@@ -98,9 +103,8 @@ def encode_words(words: Column, position_weight: float = 0.0) -> Column:
         def table_of(words: list[str]) -> np.ndarray:
             if len(known) > WORD_CACHE:
                 known.clear()
-            for word in words:
-                if word not in known:
-                    known[word] = word_vector(word)
+            new = [word for word in words if word not in known]
+            known.update(zip(new, word_matrix(new), strict=True))
             return np.stack([known[word] for word in words])
 
         def encode_some(words: pa.Array, ends: np.ndarray) -> np.ndarray:
@@ -147,7 +151,7 @@ def word_vectors(word: Column) -> Column:
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def look_up(words: pa.Array) -> pa.Array:
         coded = words.dictionary_encode()
-        known = pa.array([word_vector(w) for w in coded.dictionary.to_pylist()], pa.list_(pa.float64()))
+        known = pa.array(list(word_matrix(coded.dictionary.to_pylist())), pa.list_(pa.float64()))
         return known.take(coded.indices)
 
     return look_up(word)

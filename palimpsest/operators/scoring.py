@@ -5,7 +5,8 @@ The score of a candidate ``c`` is the mean over the corpus of ``(c·d)³``. Two
 * **Moments** (up to 64 components): one pass turns the corpus into the symmetric third-moment
   tensor, whose size depends on the dimension alone. Any number of candidates is then scored
   without touching the corpus.
-* **Passes** (vectors of any width): candidates in blocks of a checked byte size meet the corpus, which adds
+* **Passes** (vectors of any width; ``CorpusVectors`` takes moments instead up to 128 components, where so many
+  candidates meet so many rows that it is less work): candidates in blocks of a checked byte size meet the corpus, which adds
   up its cubes locally, and only ``(candidate, sum, count)`` rows leave a task. More candidates than one
   block holds are joined block by block on the executors.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from math import ceil, sqrt
 
 import numpy as np
@@ -24,6 +26,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from palimpsest.functions.vectors import cubed_cosine, dot, squared_distance, to_double, vector_literal
 
 MOMENT_DIM_LIMIT = 64
+# Components up to which a corpus in passes may be added up as moments: a tensor of 16 MB.
+WIDE_DIM_LIMIT = 128
+# What cubing and adding a similarity takes, in products of two numbers.
+CUBE_PRODUCTS = 25
 BLOCK_BYTES = 64 * 1024 * 1024
 # Pairs of a part of one side and a block of the other for each core, where the sides meet in tasks.
 PAIRS = 3
@@ -191,8 +197,9 @@ def _unpacked(cells: np.ndarray, dim: int) -> np.ndarray:
 
 def _add_outer(tensor: np.ndarray, x: np.ndarray) -> None:
     """Add Σ d⊗d⊗d, with the last two indices in one."""
-    for at in range(0, len(x), 1024):
-        piece = x[at : at + 1024]
+    step = min(1024, max(1, 2 * CELLS // tensor.shape[1]))
+    for at in range(0, len(x), step):
+        piece = x[at : at + step]
         tensor += piece.T @ (piece[:, :, None] * piece[:, None, :]).reshape(len(piece), -1)
 
 
@@ -253,14 +260,19 @@ def summed_tensors(batches: Batches, dim: int) -> Iterator[tuple]:
 
 
 def corpus_moments(df: DataFrame, vector: str, dim: int | None = None) -> Moments:
-    """Moments of the corpus; one pass over the data. A corpus without vectors has a count of 0.
+    """Moments of the corpus; one pass over the data. A corpus without vectors has a count of 0."""
+    dim = dim or vector_dim(df, vector)
+    if dim > MOMENT_DIM_LIMIT:
+        raise ValueError(f"moments are for at most {MOMENT_DIM_LIMIT} components, got {dim}: score in passes (CorpusVectors) instead")
+    return _summed_moments(df, vector, dim)
+
+
+def _summed_moments(df: DataFrame, vector: str, dim: int) -> Moments:
+    """Moments of vectors of ``dim`` components.
 
     Every task adds up its rows and its tensor is one row; those are added in a second round, and what is left cell by
     cell, so that one tensor comes to the driver, whose size follows from the dimension alone.
     """
-    dim = dim or vector_dim(df, vector)
-    if dim > MOMENT_DIM_LIMIT:
-        raise ValueError(f"moments are for at most {MOMENT_DIM_LIMIT} components, got {dim}: score in passes (CorpusVectors) instead")
 
     def add(batches: Batches) -> Batches:
         tensor, n = np.zeros((dim, dim * dim)), 0
@@ -325,11 +337,35 @@ def mean_cubed_similarity(
 
 @dataclass(frozen=True)
 class CorpusVectors:
-    """A corpus that scores candidates of any dimension, in passes over its rows."""
+    """A corpus that scores candidates of any dimension, in passes over its rows.
+
+    Up to ``WIDE_DIM_LIMIT`` components its moments are added up, once, where scoring from them is less work.
+    """
 
     rows: DataFrame
     vector: str
 
+    @cached_property
+    def size(self) -> tuple[int, int]:
+        """Numbers of rows and of components; 0 of both without vectors."""
+        try:
+            return self.rows.count(), vector_dim(self.rows, self.vector)
+        except ValueError:
+            return 0, 0
+
+    @cached_property
+    def moments(self) -> Moments:
+        return _summed_moments(self.rows, self.vector, self.size[1])
+
+    def moments_for(self, candidates: int) -> Moments | None:
+        """The moments, if so many candidates are scored from them with less work than in a pass."""
+        rows, dim = self.size
+        if not rows or dim > WIDE_DIM_LIMIT:
+            return None
+        known = "moments" in self.__dict__
+        moments = dim**3 * (candidates + (0 if known else rows))
+        return self.moments if moments < rows * candidates * (dim + CUBE_PRODUCTS) else None
+
 
 def score_in_passes(
     candidates: DataFrame, corpus: DataFrame, candidate_id: str, vector: str, corpus_vector: str, absolute: bool = False

@@ -39,6 +39,8 @@ Encoder = Callable[[Column], Column]
 Scorer = Moments | CorpusVectors
 SCORE_DIGITS = 9
 MAX_BEAMS = 100_000
+#: Candidates for a wide corpus that a task scores.
+TASK_CANDIDATES = 50_000
 #: Subsets at most that a task makes.
 SUBSETS_PER_TASK = 1_000_000
 
@@ -252,6 +254,11 @@ class SearchState:
 
 
 def _score_texts(candidates: DataFrame, corpus: Scorer, encoder: Encoder) -> DataFrame:
+    if isinstance(corpus, CorpusVectors):
+        # a wide tensor takes a while for each candidate: the candidates of a small file go to all cores
+        count, cores = candidates.count(), candidates.sparkSession.sparkContext.defaultParallelism
+        candidates = candidates.repartition(max(cores, ceil(count / TASK_CANDIDATES)))
+        corpus = corpus.moments_for(count) or corpus
     if isinstance(corpus, Moments):
         scored = with_moment_score(candidates.withColumn("_vector", encoder(F.col("text"))), "_vector", corpus)
     else:

@@ -1,8 +1,10 @@
 from itertools import chain, permutations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions import vectors
 from palimpsest.functions.vectors import encode_text
 from palimpsest.operators import additive, scoring, search
 from palimpsest.plans.mean_prompt import find_mean_prompt, search_vocabulary
@@ -196,3 +198,31 @@ def test_best_subject_of_sums_is_that_of_encoded_texts(spark):
         assert sorted(map(tuple, summed)) == sorted(map(tuple, encoded))
     with pytest.raises(ValueError, match="slot"):
         additive.best_subject(rows, "id", "p", "no slot")
+
+
+def test_wide_searches_add_up_moments_where_that_is_less_work(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    corpus = rng.normal(size=(300, 80))
+    corpus /= np.linalg.norm(corpus, axis=1, keepdims=True)
+    rows = spark.createDataFrame([([float(a) for a in v],) for v in corpus] + [(None,)], "v array<double>")
+    base = spark.createDataFrame([(f"w{i}",) for i in range(40)] + [("w3",)], "word string")
+
+    def wide(text):
+        return F.concat(*[vectors.encode_text(F.concat(text, F.lit(" " + "x" * k))) for k in range(5)])
+
+    def beams(held):
+        state = search.beam_search(base, held, beam_width=3, num_steps=2, encoder=wide)
+        return state, [b[0] for b in state.beams]
+
+    passed, added = scoring.CorpusVectors(rows, "v"), scoring.CorpusVectors(rows, "v")
+    assert passed.size == (301, 80) and passed.moments_for(10) is None
+    slow = beams(passed)
+    assert "moments" not in passed.__dict__  # few rows and candidates: in passes
+    monkeypatch.setattr(scoring, "CUBE_PRODUCTS", 10**9)
+    monkeypatch.setattr(search, "score_in_passes", None)  # not called any more
+    quick = beams(added)
+    assert quick[1] == slow[1] and added.moments.count == 300
+    assert np.allclose([b[1] for b in quick[0].beams], [b[1] for b in slow[0].beams], atol=2e-9)
+    many = 10**6
+    assert scoring.CorpusVectors(spark.createDataFrame([([1.0] * 129,)], "v array<double>"), "v").moments_for(many) is None
+    assert scoring.CorpusVectors(spark.createDataFrame([(None,)], "v array<double>"), "v").moments_for(many) is None
