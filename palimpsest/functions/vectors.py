@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
+from palimpsest.functions.digests import md5_with
 from palimpsest.functions.text import split_words
 from palimpsest.session import small_batches
 
@@ -74,17 +75,19 @@ def word_vector(word: str) -> np.ndarray:
 
     Components are multiples of 2⁻¹⁵ in [−1, 1), so sums of word vectors are exact in any order.
     """
-    return word_matrix([word])[0]
+    digits = b"".join(md5(f"{word}#{half}".encode()).digest() for half in range(ENCODER_DIM // 8))
+    return np.frombuffer(digits, dtype=">u2").astype(np.float64) / 32768.0 - 1.0
 
 
-def word_matrix(words: Sequence[str]) -> np.ndarray:
+def word_matrix(words: pa.Array) -> np.ndarray:
     """The vectors of many words, one a row."""
-    digits = b"".join(md5(f"{word}#{half}".encode()).digest() for word in words for half in range(ENCODER_DIM // 8))
-    return np.frombuffer(digits, dtype=">u2").reshape(-1, ENCODER_DIM).astype(np.float64) / 32768.0 - 1.0
+    digits = np.concatenate([md5_with(words, b"#%d" % half) for half in range(ENCODER_DIM // 8)], axis=1)
+    return digits.view(">u2").astype(np.float64) / 32768.0 - 1.0
 
 
-# Most distinct words a task remembers at a time.
+# Most distinct words a task remembers at a time, where it works on single words.
 WORD_CACHE = 200_000
+# Words whose different ones are hashed together.
 WORDS_AT_ONCE = 100_000
 
 
@@ -98,21 +101,12 @@ def encode_words(words: Column, position_weight: float = 0.0) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: dict[str, np.ndarray] = {}
-
-        def table_of(words: list[str]) -> np.ndarray:
-            if len(known) > WORD_CACHE:
-                known.clear()
-            new = [word for word in words if word not in known]
-            known.update(zip(new, word_matrix(new), strict=True))
-            return np.stack([known[word] for word in words])
-
         def encode_some(words: pa.Array, ends: np.ndarray) -> np.ndarray:
             """One vector per list, lists being the ranges between ``ends``; NaN for no words."""
             if not len(words):
                 return np.full((len(ends) - 1, ENCODER_DIM), np.nan)
             coded = words.dictionary_encode()
-            vectors = table_of(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+            vectors = word_matrix(coded.dictionary)[coded.indices.to_numpy()]
             if position_weight:
                 place = np.arange(len(words)) - np.repeat(ends[:-1], np.diff(ends))
                 vectors = vectors * (1.0 + position_weight * place)[:, None]
@@ -151,7 +145,7 @@ def word_vectors(word: Column) -> Column:
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def look_up(words: pa.Array) -> pa.Array:
         coded = words.dictionary_encode()
-        known = pa.array(list(word_matrix(coded.dictionary.to_pylist())), pa.list_(pa.float64()))
+        known = pa.array(list(word_matrix(coded.dictionary)), pa.list_(pa.float64()))
         return known.take(coded.indices)
 
     return look_up(word)

@@ -1,18 +1,21 @@
 """Density clustering in which only vectors near each other meet.
 
 Space is cut into cells around sampled centres: a vector's own cell is that of its nearest centre. A vector within
-ε of a member of another cell is at most 2ε further from that cell's centre than from its own, and within the
-cell's radius plus ε of it; so a vector compared with the rows of the cells that pass both tests meets every
+ε of a member of another cell is at most ε away from the plane half-way between both centres, and within the
+cell's radius plus ε of its centre; so a vector compared with the rows of the cells that pass both tests meets every
 neighbour, and no pair is missed. Cells of any size are compared tile by tile, and no copy of a vector is written
-for the cells it reaches.
+for the cells it reaches. Single precision finds the pairs that may be near; those at the limit are measured again in
+double precision.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from palimpsest.functions.vectors import usable
@@ -26,10 +29,12 @@ MOST_CELLS = 4096
 TILE_ROWS = 4096
 #: Rows that a task holds of what it found before it shortens them.
 FOUND_ROWS = 2_000_000
+#: Bytes of vectors of the left side that a task sorts and compares at a time.
+HELD_BYTES = 32 * 1024 * 1024
+#: Rows of the left side that are compared with a tile.
+STRIP_ROWS = 1024
 #: Tasks for each core that the left side of a comparison is dealt to.
 TASKS = 4
-#: Room for the rounding of a distance.
-ROUNDING = 1e-9
 
 
 def close(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
@@ -38,14 +43,69 @@ def close(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
     return squared <= eps * eps + 1e-12
 
 
+Tiles = Iterator[tuple[np.ndarray, int, int]]
+
+
+class Space:
+    """The centres and radii of cells, and tests of nearness that err on the side of too near by ``slack``."""
+
+    def __init__(self, centres: np.ndarray, radius: np.ndarray, eps: float):
+        self.eps, self.middle, dim = eps, centres.mean(axis=0), centres.shape[1]
+        largest = float(np.sqrt(((centres - self.middle) ** 2).sum(1)).max() + max(radius.max(), 0.0) + eps) ** 2
+        self.kind, self.slack = np.float32, (dim + 8) * 2.0**-21 * largest
+        if self.slack > eps * eps / 8:
+            self.kind, self.slack = np.float64, (dim + 8) * 2.0**-50 * largest
+        self.reach = np.where(radius >= 0, (np.maximum(radius, 0) + eps) ** 2 + self.slack, -np.inf).astype(self.kind)
+        self.centres, self.left_centres = self.right(centres), self.left(centres)
+
+    def left(self, x: np.ndarray) -> np.ndarray:
+        """Rows whose product with those of ``right`` is minus half of the squared distance."""
+        x = x - self.middle
+        return np.concatenate([x, (x * x).sum(1)[:, None] / -2, np.ones((len(x), 1))], axis=1).astype(self.kind)
+
+    def right(self, y: np.ndarray) -> np.ndarray:
+        y = y - self.middle
+        return np.concatenate([y, np.ones((len(y), 1)), (y * y).sum(1)[:, None] / -2], axis=1).astype(self.kind)
+
+    def own(self, left: np.ndarray) -> np.ndarray:
+        return (left @ self.centres.T).argmax(axis=1)
+
+    def reached(self, left: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Whether each row (as ``left`` gives it) may have neighbours in each cell."""
+        squared = left @ self.centres.T
+        squared *= -2
+        cells, rank = np.unique(own, return_inverse=True)
+        apart = np.sqrt(np.maximum(self.left_centres[cells] @ self.centres.T * -2 + self.slack, 0))
+        near = squared <= self.reach
+        squared -= squared[np.arange(len(left)), own][:, None]
+        apart *= 2 * self.eps
+        apart += 2 * self.slack
+        near &= squared <= apart[rank]
+        return near
+
+    def pairs(self, x: np.ndarray, left: np.ndarray, y: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of both sides that lie within ``eps`` of each other, by the rows of the left one."""
+        product = (left @ right.T).ravel()
+        limit = -self.eps * self.eps / 2
+        found = np.flatnonzero(product >= self.kind(limit - self.slack))
+        row, place = np.divmod(found, len(right))
+        doubt = np.flatnonzero(product[found] <= self.kind(limit + self.slack))
+        if len(doubt):
+            a, b = x[row[doubt]], y[place[doubt]]
+            squared = (a * a).sum(1) + (b * b).sum(1) - 2.0 * (a * b).sum(1)
+            far = doubt[squared > self.eps * self.eps + 1e-12]
+            row, place = np.delete(row, far), np.delete(place, far)
+        return row, place
+
+
 def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     squared = (x * x).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2.0 * (x @ centres.T)
     return np.sqrt(np.maximum(squared, 0.0))
 
 
-def _in_cells(points: DataFrame, centres: np.ndarray, radius: np.ndarray | None, eps: float, keep: tuple[str, ...]) -> DataFrame:
+def _in_cells(points: DataFrame, centres: np.ndarray, space: Space | None, keep: tuple[str, ...]) -> DataFrame:
     """``cell`` (and ``distance``) of each point, or a row for each cell it may have neighbours in."""
-    shared = points.sparkSession.sparkContext.broadcast((centres, radius))
+    shared = points.sparkSession.sparkContext.broadcast((centres, space))
     kinds = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in keep)
 
     def place(batches: Batches) -> Batches:
@@ -56,15 +116,11 @@ def _in_cells(points: DataFrame, centres: np.ndarray, radius: np.ndarray | None,
                 if not batch.num_rows:
                     continue
                 far = _distances(x, around)
-                if reach is None:
-                    cell = far.argmin(axis=1)
-                    row, distance = np.arange(len(x)), far[np.arange(len(x)), cell]
-                else:
-                    near = (far - far.min(axis=1, keepdims=True) <= 2 * eps + ROUNDING) & (far <= reach[None, :] + eps + ROUNDING)
-                    row, cell = np.nonzero(near)
-                    distance = far[row, cell]
+                row, cell = np.arange(len(x)), far.argmin(axis=1)
+                if reach is not None:
+                    row, cell = np.nonzero(reach.reached(reach.left(x), cell))
                 took = batch.take(pa.array(row))
-                columns = [took.column(c) for c in keep] + [pa.array(cell.astype(np.int64)), pa.array(distance)]
+                columns = [took.column(c) for c in keep] + [pa.array(cell.astype(np.int64)), pa.array(far[row, cell])]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "cell", "distance"])
 
     return points.select(*keep).mapInArrow(place, f"{kinds}, cell long, distance double")
@@ -80,76 +136,101 @@ class Cells:
         cells = min(MOST_CELLS, max(1, ceil(sqrt(self.rows))))
         drawn = points.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(cells).collect()
         self.centres = np.array([r["v"] for r in drawn])
-        self.radius = np.full(len(drawn), -np.inf)
-        placed = _in_cells(points, self.centres, None, eps, ("id", "v"))
-        for r in placed.groupBy("cell").agg(F.max("distance").alias("r")).collect():  # a row a cell
-            self.radius[r["cell"]] = r["r"]
+        self.radius, self.tiles = np.full(len(drawn), -np.inf), np.ones(len(drawn), np.int64)
+        placed = _in_cells(points, self.centres, None, ("id", "v"))
+        for r in placed.groupBy("cell").agg(F.max("distance").alias("r"), F.count(F.lit(1)).alias("n")).collect():  # a row a cell
+            self.radius[r["cell"]], self.tiles[r["cell"]] = r["r"], ceil(r["n"] / TILE_ROWS)
+        self.space = Space(self.centres, self.radius, eps)
 
     def own(self, points: DataFrame, keep: tuple[str, ...] = ("id", "v")) -> DataFrame:
-        return _in_cells(points, self.centres, None, self.eps, keep).drop("distance")
+        return _in_cells(points, self.centres, None, keep).drop("distance")
 
     def copies(self, points: DataFrame, keep: tuple[str, ...] = ("id", "v")) -> DataFrame:
-        return _in_cells(points, self.centres, self.radius, self.eps, keep).drop("distance")
+        return _in_cells(points, self.centres, self.space, keep).drop("distance")
 
-    def meet(self, left: DataFrame, right: DataFrame, kernel, schema: str, keep: tuple[str, ...] = (), combine=None) -> DataFrame:
-        """``kernel(mine, x, others, y)`` of tables and matrices, for the rows of ``left`` near a cell and tiles of that cell.
+    def compare(self, left: DataFrame, right: DataFrame, worker: Callable[..., Iterator[dict]], schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
+        """What ``worker`` finds between rows of ``left`` and the rows of ``right`` that may be their neighbours.
 
-        A row of ``left`` meets each row of ``right`` that may be its neighbour, once. The right side comes in blocks, by
-        its own cells, and the copies in other cells are never made: which cells a row reaches is worked out where it
-        is. ``combine`` shortens what a task has found so far, a table of ``schema``, before it leaves the task.
+        ``worker(mine, x, others, y, tiles)`` gets tables and matrices of a share of both sides and the tiles to look
+        at, each as some rows of ``x`` and the bounds of rows of ``y``, with ``near`` of them: the pairs within ε. A
+        row of ``left`` meets each row of ``right`` that may be its neighbour, once. The right side comes in blocks, its
+        cells whole but for those of more rows than a tile, and the copies in other cells are never made: which cells a
+        row reaches is worked out where it is, for rows of one cell together.
         """
         spark = self.points.sparkSession
         tasks = TASKS * spark.sparkContext.defaultParallelism
         mine = left.select("id", "v").repartition(tasks, "id")
-        others = cut_lineage(self.own(right, ("id", "v", *keep)))
-        shared = spark.sparkContext.broadcast((self.centres, self.radius))
+        shared = spark.sparkContext.broadcast((self.space, self.tiles))
+        tiles = F.element_at(F.split(F.lit(",".join(map(str, self.tiles))), ",").cast("array<long>"), (F.col("cell") + 1).cast("int"))
+        share = F.pmod(F.xxhash64("id"), tiles) * F.lit(len(self.tiles)).cast("long")
+        others = cut_lineage(self.own(right, ("id", "v", *keep)).withColumn("tile", F.col("cell") + share))
         empty = spark.createDataFrame([], schema).toArrow().schema
-        eps = self.eps
-
-        def near_tiles(x: np.ndarray, ends: np.ndarray):
-            """Rows of the batch and the bounds of a tile of a cell that they reach."""
-            around, reach = shared.value
-            far = _distances(x, around)
-            near = (far - far.min(axis=1, keepdims=True) <= 2 * eps + ROUNDING) & (far <= reach[None, :] + eps + ROUNDING)
-            near &= (np.diff(ends) > 0)[None, :]
-            for cell in np.flatnonzero(near.any(axis=0)):
-                rows = np.flatnonzero(near[:, cell])
-                for at in range(ends[cell], ends[cell + 1], TILE_ROWS):
-                    yield rows, at, min(at + TILE_ROWS, ends[cell + 1])
+        rows = max(STRIP_ROWS, HELD_BYTES // (8 * self.centres.shape[1]))
+
+        def shares(batches: Batches) -> Iterator[tuple[pa.Table, np.ndarray]]:
+            held, size = [], 0
+            for batch in batches:
+                held.append(batch_vectors(batch))
+                size += held[-1][0].num_rows
+                if size >= rows:
+                    yield pa.Table.from_batches([b for b, _ in held]), np.concatenate([x for _, x in held if len(x)])
+                    held, size = [], 0
+            if size:
+                yield pa.Table.from_batches([b for b, _ in held]), np.concatenate([x for _, x in held if len(x)])
 
         def start(load):
             def run(batches: Batches) -> Batches:
                 block = load()
                 if not len(block):
                     return
-                block = block.sort_values("cell", kind="stable")
+                space, cells = shared.value[0], len(shared.value[1])
+                block = block.sort_values(["cell", "tile"], kind="stable")
                 y = as_matrix(block["v"])
-                ends = np.searchsorted(block["cell"].to_numpy(), np.arange(len(shared.value[0]) + 1))
+                ends = np.searchsorted(block["cell"].to_numpy(), np.arange(cells + 1))
                 others = pa.Table.from_pandas(block[["id", *keep]], preserve_index=False)
-                held, size = [], 0
-                for whole in batches:
-                    for at in range(0, whole.num_rows, 1024):
-                        batch, x = batch_vectors(whole.slice(at, 1024))
-                        if not batch.num_rows:
-                            continue
-                        table = pa.Table.from_batches([batch])
-                        for rows, low, high in near_tiles(x, ends):
-                            found = pa.table(kernel(table.take(rows), x[rows], others.slice(low, high - low), y[low:high]), schema=empty)
-                            if found.num_rows:
-                                held.append(found)
-                                size += found.num_rows
-                            if size > FOUND_ROWS:
-                                joined = _shorter(held, combine)
-                                held, size = [joined], joined.num_rows
-                                if size > FOUND_ROWS // 2:
-                                    yield from joined.to_batches(max_chunksize=65536)
-                                    held, size = [], 0
-                if held:
-                    yield from _shorter(held, combine).to_batches(max_chunksize=65536)
+                right = space.right(y)
+                for table, x in shares(batches):
+                    left = space.left(x)
+                    own = np.concatenate([space.own(left[at : at + STRIP_ROWS]) for at in range(0, len(left), STRIP_ROWS)])
+                    order = np.argsort(own, kind="stable")
+                    table, x, left, own = table.take(pa.array(order)), x[order], left[order], own[order]
+
+                    def tiles(x=x, left=left, own=own) -> Tiles:
+                        for at in range(0, len(x), STRIP_ROWS):
+                            reached = space.reached(left[at : at + STRIP_ROWS], own[at : at + STRIP_ROWS])
+                            reached = np.ascontiguousarray((reached & (np.diff(ends) > 0)[None, :]).T)
+                            for cell in np.flatnonzero(reached.any(axis=1)):
+                                some = at + np.flatnonzero(reached[cell])
+                                for low in range(ends[cell], ends[cell + 1], TILE_ROWS):
+                                    yield some, low, min(low + TILE_ROWS, ends[cell + 1])
+
+                    def near(some: np.ndarray, low: int, high: int, x=x, left=left) -> tuple[np.ndarray, np.ndarray]:
+                        row, place = space.pairs(x[some], left[some], y[low:high], right[low:high])
+                        return some[row], low + place
+
+                    for found in worker(table, x, others, y, tiles(), near):
+                        yield from pa.table(found, schema=empty).to_batches(max_chunksize=65536)
 
             return run
 
-        return against_blocks(mine, others, "id", "v", start, schema, keep=(*keep, "cell"))
+        return against_blocks(mine, others, "tile", "v", start, schema, keep=("id", *keep, "cell"))
+
+    def meet(self, left: DataFrame, right: DataFrame, kernel, schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
+        """``kernel(mine, x, others, y)`` of tables and matrices, for rows of ``left`` and the tiles that they reach."""
+        empty = left.sparkSession.createDataFrame([], schema).toArrow().schema
+
+        def each(mine, x, others, y, tiles, near):
+            held, size = [], 0
+            for rows, low, high in tiles:
+                held.append(pa.table(kernel(mine.take(rows), x[rows], others.slice(low, high - low), y[low:high]), schema=empty))
+                size += held[-1].num_rows
+                if size > FOUND_ROWS:
+                    yield pa.concat_tables(held).to_pydict()
+                    held, size = [], 0
+            if held:
+                yield pa.concat_tables(held).to_pydict()
+
+        return self.compare(left, right, each, schema, keep)
 
     def comparisons(self, left: DataFrame, right: DataFrame) -> int:
         """Pairs of vectors that ``meet`` compares."""
@@ -162,50 +243,25 @@ def _ids(table: pa.Table) -> np.ndarray:
     return table.column("id").to_numpy()
 
 
-def _spanning(near: np.ndarray, own: np.ndarray, theirs: np.ndarray) -> dict:
-    """Edges that join what ``near`` joins: each connected piece as a star around its smallest id."""
-    names, rank = np.unique(np.concatenate([own, theirs]), return_inverse=True)
-    left, right = rank[: len(own)].copy(), rank[len(own) :].copy()
-    first, second, top = left.copy(), right.copy(), len(names)
+def _roots(root: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """The root of each node, kept as its parent."""
+    found = root[nodes]
     while True:
-        new_left = np.minimum(left, np.where(near, right[None, :], top).min(axis=1))
-        new_right = np.minimum(right, np.where(near, new_left[:, None], top).min(axis=0))
-        if (new_left == left).all() and (new_right == right).all():
+        upper = root[found]
+        if (upper == found).all():
             break
-        left, right = new_left, new_right
-    pairs = np.unique(np.stack([np.concatenate([first, second]), np.concatenate([left, right])], axis=1), axis=0)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    return {"a": names[pairs[:, 0]], "b": names[pairs[:, 1]]}
-
-
-def _shorter(found: list[pa.Table], combine) -> pa.Table:
-    table = pa.concat_tables(found).combine_chunks()
-    return table if combine is None else pa.table(combine(table), schema=table.schema)
+        found = upper
+    root[nodes] = found
+    return found
 
 
-def _forest(edges: pa.Table) -> dict:
-    """Edges that join what ``edges`` join: each piece as a star around its smallest id."""
-    names, rank = np.unique(np.concatenate([edges.column(c).to_numpy() for c in ("a", "b")]), return_inverse=True)
-    a, b = rank[: edges.num_rows], rank[edges.num_rows :]
-    root = np.arange(len(names))
+def _hook(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the nodes ``a`` to the nodes ``b``; a root is its own parent, and of joined ones the smaller stays."""
     while len(a):
-        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
-        a, b = low[low != high], high[low != high]
-        np.minimum.at(root, b, a)
-        while (root[root] != root).any():
-            root = root[root]
-    rest = np.flatnonzero(root != np.arange(len(names)))
-    return {"a": names[rest], "b": names[root[rest]]}
-
-
-def _summed(found: pa.Table) -> dict:
-    table = found.group_by("id").aggregate([("neighbours", "sum")])
-    return {"id": table.column("id"), "neighbours": table.column("neighbours_sum")}
-
-
-def _lowest(found: pa.Table) -> dict:
-    table = found.group_by("id").aggregate([("label", "min")])
-    return {"id": table.column("id"), "label": table.column("label_min")}
+        a, b = _roots(root, a), _roots(root, b)
+        apart = np.flatnonzero(a != b)
+        a, b = a[apart], b[apart]
+        root[np.maximum(a, b)] = np.minimum(a, b)  # of several pairs of a root one is taken, the others come again
 
 
 def density_clusters(df: DataFrame, id_column: str, vector: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
@@ -228,27 +284,45 @@ def density_clusters(df: DataFrame, id_column: str, vector: str, eps: float = 0.
         return missing
     cells = Cells(points, eps)
 
-    def weigh(mine, x, others, y):
-        return {"id": _ids(mine), "neighbours": close(x, y, eps) @ others.column("weight").to_numpy().astype(np.float64)}
+    def weigh(mine, x, others, y, tiles, near):
+        weight, total = others.column("weight").to_numpy().astype(np.float64), np.zeros(len(x))
+        for tile in tiles:
+            row, place = near(*tile)
+            if len(row):
+                total[row[0] : row[-1] + 1] += np.bincount(row - row[0], weights=weight[place])
+        yield {"id": mine.column("id"), "neighbours": total}
 
-    counted = cells.meet(points, points, weigh, f"id {kind}, neighbours double", ("weight",), _summed).groupBy("id").agg(F.sum("neighbours").alias("n"))
+    counted = cells.compare(points, points, weigh, f"id {kind}, neighbours double", ("weight",)).groupBy("id").agg(F.sum("neighbours").alias("n"))
     points = cut_lineage(points.join(counted, "id").select("id", "v", (F.col("n") >= min_samples).alias("core")))
     core, border = points.filter("core").select("id", "v"), points.filter(~F.col("core")).select("id", "v")
 
-    def join(mine, x, others, y):
-        return _spanning(close(x, y, eps), _ids(mine), _ids(others))
-
-    edges = cells.meet(core, core, join, f"a {kind}, b {kind}", combine=_forest)
+    def join(mine, x, others, y, tiles, near):
+        # what is joined already takes no more than a look; a star around one row leaves for each piece
+        root = np.arange(len(x) + len(y))
+        for tile in tiles:
+            row, place = near(*tile)
+            _hook(root, row, len(x) + place)
+        _roots(root, np.arange(len(root)))
+        rest = np.flatnonzero(root != np.arange(len(root)))
+        ids = pa.chunked_array([*mine.column("id").chunks, *others.column("id").cast(mine.schema.field("id").type).chunks])
+        edges = pa.table({"a": ids.take(pa.array(rest)), "b": ids.take(pa.array(root[rest]))})
+        yield edges.filter(pc.not_equal(edges["a"], edges["b"])).to_pydict()
+
+    edges = cells.compare(core, core, join, f"a {kind}, b {kind}")
     labels = cut_lineage(connected_labels(core, edges))
 
-    def touch(mine, x, others, y):
-        near, label = close(x, y, eps), others.column("label").to_numpy()
-        names, rank = np.unique(label, return_inverse=True)
-        best = np.where(near, rank[None, :], len(names)).min(axis=1)
-        hit = best < len(names)
-        return {"id": _ids(mine)[hit], "label": names[best[hit]]}
-
-    touched = cells.meet(border, core.join(labels, "id"), touch, f"id {kind}, label {kind}", ("label",), _lowest)
+    def touch(mine, x, others, y, tiles, near):
+        names, rank = np.unique(others.column("label").to_numpy(), return_inverse=True)
+        best = np.full(len(x), len(names))
+        for tile in tiles:
+            row, place = near(*tile)
+            if len(row):
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                best[row[first]] = np.minimum(best[row[first]], np.minimum.reduceat(rank[place], first))
+        hit = np.flatnonzero(best < len(names))
+        yield {"id": mine.column("id").take(pa.array(hit)), "label": names[best[hit]]}
+
+    touched = cells.compare(border, core.join(labels, "id"), touch, f"id {kind}, label {kind}", ("label",))
     named = labels.unionByName(touched.groupBy("id").agg(F.min("label").alias("label")))
     labelled = points.join(named, "id", "left").select("v", F.coalesce("label", nothing).alias("cluster"))
     return rows.join(labelled, "v").select(F.col("id").alias(id_column), "cluster").union(missing)

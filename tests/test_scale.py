@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.checks import registry
 from palimpsest.checks.registry import Tables
-from palimpsest.functions.digests import numbered_md5
+from palimpsest.functions import vectors
+from palimpsest.functions.digests import md5_with, numbered_md5
 from palimpsest.operators import density, evaluate, generate, lexical, scoring, search
 from palimpsest.plans.evaluation import likeliest_prompt_scores
 
@@ -175,3 +176,49 @@ def test_tokens_are_hashed_in_blocks_of_an_example(spark, tmp_path, monkeypatch,
     assert sorted(map(tuple, tokens.collect())) == sorted(wanted)
     spark.createDataFrame([], "item_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
     assert Tables(spark, str(tmp_path)).token_logprobs.collect() == []
+
+
+def test_texts_are_hashed_together():
+    words = ["", "a", "ü" * 20, "x" * 53, "x" * 54, "x" * 200, "日本語"] + [f"w{i}" * (i % 9) for i in range(500)]
+    for some in (pa.array(words), pa.array(words).slice(3, 400), pa.array([], pa.string()), pa.array(words, pa.large_string())):
+        assert md5_with(some, b"#1").tolist() == [list(md5(f"{w}#1".encode()).digest()) for w in some.to_pylist()]
+    assert (vectors.word_matrix(pa.array(words)) == np.stack([vectors.word_vector(w) for w in words])).all()
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e6, 1e-3])
+def test_pairs_at_the_limit_are_measured_exactly(scale):
+    x = np.random.default_rng(12).integers(0, 4, size=(300, 3)).astype(np.float64)  # many pairs exactly two apart
+    x, eps = np.unique(x, axis=0) * scale + 5 * scale, 2.0 * scale
+    own = ((x[:, None] - x[None, :6]) ** 2).sum(2).argmin(1)
+    radius = np.array([np.linalg.norm(x[own == k] - x[k], axis=1).max() for k in range(6)])
+    space = density.Space(x[:6], radius, eps)
+    left, right = space.left(x), space.right(x)
+    near = density.close(x, x, eps)
+    row, place = space.pairs(x, left, x, right)
+    assert set(zip(row.tolist(), place.tolist())) == set(zip(*(a.tolist() for a in np.nonzero(near))))
+    reached = space.reached(left, space.own(left))
+    assert all(reached[i, own[j]] for i, j in zip(row, place))  # no pair is missed
+
+
+def test_cells_on_the_far_side_of_the_half_way_plane_are_not_reached(spark):
+    x = np.random.default_rng(13).normal(size=(2000, 12))
+    points = frame(spark, x / np.linalg.norm(x, axis=1, keepdims=True))
+    cells = density.Cells(points, 0.2)
+    y = np.array([r["v"] for r in points.collect()])
+    far = density._distances(y, cells.centres)
+    before = (far - far.min(axis=1, keepdims=True) <= 2 * 0.2 + 1e-9) & (far <= cells.radius + 0.2 + 1e-9)
+    held = np.bincount(far.argmin(axis=1), minlength=len(cells.centres))
+    assert cells.comparisons(points, points) < 0.8 * (before * held[None, :]).sum()
+
+
+def test_pieces_join_to_their_smallest_node():
+    rng = np.random.default_rng(14)
+    a, b = rng.integers(0, 400, 300), rng.integers(0, 400, 300)
+    root, wanted = np.arange(400), np.arange(400)
+    for at in range(0, 300, 100):
+        density._hook(root, a[at : at + 100], b[at : at + 100])
+    density._roots(root, np.arange(400))
+    for _ in range(400):
+        np.minimum.at(wanted, a, wanted[b])
+        np.minimum.at(wanted, b, wanted[a])
+    assert (root == wanted).all()
