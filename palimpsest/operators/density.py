@@ -15,7 +15,6 @@ from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from palimpsest.functions.vectors import usable
@@ -297,16 +296,20 @@ def density_clusters(df: DataFrame, id_column: str, vector: str, eps: float = 0.
     core, border = points.filter("core").select("id", "v"), points.filter(~F.col("core")).select("id", "v")
 
     def join(mine, x, others, y, tiles, near):
-        # what is joined already takes no more than a look; a star around one row leaves for each piece
+        # pieces grow through all tiles, and a star leaves for each
         root = np.arange(len(x) + len(y))
         for tile in tiles:
             row, place = near(*tile)
             _hook(root, row, len(x) + place)
         _roots(root, np.arange(len(root)))
-        rest = np.flatnonzero(root != np.arange(len(root)))
-        ids = pa.chunked_array([*mine.column("id").chunks, *others.column("id").cast(mine.schema.field("id").type).chunks])
-        edges = pa.table({"a": ids.take(pa.array(rest)), "b": ids.take(pa.array(root[rest]))})
-        yield edges.filter(pc.not_equal(edges["a"], edges["b"])).to_pydict()
+        joined = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
+        names, rank = np.unique(np.concatenate([_ids(mine), _ids(others)])[joined], return_inverse=True)
+        least = np.full(len(root), len(names))
+        np.minimum.at(least, root[joined], rank)
+        # around the smallest id, so that tasks that find the same piece send the same edges
+        first, last = np.divmod(np.unique(rank * len(names) + least[root[joined]]), max(1, len(names)))
+        apart = first != last
+        yield {"a": names[first[apart]], "b": names[last[apart]]}
 
     edges = cells.compare(core, core, join, f"a {kind}, b {kind}")
     labels = cut_lineage(connected_labels(core, edges))
